@@ -230,3 +230,35 @@ def features(plays: DataFrame, scope=(), artist=ARTIST, album=ALBUM, track=TRACK
            .join(albums, k, "left")
            .join(revisits, k, "left"))
     return out.select(*k, *FEATURE_COLUMNS)
+
+
+def previous_play(plays: DataFrame, scope=(), artist=ARTIST, ts="ts") -> DataFrame:
+    """WIN1 + SCL2: each play with the previous play time of its artist and the
+    day-boundary gap (``LAG(ts) OVER (PARTITION BY artist ORDER BY ts)``).
+
+    Output is one row per play: (scope, artist, ts, prev_timestamp,
+    difference_days).  Plays sharing a timestamp are interchangeable, so
+    the work runs on distinct (artist, ts) with a multiplicity: the first
+    copy gets the previous distinct time, the others their own time.
+    The lag itself is distributed: distinct times are range-partitioned on
+    (scope, artist, ts), lagged inside each range partition, and the first
+    row of a partition takes the last time of the same artist from the
+    previous partitions (a table of one row per (artist, partition)).  A
+    hot artist is therefore spread over many tasks.
+    """
+    from encore.operators.ranking import range_sorted
+
+    k = _keys(scope, artist)
+    distinct = drop_podcasts(plays, artist).groupBy(*k, ts).agg(F.count(F.lit(1)).alias("_c"))
+    r = range_sorted(distinct, [F.col(ts).asc()], k)
+    local = r.withColumn("_prev", F.lag(ts).over(Window.partitionBy(*k, "_pid").orderBy("_mid")))
+    seg = r.groupBy(*k, "_pid").agg(F.max(ts).alias("_last"))
+    seg = seg.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*k).orderBy("_pid")))
+    joined = local.join(seg.select(*k, "_pid", "_carry"), [*k, "_pid"], "left")
+    first_prev = F.coalesce(F.col("_prev"), F.col("_carry"))
+    out = (joined.select(*k, ts, first_prev.alias("_first_prev"),
+                         F.explode(F.sequence(F.lit(1), F.col("_c").cast("int"))).alias("_i"))
+           .withColumn("prev_timestamp",
+                       F.when(F.col("_i") == 1, F.col("_first_prev")).otherwise(F.col(ts))))
+    return out.select(*k, ts, "prev_timestamp",
+                      day_gap(F.col("prev_timestamp"), F.col(ts)).alias("difference_days"))

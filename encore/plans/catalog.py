@@ -64,3 +64,103 @@ def q_top2(spark, base):
     """Flagship: plays -> PIPE1 -> PIPE2 -> the 50 highest-ranked artists."""
     out = pipe.top_ranked(_scores(spark, base), 50)
     return r6(out.select("artist_name", "rank", *SCORE_COLS), SCORE_COLS)
+
+
+# ------------------------------------------------------ single aggregates --
+
+def _pd(spark, base):
+    return feat.drop_podcasts(stand_in.plays(spark, base))
+
+
+@register("flt1_drop_podcasts")
+def q_flt1(spark, base):
+    """FLT1 + PRJ1: plays with an artist, fixed 12-column projection."""
+    return feat.project_plays(_pd(spark, base))
+
+
+SOURCE_COLS = ["master_metadata_track_name", ARTIST, "master_metadata_album_album_name",
+               "spotify_track_uri"]
+
+
+@register("flt2_complete_rows")
+def q_flt2(spark, base):
+    """FLT2: rows where track, artist, album and URI are all present."""
+    return feat.keep_complete(feat.project_plays(stand_in.plays(spark, base)), SOURCE_COLS)
+
+
+@register("flt3_drop_all_null")
+def q_flt3(spark, base):
+    """FLT3: drop rows where track, artist, album and URI are all NULL."""
+    return feat.drop_all_null(feat.project_plays(stand_in.plays(spark, base)), SOURCE_COLS)
+
+
+@register("agg1_play_count")
+def q_agg1(spark, base):
+    """AGG1: plays per artist."""
+    return feat.play_counts(_pd(spark, base))
+
+
+@register("agg2_distinct_albums_tracks")
+def q_agg2(spark, base):
+    """AGG2: distinct albums and tracks per artist."""
+    return feat.distinct_counts(_pd(spark, base))
+
+
+@register("agg3_multi_track_albums")
+def q_agg3(spark, base):
+    """AGG3 + FLT6: distinct tracks per (artist, album), groups with more than one."""
+    return feat.multi_track_albums(_pd(spark, base))
+
+
+@register("agg4_true_albums")
+def q_agg4(spark, base):
+    """AGG4: albums with more than one distinct track, per artist."""
+    return feat.true_album_counts(_pd(spark, base))
+
+
+@register("agg5_listening_consistency")
+def q_agg5(spark, base):
+    """AGG5: months with more than one distinct track, per artist."""
+    return feat.listening_consistency(_pd(spark, base))
+
+
+@register("agg6_active_months")
+def q_agg6(spark, base):
+    """AGG6: distinct active months per artist."""
+    return feat.active_months(_pd(spark, base))
+
+
+@register("agg7_skip_rate")
+def q_agg7(spark, base):
+    """AGG7: mean of the nullable skipped flag per artist."""
+    return r6(feat.skip_rates(_pd(spark, base)), ["skip_rate"])
+
+
+@register("agg8_intentional_rate")
+def q_agg8(spark, base):
+    """AGG8 + FLT4: intentional starts over all plays per artist."""
+    return r6(feat.intentional_rates(_pd(spark, base)), ["intentional_listening_rate"])
+
+
+@register("agg9_completion_rate")
+def q_agg9(spark, base):
+    """AGG9 + FLT5: completed plays over all plays per artist."""
+    return r6(feat.completion_rates(_pd(spark, base)), ["completion_rate"])
+
+
+@register("agg10_revisits")
+def q_agg10(spark, base):
+    """AGG10 + FLT7: gaps of more than 120 days between consecutive plays."""
+    return feat.revisit_counts(_pd(spark, base))
+
+
+@register("win1_previous_play")
+def q_win1(spark, base):
+    """WIN1 + SCL2: previous play time per artist and the day gap, per play."""
+    return feat.previous_play(_pd(spark, base))
+
+
+@register("win3_partition_total")
+def q_win3(spark, base):
+    """WIN3: each play beside its artist's total play count."""
+    return feat.partition_totals(_pd(spark, base))

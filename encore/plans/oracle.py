@@ -138,3 +138,32 @@ SELECT artist_name, rank, {r6(SCORE_COLS)} FROM superfan_scores"""
 
 ORACLE["top2_top50_by_rank"] = f"""WITH {SCORES_CTE}
 SELECT artist_name, rank, {r6(SCORE_COLS)} FROM superfan_scores WHERE rank <= 50"""
+
+PLAY_COLS = ("ts, platform, ms_played, ip_addr, master_metadata_track_name, "
+             "master_metadata_album_artist_name, master_metadata_album_album_name, "
+             "spotify_track_uri, reason_start, reason_end, shuffle, skipped")
+
+ORACLE["flt1_drop_podcasts"] = f"WITH {PLAYS_CTE} SELECT {PLAY_COLS} FROM pd"
+ORACLE["flt2_complete_rows"] = f"""WITH {PLAYS_CTE} SELECT {PLAY_COLS} FROM plays
+WHERE {T} IS NOT NULL AND {A} IS NOT NULL AND {AL} IS NOT NULL AND spotify_track_uri IS NOT NULL"""
+ORACLE["flt3_drop_all_null"] = f"""WITH {PLAYS_CTE} SELECT {PLAY_COLS} FROM plays
+WHERE NOT ({T} IS NULL AND {A} IS NULL AND {AL} IS NULL AND spotify_track_uri IS NULL)"""
+ORACLE["agg1_play_count"] = f"WITH {PLAYS_CTE}, {AGG_PLAYS} SELECT * FROM p"
+ORACLE["agg2_distinct_albums_tracks"] = f"WITH {PLAYS_CTE}, {AGG_UNIQUE} SELECT * FROM u"
+ORACLE["agg3_multi_track_albums"] = f"""WITH {PLAYS_CTE}
+SELECT {A}, {AL} AS album_name, COUNT(DISTINCT {T}) AS num_tracks
+FROM pd GROUP BY {A}, {AL} HAVING num_tracks > 1"""
+ORACLE["agg4_true_albums"] = f"WITH {PLAYS_CTE}, {AGG_TRUE_ALBUMS} SELECT * FROM n"
+ORACLE["agg5_listening_consistency"] = f"WITH {PLAYS_CTE}, {AGG_CONSISTENCY} SELECT * FROM l"
+ORACLE["agg6_active_months"] = f"""WITH {PLAYS_CTE}
+SELECT {A}, COUNT(DISTINCT strftime(ts, '%Y-%m')) AS active_months FROM pd GROUP BY {A}"""
+ORACLE["agg7_skip_rate"] = f"WITH {PLAYS_CTE}, {AGG_SKIP} SELECT {A}, {r6(['skip_rate'])} FROM s"
+ORACLE["agg8_intentional_rate"] = (f"WITH {PLAYS_CTE}, {AGG_INTENT} "
+                                   f"SELECT {A}, {r6(['intentional_listening_rate'])} FROM i")
+ORACLE["agg9_completion_rate"] = f"WITH {PLAYS_CTE}, {AGG_DONE} SELECT {A}, {r6(['completion_rate'])} FROM c"
+ORACLE["agg10_revisits"] = f"WITH {PLAYS_CTE}, {AGG_REVISIT} SELECT * FROM r"
+ORACLE["win1_previous_play"] = f"""WITH {PLAYS_CTE}
+SELECT {A}, ts, prev_timestamp, DATEDIFF('day', prev_timestamp, ts) AS difference_days FROM (
+  SELECT {A}, ts, LAG(ts, 1) OVER (PARTITION BY {A} ORDER BY ts) AS prev_timestamp FROM pd) x"""
+ORACLE["win3_partition_total"] = f"""WITH {PLAYS_CTE}
+SELECT {A}, COUNT(*) OVER (PARTITION BY {A}) AS total_plays FROM pd"""
