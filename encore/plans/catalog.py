@@ -164,3 +164,85 @@ def q_win1(spark, base):
 def q_win3(spark, base):
     """WIN3: each play beside its artist's total play count."""
     return feat.partition_totals(_pd(spark, base))
+
+
+# ------------------------------------------------------ recency and blend --
+
+from encore.operators import recency  # noqa: E402
+from encore.sources import ranked_pages  # noqa: E402
+
+
+def _artists(spark, base):
+    return ranked_pages.flatten_ranked_artists(stand_in.artist_pages(spark, base))
+
+
+def _tracks(spark, base):
+    return ranked_pages.flatten_ranked_tracks(stand_in.track_pages(spark, base))
+
+
+@register("src4_ranked_artists")
+def q_src4(spark, base):
+    """SRC4 + WIN4: paged ranked artist lists flattened to (list, position, name)."""
+    return _artists(spark, base)
+
+
+@register("src5_ranked_tracks")
+def q_src5(spark, base):
+    """SRC5: paged ranked tracks flattened, first credited artist only."""
+    return _tracks(spark, base)
+
+
+@register("win5_presence_score")
+def q_win5(spark, base):
+    """WIN5 + AGG16: (n - rank) / (n - 1) over the long-term list."""
+    return r6(recency.api_presence(_artists(spark, base)), ["api_presence_score"])
+
+
+@register("jn3_time_range_consistency")
+def q_jn3(spark, base):
+    """JN3 + SCL11: full outer joins of the three lists, share of lists present."""
+    return r6(recency.time_range_consistency(_artists(spark, base)), ["time_range_consistency"])
+
+
+@register("agg11_track_breadth")
+def q_agg11(spark, base):
+    """AGG11 + AGG12 + SCL12: distinct top tracks per artist over the maximum."""
+    return r6(recency.track_breadth(_tracks(spark, base)), ["track_breadth_score"])
+
+
+def _recency_parts(spark, base):
+    a = _artists(spark, base)
+    return (recency.api_presence(a), recency.track_breadth(_tracks(spark, base)),
+            recency.time_range_consistency(a))
+
+
+@register("pipe3_recency")
+def q_pipe3(spark, base):
+    """PIPE3: presence, time-range consistency and track breadth per listed artist."""
+    pres, breadth, cons = _recency_parts(spark, base)
+    k = ["artist_name"]
+    out = (cons.select(*k, "time_range_consistency")
+           .join(pres, k, "full").join(breadth.select(*k, "track_breadth_score"), k, "full"))
+    return r6(out, ["api_presence_score", "time_range_consistency", "track_breadth_score"])
+
+
+BLEND_DOUBLES = ["superfan_score", "api_presence_score", "time_range_consistency",
+                 "track_breadth_score", "blended_score"]
+
+
+def _blended(spark, base):
+    pres, breadth, cons = _recency_parts(spark, base)
+    return recency.blend(_scores(spark, base), pres, breadth, cons)
+
+
+@register("jn2_blend_all")
+def q_jn2(spark, base):
+    """JN2 + FLT8 + SCL9: every scored artist with the blended score."""
+    return r6(_blended(spark, base).select(*recency.BLEND_OUTPUT), BLEND_DOUBLES)
+
+
+@register("pipe4_blend_top50")
+def q_pipe4(spark, base):
+    """PIPE4 + TOP1: the 50 best blended scores (F9 columns plus order)."""
+    top = recency.top_blended(_blended(spark, base), 50)
+    return r6(top.select(*recency.BLEND_OUTPUT, "blend_rank"), BLEND_DOUBLES)

@@ -167,3 +167,96 @@ SELECT {A}, ts, prev_timestamp, DATEDIFF('day', prev_timestamp, ts) AS differenc
   SELECT {A}, ts, LAG(ts, 1) OVER (PARTITION BY {A} ORDER BY ts) AS prev_timestamp FROM pd) x"""
 ORACLE["win3_partition_total"] = f"""WITH {PLAYS_CTE}
 SELECT {A}, COUNT(*) OVER (PARTITION BY {A}) AS total_plays FROM pd"""
+
+# ------------------------------------------------------ recency and blend --
+
+LISTS_CTE = """spend AS (
+  SELECT 'long_term' AS list, o_custkey, round(SUM(o_totalprice), 2) AS spend
+  FROM orders WHERE o_orderdate >= TIMESTAMP '2000-08-01' GROUP BY o_custkey
+  UNION ALL
+  SELECT 'medium_term', o_custkey, round(SUM(o_totalprice), 2)
+  FROM orders WHERE o_orderdate >= TIMESTAMP '2001-02-01' GROUP BY o_custkey
+  UNION ALL
+  SELECT 'short_term', o_custkey, round(SUM(o_totalprice), 2)
+  FROM orders WHERE o_orderdate >= TIMESTAMP '2001-07-01' GROUP BY o_custkey
+),
+lists AS (
+  SELECT list, position, printf('Customer#%09d', o_custkey) AS artist_name FROM (
+    SELECT list, o_custkey,
+           ROW_NUMBER() OVER (PARTITION BY list ORDER BY spend DESC, o_custkey) AS position
+    FROM spend) x
+  WHERE position <= 120
+),
+tracks AS (
+  SELECT 'long_term' AS list, position, printf('Customer#%09d', o_custkey) AS artist_name,
+         p_name AS track_name FROM (
+    SELECT o_custkey, l_partkey,
+           ROW_NUMBER() OVER (ORDER BY qty DESC, o_custkey, l_partkey) AS position
+    FROM (SELECT o_custkey, l_partkey, SUM(l_quantity) AS qty
+          FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+          WHERE o_orderdate >= TIMESTAMP '2000-08-01'
+          GROUP BY o_custkey, l_partkey) y) x
+  JOIN part ON p_partkey = l_partkey
+  WHERE position <= 120
+),
+presence AS (
+  SELECT artist_name,
+         CASE WHEN n = 1 THEN 1.0 ELSE (n - position) / (n - 1) END AS api_presence_score
+  FROM (SELECT artist_name, position, COUNT(*) OVER () AS n FROM lists WHERE list = 'long_term') x
+),
+consistency AS (
+  SELECT artist_name,
+         max(CASE WHEN list = 'long_term' THEN 1 ELSE 0 END) AS in_long,
+         max(CASE WHEN list = 'medium_term' THEN 1 ELSE 0 END) AS in_medium,
+         max(CASE WHEN list = 'short_term' THEN 1 ELSE 0 END) AS in_short
+  FROM lists GROUP BY artist_name
+),
+breadth AS (
+  SELECT artist_name, track_breadth,
+         track_breadth / MAX(track_breadth) OVER () AS track_breadth_score
+  FROM (SELECT artist_name, COUNT(DISTINCT track_name) AS track_breadth
+        FROM tracks WHERE artist_name IS NOT NULL GROUP BY artist_name) x
+)"""
+
+ORACLE["src4_ranked_artists"] = f"WITH {LISTS_CTE} SELECT list, position, artist_name FROM lists"
+ORACLE["src5_ranked_tracks"] = f"WITH {LISTS_CTE} SELECT list, position, artist_name, track_name FROM tracks"
+ORACLE["win5_presence_score"] = f"WITH {LISTS_CTE} SELECT artist_name, {r6(['api_presence_score'])} FROM presence"
+ORACLE["jn3_time_range_consistency"] = f"""WITH {LISTS_CTE}
+SELECT artist_name, in_long, in_medium, in_short,
+       round((in_short + in_medium + in_long) / 3.0, 6) AS time_range_consistency FROM consistency"""
+ORACLE["agg11_track_breadth"] = f"""WITH {LISTS_CTE}
+SELECT artist_name, track_breadth, {r6(['track_breadth_score'])} FROM breadth"""
+ORACLE["pipe3_recency"] = f"""WITH {LISTS_CTE}
+SELECT COALESCE(c.artist_name, p.artist_name, b.artist_name) AS artist_name,
+       round((in_short + in_medium + in_long) / 3.0, 6) AS time_range_consistency,
+       round(api_presence_score, 6) AS api_presence_score,
+       round(track_breadth_score, 6) AS track_breadth_score
+FROM consistency c FULL JOIN presence p ON c.artist_name = p.artist_name
+FULL JOIN breadth b ON COALESCE(c.artist_name, p.artist_name) = b.artist_name"""
+
+BLEND_CTE = f"""{SCORES_CTE},
+{LISTS_CTE},
+blended AS (
+  SELECT s.artist_name,
+         COALESCE(s.superfan_score, 0) AS superfan_score,
+         COALESCE(p.api_presence_score, 0) AS api_presence_score,
+         COALESCE((c.in_short + c.in_medium + c.in_long) / 3.0, 0) AS time_range_consistency,
+         COALESCE(b.track_breadth_score, 0) AS track_breadth_score
+  FROM superfan_scores s
+  LEFT JOIN presence p ON s.artist_name = p.artist_name
+  LEFT JOIN breadth b ON s.artist_name = b.artist_name
+  LEFT JOIN consistency c ON s.artist_name = c.artist_name
+),
+final AS (
+  SELECT *, 0.60 * superfan_score + 0.20 * api_presence_score + 0.10 * time_range_consistency
+          + 0.10 * track_breadth_score AS blended_score
+  FROM blended
+)"""
+
+BLEND_DOUBLES = ["superfan_score", "api_presence_score", "time_range_consistency",
+                 "track_breadth_score", "blended_score"]
+ORACLE["jn2_blend_all"] = f"WITH {BLEND_CTE} SELECT artist_name, {r6(BLEND_DOUBLES)} FROM final"
+ORACLE["pipe4_blend_top50"] = f"""WITH {BLEND_CTE}
+SELECT artist_name, {r6(BLEND_DOUBLES)}, blend_rank FROM (
+  SELECT *, ROW_NUMBER() OVER (ORDER BY blended_score DESC NULLS LAST, artist_name) AS blend_rank
+  FROM final) x WHERE blend_rank <= 50"""

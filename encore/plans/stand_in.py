@@ -57,3 +57,66 @@ def plays(spark: SparkSession, base: str) -> DataFrame:
         F.when(F.col("l_returnflag") == "N", F.lit(None).cast("boolean"))
          .otherwise(F.col("l_returnflag") == "R").alias("skipped"),
     )
+
+
+# ranked lists --------------------------------------------------------------
+# artist lists: customers by order spend since a start date (ties by key),
+# the first LIST_LENGTH of them, cut into pages of PAGE_SIZE items.
+LIST_STARTS = {"long_term": "2000-08-01", "medium_term": "2001-02-01",
+               "short_term": "2001-07-01"}
+LIST_LENGTH = 120
+
+
+def supplier_name(suppkey) -> F.Column:
+    return F.format_string("Supplier#%09d", suppkey)
+
+
+def _paginate(ranked: DataFrame, item: F.Column) -> DataFrame:
+    from pyspark.sql import Window
+    from encore.constants import PAGE_SIZE
+    pages = (ranked.withColumn("page_no", ((F.col("pos") - 1) / PAGE_SIZE).cast("int") + 1)
+             .groupBy("list", "page_no")
+             .agg(F.sort_array(F.collect_list(F.struct(F.col("pos"), item.alias("it"))))
+                  .alias("_items")))
+    last = F.max("page_no").over(Window.partitionBy("list"))
+    return pages.select(
+        "list", "page_no",
+        F.when(F.col("page_no") < last,
+               F.format_string("https://api.example/%s?offset=%d", F.col("list"),
+                               F.col("page_no") * PAGE_SIZE)).alias("next"),
+        F.transform("_items", lambda x: x["it"]).alias("items"))
+
+
+def artist_pages(spark: SparkSession, base: str) -> DataFrame:
+    from encore.operators.ranking import top_k_per_group
+    o = read_table(spark, base, "orders").select("o_custkey", "o_totalprice", "o_orderdate")
+    lists = None
+    for name, start in LIST_STARTS.items():
+        one = (o.where(F.col("o_orderdate") >= F.lit(start).cast("timestamp_ntz"))
+               .withColumn("list", F.lit(name)))
+        lists = one if lists is None else lists.unionByName(one)
+    spend = (lists.groupBy("list", "o_custkey")
+             .agg(F.round(F.sum("o_totalprice"), 2).alias("spend")))
+    ranked = top_k_per_group(spend, ["list"], [F.col("spend").desc(), F.col("o_custkey").asc()],
+                             LIST_LENGTH, out="pos")
+    return _paginate(ranked, F.struct(artist_name(F.col("o_custkey")).alias("name")))
+
+
+def track_pages(spark: SparkSession, base: str) -> DataFrame:
+    from encore.operators.ranking import top_k_per_group
+    o = (read_table(spark, base, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+         .where(F.col("o_orderdate") >= F.lit(LIST_STARTS["long_term"]).cast("timestamp_ntz")))
+    l = read_table(spark, base, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey",
+                                                   "l_quantity")
+    pairs = (l.join(o, l.l_orderkey == o.o_orderkey)
+             .groupBy("o_custkey", "l_partkey")
+             .agg(F.sum("l_quantity").alias("qty"), F.min("l_suppkey").alias("supp"))
+             .withColumn("list", F.lit("long_term")))
+    ranked = top_k_per_group(pairs, ["list"], [F.col("qty").desc(), F.col("o_custkey").asc(),
+                                               F.col("l_partkey").asc()], LIST_LENGTH, out="pos")
+    p = read_table(spark, base, "part").select("p_partkey", "p_name")
+    ranked = ranked.join(p, ranked.l_partkey == p.p_partkey)
+    item = F.struct(F.col("p_name").alias("name"),
+                    F.array(F.struct(artist_name(F.col("o_custkey")).alias("name")),
+                            F.struct(supplier_name(F.col("supp")).alias("name"))).alias("artists"))
+    return _paginate(ranked, item)
