@@ -246,3 +246,61 @@ def q_pipe4(spark, base):
     """PIPE4 + TOP1: the 50 best blended scores (F9 columns plus order)."""
     top = recency.top_blended(_blended(spark, base), 50)
     return r6(top.select(*recency.BLEND_OUTPUT, "blend_rank"), BLEND_DOUBLES)
+
+
+# ------------------------------------------------------------- events ------
+
+from encore.operators import events as ev_ops  # noqa: E402
+from encore.sources import event_responses as responses  # noqa: E402
+
+FLAT = ["query", "artist_name", "ticket_link", "artist_image", "concert_date", "venue", "city",
+        "address"]
+
+
+def _catalogue(spark, base):
+    return responses.flatten_events(stand_in.event_responses(spark, base), keep_catalogue=True)
+
+
+@register("src6_flat_events")
+def q_src6(spark, base):
+    """SRC6 + AGG14 + SCL14: responses parsed and flattened to 7 event columns."""
+    return responses.flatten_events(stand_in.event_responses(spark, base))
+
+
+@register("src7_error_responses")
+def q_src7(spark, base):
+    """SRC7: non-200 responses as error lines."""
+    return responses.error_responses(stand_in.event_responses(spark, base))
+
+
+@register("jn8_category_filter")
+def q_jn8(spark, base):
+    """JN8: music events in the US from the primary source."""
+    return ev_ops.category_filter(_catalogue(spark, base)).select("event_id", *FLAT)
+
+
+@register("jn7_radius_filter")
+def q_jn7(spark, base):
+    """JN7: events within 150 miles of the centre of geohash dpsby4."""
+    out = ev_ops.radius_filter(_catalogue(spark, base))
+    return r6(out.select("event_id", "artist_name", "distance"), ["distance"])
+
+
+def _top_artists(spark, base):
+    top = recency.top_blended(_blended(spark, base), 50)
+    return top.select("artist_name", F.col("blend_rank").alias("artist_rank"))
+
+
+@register("jn6_keyword_match")
+def q_jn6(spark, base):
+    """JN5 + JN6: every (top artist, event) pair whose names match as whole words."""
+    cat = _catalogue(spark, base).withColumnRenamed("artist_name", "event_name")
+    arts = _top_artists(spark, base).withColumnRenamed("artist_name", "searched_artist")
+    return (ev_ops.keyword_match(arts, cat, "searched_artist", "event_name")
+            .select("searched_artist", "artist_rank", "event_id", "event_name"))
+
+
+@register("pipe5_match_events")
+def q_pipe5(spark, base):
+    """PIPE5 + TOP5: top-50 artists matched to nearby music events, at most 5 each."""
+    return ev_ops.match_events(_top_artists(spark, base), _catalogue(spark, base))

@@ -260,3 +260,92 @@ ORACLE["pipe4_blend_top50"] = f"""WITH {BLEND_CTE}
 SELECT artist_name, {r6(BLEND_DOUBLES)}, blend_rank FROM (
   SELECT *, ROW_NUMBER() OVER (ORDER BY blended_score DESC NULLS LAST, artist_name) AS blend_rank
   FROM final) x WHERE blend_rank <= 50"""
+
+# -------------------------------------------------------------- events -----
+
+EVENTS_CTE = """ev AS (
+  SELECT o_orderkey, o_custkey, o_orderkey // 20 AS page,
+         printf('Customer#%09d', o_custkey) AS query,
+         CASE WHEN o_custkey % 50 = 7 THEN 500 ELSE 200 END AS status,
+         CAST(o_orderkey AS VARCHAR) AS event_id,
+         printf('Customer#%09d', o_custkey) ||
+           CASE o_orderkey % 4 WHEN 0 THEN ' Live' WHEN 1 THEN ' World Tour'
+                WHEN 2 THEN ' with ' || printf('Supplier#%09d', o_orderkey % 100) ELSE '' END AS name,
+         'https://tickets.example/event/' || CAST(o_orderkey AS VARCHAR) AS url,
+         [{'url': url || '/a.jpg', 'width': 640},
+          {'url': url || '/b.jpg', 'width': CASE WHEN o_orderkey % 2 = 0 THEN 1024 ELSE 305 END},
+          {'url': url || '/c.jpg', 'width': 1024}] AS images,
+         strftime(o_orderdate + INTERVAL 312 MONTH, '%Y-%m-%d') AS concert_date,
+         'Hall ' || CAST(o_orderkey % 97 AS VARCHAR) AS venue,
+         n_name AS city,
+         CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE CAST(o_orderkey AS VARCHAR) || ' Main St' END AS address,
+         CAST(42.3331 AS DOUBLE) + ((o_orderkey % 7) - 3) * CAST(0.8 AS DOUBLE) AS latitude,
+         CAST(-83.0511 AS DOUBLE) + ((o_orderkey % 5) - 2) * CAST(1.5 AS DOUBLE) AS longitude,
+         CASE WHEN o_orderpriority = '3-MEDIUM' THEN 'Sports' ELSE 'Music' END AS classification,
+         CASE WHEN o_orderkey % 11 = 0 THEN 'CA' ELSE 'US' END AS country,
+         CASE WHEN o_orderkey % 13 = 0 THEN 'resale' ELSE 'ticketmaster' END AS source
+  FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
+  WHERE o_orderstatus = 'O'
+),
+okev AS (
+  SELECT *,
+         images[list_position(list_transform(images, lambda x: x.width),
+                              list_max(list_transform(images, lambda x: x.width)))].url AS artist_image
+  FROM ev WHERE status = 200 AND page % 9 <> 4
+)"""
+
+FLAT_SQL = ("query, name AS artist_name, url AS ticket_link, artist_image, concert_date, "
+            "venue, city, address")
+LAT0, LON0 = 42.33306884765625, -83.0511474609375
+DIST_SQL = (f"2 * 3958.8 * asin(least(1.0, sqrt("
+            f"pow(sin((radians({LAT0}) - radians(latitude)) / 2), 2) + "
+            f"cos(radians(latitude)) * cos(radians({LAT0})) * "
+            f"pow(sin((radians({LON0}) - radians(longitude)) / 2), 2))))")
+MATCH_SQL = """list_filter(regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"""
+
+ORACLE["src6_flat_events"] = f"WITH {EVENTS_CTE} SELECT {FLAT_SQL} FROM okev"
+ORACLE["src7_error_responses"] = f"""WITH {EVENTS_CTE}
+SELECT query, status, printf('API error for %s: %d', query, status) AS message FROM (
+  SELECT o_custkey, page, any_value(query) AS query, any_value(status) AS status
+  FROM ev GROUP BY o_custkey, page) x WHERE status <> 200"""
+ORACLE["jn8_category_filter"] = f"""WITH {EVENTS_CTE}
+SELECT event_id, {FLAT_SQL} FROM okev
+WHERE lower(classification) = 'music' AND country = 'US' AND source = 'ticketmaster'"""
+ORACLE["jn7_radius_filter"] = f"""WITH {EVENTS_CTE}
+SELECT event_id, artist_name, round(distance, 6) AS distance FROM (
+  SELECT event_id, name AS artist_name, {DIST_SQL} AS distance FROM okev) x
+WHERE distance <= 150"""
+
+TOP50_CTE = f"""{BLEND_CTE},
+top50 AS (
+  SELECT artist_name, blend_rank AS artist_rank FROM (
+    SELECT *, ROW_NUMBER() OVER (ORDER BY blended_score DESC NULLS LAST, artist_name) AS blend_rank
+    FROM final) x WHERE blend_rank <= 50
+),
+{EVENTS_CTE},
+anorm AS (
+  SELECT artist_name AS searched_artist, artist_rank,
+         array_to_string({MATCH_SQL.format(c='artist_name')}, ' ') AS a_norm FROM top50
+),
+enorm AS (
+  SELECT *, array_to_string({MATCH_SQL.format(c='name')}, ' ') AS e_norm FROM okev
+),
+pairs AS (
+  SELECT a.searched_artist, a.artist_rank, e.*
+  FROM anorm a, enorm e
+  WHERE length(a.a_norm) > 0 AND instr(' ' || e.e_norm || ' ', ' ' || a.a_norm || ' ') > 0
+)"""
+
+ORACLE["jn6_keyword_match"] = f"""WITH {TOP50_CTE}
+SELECT searched_artist, artist_rank, event_id, name AS event_name FROM pairs"""
+ORACLE["pipe5_match_events"] = f"""WITH {TOP50_CTE},
+near AS (
+  SELECT * FROM pairs
+  WHERE lower(classification) = 'music' AND country = 'US' AND source = 'ticketmaster'
+    AND {DIST_SQL} <= 150
+)
+SELECT searched_artist, artist_rank, event_position, event_id, name AS artist_name,
+       url AS ticket_link, artist_image, concert_date, venue, city, address FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY searched_artist ORDER BY concert_date, event_id)
+         AS event_position FROM near) x
+WHERE event_position <= 5"""

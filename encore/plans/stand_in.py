@@ -120,3 +120,62 @@ def track_pages(spark: SparkSession, base: str) -> DataFrame:
                     F.array(F.struct(artist_name(F.col("o_custkey")).alias("name")),
                             F.struct(supplier_name(F.col("supp")).alias("name"))).alias("artists"))
     return _paginate(ranked, item)
+
+
+# event-search responses ------------------------------------------------------
+# One event per open order ('O'), headlined by the order's customer; events
+# are grouped into response pages of the same customer and order-key block
+# of 20 (so a page never holds more than 20 events).  Customers whose key
+# is 7 mod 50 get status 500; every ninth page block comes back 200 without
+# an ``_embedded`` block.
+
+def _event_struct() -> F.Column:
+    k = F.col("o_orderkey")
+    url = F.concat(F.lit("https://tickets.example/event/"), k.cast("string"))
+    suffix = (F.when(k % 4 == 0, F.lit(" Live"))
+              .when(k % 4 == 1, F.lit(" World Tour"))
+              .when(k % 4 == 2, F.concat(F.lit(" with "), supplier_name(k % 100)))
+              .otherwise(F.lit("")))
+    image = lambda tag, w: F.struct(F.concat(url, F.lit(tag)).alias("url"), w.alias("width"))
+    return F.struct(
+        k.cast("string").alias("id"),
+        F.concat(artist_name(F.col("o_custkey")), suffix).alias("name"),
+        url.alias("url"),
+        F.array(image("/a.jpg", F.lit(640)),
+                image("/b.jpg", F.when(k % 2 == 0, F.lit(1024)).otherwise(F.lit(305))),
+                image("/c.jpg", F.lit(1024))).alias("images"),
+        F.struct(F.struct(F.date_format(F.add_months(F.col("o_orderdate"), 312), "yyyy-MM-dd")
+                          .alias("localDate")).alias("start")).alias("dates"),
+        F.struct(F.array(F.struct(
+            F.concat(F.lit("Hall "), (k % 97).cast("string")).alias("name"),
+            F.struct(F.col("n_name").alias("name")).alias("city"),
+            F.when(k % 10 == 0, F.lit(None).cast("struct<line1:string>"))
+             .otherwise(F.struct(F.concat(k.cast("string"), F.lit(" Main St")).alias("line1")))
+             .alias("address"))).alias("venues")).alias("_embedded"),
+        (F.lit(42.3331) + ((k % 7) - 3) * 0.8).alias("latitude"),
+        (F.lit(-83.0511) + ((k % 5) - 2) * 1.5).alias("longitude"),
+        F.when(F.col("o_orderpriority") == "3-MEDIUM", F.lit("Sports"))
+         .otherwise(F.lit("Music")).alias("classification"),
+        F.when(k % 11 == 0, F.lit("CA")).otherwise(F.lit("US")).alias("country"),
+        F.when(k % 13 == 0, F.lit("resale")).otherwise(F.lit("ticketmaster")).alias("source"),
+    )
+
+
+def event_responses(spark: SparkSession, base: str) -> DataFrame:
+    o = (read_table(spark, base, "orders")
+         .select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
+         .where(F.col("o_orderstatus") == "O"))
+    c = read_table(spark, base, "customer").select("c_custkey", "c_nationkey")
+    n = read_table(spark, base, "nation").select("n_nationkey", "n_name")
+    j = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
+    pages = (j.withColumn("page", F.expr("o_orderkey div 20"))
+             .groupBy("o_custkey", "page")
+             .agg(F.sort_array(F.collect_list(F.struct("o_orderkey", _event_struct().alias("e"))))
+                  .alias("_evs")))
+    status = F.when(F.col("o_custkey") % 50 == 7, F.lit(500)).otherwise(F.lit(200))
+    body = (F.when(status == 500, F.lit('{"errors": [{"code": "500"}]}'))
+            .when(F.col("page") % 9 == 4, F.lit("{}"))
+            .otherwise(F.to_json(F.struct(F.struct(
+                F.transform("_evs", lambda x: x["e"]).alias("events")).alias("_embedded")))))
+    return pages.select(artist_name(F.col("o_custkey")).alias("query"),
+                        status.cast("int").alias("status"), body.alias("body"))
