@@ -304,3 +304,81 @@ def q_jn6(spark, base):
 def q_pipe5(spark, base):
     """PIPE5 + TOP5: top-50 artists matched to nearby music events, at most 5 each."""
     return ev_ops.match_events(_top_artists(spark, base), _catalogue(spark, base))
+
+
+# ----------------------------------------------------- digest and chart ----
+
+from encore.functions.columns import long_date  # noqa: E402
+from encore.operators import chart as chart_ops  # noqa: E402
+from encore.operators import digest as digest_ops  # noqa: E402
+from encore.sources import sinks  # noqa: E402
+from encore.sources.tables import read_table  # noqa: E402
+
+DIGEST_AS_OF = "2026-06-07"
+
+
+def _matched(spark, base):
+    return q_pipe5(spark, base)
+
+
+@register("top4_events_by_date")
+def q_top4(spark, base):
+    """TOP4: matched events in chronological order (digest position)."""
+    return (digest_ops.chronological(_matched(spark, base))
+            .select("digest_position", "concert_date", "searched_artist", "event_id"))
+
+
+@register("scl18_event_cards")
+def q_scl18(spark, base):
+    """SCL18: one escaped HTML card per matched event."""
+    return digest_ops.event_cards(_matched(spark, base)).select("event_id", "searched_artist",
+                                                               "card_html")
+
+
+@register("pipe6_digest")
+def q_pipe6(spark, base):
+    """PIPE6 + AGG15 + WIN7 + SCL16: the whole chronological HTML digest."""
+    return digest_ops.digest(_matched(spark, base), as_of=DIGEST_AS_OF)
+
+
+@register("scl16_long_date")
+def q_scl16(spark, base):
+    """SCL16: 'June 07, 2026' style text of every order date."""
+    o = read_table(spark, base, "orders")
+    return o.select("o_orderkey", long_date("o_orderdate").alias("long_date"))
+
+
+def _pages(spark, base):
+    return read_table(spark, base, "pages").select("page_id", "html")
+
+
+@register("src8_chart_items")
+def q_src8(spark, base):
+    """SRC8 + SCL15: element texts of every page in document order."""
+    return chart_ops.element_texts(_pages(spark, base))
+
+
+@register("scl13_primary_name")
+def q_scl13(spark, base):
+    """SCL13: element texts cut at the first &/with/featuring, stripped."""
+    items = chart_ops.element_texts(_pages(spark, base))
+    return items.select("page_id", "position", chart_ops.primary_name("text").alias("artist_name"))
+
+
+@register("pipe7_chart_seed")
+def q_pipe7(spark, base):
+    """PIPE7 + SET2 + TOP6: up to 50 distinct names per page, first 100 items."""
+    return chart_ops.chart_seed(_pages(spark, base))
+
+
+@register("snk2_src3_chart_csv")
+def q_snk2(spark, base):
+    """SNK2 + SRC3: the chart seed written as CSV with a header and read back."""
+    path = sinks.scratch_path(spark, "chart-csv")
+    sinks.write_csv(chart_ops.chart_seed(_pages(spark, base)), path,
+                    ["page_id", "chart_position", "artist_name"])
+    from pyspark.sql import types as T
+    schema = T.StructType([T.StructField("page_id", T.LongType()),
+                           T.StructField("chart_position", T.IntegerType()),
+                           T.StructField("artist_name", T.StringType())])
+    return sinks.read_csv(spark, path, schema)

@@ -349,3 +349,76 @@ SELECT searched_artist, artist_rank, event_position, event_id, name AS artist_na
   SELECT *, ROW_NUMBER() OVER (PARTITION BY searched_artist ORDER BY concert_date, event_id)
          AS event_position FROM near) x
 WHERE event_position <= 5"""
+
+# -------------------------------------------------- digest and chart -------
+
+from encore.constants import (CHART_ITEM_PATTERN, CHART_SPLIT_PATTERN, DIGEST_CARD,  # noqa: E402
+                              DIGEST_CARD_END, DIGEST_DIVIDER, DIGEST_HEAD, DIGEST_TAIL)
+from encore.functions.html import sql_literal, sql_render  # noqa: E402
+
+MATCHED_CTE = f"""{TOP50_CTE},
+near AS (
+  SELECT * FROM pairs
+  WHERE lower(classification) = 'music' AND country = 'US' AND source = 'ticketmaster'
+    AND {DIST_SQL} <= 150
+),
+matched AS (
+  SELECT searched_artist, artist_rank, event_position, event_id, name AS artist_name,
+         url AS ticket_link, artist_image, concert_date, venue, city, address FROM (
+    SELECT *, ROW_NUMBER() OVER (PARTITION BY searched_artist ORDER BY concert_date, event_id)
+           AS event_position FROM near) x
+  WHERE event_position <= 5
+)"""
+
+ORACLE["top4_events_by_date"] = f"""WITH {MATCHED_CTE}
+SELECT ROW_NUMBER() OVER (ORDER BY concert_date, artist_rank, event_position) AS digest_position,
+       concert_date, searched_artist, event_id FROM matched"""
+ORACLE["scl18_event_cards"] = f"""WITH {MATCHED_CTE}
+SELECT event_id, searched_artist, {sql_render(DIGEST_CARD)} AS card_html FROM matched"""
+
+_HEAD0, _HEAD1 = DIGEST_HEAD.split("{date}")
+ORACLE["pipe6_digest"] = f"""WITH {MATCHED_CTE}
+SELECT COUNT(*) AS n_events, strftime(DATE '2026-06-07', '%B %d, %Y') AS digest_date,
+       {sql_literal(_HEAD0)} || strftime(DATE '2026-06-07', '%B %d, %Y') || {sql_literal(_HEAD1)}
+       || CASE WHEN COUNT(*) > 0 THEN
+            string_agg({sql_render(DIGEST_CARD)}, {sql_literal(DIGEST_DIVIDER + DIGEST_CARD_END)}
+                       ORDER BY concert_date, artist_rank, event_position)
+            || {sql_literal(DIGEST_CARD_END)} ELSE '' END
+       || {sql_literal(DIGEST_TAIL)} AS html
+FROM matched"""
+
+ORACLE["scl16_long_date"] = "SELECT o_orderkey, strftime(o_orderdate, '%B %d, %Y') AS long_date FROM orders"
+
+ITEMS_CTE = f"""raw AS (
+  SELECT page_id, unnest(m) AS raw, unnest(generate_series(1, len(m))) AS position
+  FROM (SELECT page_id, regexp_extract_all(html, {sql_literal(CHART_ITEM_PATTERN)}, 1) AS m
+        FROM pages) x
+),
+items AS (
+  SELECT page_id, position,
+         regexp_replace(
+           replace(replace(replace(replace(replace(
+             regexp_replace(raw, '<[^>]+>', '', 'g'),
+             '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'),
+           '^\\s+|\\s+$', '', 'g') AS text
+  FROM raw
+),
+names AS (
+  SELECT page_id, position,
+         regexp_replace(string_split_regex(text, {sql_literal(CHART_SPLIT_PATTERN)})[1],
+                        '^\\s+|\\s+$', '', 'g') AS artist_name
+  FROM items
+),
+seed AS (
+  SELECT page_id, chart_position, artist_name FROM (
+    SELECT page_id, artist_name,
+           ROW_NUMBER() OVER (PARTITION BY page_id ORDER BY first_pos) AS chart_position
+    FROM (SELECT page_id, artist_name, MIN(position) AS first_pos
+          FROM names WHERE position <= 100 GROUP BY page_id, artist_name) y) x
+  WHERE chart_position <= 50
+)"""
+
+ORACLE["src8_chart_items"] = f"WITH {ITEMS_CTE} SELECT page_id, position, text FROM items"
+ORACLE["scl13_primary_name"] = f"WITH {ITEMS_CTE} SELECT page_id, position, artist_name FROM names"
+ORACLE["pipe7_chart_seed"] = f"WITH {ITEMS_CTE} SELECT * FROM seed"
+ORACLE["snk2_src3_chart_csv"] = f"WITH {ITEMS_CTE} SELECT * FROM seed"
