@@ -382,3 +382,92 @@ def q_snk2(spark, base):
                            T.StructField("chart_position", T.IntegerType()),
                            T.StructField("artist_name", T.StringType())])
     return sinks.read_csv(spark, path, schema)
+
+
+# ---------------------------------------------------------- exploration ----
+
+from encore.constants import EARLY_BLEND_WEIGHTS  # noqa: E402
+from encore.operators import explore  # noqa: E402
+
+
+def _feature_table(spark, base):
+    return pipe.materialise(feat.features(stand_in.plays(spark, base)))
+
+
+@register("agg19_column_profile")
+def q_agg19(spark, base):
+    """AGG19: non-null count and type of every feature-table column."""
+    return explore.column_profile(_feature_table(spark, base))
+
+
+@register("agg18_describe")
+def q_agg18(spark, base):
+    """AGG18: count, mean, std, min, exact quartiles, max per numeric feature."""
+    out = explore.describe(_feature_table(spark, base))
+    return r6(out, ["mean", "std", "min", "p25", "p50", "p75", "max"])
+
+
+@register("agg20_histogram")
+def q_agg20(spark, base):
+    """AGG20: 30 equal-width bins per numeric feature."""
+    return r6(explore.histogram(_feature_table(spark, base)), ["bin_lo", "bin_hi"])
+
+
+@register("agg21_spearman")
+def q_agg21(spark, base):
+    """AGG21: pairwise-complete Spearman correlation of the numeric features."""
+    return r6(explore.spearman(_feature_table(spark, base)), ["rho"])
+
+
+@register("scl8_raw_superfan_score")
+def q_scl8(spark, base):
+    """SCL8: the raw min-max score variant (no log), ranked."""
+    out = pipe.superfan_scores(_feature_table(spark, base), log=False)
+    cols = ["play_count_per_artist", "num_unique_songs_for_artist", "completion_rate",
+            "intentional_listening_rate", "listening_consistency", "num_true_albums",
+            "revisit_rate", "superfan_score"]
+    return r6(out.select("artist_name", "rank", *cols), cols)
+
+
+@register("scl10_early_blend")
+def q_scl10(spark, base):
+    """SCL10: the earlier blend weights (.70/.15/.10/.05)."""
+    pres, breadth, cons = _recency_parts(spark, base)
+    out = recency.blend(_scores(spark, base), pres, breadth, cons, weights=EARLY_BLEND_WEIGHTS)
+    return r6(out.select(*recency.BLEND_OUTPUT), BLEND_DOUBLES)
+
+
+X_COLS = SCORE_COLS  # scaled log features + score, as fed to K-Means and PCA
+
+
+def _clustered(spark, base):
+    scores = pipe.materialise(_scores(spark, base))
+    return explore.kmeans_clusters(scores, X_COLS, "artist_name", "superfan_score")
+
+
+@register("ml1_kmeans")
+def q_ml1(spark, base):
+    """ML1: K-Means (k=3, seed 0) on the scaled features and score."""
+    return _clustered(spark, base).select("artist_name", "superfan_score", "cluster")
+
+
+@register("agg17_cluster_sizes")
+def q_agg17(spark, base):
+    """AGG17: artists per K-Means cluster."""
+    return explore.cluster_sizes(_clustered(spark, base))
+
+
+@register("ml3_cluster_frame")
+def q_ml3(spark, base):
+    """ML2 + ML3: centred 2-component PCA coordinates with cluster, name and score."""
+    out = explore.pca_coords(_clustered(spark, base), X_COLS)
+    return out.select("PC1", "PC2", F.col("cluster").cast("string").alias("cluster"),
+                      "artist_name", "superfan_score")
+
+
+@register("ml4_kruskal_wallis")
+def q_ml4(spark, base):
+    """ML4: Kruskal-Wallis H and p for each feature across the K-Means clusters."""
+    c = explore.kmeans_clusters(pipe.materialise(_scores(spark, base)).fillna(0, subset=X_COLS),
+                                X_COLS, "artist_name", "superfan_score")
+    return explore.kruskal_wallis(c, "cluster", X_COLS)

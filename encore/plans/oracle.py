@@ -422,3 +422,91 @@ ORACLE["src8_chart_items"] = f"WITH {ITEMS_CTE} SELECT page_id, position, text F
 ORACLE["scl13_primary_name"] = f"WITH {ITEMS_CTE} SELECT page_id, position, artist_name FROM names"
 ORACLE["pipe7_chart_seed"] = f"WITH {ITEMS_CTE} SELECT * FROM seed"
 ORACLE["snk2_src3_chart_csv"] = f"WITH {ITEMS_CTE} SELECT * FROM seed"
+
+# ---------------------------------------------------------- exploration ----
+
+NUM_FEATURES = ["play_count_per_artist", "unique_albums_for_artist", "num_unique_songs_for_artist",
+                "completion_rate", "intentional_listening_rate", "skip_rate",
+                "listening_consistency", "num_true_albums", "revisit_rate"]
+_LONG = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, CAST({c} AS DOUBLE) AS value FROM features WHERE {c} IS NOT NULL"
+    for c in NUM_FEATURES)
+_ALLCOLS = [A] + NUM_FEATURES
+
+ORACLE["agg19_column_profile"] = f"""WITH {FEATURES_CTE}
+""" + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, COUNT({c}) AS non_null, "
+    f"CASE any_value(typeof({c})) WHEN 'BIGINT' THEN 'bigint' WHEN 'DOUBLE' THEN 'double' "
+    f"WHEN 'VARCHAR' THEN 'string' ELSE lower(any_value(typeof({c}))) END AS dtype FROM features"
+    for c in _ALLCOLS)
+
+ORACLE["agg18_describe"] = f"""WITH {FEATURES_CTE}, long AS ({_LONG})
+SELECT column_name, COUNT(*) AS count, round(AVG(value), 6) AS mean,
+       round(STDDEV_SAMP(value), 6) AS std, round(MIN(value), 6) AS min,
+       round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.5), 6) AS p50,
+       round(quantile_cont(value, 0.75), 6) AS p75, round(MAX(value), 6) AS max
+FROM long GROUP BY column_name"""
+
+ORACLE["agg20_histogram"] = f"""WITH {FEATURES_CTE}, long AS ({_LONG}),
+rng AS (
+  SELECT column_name,
+         CASE WHEN MIN(value) = MAX(value) THEN MIN(value) - 0.5 ELSE MIN(value) END AS lo,
+         CASE WHEN MIN(value) = MAX(value) THEN MAX(value) + 0.5 ELSE MAX(value) END AS hi
+  FROM long GROUP BY column_name
+),
+binned AS (
+  SELECT l.column_name,
+         CAST(least(floor((value - lo) * 30.0 / (hi - lo)) + 1, 30) AS INTEGER) AS bin
+  FROM long l JOIN rng r ON l.column_name = r.column_name
+),
+counts AS (SELECT column_name, bin, COUNT(*) AS count FROM binned GROUP BY column_name, bin),
+grid AS (SELECT column_name, lo, hi, CAST(unnest(generate_series(1, 30)) AS INTEGER) AS bin FROM rng)
+SELECT g.column_name, g.bin, round(lo + (g.bin - 1) * ((hi - lo) / 30.0), 6) AS bin_lo,
+       round(lo + g.bin * ((hi - lo) / 30.0), 6) AS bin_hi, COALESCE(c.count, 0) AS count
+FROM grid g LEFT JOIN counts c ON g.column_name = c.column_name AND g.bin = c.bin"""
+
+_PAIRS = [(a, b) for i, a in enumerate(NUM_FEATURES) for b in NUM_FEATURES[i:]]
+_PAIR_ROWS = " UNION ALL ".join(
+    f"SELECT '{a}' AS col_a, '{b}' AS col_b, CAST({a} AS DOUBLE) AS x, CAST({b} AS DOUBLE) AS y "
+    f"FROM features WHERE {a} IS NOT NULL AND {b} IS NOT NULL" for a, b in _PAIRS)
+ORACLE["agg21_spearman"] = f"""WITH {FEATURES_CTE}, pr AS ({_PAIR_ROWS}),
+ranked AS (
+  SELECT col_a, col_b,
+         RANK() OVER (PARTITION BY col_a, col_b ORDER BY x)
+           + (COUNT(*) OVER (PARTITION BY col_a, col_b, x) - 1) / 2.0 AS rx,
+         RANK() OVER (PARTITION BY col_a, col_b ORDER BY y)
+           + (COUNT(*) OVER (PARTITION BY col_a, col_b, y) - 1) / 2.0 AS ry
+  FROM pr
+)
+SELECT col_a, col_b, round(CASE WHEN isnan(corr(rx, ry)) THEN NULL ELSE corr(rx, ry) END, 6) AS rho
+FROM ranked GROUP BY col_a, col_b"""
+
+RAW_FEATURES = LOG_FEATURES
+
+
+def _scaled_raw() -> str:
+    cols = []
+    for c in RAW_FEATURES:
+        x = f"CAST({c} AS DOUBLE)"
+        lo, hi = f"MIN({x}) OVER ()", f"MAX({x}) OVER ()"
+        cols.append(f"({x} - {lo}) / CASE WHEN {hi} = {lo} THEN 1.0 ELSE {hi} - {lo} END AS {c}")
+    return ",\n         ".join(cols)
+
+
+ORACLE["scl8_raw_superfan_score"] = f"""WITH {FEATURES_CTE},
+scaled AS (SELECT {_scaled_raw()}, {A} AS artist_name FROM features),
+scored AS (
+  SELECT *, 0.20 * listening_consistency + 0.20 * play_count_per_artist + 0.20 * revisit_rate
+          + 0.15 * num_unique_songs_for_artist + 0.10 * num_true_albums + 0.10 * completion_rate
+          + 0.05 * intentional_listening_rate AS superfan_score FROM scaled
+)
+SELECT artist_name,
+       ROW_NUMBER() OVER (ORDER BY superfan_score DESC NULLS LAST, artist_name) AS rank,
+       {r6(RAW_FEATURES + ['superfan_score'])}
+FROM scored"""
+
+ORACLE["scl10_early_blend"] = f"""WITH {BLEND_CTE.replace(
+    '0.60 * superfan_score + 0.20 * api_presence_score + 0.10 * time_range_consistency',
+    '0.70 * superfan_score + 0.15 * api_presence_score + 0.10 * time_range_consistency').replace(
+    '+ 0.10 * track_breadth_score AS blended_score', '+ 0.05 * track_breadth_score AS blended_score')}
+SELECT artist_name, {r6(BLEND_DOUBLES)} FROM final"""
