@@ -11,11 +11,11 @@ Scale notes
 * Revisits take ``lag`` over *distinct days* per artist, not over plays:
   the same gaps, but a hot artist contributes at most one row per day to
   the window instead of all of its plays.
-* ``features`` scans the plays once: one pre-aggregate to
-  (scope, artist, day, album, track) feeds all feature branches; the
-  branches share that exchange (ReuseExchange) and each ends
-  hash-partitioned by (scope, artist), so the left-join chain runs
-  without re-shuffling its inputs.
+* ``features`` scans the plays once: one map-side-combined pre-aggregate
+  to (scope, artist, day, album, track) is checkpointed and feeds all
+  feature branches; each branch ends hash-partitioned by
+  (scope, artist), so the left-join chain runs without re-shuffling its
+  inputs.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from encore.constants import (ALBUM, ARTIST, COMPLETED_REASON, INTENTIONAL_REASONS,
                               PLAY_COLUMNS, REVISIT_GAP_DAYS, TRACK)
 from encore.functions.columns import day_gap, flag, month_key, ratio
+from encore.session import ensure_checkpoint_dir
 
 
 def _keys(scope, *cols):
@@ -207,7 +208,7 @@ FEATURE_COLUMNS = ["play_count_per_artist", "unique_albums_for_artist",
 
 def features(plays: DataFrame, scope=(), artist=ARTIST, album=ALBUM, track=TRACK,
              ts="ts", reason_start="reason_start", reason_end="reason_end",
-             skipped="skipped") -> DataFrame:
+             skipped="skipped", materialise: bool = True) -> DataFrame:
     """PIPE1: the wide per-artist feature table (F7), one row per artist.
 
     JN1: the count table is the left side of a left-join chain, so
@@ -215,6 +216,12 @@ def features(plays: DataFrame, scope=(), artist=ARTIST, album=ALBUM, track=TRACK
     no revisit) are NULL.
     """
     r = play_rollup(plays, scope, artist, album, track, ts, reason_start, reason_end, skipped)
+    if materialise:
+        # Catalyst prunes a shared aggregate differently in every branch, so
+        # without this each branch would rescan the plays; the checkpoint is
+        # written once to the shared folder and read by all five branches.
+        ensure_checkpoint_dir(r.sparkSession)
+        r = r.checkpoint(eager=True)
     k = _keys(scope, artist)
     counts = (r.groupBy(*k).agg(
         F.sum("n_plays").alias("play_count_per_artist"),
