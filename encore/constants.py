@@ -76,7 +76,7 @@ EVENT_SOURCE = "ticketmaster"
 EARTH_RADIUS = {"miles": 3958.8, "km": 6371.0}
 
 # --- fixed values: chart-page seeding --------------------------------------
-CHART_ITEM_PATTERN = r"<li><a[^>]*>(.*?)</a></li>"
+CHART_ITEM_PATTERN = r"(?s)<li><a[^>]*>(.*?)</a></li>"
 CHART_SPLIT_PATTERN = r"&|[Ww]ith|[Ff]eaturing"
 CHART_ITEMS_SCANNED = 100
 CHART_NAMES_KEPT = 50

@@ -114,7 +114,10 @@ def spearman(df: DataFrame, cols=None, key: str | None = None) -> DataFrame:
             .where(F.col("x").isNotNull() & F.col("y").isNotNull()))
     rx = average_rank(long, "x", ["col_a", "col_b"], "rx")
     ry = average_rank(rx, "y", ["col_a", "col_b"], "ry")
-    rho = ry.groupBy("col_a", "col_b").agg(F.corr("rx", "ry").alias("rho"))
+    # Pearson on the ranks; ``corr`` raises on a zero variance under ANSI mode,
+    # so the ratio is a try_divide (a constant input gives NULL).
+    rho = ry.groupBy("col_a", "col_b").agg(F.try_divide(
+        F.covar_samp("rx", "ry"), F.stddev_samp("rx") * F.stddev_samp("ry")).alias("rho"))
     return rho.withColumn("rho", F.when(F.isnan("rho"), F.lit(None)).otherwise(F.col("rho")))
 
 
