@@ -9,8 +9,10 @@ plans a single-partition exchange: every row in one task.  Instead:
    high bits, in-partition position in the low bits) and checkpoint to
    the shared checkpoint folder, so the two passes below read identical
    partitions even after an executor loss (range bounds are sampled);
-3. count rows per (scope, partition) - at most #partitions rows per scope -
-   and turn the counts into offsets with a small window;
+3. count rows per (scope, partition) and turn the counts into offsets:
+   without a scope that is one row per range partition, summed on the
+   driver as RDD.zipWithIndex does; with a scope, a window partitioned by
+   scope (at most #partitions rows per scope);
 4. rank = offset + in-partition position + 1.
 
 Ties are broken by the caller's full ordering (always include a key), so
@@ -51,15 +53,26 @@ def range_sorted(df: DataFrame, order, scope=(), num_partitions: int | None = No
 
 
 def _segment_offsets(r: DataFrame, scope, weight: str | None) -> DataFrame:
+    """Per (scope, range partition): row count (or weight), first id and the
+    total of the earlier partitions of the same scope (``_off``)."""
     seg = r.groupBy(*scope, "_pid").agg(
         (F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_n"),
         F.min("_mid").alias("_first"))
+    if not scope:
+        # One row per range partition: a bound fixed by the partition count,
+        # so (like RDD.zipWithIndex) the counts come to the driver, the
+        # offsets are summed there and go back as a broadcast table.
+        rows = sorted(seg.collect(), key=lambda x: x["_pid"])
+        out, acc = [], 0
+        for x in rows:
+            out.append((int(x["_pid"]), int(x["_n"] or 0), int(x["_first"]), acc))
+            acc += int(x["_n"] or 0)
+        schema = "_pid long, _n long, _first long, _off long"
+        return F.broadcast(r.sparkSession.createDataFrame(out, schema))
     w = Window.partitionBy(*scope).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    seg = seg.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    # Without a scope the segment table has at most one row per range
-    # partition: a proven bound, so it is broadcast.  With a scope its
-    # size follows the number of scopes and AQE decides from runtime size.
-    return F.broadcast(seg) if not scope else seg
+    # With a scope the table follows the number of scopes; each scope spans
+    # at most #partitions rows of the window and AQE sizes the join.
+    return seg.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
 
 
 def row_number_by_range(df: DataFrame, order, scope=(), out: str = "rank",

@@ -109,10 +109,13 @@ def track_pages(spark: SparkSession, base: str) -> DataFrame:
          .where(F.col("o_orderdate") >= F.lit(LIST_STARTS["long_term"]).cast("timestamp_ntz")))
     l = read_table(spark, base, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey",
                                                    "l_quantity")
+    # the list name is written as data, not a literal: a literal key would
+    # be constant-folded into a keyless join downstream
+    lst = F.when(F.col("o_orderdate") >= F.lit(LIST_STARTS["long_term"]).cast("timestamp_ntz"),
+                 F.lit("long_term"))
     pairs = (l.join(o, l.l_orderkey == o.o_orderkey)
-             .groupBy("o_custkey", "l_partkey")
-             .agg(F.sum("l_quantity").alias("qty"), F.min("l_suppkey").alias("supp"))
-             .withColumn("list", F.lit("long_term")))
+             .groupBy(lst.alias("list"), "o_custkey", "l_partkey")
+             .agg(F.sum("l_quantity").alias("qty"), F.min("l_suppkey").alias("supp")))
     ranked = top_k_per_group(pairs, ["list"], [F.col("qty").desc(), F.col("o_custkey").asc(),
                                                F.col("l_partkey").asc()], LIST_LENGTH, out="pos")
     p = read_table(spark, base, "part").select("p_partkey", "p_name")
