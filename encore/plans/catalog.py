@@ -471,3 +471,63 @@ def q_ml4(spark, base):
     c = explore.kmeans_clusters(pipe.materialise(_scores(spark, base)).fillna(0, subset=X_COLS),
                                 X_COLS, "artist_name", "superfan_score")
     return explore.kruskal_wallis(c, "cluster", X_COLS)
+
+
+# ----------------------------------------------- sources and single steps --
+
+from encore.operators import ranking as rank_ops  # noqa: E402
+from encore.operators import scaling  # noqa: E402
+from encore.sources import tables  # noqa: E402
+
+EXPORT_SPLIT = "1998-01-01"
+
+
+@register("src1_json_union_by_name")
+def q_src1(spark, base):
+    """SRC1 + SET1 + SET4: plays exported as two JSON batches with different
+    column sets, scanned back with the declared schema (missing -> NULL)."""
+    plays = feat.project_plays(stand_in.plays(spark, base))
+    path = sinks.scratch_path(spark, "plays-json")
+    cut = F.lit(EXPORT_SPLIT).cast("timestamp_ntz")
+    plays.where(F.col("ts") < cut).write.json(f"{path}/batch=old")
+    (plays.where(F.col("ts") >= cut).drop("platform", "ip_addr")
+     .write.json(f"{path}/batch=new"))
+    back = tables.read_play_history(spark, [f"{path}/batch=old", f"{path}/batch=new"],
+                                    multi_line=False)
+    return back.withColumn("ts", F.to_timestamp_ntz(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")))
+
+
+@register("src9_preview")
+def q_src9(spark, base):
+    """SRC9: a five-row preview of the plays (repeatable order)."""
+    plays = feat.project_plays(stand_in.plays(spark, base))
+    return tables.preview(plays, 5, [F.col(c).asc_nulls_first() for c in plays.columns])
+
+
+@register("agg13_minmax_fit")
+def q_agg13(spark, base):
+    """AGG13: per-feature min and max of the log features (the scaler fit)."""
+    f = scaling.drop_features(_feature_table(spark, base))
+    num = scaling.numeric_columns(f)
+    logs = scaling.add_log_columns(f, num)
+    fit = scaling.minmax_fit(logs, [f"log_{c}" for c in num])
+    arr = F.array(*[F.struct(F.lit(f"log_{c}").alias("column_name"),
+                             F.col(f"_min_log_{c}").alias("min"),
+                             F.col(f"_max_log_{c}").alias("max")) for c in num])
+    return r6(fit.select(F.inline(arr)), ["min", "max"])
+
+
+@register("win6_average_rank")
+def q_win6(spark, base):
+    """WIN6: average rank (ties share the mean rank) of each artist's play count."""
+    counts = _feature_table(spark, base).select(ARTIST, "play_count_per_artist")
+    return rank_ops.average_rank(counts, "play_count_per_artist", out="avg_rank")
+
+
+@register("top3_top20_raw_score")
+def q_top3(spark, base):
+    """TOP3 + TOP7: the 20 best raw (no log) scores, sorted for display."""
+    scored = pipe.superfan_scores(_feature_table(spark, base), log=False, rank=False)
+    top = rank_ops.top_k(scored, [F.col("superfan_score").desc_nulls_last(),
+                                  F.col("artist_name").asc()], 20)
+    return r6(top.select("artist_name", "superfan_score"), ["superfan_score"])

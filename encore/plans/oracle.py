@@ -510,3 +510,32 @@ ORACLE["scl10_early_blend"] = f"""WITH {BLEND_CTE.replace(
     '0.70 * superfan_score + 0.15 * api_presence_score + 0.10 * time_range_consistency').replace(
     '+ 0.10 * track_breadth_score AS blended_score', '+ 0.05 * track_breadth_score AS blended_score')}
 SELECT artist_name, {r6(BLEND_DOUBLES)} FROM final"""
+
+# ----------------------------------------------- sources and single steps --
+
+ORACLE["src1_json_union_by_name"] = f"""WITH {PLAYS_CTE}
+SELECT ts, CASE WHEN ts >= TIMESTAMP '1998-01-01' THEN NULL ELSE platform END AS platform,
+       ms_played, ip_addr, master_metadata_track_name, master_metadata_album_artist_name,
+       master_metadata_album_album_name, spotify_track_uri, reason_start, reason_end,
+       shuffle, skipped FROM plays"""
+ORACLE["src9_preview"] = f"""WITH {PLAYS_CTE}
+SELECT {PLAY_COLS} FROM plays ORDER BY {', '.join(c.strip() + ' ASC NULLS FIRST' for c in PLAY_COLS.split(','))}
+LIMIT 5"""
+ORACLE["agg13_minmax_fit"] = f"""WITH {FEATURES_CTE}
+""" + " UNION ALL ".join(
+    f"SELECT 'log_{c}' AS column_name, round(MIN(ln(1 + CAST({c} AS DOUBLE))), 6) AS min, "
+    f"round(MAX(ln(1 + CAST({c} AS DOUBLE))), 6) AS max FROM features" for c in LOG_FEATURES)
+ORACLE["win6_average_rank"] = f"""WITH {FEATURES_CTE}
+SELECT {A}, play_count_per_artist,
+       RANK() OVER (ORDER BY play_count_per_artist)
+         + (COUNT(*) OVER (PARTITION BY play_count_per_artist) - 1) / 2.0 AS avg_rank
+FROM features"""
+ORACLE["top3_top20_raw_score"] = f"""WITH {FEATURES_CTE},
+scaled AS (SELECT {_scaled_raw()}, {A} AS artist_name FROM features),
+scored AS (
+  SELECT *, 0.20 * listening_consistency + 0.20 * play_count_per_artist + 0.20 * revisit_rate
+          + 0.15 * num_unique_songs_for_artist + 0.10 * num_true_albums + 0.10 * completion_rate
+          + 0.05 * intentional_listening_rate AS superfan_score FROM scaled
+)
+SELECT artist_name, round(superfan_score, 6) AS superfan_score FROM scored
+ORDER BY superfan_score DESC NULLS LAST, artist_name LIMIT 20"""

@@ -22,16 +22,19 @@ def preview(df: DataFrame, n: int = 5, order=None) -> DataFrame:
     return (df.orderBy(*order) if order else df).limit(n)
 
 
-def read_play_history(spark: SparkSession, paths, schema=PLAY_SCHEMA) -> DataFrame:
+def read_play_history(spark: SparkSession, paths, schema=PLAY_SCHEMA,
+                      multi_line: bool = True) -> DataFrame:
     """SRC1 + SET1: scan JSON-array export files with a declared schema.
 
     Columns missing from a file come back NULL and extra columns are
     dropped by the schema, which is ``union_by_name`` semantics without a
     per-file inference pass.  Timestamps with a ``Z`` suffix parse as UTC
-    instants (``timestamp``, not ``timestamp_ntz``).
+    instants (``timestamp``, not ``timestamp_ntz``).  ``multi_line=True``
+    reads files that each hold one JSON array (the export format);
+    ``False`` reads JSON Lines.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    return (spark.read.schema(schema).option("multiLine", True)
+    return (spark.read.schema(schema).option("multiLine", multi_line)
             .option("mode", "PERMISSIVE").json(paths)
             .select(*PLAY_COLUMNS))
 
