@@ -20,6 +20,7 @@ def spark():
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.session.timeZone", "UTC")
+         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="encore-wh-"))
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     from encore.session import ensure_checkpoint_dir
