@@ -12,7 +12,7 @@ Scale notes
   the same gaps, but a hot artist contributes at most one row per day to
   the window instead of all of its plays.
 * ``features`` scans the plays once: one map-side-combined pre-aggregate
-  to (scope, artist, day, album, track) is checkpointed and feeds all
+  to (scope, artist, day, album, track) is materialised once and feeds all
   feature branches; each branch ends hash-partitioned by
   (scope, artist), so the left-join chain runs without re-shuffling its
   inputs.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from encore.constants import (ALBUM, ARTIST, COMPLETED_REASON, INTENTIONAL_REASONS,
                               PLAY_COLUMNS, REVISIT_GAP_DAYS, TRACK)
 from encore.functions.columns import day_gap, flag, month_key, ratio
-from encore.session import ensure_checkpoint_dir
+from encore.session import materialise as materialise_df
 
 
 def _keys(scope, *cols):
@@ -218,10 +218,9 @@ def features(plays: DataFrame, scope=(), artist=ARTIST, album=ALBUM, track=TRACK
     r = play_rollup(plays, scope, artist, album, track, ts, reason_start, reason_end, skipped)
     if materialise:
         # Catalyst prunes a shared aggregate differently in every branch, so
-        # without this each branch would rescan the plays; the checkpoint is
+        # without this each branch would rescan the plays; the rollup is
         # written once to the shared folder and read by all five branches.
-        ensure_checkpoint_dir(r.sparkSession)
-        r = r.checkpoint(eager=True)
+        r = materialise_df(r, "play-rollup")
     k = _keys(scope, artist)
     counts = (r.groupBy(*k).agg(
         F.sum("n_plays").alias("play_count_per_artist"),

@@ -6,9 +6,9 @@ plans a single-partition exchange: every row in one task.  Instead:
 1. range-partition on (scope, order) and sort within partitions, so each
    partition holds a contiguous slice of the global order;
 2. tag rows with ``monotonically_increasing_id`` (partition index in the
-   high bits, in-partition position in the low bits) and checkpoint to
-   the shared checkpoint folder, so the two passes below read identical
-   partitions even after an executor loss (range bounds are sampled);
+   high bits, in-partition position in the low bits) and write the result
+   once to the shared checkpoint folder, so the two passes below read
+   identical ids even after an executor loss (range bounds are sampled);
 3. count rows per (scope, partition) and turn the counts into offsets:
    without a scope that is one row per range partition, summed on the
    driver as RDD.zipWithIndex does; with a scope, a window partitioned by
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from encore.session import ensure_checkpoint_dir
+from encore.session import materialise
 
 _PART_BITS = 33
 
@@ -39,16 +39,15 @@ def _as_cols(cols) -> list[Column]:
 
 
 def range_sorted(df: DataFrame, order, scope=(), num_partitions: int | None = None) -> DataFrame:
-    """Range-partitioned, sorted, id-tagged and checkpointed copy of ``df``.
+    """Range-partitioned, sorted, id-tagged copy of ``df``, materialised once.
 
     Adds ``_mid`` (monotonic id) and ``_pid`` (range partition index).
     """
-    ensure_checkpoint_dir(df.sparkSession)
     n = num_partitions or _parts(df)
     keys = [*_as_cols(scope), *_as_cols(order)]
     r = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
          .withColumn("_mid", F.monotonically_increasing_id()))
-    r = r.checkpoint(eager=True)
+    r = materialise(r, "range-sorted")
     return r.withColumn("_pid", F.shiftright("_mid", _PART_BITS))
 
 

@@ -14,15 +14,14 @@ from encore.constants import (ARTIST, BLEND_WEIGHTS, DROPPED_FEATURES, LOG_SCORE
                               RAW_SCORE_WEIGHTS, TOP_ARTISTS)
 from encore.operators import features as feat
 from encore.operators import ranking, scaling
-from encore.session import ensure_checkpoint_dir
+from encore import session
 
 features = feat.features  # PIPE1
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and cut its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and cut its lineage."""
+    return session.materialise(df, name)
 
 
 def superfan_scores(feature_table: DataFrame, scope=(), key: str = ARTIST,
@@ -36,7 +35,7 @@ def superfan_scores(feature_table: DataFrame, scope=(), key: str = ARTIST,
     """
     scope = list(scope)
     weights = weights or (LOG_SCORE_WEIGHTS if log else RAW_SCORE_WEIGHTS)
-    df = materialise(scaling.drop_features(feature_table, drop))
+    df = materialise(scaling.drop_features(feature_table, drop), "feature-table")
     num = scaling.numeric_columns(df, exclude=scope)
     if log:
         df = scaling.prefixed_columns(scaling.add_log_columns(df, num), "log_", [*scope, key])

@@ -55,3 +55,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="encore-ckpt-"))
         return sc.getCheckpointDir()
     raise RuntimeError("spark.checkpoint.dir is not set; configure a shared folder")
+
+
+
+def materialise(df, name: str = "stage"):
+    """Cut lineage with a reliable, eager checkpoint in the shared folder.
+
+    The plan runs once (the eager checkpoint writes while computing), the
+    copy survives executor loss, and the checkpointed relation keeps its
+    output partitioning so downstream operators on the same keys do not
+    shuffle again.  ``name`` only documents the call site.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
