@@ -222,18 +222,29 @@ def features(plays: DataFrame, scope=(), artist=ARTIST, album=ALBUM, track=TRACK
         # written once to the shared folder and read by all five branches.
         r = materialise_df(r, "play-rollup")
     k = _keys(scope, artist)
-    counts = (r.groupBy(*k).agg(
+    # (artist, track): the additive counters ride along the distinct-track
+    # grouping, so play counts, rates and distinct tracks share two levels.
+    by_track = (r.groupBy(*k, track).agg(
+        F.sum("n_plays").alias("n_plays"), F.sum("n_done").alias("n_done"),
+        F.sum("n_intent").alias("n_intent"), F.sum("n_skip").alias("n_skip"),
+        F.sum("n_skip_known").alias("n_skip_known"))
+        .groupBy(*k).agg(
         F.sum("n_plays").alias("play_count_per_artist"),
+        F.count(track).alias("num_unique_songs_for_artist"),
         ratio(F.sum("n_done"), F.sum("n_plays")).alias("completion_rate"),
         ratio(F.sum("n_intent"), F.sum("n_plays")).alias("intentional_listening_rate"),
         ratio(F.sum("n_skip"), F.sum("n_skip_known")).alias("skip_rate")))
-    uniq = distinct_counts(r, scope, artist, album, track)
+    # (artist, album): distinct albums and multi-track ("true") albums
+    by_album = (r.groupBy(*k, album).agg((F.min(track) != F.max(track)).alias("_multi"))
+                .groupBy(*k).agg(
+                    F.count(album).alias("unique_albums_for_artist"),
+                    F.when(F.max(F.col("_multi").cast("int")) == 1,
+                           F.count(F.when(F.col("_multi"), F.col(album))))
+                    .alias("num_true_albums")))
     consistency = listening_consistency(r, scope, artist, track, ts="day")
-    albums = true_album_counts(r, scope, artist, album, track)
     revisits = revisit_counts(r, scope, artist, ts="day")
-    out = (counts.join(uniq, k, "left")
+    out = (by_track.join(by_album, k, "left")
            .join(consistency, k, "left")
-           .join(albums, k, "left")
            .join(revisits, k, "left"))
     return out.select(*k, *FEATURE_COLUMNS)
 

@@ -20,8 +20,10 @@ _FLAG = {"short_term": "in_short", "medium_term": "in_medium", "long_term": "in_
 
 def api_presence(ranked: DataFrame, list_name: str = "long_term", scope=()) -> DataFrame:
     """WIN5 + AGG16: presence score from one ranked list: (n - rank) / (n - 1)."""
-    one = ranked.where(F.col("list") == list_name).select(*scope, "artist_name", "position")
-    return (ranking.presence_score(one, "position", scope, "api_presence_score")
+    # the list length comes from a per-list count joined back in the plan
+    one = ranked.where(F.col("list") == list_name).select(*scope, "list", "artist_name",
+                                                          "position")
+    return (ranking.presence_score(one, "position", [*scope, "list"], "api_presence_score")
             .select(*scope, "artist_name", "api_presence_score"))
 
 
@@ -47,11 +49,13 @@ def time_range_consistency(ranked: DataFrame, scope=()) -> DataFrame:
 def track_breadth(tracks: DataFrame, list_name: str = "long_term", scope=()) -> DataFrame:
     """AGG11 + PRJ6 + AGG12 + SCL12: distinct track names per artist in a
     top-track list, divided by the largest such count."""
-    k = [*scope, "artist_name"]
+    k = [*scope, "list", "artist_name"]
     per = (tracks.where((F.col("list") == list_name) & F.col("artist_name").isNotNull())
            .select(*k, "track_name").distinct()
            .groupBy(*k).agg(F.count("track_name").alias("track_breadth")))
-    return scaling.max_normalise(per, "track_breadth", "track_breadth_score", scope)
+    # the maximum is per list, joined back in the plan
+    return (scaling.max_normalise(per, "track_breadth", "track_breadth_score", [*scope, "list"])
+            .drop("list"))
 
 
 def blend(scores: DataFrame, presence: DataFrame, breadth: DataFrame,
