@@ -91,9 +91,12 @@ def keyword_match(artists: DataFrame, catalogue: DataFrame, artist_col: str = "a
     if mode != "contains":
         raise ValueError(f"unknown match mode {mode!r}")
     c = catalogue.withColumn("_etok", F.array_distinct(name_tokens(event_col)))
+    a_tok = a.select("*", F.explode(F.array_distinct(name_tokens(artist_col))).alias("_tok"))
+    # document frequency, counted only for tokens that occur in artist names
+    # (a semi-join against that small set before the aggregate)
     df_tok = (c.select(F.explode("_etok").alias("_tok"))
+              .join(side(a_tok.select("_tok").distinct()), "_tok", "left_semi")
               .groupBy("_tok").agg(F.count(F.lit(1)).alias("_df")))
-    a_tok = a.select("*", F.explode(F.array_distinct(name_tokens(artist_col))).alias("_tok"))
     # rarest token per artist (ties by token text); a token absent from the
     # catalogue has frequency 0 and correctly blocks everything.
     block = (a_tok.join(df_tok, "_tok", "left")
@@ -110,15 +113,18 @@ def keyword_match(artists: DataFrame, catalogue: DataFrame, artist_col: str = "a
 
 
 def match_events(artists: DataFrame, catalogue: DataFrame, artist_col: str = "artist_name",
-                 rank_col: str = "artist_rank", mode: str = "contains",
+                 rank_col: str = "artist_rank", scope=(), mode: str = "contains",
                  per_artist: int = EVENTS_PER_ARTIST, geohash: str | None = EVENT_GEOHASH,
                  radius: float = EVENT_RADIUS, unit: str = EVENT_RADIUS_UNIT,
                  classification=EVENT_CLASSIFICATION, country=EVENT_COUNTRY,
                  source=EVENT_SOURCE) -> DataFrame:
     """PIPE5: filters, radius, keyword match and the per-artist cap.
 
-    ``artists``: (artist_name, artist_rank); ``catalogue``: flattened events
-    with event_id, artist_name (event name), coordinates and categories.
+    ``artists``: (scope..., artist_name, artist_rank); ``catalogue``:
+    flattened events with event_id, artist_name (event name), coordinates
+    and categories, shared by all scopes.  Without a scope the artist list
+    is a top-k (bounded) and is broadcast; with a scope it grows with the
+    number of listeners and the join is left to AQE.
     Returns F10 columns plus searched_artist, artist_rank and event_id.
     The kept events per artist are the soonest (ties by event id).
     """
@@ -126,12 +132,14 @@ def match_events(artists: DataFrame, catalogue: DataFrame, artist_col: str = "ar
     if geohash is not None:
         cat = radius_filter(cat, geohash, radius, unit)
     cat = cat.withColumnRenamed("artist_name", "event_name")
-    arts = artists.select(F.col(artist_col).alias("searched_artist"),
+    scope = list(scope)
+    arts = artists.select(*scope, F.col(artist_col).alias("searched_artist"),
                           F.col(rank_col).alias("artist_rank"))
-    pairs = keyword_match(arts, cat, "searched_artist", "event_name", mode)
-    kept = top_k_per_group(pairs, ["searched_artist"],
+    pairs = keyword_match(arts, cat, "searched_artist", "event_name", mode,
+                          artists_bounded=not scope)
+    kept = top_k_per_group(pairs, [*scope, "searched_artist"],
                            [F.col("concert_date").asc_nulls_last(), F.col("event_id").asc()],
                            per_artist, out="event_position")
-    return kept.select("searched_artist", "artist_rank", "event_position", "event_id",
+    return kept.select(*scope, "searched_artist", "artist_rank", "event_position", "event_id",
                        F.col("event_name").alias("artist_name"), "ticket_link", "artist_image",
                        "concert_date", "venue", "city", "address")
