@@ -71,14 +71,15 @@ def radius_filter(catalogue: DataFrame, geohash: str = EVENT_GEOHASH,
 
 def keyword_match(artists: DataFrame, catalogue: DataFrame, artist_col: str = "artist_name",
                   event_col: str = "event_name", mode: str = "contains",
-                  artists_bounded: bool = True) -> DataFrame:
+                  artists_bounded: bool = False) -> DataFrame:
     """JN5 + JN6: every (artist, event) pair whose names match.
 
     ``mode="exact"``: equal token sequences (an equi-join on the normalised
     name).  ``mode="contains"``: the artist's token sequence occurs
     contiguously in the event name's (whole-word containment).
-    ``artists_bounded`` states the artist side is a bounded list (top-k),
-    so it is broadcast; otherwise Spark/AQE choose the join.
+    ``artists_bounded=True`` states the artist side is a bounded list
+    (top-k), so it is broadcast; by default Spark/AQE choose the join from
+    the measured size.
     """
     def side(df):
         return F.broadcast(df) if artists_bounded else df

@@ -45,7 +45,9 @@ def describe(df: DataFrame, cols=None, quantiles=DESCRIBE_QUANTILES) -> DataFram
     """AGG18: count, mean, sample std, min, exact quartiles (linear
     interpolation), max per numeric column; NULLs excluded."""
     cols = cols or numeric_columns(df)
-    long = unpivot(df, cols)
+    # a row hash breaks ties in the range key, so a value shared by many
+    # rows is split over several range partitions instead of one task
+    long = unpivot(df.withColumn("_row", F.xxhash64(*df.columns)), cols, keys=["_row"])
     stats = long.groupBy("column_name").agg(
         F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
@@ -57,7 +59,8 @@ def describe(df: DataFrame, cols=None, quantiles=DESCRIBE_QUANTILES) -> DataFram
     targets = targets.select("column_name", "q", (h - F.floor(h)).alias("frac"),
                              F.explode(F.array((F.floor(h) + 1).cast("long"),
                                                (F.ceil(h) + 1).cast("long"))).alias("_rn"))
-    ranked = row_number_by_range(long, [F.col("value").asc()], ["column_name"], out="_rn")
+    ranked = row_number_by_range(long, [F.col("value").asc(), F.col("_row").asc()],
+                                 ["column_name"], out="_rn")
     # targets: 2 rows per quantile per column - a proven small bound
     picked = ranked.join(F.broadcast(targets.dropDuplicates(["column_name", "q", "_rn"])),
                          ["column_name", "_rn"])

@@ -249,7 +249,11 @@ def features(plays: DataFrame, scope=(), artist=ARTIST, album=ALBUM, track=TRACK
     return out.select(*k, *FEATURE_COLUMNS)
 
 
-def previous_play(plays: DataFrame, scope=(), artist=ARTIST, ts="ts") -> DataFrame:
+TIE_CHUNK = 1 << 20
+
+
+def previous_play(plays: DataFrame, scope=(), artist=ARTIST, ts="ts",
+                  tie_chunk: int = TIE_CHUNK) -> DataFrame:
     """WIN1 + SCL2: each play with the previous play time of its artist and the
     day-boundary gap (``LAG(ts) OVER (PARTITION BY artist ORDER BY ts)``).
 
@@ -273,8 +277,16 @@ def previous_play(plays: DataFrame, scope=(), artist=ARTIST, ts="ts") -> DataFra
     seg = seg.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*k).orderBy("_pid")))
     joined = local.join(seg.select(*k, "_pid", "_carry"), [*k, "_pid"], "left")
     first_prev = F.coalesce(F.col("_prev"), F.col("_carry"))
-    out = (joined.select(*k, ts, first_prev.alias("_first_prev"),
-                         F.explode(F.sequence(F.lit(1), F.col("_c").cast("int"))).alias("_i"))
+    # Re-expand each distinct time to its plays in chunks of at most
+    # ``tie_chunk`` rows: a hot (artist, ts) never builds one huge array, and
+    # its chunks are spread over tasks before the rows are generated.
+    chunks = (joined.select(*k, ts, first_prev.alias("_first_prev"), "_c",
+                            F.explode(F.sequence(F.lit(0), F.floor((F.col("_c") - 1) / tie_chunk)
+                                                 .cast("long"))).alias("_chunk"))
+              .repartition(*k, ts, "_chunk"))
+    lo = F.col("_chunk") * tie_chunk + 1
+    hi = F.least(F.col("_c"), (F.col("_chunk") + 1) * tie_chunk)
+    out = (chunks.select(*k, ts, "_first_prev", F.explode(F.sequence(lo, hi)).alias("_i"))
            .withColumn("prev_timestamp",
                        F.when(F.col("_i") == 1, F.col("_first_prev")).otherwise(F.col(ts))))
     return out.select(*k, ts, "prev_timestamp",

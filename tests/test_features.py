@@ -141,3 +141,13 @@ def test_scope_equals_per_user_runs(spark):
             assert g[0] == r["rank"]
             assert (g[1] is None and r["superfan_score"] is None) or math.isclose(
                 g[1], r["superfan_score"], rel_tol=1e-12)
+
+
+def test_previous_play_hot_tie_group_in_chunks(spark):
+    # seven plays share one timestamp: expanded in chunks of 2 rows
+    rows = [play("H", f"t{i}", "a", "2020-01-02 00:00:00") for i in range(7)]
+    rows += [play("H", "t", "a", "2020-01-01 00:00:00")]
+    got = sorted((str(r["prev_timestamp"]), r["difference_days"])
+                 for r in feat.previous_play(plays_df(spark, rows), tie_chunk=2).collect())
+    assert got == sorted([("None", None), ("2020-01-01 00:00:00", 1)]
+                         + [("2020-01-02 00:00:00", 0)] * 6)
