@@ -74,14 +74,20 @@ def play_counts(plays: DataFrame, scope=(), artist=ARTIST) -> DataFrame:
 
 
 def distinct_counts(plays: DataFrame, scope=(), artist=ARTIST, album=ALBUM,
-                    track=TRACK) -> DataFrame:
+                    track=TRACK, approx: bool = False, rsd: float = 0.01) -> DataFrame:
     """AGG2: distinct albums and distinct tracks per artist (NULLs not counted).
 
-    Two one-key partial aggregates joined on the artist instead of a
-    two-column distinct aggregate (which would triple the rows with an
-    Expand before the shuffle).
+    Exact: two one-key partial aggregates joined on the artist instead of
+    a two-column distinct aggregate (which would triple the rows with an
+    Expand before the shuffle).  ``approx=True``: one pass of HyperLogLog++
+    sketches (``approx_count_distinct``, relative error ``rsd``) merged
+    map-side, no distinct shuffle at all.
     """
     k = _keys(scope, artist)
+    if approx:
+        return plays.groupBy(*k).agg(
+            F.approx_count_distinct(album, rsd).alias("unique_albums_for_artist"),
+            F.approx_count_distinct(track, rsd).alias("num_unique_songs_for_artist"))
     albums = (plays.select(*k, album).distinct()
               .groupBy(*k).agg(F.count(album).alias("unique_albums_for_artist")))
     tracks = (plays.select(*k, track).distinct()

@@ -151,3 +151,12 @@ def test_previous_play_hot_tie_group_in_chunks(spark):
                  for r in feat.previous_play(plays_df(spark, rows), tie_chunk=2).collect())
     assert got == sorted([("None", None), ("2020-01-01 00:00:00", 1)]
                          + [("2020-01-02 00:00:00", 0)] * 6)
+
+
+def test_approx_distinct_counts_close(spark):
+    rows = [play("A", f"t{i % 40}", f"al{i % 7}", "2020-01-01 00:00:00") for i in range(400)]
+    exact = feat.distinct_counts(plays_df(spark, rows)).first()
+    approx = feat.distinct_counts(plays_df(spark, rows), approx=True).first()
+    assert exact["num_unique_songs_for_artist"] == 40 and exact["unique_albums_for_artist"] == 7
+    assert abs(approx["num_unique_songs_for_artist"] - 40) <= 2
+    assert abs(approx["unique_albums_for_artist"] - 7) <= 1
