@@ -23,6 +23,7 @@ from encore.constants import (EVENT_CLASSIFICATION, EVENT_COUNTRY, EVENT_GEOHASH
                               EVENT_RADIUS, EVENT_RADIUS_UNIT, EVENT_SOURCE, EVENTS_PER_ARTIST)
 from encore.functions.geo import geohash_centre, haversine
 from encore.operators.ranking import top_k_per_group
+from encore.session import materialise
 
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
@@ -84,8 +85,9 @@ def keyword_match(artists: DataFrame, catalogue: DataFrame, artist_col: str = "a
     def side(df):
         return F.broadcast(df) if artists_bounded else df
 
-    a = (artists.withColumn("_anorm", normalised(artist_col))
-         .where(F.length("_anorm") > 0))
+    # the artist list feeds three branches below; it is written once
+    a = materialise(artists.withColumn("_anorm", normalised(artist_col))
+                    .where(F.length("_anorm") > 0), "match-artists")
     if mode == "exact":
         c = catalogue.withColumn("_anorm", normalised(event_col))
         return c.join(side(a), "_anorm").drop("_anorm")
@@ -132,7 +134,9 @@ def match_events(artists: DataFrame, catalogue: DataFrame, artist_col: str = "ar
     cat = category_filter(catalogue, classification, country, source)
     if geohash is not None:
         cat = radius_filter(cat, geohash, radius, unit)
-    cat = cat.withColumnRenamed("artist_name", "event_name")
+    # parsed and filtered once: the keyword join reads it twice (token
+    # frequencies and candidates)
+    cat = materialise(cat.withColumnRenamed("artist_name", "event_name"), "match-catalogue")
     scope = list(scope)
     arts = artists.select(*scope, F.col(artist_col).alias("searched_artist"),
                           F.col(rank_col).alias("artist_rank"))
