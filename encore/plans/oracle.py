@@ -18,7 +18,7 @@ PLAYS_CTE = """plays AS (
          CASE WHEN o.o_orderpriority = '5-LOW' THEN NULL
               ELSE printf('Customer#%09d', o.o_custkey) END AS master_metadata_album_artist_name,
          p.p_brand AS master_metadata_album_album_name,
-         'spotify:track:' || CAST(l.l_partkey AS VARCHAR) AS spotify_track_uri,
+         'uri:track:' || CAST(l.l_partkey AS VARCHAR) AS spotify_track_uri,
          CASE WHEN l.l_linenumber = 3 THEN NULL
               WHEN o.o_orderpriority = '1-URGENT' THEN 'clickrow'
               WHEN o.o_orderpriority = '2-HIGH' THEN 'playbtn'

@@ -46,7 +46,7 @@ def plays(spark: SparkSession, base: str) -> DataFrame:
         F.when(prio == "5-LOW", F.lit(None).cast("string"))
          .otherwise(artist_name(F.col("o_custkey"))).alias("master_metadata_album_artist_name"),
         F.col("p_brand").alias("master_metadata_album_album_name"),
-        F.concat(F.lit("spotify:track:"), F.col("l_partkey").cast("string")).alias("spotify_track_uri"),
+        F.concat(F.lit("uri:track:"), F.col("l_partkey").cast("string")).alias("spotify_track_uri"),
         F.when(F.col("l_linenumber") == 3, F.lit(None).cast("string"))
          .when(prio == "1-URGENT", F.lit("clickrow"))
          .when(prio == "2-HIGH", F.lit("playbtn"))
