@@ -72,12 +72,16 @@ def radius_filter(catalogue: DataFrame, geohash: str = EVENT_GEOHASH,
 
 def keyword_match(artists: DataFrame, catalogue: DataFrame, artist_col: str = "artist_name",
                   event_col: str = "event_name", mode: str = "contains",
-                  artists_bounded: bool = False) -> DataFrame:
+                  artists_bounded: bool = False, max_edits: int = 1,
+                  event_key: str | None = None) -> DataFrame:
     """JN5 + JN6: every (artist, event) pair whose names match.
 
     ``mode="exact"``: equal token sequences (an equi-join on the normalised
     name).  ``mode="contains"``: the artist's token sequence occurs
     contiguously in the event name's (whole-word containment).
+    ``mode="fuzzy"``: some run of as many consecutive event-name words as
+    the artist name has is within ``max_edits`` character edits of it
+    (``event_key`` names the catalogue key used to report a pair once).
     ``artists_bounded=True`` states the artist side is a bounded list
     (top-k), so it is broadcast; by default Spark/AQE choose the join from
     the measured size.
@@ -91,6 +95,8 @@ def keyword_match(artists: DataFrame, catalogue: DataFrame, artist_col: str = "a
     if mode == "exact":
         c = catalogue.withColumn("_anorm", normalised(event_col))
         return c.join(side(a), "_anorm").drop("_anorm")
+    if mode == "fuzzy":
+        return _fuzzy_match(a, catalogue, artist_col, event_col, max_edits, event_key, side)
     if mode != "contains":
         raise ValueError(f"unknown match mode {mode!r}")
     c = catalogue.withColumn("_etok", F.array_distinct(name_tokens(event_col)))
@@ -115,6 +121,48 @@ def keyword_match(artists: DataFrame, catalogue: DataFrame, artist_col: str = "a
             .drop("_tok", "_etok", "_etok_seq", "_anorm"))
 
 
+def _fuzzy_match(a: DataFrame, catalogue: DataFrame, artist_col: str, event_col: str,
+                 k: int, event_key: str | None, side) -> DataFrame:
+    """Edit-distance match on whole-word windows, without a cross product.
+
+    Candidates are generated by an equi-join on (window word count,
+    window length) against artists expanded to every length within ``k``
+    of their own (an edit changes the length by at most one), so only
+    windows that could be within ``k`` edits are compared.  The set of
+    artist word counts is a bounded summary (names have few words).
+    """
+    a = (a.withColumn("_m", F.size(name_tokens(artist_col)))
+         .withColumn("_alen", F.length("_anorm")))
+    sizes = sorted(r["_m"] for r in a.select("_m").distinct().collect())
+    if not sizes:
+        return (catalogue.join(side(a), F.lit(False))
+                .drop("_anorm", "_m", "_alen"))
+    tok = name_tokens(event_col)
+    n = F.size(tok)
+
+    def window_of(m):
+        # one-argument lambda: ``transform`` reads a second argument as the index
+        return lambda i: F.struct(F.lit(m).alias("m"),
+                                  F.array_join(F.slice(tok, i, m), " ").alias("w"))
+
+    windows = F.flatten(F.array(*[
+        F.when(n >= m, F.transform(F.sequence(F.lit(1), n - m + 1), window_of(m)))
+        .otherwise(F.array().cast("array<struct<m:int,w:string>>"))
+        for m in sizes]))
+    c = catalogue.select("*", F.explode(windows).alias("_win"))
+    c = c.select("*", F.col("_win.m").alias("_m"), F.col("_win.w").alias("_w"),
+                 F.length(F.col("_win.w")).alias("_wlen")).drop("_win")
+    a_len = a.select("*", F.explode(F.sequence(F.col("_alen") - k, F.col("_alen") + k))
+                     .alias("_wlen"))
+    cand = c.join(side(a_len), ["_m", "_wlen"])
+    hit = cand.where(F.levenshtein("_w", "_anorm", k).between(0, k))
+    hit = hit.drop("_m", "_wlen", "_w", "_anorm", "_alen")
+    keys = [col for col in a.columns if col not in ("_anorm", "_m", "_alen")]
+    if event_key:
+        return hit.dropDuplicates([*keys, event_key])
+    return hit.distinct()
+
+
 def match_events(artists: DataFrame, catalogue: DataFrame, artist_col: str = "artist_name",
                  rank_col: str = "artist_rank", scope=(), mode: str = "contains",
                  per_artist: int = EVENTS_PER_ARTIST, geohash: str | None = EVENT_GEOHASH,
@@ -141,7 +189,7 @@ def match_events(artists: DataFrame, catalogue: DataFrame, artist_col: str = "ar
     arts = artists.select(*scope, F.col(artist_col).alias("searched_artist"),
                           F.col(rank_col).alias("artist_rank"))
     pairs = keyword_match(arts, cat, "searched_artist", "event_name", mode,
-                          artists_bounded=not scope)
+                          artists_bounded=not scope, event_key="event_id")
     kept = top_k_per_group(pairs, [*scope, "searched_artist"],
                            [F.col("concert_date").asc_nulls_last(), F.col("event_id").asc()],
                            per_artist, out="event_position")

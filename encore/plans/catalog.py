@@ -532,3 +532,14 @@ def q_top3(spark, base):
     top = rank_ops.top_k(scored, [F.col("superfan_score").desc_nulls_last(),
                                   F.col("artist_name").asc()], 20)
     return r6(top.select("artist_name", "superfan_score"), ["superfan_score"])
+
+
+@register("jn6_fuzzy_keyword_match")
+def q_jn6_fuzzy(spark, base):
+    """JN6 (edit-distance mode): top artists matched to events whose name holds
+    a run of words within one character edit of the artist name."""
+    cat = _catalogue(spark, base).withColumnRenamed("artist_name", "event_name")
+    arts = _top_artists(spark, base).withColumnRenamed("artist_name", "searched_artist")
+    return (ev_ops.keyword_match(arts, cat, "searched_artist", "event_name", mode="fuzzy",
+                                 artists_bounded=True, max_edits=1, event_key="event_id")
+            .select("searched_artist", "artist_rank", "event_id", "event_name"))

@@ -539,3 +539,13 @@ scored AS (
 )
 SELECT artist_name, round(superfan_score, 6) AS superfan_score FROM scored
 ORDER BY superfan_score DESC NULLS LAST, artist_name LIMIT 20"""
+
+ORACLE["jn6_fuzzy_keyword_match"] = f"""WITH {TOP50_CTE},
+atok AS (SELECT *, {MATCH_SQL.format(c='searched_artist')} AS a_tok FROM anorm),
+etok AS (SELECT *, {MATCH_SQL.format(c='name')} AS e_tok FROM okev)
+SELECT a.searched_artist, a.artist_rank, e.event_id, e.name AS event_name
+FROM atok a, etok e
+WHERE len(a.a_tok) > 0 AND len(e.e_tok) >= len(a.a_tok)
+  AND list_bool_or(list_transform(range(1, len(e.e_tok) - len(a.a_tok) + 2),
+        lambda i: levenshtein(array_to_string(list_slice(e.e_tok, i, i + len(a.a_tok) - 1), ' '),
+                              a.a_norm) <= 1))"""

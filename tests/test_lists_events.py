@@ -128,3 +128,17 @@ def test_haversine_column_matches_python(spark):
     df = spark.createDataFrame([(42.0, -83.0, 43.5, -80.1)], "a double, b double, c double, d double")
     got = df.select(ev.haversine("a", "b", "c", "d").alias("x")).first()["x"]
     assert math.isclose(got, haversine_py(42.0, -83.0, 43.5, -80.1), rel_tol=1e-12)
+
+
+def test_fuzzy_keyword_match(spark):
+    cat = spark.createDataFrame([("1", "Drake Live"), ("2", "Drak World Tour"), ("3", "The Bnd"),
+                                 ("4", "Drakeo the Ruler"), ("5", "Blake Shelton"),
+                                 ("6", "The Band Reunion")], "event_id string, event_name string")
+    arts = spark.createDataFrame([("Drake", 1), ("The Band", 2)],
+                                 "searched_artist string, artist_rank int")
+    got = {(r["searched_artist"], r["event_id"]) for r in ev.keyword_match(
+        arts, cat, "searched_artist", "event_name", mode="fuzzy", max_edits=1,
+        event_key="event_id").collect()}
+    # one edit: drak, drakeo, blake(2 edits: no); the bnd; exact hits too
+    assert got == {("Drake", "1"), ("Drake", "2"), ("Drake", "4"),
+                   ("The Band", "3"), ("The Band", "6")}
