@@ -24,7 +24,7 @@ def element_texts(pages: DataFrame, pattern: str = CHART_ITEM_PATTERN, key: str
     ex = pages.select(key, F.posexplode(F.regexp_extract_all(html_col, F.lit(pattern), 1))
                       .alias("_pos", "_raw"))
     text = strip_ws(html_unescape(F.regexp_replace("_raw", r"<[^>]+>", "")))
-    return ex.select(key, (F.col("_pos") + 1).alias("position"), text.alias("text"))
+    return ex.select(key, (F.col("_pos") + 1).cast("long").alias("position"), text.alias("text"))
 
 
 def primary_name(text) -> F.Column:

@@ -20,7 +20,7 @@ def chronological(events: DataFrame, scope=(), order=DIGEST_ORDER) -> DataFrame:
     """TOP4: events by date (ties: artist rank, then the artist's own order),
     numbered per scope."""
     w = Window.partitionBy(*scope).orderBy(*[F.col(c).asc_nulls_last() for c in order])
-    return events.withColumn("digest_position", F.row_number().over(w))
+    return events.withColumn("digest_position", F.row_number().over(w).cast("long"))
 
 
 def event_cards(events: DataFrame, escape: bool = True) -> DataFrame:

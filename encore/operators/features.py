@@ -296,4 +296,5 @@ def previous_play(plays: DataFrame, scope=(), artist=ARTIST, ts="ts",
            .withColumn("prev_timestamp",
                        F.when(F.col("_i") == 1, F.col("_first_prev")).otherwise(F.col(ts))))
     return out.select(*k, ts, "prev_timestamp",
-                      day_gap(F.col("prev_timestamp"), F.col(ts)).alias("difference_days"))
+                      day_gap(F.col("prev_timestamp"), F.col(ts)).cast("long")
+                      .alias("difference_days"))

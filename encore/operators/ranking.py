@@ -133,7 +133,7 @@ def top_k_per_group(df: DataFrame, group, order, k: int, out: str = "position")
     """TOP5: at most ``k`` rows per group; planned as WindowGroupLimit on both
     sides of the shuffle, so a large group is cut to ``k`` map-side."""
     w = Window.partitionBy(*group).orderBy(*_as_cols(order))
-    return df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= k)
+    return df.withColumn(out, F.row_number().over(w).cast("long")).where(F.col(out) <= k)
 
 
 def presence_score(ranked: DataFrame, rank: str, scope=(), out: str = "api_presence_score") -> DataFrame:

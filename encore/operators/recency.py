@@ -86,4 +86,4 @@ def top_blended(blended: DataFrame, n: int = TOP_ARTISTS, scope=()) -> DataFrame
         return ranking.top_k_per_group(blended, scope, order, n, out="blend_rank")
     # the window below sees only the n rows left by the top-k
     return (ranking.top_k(blended, order, n)
-            .withColumn("blend_rank", F.row_number().over(Window.orderBy(*order))))
+            .withColumn("blend_rank", F.row_number().over(Window.orderBy(*order)).cast("long")))

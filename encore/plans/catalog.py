@@ -380,7 +380,7 @@ def q_snk2(spark, base):
                     ["page_id", "chart_position", "artist_name"])
     from pyspark.sql import types as T
     schema = T.StructType([T.StructField("page_id", T.LongType()),
-                           T.StructField("chart_position", T.IntegerType()),
+                           T.StructField("chart_position", T.LongType()),
                            T.StructField("artist_name", T.StringType())])
     return sinks.read_csv(spark, path, schema)
 
