@@ -142,3 +142,12 @@ def test_fuzzy_keyword_match(spark):
     # one edit: drak, drakeo, blake(2 edits: no); the bnd; exact hits too
     assert got == {("Drake", "1"), ("Drake", "2"), ("Drake", "4"),
                    ("The Band", "3"), ("The Band", "6")}
+
+
+def test_null_names_do_not_match_in_outer_joins(spark):
+    rows = [("long_term", 1, None, [{"name": None}, {"name": "A"}]),
+            ("short_term", 1, None, [{"name": None}])]
+    ranked = rp.flatten_ranked_artists(spark.createDataFrame(rows, ARTIST_PAGE_SCHEMA))
+    got = {r["artist_name"]: r["time_range_consistency"]
+           for r in recency.time_range_consistency(ranked).collect()}
+    assert got == {"A": 1 / 3}
