@@ -188,11 +188,17 @@ def match_events(artists: DataFrame, catalogue: DataFrame, artist_col: str = "ar
     scope = list(scope)
     arts = artists.select(*scope, F.col(artist_col).alias("searched_artist"),
                           F.col(rank_col).alias("artist_rank"))
-    pairs = keyword_match(arts, cat, "searched_artist", "event_name", mode,
+    # Each distinct name is matched and capped once, whatever the number of
+    # listeners whose lists hold it; the (listener, artist) pairs join back
+    # afterwards (a name on many lists is a skewed key there, which AQE's
+    # skew join splits; its build side is at most ``per_artist`` rows).
+    names = arts.select("searched_artist").distinct()
+    pairs = keyword_match(names, cat, "searched_artist", "event_name", mode,
                           artists_bounded=not scope, event_key="event_id")
-    kept = top_k_per_group(pairs, [*scope, "searched_artist"],
+    kept = top_k_per_group(pairs, ["searched_artist"],
                            [F.col("concert_date").asc_nulls_last(), F.col("event_id").asc()],
                            per_artist, out="event_position")
+    kept = arts.join(kept, "searched_artist")
     return kept.select(*scope, "searched_artist", "artist_rank", "event_position", "event_id",
                        F.col("event_name").alias("artist_name"), "ticket_link", "artist_image",
                        "concert_date", "venue", "city", "address")
