@@ -16,10 +16,12 @@ Per-artist search calls become one distributed join:
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from encore.constants import (EVENT_CLASSIFICATION, EVENT_COUNTRY, EVENT_GEOHASH,
+from encore.constants import (EARTH_RADIUS, EVENT_CLASSIFICATION, EVENT_COUNTRY, EVENT_GEOHASH,
                               EVENT_RADIUS, EVENT_RADIUS_UNIT, EVENT_SOURCE, EVENTS_PER_ARTIST)
 from encore.functions.geo import geohash_centre, haversine
 from encore.operators.ranking import top_k_per_group
@@ -61,8 +63,6 @@ def radius_filter(catalogue: DataFrame, geohash: str = EVENT_GEOHASH,
     great-circle distance.
     """
     lat0, lon0 = geohash_centre(geohash)
-    from encore.constants import EARTH_RADIUS
-    import math
     band = math.degrees(radius / EARTH_RADIUS[unit])
     dist = haversine("latitude", "longitude", lat0, lon0, unit)
     return (catalogue.where(F.col("latitude").between(lat0 - band, lat0 + band))

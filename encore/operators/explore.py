@@ -15,7 +15,6 @@ import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from encore.constants import DESCRIBE_QUANTILES, HIST_BINS, KMEANS_K, KMEANS_SEED, PCA_K
 from encore.operators.ranking import average_rank, row_number_by_range

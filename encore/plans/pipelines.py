@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from encore.constants import (ARTIST, BLEND_WEIGHTS, DROPPED_FEATURES, LOG_SCORE_WEIGHTS,
-                              RAW_SCORE_WEIGHTS, TOP_ARTISTS)
+from encore.constants import (ARTIST, DROPPED_FEATURES, LOG_SCORE_WEIGHTS, RAW_SCORE_WEIGHTS,
+                              TOP_ARTISTS)
 from encore.operators import features as feat
 from encore.operators import ranking, scaling
 from encore import session

@@ -17,9 +17,11 @@ plays       lineitem x orders x part: one play per line item
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from encore.constants import PAGE_SIZE
+from encore.operators.ranking import top_k_per_group
 from encore.sources.tables import read_table
 
 
@@ -73,8 +75,6 @@ def supplier_name(suppkey) -> F.Column:
 
 
 def _paginate(ranked: DataFrame, item: F.Column) -> DataFrame:
-    from pyspark.sql import Window
-    from encore.constants import PAGE_SIZE
     pages = (ranked.withColumn("page_no", ((F.col("pos") - 1) / PAGE_SIZE).cast("int") + 1)
              .groupBy("list", "page_no")
              .agg(F.sort_array(F.collect_list(F.struct(F.col("pos"), item.alias("it"))))
@@ -89,7 +89,6 @@ def _paginate(ranked: DataFrame, item: F.Column) -> DataFrame:
 
 
 def artist_pages(spark: SparkSession, base: str) -> DataFrame:
-    from encore.operators.ranking import top_k_per_group
     o = read_table(spark, base, "orders").select("o_custkey", "o_totalprice", "o_orderdate")
     lists = None
     for name, start in LIST_STARTS.items():
@@ -104,7 +103,6 @@ def artist_pages(spark: SparkSession, base: str) -> DataFrame:
 
 
 def track_pages(spark: SparkSession, base: str) -> DataFrame:
-    from encore.operators.ranking import top_k_per_group
     o = (read_table(spark, base, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
          .where(F.col("o_orderdate") >= F.lit(LIST_STARTS["long_term"]).cast("timestamp_ntz")))
     l = read_table(spark, base, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey",
