@@ -50,8 +50,8 @@ def q_pipe1(spark, base):
     return r6(out, ["completion_rate", "intentional_listening_rate", "skip_rate"])
 
 
-def _scores(spark, base):
-    return pipe.superfan_scores(feat.features(stand_in.plays(spark, base)))
+def _scores(spark, base, rank: bool = True):
+    return pipe.superfan_scores(feat.features(stand_in.plays(spark, base)), rank=rank)
 
 
 @register("pipe2_superfan_scores")
@@ -63,7 +63,7 @@ def q_pipe2(spark, base):
 @register("top2_top50_by_rank")
 def q_top2(spark, base):
     """Flagship: plays -> PIPE1 -> PIPE2 -> the 50 highest-ranked artists."""
-    out = pipe.top_ranked(_scores(spark, base), 50)
+    out = pipe.top_ranked(_scores(spark, base, rank=False), 50)
     return r6(out.select("artist_name", "rank", *SCORE_COLS), SCORE_COLS)
 
 
@@ -232,8 +232,9 @@ BLEND_DOUBLES = ["superfan_score", "api_presence_score", "time_range_consistency
 
 
 def _blended(spark, base):
+    # the blend reads scores only; the global historical rank is not needed
     pres, breadth, cons = _recency_parts(spark, base)
-    return recency.blend(_scores(spark, base), pres, breadth, cons)
+    return recency.blend(_scores(spark, base, rank=False), pres, breadth, cons)
 
 
 @register("jn2_blend_all")
@@ -434,7 +435,8 @@ def q_scl8(spark, base):
 def q_scl10(spark, base):
     """SCL10: the earlier blend weights (.70/.15/.10/.05)."""
     pres, breadth, cons = _recency_parts(spark, base)
-    out = recency.blend(_scores(spark, base), pres, breadth, cons, weights=EARLY_BLEND_WEIGHTS)
+    out = recency.blend(_scores(spark, base, rank=False), pres, breadth, cons,
+                        weights=EARLY_BLEND_WEIGHTS)
     return r6(out.select(*recency.BLEND_OUTPUT), BLEND_DOUBLES)
 
 
@@ -442,7 +444,7 @@ X_COLS = SCORE_COLS  # scaled log features + score, as fed to K-Means and PCA
 
 
 def _clustered(spark, base):
-    scores = pipe.materialise(_scores(spark, base))
+    scores = pipe.materialise(_scores(spark, base, rank=False))
     return explore.kmeans_clusters(scores, X_COLS, "artist_name", "superfan_score")
 
 
@@ -469,7 +471,8 @@ def q_ml3(spark, base):
 @register("ml4_kruskal_wallis")
 def q_ml4(spark, base):
     """ML4: Kruskal-Wallis H and p for each feature across the K-Means clusters."""
-    c = explore.kmeans_clusters(pipe.materialise(_scores(spark, base)).fillna(0, subset=X_COLS),
+    c = explore.kmeans_clusters(pipe.materialise(_scores(spark, base, rank=False))
+                                .fillna(0, subset=X_COLS),
                                 X_COLS, "artist_name", "superfan_score")
     return explore.kruskal_wallis(c, "cluster", X_COLS)
 

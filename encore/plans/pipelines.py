@@ -7,7 +7,7 @@ scan is not repeated), and ranking checkpoints its range-sorted input.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from encore.constants import (ARTIST, DROPPED_FEATURES, LOG_SCORE_WEIGHTS, RAW_SCORE_WEIGHTS,
@@ -53,6 +53,20 @@ def superfan_scores(feature_table: DataFrame, scope=(), key: str = ARTIST,
 
 
 def top_ranked(scores: DataFrame, n: int = TOP_ARTISTS, scope=()) -> DataFrame:
-    """TOP2: the first ``n`` by historical rank, in rank order."""
-    out = scores.where(F.col("rank") <= n)
-    return out.orderBy(*scope, "rank")
+    """TOP2: the first ``n`` by historical rank, in rank order.
+
+    On a table that already carries ``rank`` this is a filter.  On an
+    unranked score table the global rank is not computed at all: the
+    first ``n`` come from a top-k (TakeOrderedAndProject, or a per-scope
+    WindowGroupLimit) and are numbered among themselves, which gives the
+    same ranks 1..n.
+    """
+    scope = list(scope)
+    if "rank" in scores.columns:
+        return scores.where(F.col("rank") <= n).orderBy(*scope, "rank")
+    order = [F.col("superfan_score").desc_nulls_last(), F.col("artist_name").asc()]
+    if scope:
+        return ranking.top_k_per_group(scores, scope, order, n, out="rank").orderBy(*scope, "rank")
+    top = ranking.top_k(scores, order, n)
+    # numbering the n rows left by the top-k
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
