@@ -10,6 +10,8 @@ Per-artist search calls become one distributed join:
   event must contain, so blocking is exact.  The artist side is the
   ranked top-k list (bounded by k), hence broadcast; the catalogue is
   exploded by token and joined map-side, then each candidate is verified;
+* each distinct artist name is matched once, however many listeners'
+  lists hold it, and the (listener, artist) pairs join back afterwards;
 * TOP5 keeps at most ``per_artist`` events per artist with a
   WindowGroupLimit (a per-task top-k before the shuffle).
 """

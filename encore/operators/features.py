@@ -218,15 +218,18 @@ def features(plays: DataFrame, scope=(), artist=ARTIST, album=ALBUM, track=TRACK
              skipped="skipped", materialise: bool = True) -> DataFrame:
     """PIPE1: the wide per-artist feature table (F7), one row per artist.
 
-    JN1: the count table is the left side of a left-join chain, so
-    features an artist lacks (no multi-track month, no multi-track album,
-    no revisit) are NULL.
+    Four two-level aggregates over the rollup: (artist, track) gives play
+    counts, the three rates and distinct tracks; (artist, album) gives
+    distinct and multi-track albums; (artist, month) the consistency;
+    (artist, day) the revisits.  JN1: the play-count table is the left
+    side of a left-join chain, so features an artist lacks (no multi-track
+    month, no multi-track album, no revisit) are NULL.
     """
     r = play_rollup(plays, scope, artist, album, track, ts, reason_start, reason_end, skipped)
     if materialise:
         # Catalyst prunes a shared aggregate differently in every branch, so
         # without this each branch would rescan the plays; the rollup is
-        # written once to the shared folder and read by all five branches.
+        # written once to the shared folder and read by all four branches.
         r = materialise_df(r, "play-rollup")
     k = _keys(scope, artist)
     # (artist, track): the additive counters ride along the distinct-track
