@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from encore.constants import DESCRIBE_QUANTILES, HIST_BINS, KMEANS_K, KMEANS_SEED, PCA_K
-from encore.operators.ranking import average_rank, row_number_by_range
+from encore.operators.ranking import average_rank, average_rank_table, row_number_by_range
 from encore.operators.scaling import numeric_columns
 
 
@@ -112,10 +112,18 @@ def spearman(df: DataFrame, cols=None, key: str | None = None) -> DataFrame:
     arr = F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
                              F.col(a).cast("double").alias("x"),
                              F.col(b).cast("double").alias("y")) for a, b in pairs])
-    long = (df.select(F.monotonically_increasing_id().alias("_row"), F.inline(arr))
+    long = (df.select(F.inline(arr))
             .where(F.col("x").isNotNull() & F.col("y").isNotNull()))
-    rx = average_rank(long, "x", ["col_a", "col_b"], "rx")
-    ry = average_rank(rx, "y", ["col_a", "col_b"], "ry")
+    # one ranking pass for both sides: (pair, side) is the ranking scope
+    sides = (long.select("col_a", "col_b", F.lit("x").alias("side"), F.col("x").alias("v"))
+             .unionByName(long.select("col_a", "col_b", F.lit("y").alias("side"),
+                                      F.col("y").alias("v"))))
+    table = average_rank_table(sides, "v", ["col_a", "col_b", "side"], "r")
+    rank_x = table.where(F.col("side") == "x").select("col_a", "col_b", F.col("v").alias("x"),
+                                                       F.col("r").alias("rx"))
+    rank_y = table.where(F.col("side") == "y").select("col_a", "col_b", F.col("v").alias("y"),
+                                                       F.col("r").alias("ry"))
+    ry = long.join(rank_x, ["col_a", "col_b", "x"]).join(rank_y, ["col_a", "col_b", "y"])
     # Pearson on the ranks; ``corr`` raises on a zero variance under ANSI mode,
     # so the ratio is a try_divide (a constant input gives NULL).
     rho = ry.groupBy("col_a", "col_b").agg(F.try_divide(

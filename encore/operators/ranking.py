@@ -115,12 +115,18 @@ def average_rank(df: DataFrame, value: str, scope=(), out: str = "avg_rank") ->
     back on (scope, value).
     """
     scope = list(scope)
+    return df.join(average_rank_table(df, value, scope, out), [*scope, value], "left")
+
+
+def average_rank_table(df: DataFrame, value: str, scope=(), out: str = "avg_rank") -> DataFrame:
+    """WIN6 as a table: one row per (scope, distinct non-null value) with its
+    average rank; join it back to the rows that need it."""
+    scope = list(scope)
     counts = (df.where(F.col(value).isNotNull())
               .groupBy(*scope, value).agg(F.count(F.lit(1)).alias("_c")))
     cum = running_sum_by_range(counts, [F.col(value).asc()], "_c", scope, "_cum")
-    ranks = cum.select(*scope, value,
-                       (F.col("_cum") - F.col("_c") + (F.col("_c") + 1) / 2.0).alias(out))
-    return df.join(ranks, [*scope, value], "left")
+    return cum.select(*scope, value,
+                      (F.col("_cum") - F.col("_c") + (F.col("_c") + 1) / 2.0).alias(out))
 
 
 def top_k(df: DataFrame, order, k: int) -> DataFrame:
