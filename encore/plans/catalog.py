@@ -546,3 +546,12 @@ def q_jn6_fuzzy(spark, base):
     return (ev_ops.keyword_match(arts, cat, "searched_artist", "event_name", mode="fuzzy",
                                  artists_bounded=True, max_edits=1, event_key="event_id")
             .select("searched_artist", "artist_rank", "event_id", "event_name"))
+
+
+@register("pipe5_rank_top50_events")
+def q_pipe5_rank(spark, base):
+    """TOP2 + PIPE5: the 50 best artists by historical rank (no recency blend)
+    matched to nearby music events, at most 5 each."""
+    top = pipe.top_ranked(_scores(spark, base, rank=False), 50)
+    return ev_ops.match_events(top.select("artist_name", F.col("rank").alias("artist_rank")),
+                               _catalogue(spark, base))

@@ -549,3 +549,12 @@ WHERE len(a.a_tok) > 0 AND len(e.e_tok) >= len(a.a_tok)
   AND list_bool_or(list_transform(range(1, len(e.e_tok) - len(a.a_tok) + 2),
         lambda i: levenshtein(array_to_string(list_slice(e.e_tok, i, i + len(a.a_tok) - 1), ' '),
                               a.a_norm) <= 1))"""
+
+# the historical-rank flow: the top 50 by rank go straight to event lookup
+_RANK_TOP50 = f"""{SCORES_CTE},
+top50 AS (SELECT artist_name, rank AS artist_rank FROM superfan_scores WHERE rank <= 50),"""
+_BLEND_PART = TOP50_CTE[:TOP50_CTE.index(EVENTS_CTE)]
+assert MATCHED_CTE.startswith(_BLEND_PART)
+RANK_MATCHED_CTE = _RANK_TOP50 + "\n" + MATCHED_CTE[len(_BLEND_PART):]
+ORACLE["pipe5_rank_top50_events"] = f"""WITH {RANK_MATCHED_CTE}
+SELECT * FROM matched"""
