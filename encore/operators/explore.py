@@ -40,93 +40,95 @@ def column_profile(df: DataFrame) -> DataFrame:
     return counts.select(F.inline(arr)).drop("i")
 
 
-def describe(df: DataFrame, cols=None, quantiles=DESCRIBE_QUANTILES) -> DataFrame:
+def describe(df: DataFrame, cols=None, quantiles=DESCRIBE_QUANTILES, scope=()) -> DataFrame:
     """AGG18: count, mean, sample std, min, exact quartiles (linear
-    interpolation), max per numeric column; NULLs excluded."""
-    cols = cols or numeric_columns(df)
+    interpolation), max per numeric column (per scope); NULLs excluded."""
+    scope = list(scope)
+    cols = cols or numeric_columns(df, exclude=scope)
+    g = [*scope, "column_name"]
     # a row hash breaks ties in the range key, so a value shared by many
     # rows is split over several range partitions instead of one task
-    long = unpivot(df.withColumn("_row", F.xxhash64(*df.columns)), cols, keys=["_row"])
-    stats = long.groupBy("column_name").agg(
+    long = unpivot(df.withColumn("_row", F.xxhash64(*df.columns)), cols, keys=[*scope, "_row"])
+    stats = long.groupBy(*g).agg(
         F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
         F.max("value").alias("max"))
     # positions needed for each quantile: h = (n - 1) q, values at floor/ceil
-    targets = stats.select("column_name", "count", F.explode(F.array(*[
+    targets = stats.select(*g, "count", F.explode(F.array(*[
         F.lit(q) for q in quantiles])).alias("q"))
     h = (F.col("count") - 1) * F.col("q")
-    targets = targets.select("column_name", "q", (h - F.floor(h)).alias("frac"),
-                             F.explode(F.array((F.floor(h) + 1).cast("long"),
-                                               (F.ceil(h) + 1).cast("long"))).alias("_rn"))
-    ranked = row_number_by_range(long, [F.col("value").asc(), F.col("_row").asc()],
-                                 ["column_name"], out="_rn")
-    # targets: 2 rows per quantile per column - a proven small bound
-    picked = ranked.join(F.broadcast(targets.dropDuplicates(["column_name", "q", "_rn"])),
-                         ["column_name", "_rn"])
-    qv = picked.groupBy("column_name", "q").agg(
+    targets = (targets.select(*g, "q", (h - F.floor(h)).alias("frac"),
+                              F.explode(F.array((F.floor(h) + 1).cast("long"),
+                                                (F.ceil(h) + 1).cast("long"))).alias("_rn"))
+               .dropDuplicates([*g, "q", "_rn"]))
+    ranked = row_number_by_range(long, [F.col("value").asc(), F.col("_row").asc()], g, out="_rn")
+    # without a scope: 2 rows per quantile per column, a proven small bound
+    picked = ranked.join(F.broadcast(targets) if not scope else targets, [*g, "_rn"])
+    qv = picked.groupBy(*g, "q").agg(
         (F.min("value") + F.first("frac") * (F.max("value") - F.min("value"))).alias("qv"))
-    wide = qv.groupBy("column_name").agg(*[
+    wide = qv.groupBy(*g).agg(*[
         F.max(F.when(F.col("q") == q, F.col("qv"))).alias(f"p{int(round(q * 100))}")
         for q in quantiles])
-    return stats.join(wide, "column_name", "left").select(
-        "column_name", "count", "mean", "std", "min",
+    return stats.join(wide, g, "left").select(
+        *g, "count", "mean", "std", "min",
         *[f"p{int(round(q * 100))}" for q in quantiles], "max")
 
 
-def histogram(df: DataFrame, cols=None, bins: int = HIST_BINS) -> DataFrame:
-    """AGG20: equal-width bins between min and max per column, last bin closed
-    on the right, empty bins included; a constant column spans +-0.5."""
-    cols = cols or numeric_columns(df)
-    long = unpivot(df, cols)
-    rng = long.groupBy("column_name").agg(F.min("value").alias("_lo0"),
-                                          F.max("value").alias("_hi0"))
+def histogram(df: DataFrame, cols=None, bins: int = HIST_BINS, scope=()) -> DataFrame:
+    """AGG20: equal-width bins between min and max per column (per scope), last
+    bin closed on the right, empty bins included; a constant column spans +-0.5."""
+    scope = list(scope)
+    cols = cols or numeric_columns(df, exclude=scope)
+    g = [*scope, "column_name"]
+    long = unpivot(df, cols, keys=scope)
+    rng = long.groupBy(*g).agg(F.min("value").alias("_lo0"), F.max("value").alias("_hi0"))
     same = F.col("_lo0") == F.col("_hi0")
-    rng = rng.select("column_name",
+    rng = rng.select(*g,
                      F.when(same, F.col("_lo0") - 0.5).otherwise(F.col("_lo0")).alias("lo"),
                      F.when(same, F.col("_hi0") + 0.5).otherwise(F.col("_hi0")).alias("hi"))
-    # one row per column: bounded by the number of columns
-    binned = long.join(F.broadcast(rng), "column_name").select(
-        "column_name",
+    # without a scope: one row per column, a proven small bound
+    binned = long.join(F.broadcast(rng) if not scope else rng, g).select(
+        *g,
         F.least(F.floor((F.col("value") - F.col("lo")) * float(bins)
                         / (F.col("hi") - F.col("lo"))) + 1, F.lit(bins)).cast("int").alias("bin"))
-    counts = binned.groupBy("column_name", "bin").agg(F.count(F.lit(1)).alias("count"))
-    grid = rng.select("column_name", "lo", "hi",
-                      F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
+    counts = binned.groupBy(*g, "bin").agg(F.count(F.lit(1)).alias("count"))
+    grid = rng.select(*g, "lo", "hi", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
     width = (F.col("hi") - F.col("lo")) / float(bins)
-    return (grid.join(counts, ["column_name", "bin"], "left")
-            .select("column_name", "bin",
+    return (grid.join(counts, [*g, "bin"], "left")
+            .select(*g, "bin",
                     (F.col("lo") + (F.col("bin") - 1) * width).alias("bin_lo"),
                     (F.col("lo") + F.col("bin") * width).alias("bin_hi"),
                     F.coalesce("count", F.lit(0)).alias("count")))
 
 
-def spearman(df: DataFrame, cols=None, key: str | None = None) -> DataFrame:
+def spearman(df: DataFrame, cols=None, scope=()) -> DataFrame:
     """AGG21: Spearman correlation for every column pair (upper triangle with
-    the diagonal), pairwise-complete rows, average ranks for ties.
+    the diagonal, per scope), pairwise-complete rows, average ranks for ties.
 
-    One unpivot to (pair, x, y), average ranks of x and y per pair, one
-    ``corr`` per pair.  A constant input gives NULL.
+    One unpivot to (pair, x, y), one average-rank pass over both sides of
+    every pair, one Pearson aggregate per pair.  A constant input gives NULL.
     """
-    cols = cols or numeric_columns(df)
+    scope = list(scope)
+    cols = cols or numeric_columns(df, exclude=scope)
+    g = [*scope, "col_a", "col_b"]
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
     arr = F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
                              F.col(a).cast("double").alias("x"),
                              F.col(b).cast("double").alias("y")) for a, b in pairs])
-    long = (df.select(F.inline(arr))
+    long = (df.select(*scope, F.inline(arr))
             .where(F.col("x").isNotNull() & F.col("y").isNotNull()))
-    # one ranking pass for both sides: (pair, side) is the ranking scope
-    sides = (long.select("col_a", "col_b", F.lit("x").alias("side"), F.col("x").alias("v"))
-             .unionByName(long.select("col_a", "col_b", F.lit("y").alias("side"),
-                                      F.col("y").alias("v"))))
-    table = average_rank_table(sides, "v", ["col_a", "col_b", "side"], "r")
-    rank_x = table.where(F.col("side") == "x").select("col_a", "col_b", F.col("v").alias("x"),
+    # one ranking pass for both sides: (scope, pair, side) is the ranking scope
+    sides = (long.select(*g, F.lit("x").alias("side"), F.col("x").alias("v"))
+             .unionByName(long.select(*g, F.lit("y").alias("side"), F.col("y").alias("v"))))
+    table = average_rank_table(sides, "v", [*g, "side"], "r")
+    rank_x = table.where(F.col("side") == "x").select(*g, F.col("v").alias("x"),
                                                        F.col("r").alias("rx"))
-    rank_y = table.where(F.col("side") == "y").select("col_a", "col_b", F.col("v").alias("y"),
+    rank_y = table.where(F.col("side") == "y").select(*g, F.col("v").alias("y"),
                                                        F.col("r").alias("ry"))
-    ry = long.join(rank_x, ["col_a", "col_b", "x"]).join(rank_y, ["col_a", "col_b", "y"])
+    ry = long.join(rank_x, [*g, "x"]).join(rank_y, [*g, "y"])
     # Pearson on the ranks; ``corr`` raises on a zero variance under ANSI mode,
     # so the ratio is a try_divide (a constant input gives NULL).
-    rho = ry.groupBy("col_a", "col_b").agg(F.try_divide(
+    rho = ry.groupBy(*g).agg(F.try_divide(
         F.covar_samp("rx", "ry"), F.stddev_samp("rx") * F.stddev_samp("ry")).alias("rho"))
     return rho.withColumn("rho", F.when(F.isnan("rho"), F.lit(None)).otherwise(F.col("rho")))
 

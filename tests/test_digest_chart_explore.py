@@ -131,3 +131,23 @@ def test_kmeans_and_pca_shapes(spark):
     pc = explore.pca_coords(cl, ["x", "y", "s"]).toPandas()
     assert abs(pc["PC1"].mean()) < 1e-9 and abs(pc["PC2"].mean()) < 1e-9
     assert pc["PC1"].var() >= pc["PC2"].var()
+
+
+def test_scoped_statistics_equal_per_scope(spark):
+    from pyspark.sql import functions as F
+    df = stats_frame(spark).withColumn("user_id", (F.abs(F.xxhash64("k")) % 3).cast("long"))
+    scoped = {
+        "describe": explore.describe(df.drop("k"), scope=["user_id"]),
+        "histogram": explore.histogram(df.drop("k"), scope=["user_id"]),
+        "spearman": explore.spearman(df.drop("k"), scope=["user_id"]),
+    }
+    for u in range(3):
+        one = df.where(F.col("user_id") == u).drop("k", "user_id")
+        for name, fn in (("describe", explore.describe), ("histogram", explore.histogram),
+                         ("spearman", explore.spearman)):
+            exp = sorted(tuple(None if v is None else round(v, 9) if isinstance(v, float) else v
+                               for v in r) for r in fn(one).collect())
+            got = sorted(tuple(None if v is None else round(v, 9) if isinstance(v, float) else v
+                               for v in r)
+                         for r in scoped[name].where(F.col("user_id") == u).drop("user_id").collect())
+            assert got == exp, (name, u)
