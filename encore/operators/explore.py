@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from encore.constants import DESCRIBE_QUANTILES, HIST_BINS, KMEANS_K, KMEANS_SEED, PCA_K
-from encore.operators.ranking import average_rank, average_rank_table, row_number_by_range
+from encore.operators.ranking import (average_rank, average_rank_table, join_per_value,
+                                     row_number_by_range)
 from encore.operators.scaling import numeric_columns
 
 
@@ -46,9 +47,11 @@ def describe(df: DataFrame, cols=None, quantiles=DESCRIBE_QUANTILES, scope=()) -
     scope = list(scope)
     cols = cols or numeric_columns(df, exclude=scope)
     g = [*scope, "column_name"]
-    # a row hash breaks ties in the range key, so a value shared by many
-    # rows is split over several range partitions instead of one task
-    long = unpivot(df.withColumn("_row", F.xxhash64(*df.columns)), cols, keys=[*scope, "_row"])
+    # a per-row id breaks ties in the range key, so a value shared by many
+    # rows is split over several range partitions instead of one task (any
+    # order among equal values gives the same quartiles)
+    long = unpivot(df.withColumn("_row", F.monotonically_increasing_id()), cols,
+                   keys=[*scope, "_row"])
     stats = long.groupBy(*g).agg(
         F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
@@ -121,15 +124,19 @@ def spearman(df: DataFrame, cols=None, scope=()) -> DataFrame:
     sides = (long.select(*g, F.lit("x").alias("side"), F.col("x").alias("v"))
              .unionByName(long.select(*g, F.lit("y").alias("side"), F.col("y").alias("v"))))
     table = average_rank_table(sides, "v", [*g, "side"], "r")
-    rank_x = table.where(F.col("side") == "x").select(*g, F.col("v").alias("x"),
+    rank_x = table.where(F.col("side") == "x").select(*g, F.col("v").alias("x"), "_c",
                                                        F.col("r").alias("rx"))
-    rank_y = table.where(F.col("side") == "y").select(*g, F.col("v").alias("y"),
+    rank_y = table.where(F.col("side") == "y").select(*g, F.col("v").alias("y"), "_c",
                                                        F.col("r").alias("ry"))
-    ry = long.join(rank_x, [*g, "x"]).join(rank_y, [*g, "y"])
-    # Pearson on the ranks; ``corr`` raises on a zero variance under ANSI mode,
-    # so the ratio is a try_divide (a constant input gives NULL).
-    rho = ry.groupBy(*g).agg(F.try_divide(
-        F.covar_samp("rx", "ry"), F.stddev_samp("rx") * F.stddev_samp("ry")).alias("rho"))
+    ry = join_per_value(join_per_value(long, rank_x, [*g, "x"], how="inner"),
+                        rank_y, [*g, "y"], how="inner")
+    # Pearson on the ranks.  A constant side is detected exactly (min = max):
+    # merged partial moments of identical values can leave a variance of
+    # ~1e-14 instead of 0, and ``corr`` raises on a zero one under ANSI.
+    constant = (F.min("rx") == F.max("rx")) | (F.min("ry") == F.max("ry"))
+    rho = ry.groupBy(*g).agg(
+        F.when(constant, F.lit(None).cast("double")).otherwise(F.try_divide(
+            F.covar_samp("rx", "ry"), F.stddev_samp("rx") * F.stddev_samp("ry"))).alias("rho"))
     return rho.withColumn("rho", F.when(F.isnan("rho"), F.lit(None)).otherwise(F.col("rho")))
 
 

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from encore.session import materialise
 
 _PART_BITS = 33
+BROADCAST_ROWS = 1_000_000   # checked size bound for broadcasting a derived table
 
 
 def _parts(df: DataFrame) -> int:
@@ -69,9 +70,16 @@ def _segment_offsets(r: DataFrame, scope, weight: str | None) -> DataFrame:
         schema = "_pid long, _n long, _first long, _off long"
         return F.broadcast(r.sparkSession.createDataFrame(out, schema))
     w = Window.partitionBy(*scope).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    # With a scope the table follows the number of scopes; each scope spans
-    # at most #partitions rows of the window and AQE sizes the join.
-    return seg.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    # With a scope the table follows the number of scopes (each scope spans
+    # at most #partitions rows of the window): broadcast under a checked
+    # size, sort-merge joined on (scope, partition) beyond it.
+    return _broadcast_if_small(seg.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))))
+
+
+def _broadcast_if_small(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` and broadcast it if it has at most BROADCAST_ROWS rows."""
+    df = materialise(df, "small-side")
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def row_number_by_range(df: DataFrame, order, scope=(), out: str = "rank",
@@ -106,26 +114,68 @@ def running_sum_by_range(df: DataFrame, order, weight: str, scope=(), out: str =
             .drop("_mid", "_pid", "_off", "_local"))
 
 
+def join_per_value(rows: DataFrame, table: DataFrame, keys, count_col: str = "_c",
+                   how: str = "left", salt_buckets: int | None = None) -> DataFrame:
+    """Join ``rows`` to a per-key ``table`` that carries each key's row count.
+
+    The table is materialised; if it has at most ``BROADCAST_ROWS`` rows
+    (a checked size) it is broadcast.  Otherwise a key holding more than
+    one partition's fair share of the rows is split into pieces of a
+    quarter share: it gets ceil(4 x count / fair share) salts, its table
+    row is replicated once per salt, and its data rows are dealt
+    round-robin over the salts, so a key with a third of all rows spreads
+    over the partitions.  The replicated rows total at most about five
+    times the partition count, and the list of hot keys (at most the
+    partition count) is broadcast.
+    """
+    keys = list(keys)
+    table = materialise(table, "per-value")
+    n = table.count()
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table.drop(count_col)), keys, how)
+    s = salt_buckets or _parts(rows)
+    total = table.agg(F.sum(count_col)).first()[0] or 0
+    fair = max(1, -(-total // s))
+    # pieces of a quarter share: the pieces of one hot key hash into the
+    # partitions with little stacking; replicated rows stay <= 4 x s + s
+    piece = max(1, fair // 4)
+    hot = (table.where(F.col(count_col) > fair)
+           .select(*keys, F.ceil(F.col(count_col) / piece).cast("int").alias("_salts")))
+    if hot.limit(1).count() == 0:
+        return rows.join(table.drop(count_col), keys, how)
+    salted_rows = (rows.join(F.broadcast(hot), keys, "left")
+                   .withColumn("_salt", F.pmod(F.monotonically_increasing_id(),
+                                               F.coalesce("_salts", F.lit(1))))
+                   .drop("_salts"))
+    salted_table = (table.join(F.broadcast(hot), keys, "left")
+                    .withColumn("_salt", F.explode(F.sequence(
+                        F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
+                    .drop("_salts", count_col))
+    return salted_rows.join(salted_table, [*keys, "_salt"], how).drop("_salt")
+
+
 def average_rank(df: DataFrame, value: str, scope=(), out: str = "avg_rank") -> DataFrame:
     """WIN6: rank of ``value`` with ties given their average rank; NULL stays NULL.
 
     avg_rank(v) = #(values < v) + (count(v) + 1) / 2.  The counts per
     distinct value combine map-side (a hot value collapses to one row),
     the running sum runs over distinct values only, and the result joins
-    back on (scope, value).
+    back on (scope, value) - broadcast under a checked size, else with hot
+    values salted (:func:`join_per_value`).
     """
     scope = list(scope)
-    return df.join(average_rank_table(df, value, scope, out), [*scope, value], "left")
+    return join_per_value(df, average_rank_table(df, value, scope, out), [*scope, value])
 
 
 def average_rank_table(df: DataFrame, value: str, scope=(), out: str = "avg_rank") -> DataFrame:
     """WIN6 as a table: one row per (scope, distinct non-null value) with its
-    average rank; join it back to the rows that need it."""
+    average rank and its row count ``_c``; join it back with
+    :func:`join_per_value`."""
     scope = list(scope)
     counts = (df.where(F.col(value).isNotNull())
               .groupBy(*scope, value).agg(F.count(F.lit(1)).alias("_c")))
     cum = running_sum_by_range(counts, [F.col(value).asc()], "_c", scope, "_cum")
-    return cum.select(*scope, value,
+    return cum.select(*scope, value, "_c",
                       (F.col("_cum") - F.col("_c") + (F.col("_c") + 1) / 2.0).alias(out))
 
 

@@ -72,3 +72,14 @@ def test_top_k_per_group(spark):
     df = random_frame(spark)
     got = ranking.top_k_per_group(df, ["g"], [F.col("id")], 3).groupBy("g").count().collect()
     assert all(r["count"] == 3 for r in got)
+
+
+def test_salted_join_equals_broadcast(spark, monkeypatch):
+    # one value holds a third of the rows; force the salted path
+    rows = [(i, 0.0 if i % 3 == 0 else float(i % 50)) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, v double")
+    exp = {r["id"]: r["r"] for r in ranking.average_rank(df, "v", out="r").collect()}
+    monkeypatch.setattr(ranking, "BROADCAST_ROWS", 5)
+    got_df = ranking.average_rank(df, "v", out="r")
+    assert {r["id"]: r["r"] for r in got_df.collect()} == exp
+    assert "_salt" not in got_df.columns
