@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from encore.schemas import RESPONSE_BODY
+from encore.schemas import FLAT_EVENT_COLUMNS, RESPONSE_BODY
 
 
 def widest_image_url(images) -> Column:
@@ -41,13 +41,16 @@ def error_responses(responses: DataFrame) -> DataFrame:
                     .alias("message")))
 
 
-def flatten_events(responses: DataFrame, keep_catalogue: bool = False) -> DataFrame:
+def flatten_events(responses: DataFrame, keep_catalogue: bool = False,
+                   strict: bool = False) -> DataFrame:
     """SRC6: one row per event of every successful response.
 
     Columns: query, artist_name (the *event* name), ticket_link,
     artist_image (widest), concert_date, venue, city, address (first
     venue), and with ``keep_catalogue`` the event id, coordinates and
-    category fields used by the catalogue filters.
+    category fields used by the catalogue filters.  Missing keys give NULL;
+    ``strict=True`` instead fails the job on the first event that lacks one
+    of the seven fields (no images, no venue, no address, ...).
     """
     ev = (ok_responses(parse_responses(responses))
           .select("query", F.explode("_doc._embedded.events").alias("e")))
@@ -67,4 +70,9 @@ def flatten_events(responses: DataFrame, keep_catalogue: bool = False) -> DataFr
                  F.col("e.longitude").alias("longitude"),
                  F.col("e.classification").alias("classification"),
                  F.col("e.country").alias("country"), F.col("e.source").alias("source")]
-    return ev.select(*cols)
+    flat = ev.select(*cols)
+    if strict:
+        checks = [F.assert_true(F.col(n).isNotNull(), F.lit(f"event field missing: {n}"))
+                  for n in FLAT_EVENT_COLUMNS]
+        flat = flat.where(F.coalesce(*checks).isNull())
+    return flat

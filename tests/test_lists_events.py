@@ -151,3 +151,11 @@ def test_null_names_do_not_match_in_outer_joins(spark):
     got = {r["artist_name"]: r["time_range_consistency"]
            for r in recency.time_range_consistency(ranked).collect()}
     assert got == {"A": 1 / 3}
+
+
+def test_strict_flatten_raises_on_missing_field(spark):
+    import pytest
+    ok = er.flatten_events(responses(spark)).count()
+    assert ok == 6                                   # lenient: address NULL for event 3
+    with pytest.raises(Exception, match="event field missing"):
+        er.flatten_events(responses(spark), strict=True).collect()
