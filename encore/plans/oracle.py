@@ -185,7 +185,6 @@ lists AS (
     SELECT list, o_custkey,
            ROW_NUMBER() OVER (PARTITION BY list ORDER BY spend DESC, o_custkey) AS position
     FROM spend) x
-  WHERE position <= 120
 ),
 tracks AS (
   SELECT 'long_term' AS list, position, printf('Customer#%09d', o_custkey) AS artist_name,
@@ -197,7 +196,6 @@ tracks AS (
           WHERE o_orderdate >= TIMESTAMP '2000-08-01'
           GROUP BY o_custkey, l_partkey) y) x
   JOIN part ON p_partkey = l_partkey
-  WHERE position <= 120
 ),
 presence AS (
   SELECT artist_name,
