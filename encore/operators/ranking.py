@@ -77,8 +77,8 @@ def _segment_offsets(r: DataFrame, scope, weight: str | None) -> DataFrame:
 
 
 def _broadcast_if_small(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` and broadcast it if it has at most BROADCAST_ROWS rows."""
-    df = materialise(df, "small-side")
+    """Broadcast ``df`` if it has at most BROADCAST_ROWS rows (counted; ``df``
+    is a cheap aggregate over a checkpointed input, so it is not stored)."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
