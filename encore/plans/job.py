@@ -4,6 +4,7 @@ usage:
   python -m encore.plans.job --plays 'exports/*.json' --out /shared/encore/run-2026-06-07 \\
       [--plays-format json|parquet] [--artist-pages pages.parquet] [--track-pages t.parquet] \\
       [--responses responses.parquet] [--scope user_id] [--as-of 2026-06-07]
+  python -m encore.plans.job --artists-csv chart.csv --responses r.parquet --out ...
 
 Writes under ``--out``: ``features/``, ``scores/``, ``blended/`` (all
 artists), ``top_artists.csv/`` (the six blended columns, SNK2), ``events/``
@@ -17,6 +18,7 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from encore.constants import TOP_ARTISTS
@@ -24,6 +26,7 @@ from encore.operators import digest as digest_ops
 from encore.operators import events as event_ops
 from encore.operators import features as feat
 from encore.operators import recency
+from encore.operators.ranking import row_number_by_range
 from encore.plans.pipelines import superfan_scores
 from encore.schemas import ARTIST_PAGE_SCHEMA, RESPONSE_SCHEMA, TRACK_PAGE_SCHEMA
 from encore.sources import event_responses, ranked_pages, sinks, tables
@@ -65,20 +68,37 @@ def run(spark: SparkSession, plays: DataFrame, artist_pages: DataFrame | None =
             "events": events, "errors": event_responses.error_responses(rs), "digests": docs}
 
 
+def run_names(spark: SparkSession, names: DataFrame, responses: DataFrame | None = None,
+              as_of: str | None = None, name_col: str = "artist_name") -> dict[str, DataFrame]:
+    """The chart-seeded flow: a list of names (e.g. the chart CSV) instead of a
+    listening history; the list order is the artist rank."""
+    ranked = row_number_by_range(names.withColumn("_order", F.monotonically_increasing_id()),
+                                 [F.col("_order").asc()], out="artist_rank")
+    top = ranked.select(F.col(name_col).alias("artist_name"), "artist_rank")
+    rs = responses if responses is not None else _empty(spark, RESPONSE_SCHEMA, [])
+    catalogue = event_responses.flatten_events(rs, keep_catalogue=True)
+    events = event_ops.match_events(top, catalogue)
+    return {"top": top, "events": events, "errors": event_responses.error_responses(rs),
+            "digests": digest_ops.digest(events, as_of=as_of)}
+
+
 def write_outputs(out: dict[str, DataFrame], path: str, scope=()) -> None:
     """Persist the job's results (overwrite: re-runnable)."""
     scope = list(scope)
     for name in ("features", "scores", "blended", "events", "errors"):
-        out[name].write.mode("overwrite").parquet(f"{path}/{name}")
-    sinks.write_csv(out["top"], f"{path}/top_artists.csv",
-                    [*scope, "artist_name", "superfan_score", "api_presence_score",
-                     "time_range_consistency", "track_breadth_score", "blended_score"])
+        if name in out:
+            out[name].write.mode("overwrite").parquet(f"{path}/{name}")
+    blend_cols = [*scope, "artist_name", "superfan_score", "api_presence_score",
+                  "time_range_consistency", "track_breadth_score", "blended_score"]
+    top_cols = [c for c in blend_cols if c in out["top"].columns] or out["top"].columns
+    sinks.write_csv(out["top"], f"{path}/top_artists.csv", top_cols)
     sinks.write_digests(out["digests"], f"{path}/digests", scope)
 
 
 def main(argv=None, stop_session: bool = True) -> None:
     p = argparse.ArgumentParser(description=__doc__.splitlines()[0])
-    p.add_argument("--plays", required=True)
+    p.add_argument("--plays")
+    p.add_argument("--artists-csv", help="names CSV (header artist_name) instead of plays")
     p.add_argument("--plays-format", choices=["json", "parquet"], default="json")
     p.add_argument("--artist-pages")
     p.add_argument("--track-pages")
@@ -88,6 +108,15 @@ def main(argv=None, stop_session: bool = True) -> None:
     p.add_argument("--out", required=True)
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("encore-job").getOrCreate()
+    if a.artists_csv:
+        resp = _read(spark, a.responses, RESPONSE_SCHEMA, []) if a.responses else None
+        out = run_names(spark, sinks.read_csv(spark, a.artists_csv), resp, a.as_of)
+        write_outputs(out, a.out.rstrip("/"))
+        if stop_session:
+            spark.stop()
+        return
+    if not a.plays:
+        raise SystemExit("one of --plays or --artists-csv is required")
     if a.plays_format == "json":
         plays = tables.read_play_history(spark, a.plays)
         if a.scope:

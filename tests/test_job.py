@@ -41,3 +41,24 @@ def test_job_end_to_end(spark, tmpdir_path):
     assert spark.read.parquet(f"{out}/errors").first()["status"] == 503
     html = "".join(r["value"] for r in spark.read.text(f"{out}/digests").collect())
     assert "Drake Live" in html and "June 07, 2026" in html
+
+
+def test_job_from_names_csv(spark, tmpdir_path):
+    with open(f"{tmpdir_path}/names.csv", "w") as f:
+        f.write('artist_name\nDrake\n"HARDY, Eric Church, Morgan Wallen"\nNobody\n')
+    ev = {"id": "1", "name": "Drake Live", "url": "u1", "images": [{"url": "i", "width": 1}],
+          "dates": {"start": {"localDate": "2026-07-01"}},
+          "_embedded": {"venues": [{"name": "V", "city": {"name": "Detroit"},
+                                    "address": {"line1": "1 Main"}}]},
+          "latitude": 42.3, "longitude": -83.0, "classification": "Music", "country": "US",
+          "source": "ticketmaster"}
+    with open(f"{tmpdir_path}/responses.json", "w") as f:
+        f.write(json.dumps({"query": "Drake", "status": 200,
+                            "body": json.dumps({"_embedded": {"events": [ev]}})}) + "\n")
+    out = f"{tmpdir_path}/out2"
+    job.main(["--artists-csv", f"{tmpdir_path}/names.csv", "--responses",
+              f"{tmpdir_path}/responses.json", "--as-of", "2026-06-07", "--out", out],
+             stop_session=False)
+    ev_rows = spark.read.parquet(f"{out}/events").collect()
+    assert [(r["searched_artist"], r["artist_rank"]) for r in ev_rows] == [("Drake", 1)]
+    assert os.path.isdir(f"{out}/digests") and os.path.isdir(f"{out}/top_artists.csv")
