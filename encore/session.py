@@ -25,8 +25,6 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
          .config("spark.sql.shuffle.partitions", str(parts))
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-         # coalesce to the advisory size, not to keep many tiny tasks
-         .config("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.session.timeZone", "UTC")
          # checkpoint files are deleted once their relation is unreferenced
