@@ -1,4 +1,9 @@
-"""Composite pipelines (PIPE1-PIPE8), each DataFrame -> DataFrame.
+"""Scoring pipelines: PIPE1 (features), PIPE2 (scores and rank), TOP2.
+
+The other composites live with their operators - PIPE3/PIPE4 in
+``operators.recency``, PIPE5 in ``operators.events``, PIPE6 in
+``operators.digest``, PIPE7 in ``operators.chart``, PIPE8 in
+``operators.explore`` - and the whole chain is ``plans.job.run``.
 
 Materialisation points are explicit and few: the per-artist feature
 table is checkpointed once before the scaler fit reads it (so the play
