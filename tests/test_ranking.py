@@ -83,3 +83,18 @@ def test_salted_join_equals_broadcast(spark, monkeypatch):
     got_df = ranking.average_rank(df, "v", out="r")
     assert {r["id"]: r["r"] for r in got_df.collect()} == exp
     assert "_salt" not in got_df.columns
+
+
+def test_top_k_per_group_plans_window_group_limit(spark):
+    df = spark.range(10000).select((F.col("id") % 7).alias("g"), F.col("id"))
+    out = ranking.top_k_per_group(df, ["g"], [F.col("id").desc()], 5)
+    out.write.format("noop").mode("overwrite").save()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2      # map side and reduce side
+
+
+def test_unscoped_rank_has_no_single_partition_exchange(spark):
+    df = random_frame(spark)
+    out = ranking.row_number_by_range(df, [F.col("v").desc_nulls_last(), F.col("id")])
+    out.write.format("noop").mode("overwrite").save()
+    assert "SinglePartition" not in out._jdf.queryExecution().executedPlan().toString()
