@@ -32,56 +32,62 @@ PLAYS_CTE = """plays AS (
   JOIN orders o ON l.l_orderkey = o.o_orderkey
   JOIN part p ON l.l_partkey = p.p_partkey
 ),
-pd AS (SELECT * FROM plays WHERE master_metadata_album_artist_name IS NOT NULL)"""
+artist_plays AS (SELECT * FROM plays WHERE master_metadata_album_artist_name IS NOT NULL)"""
 
 A = "master_metadata_album_artist_name"
 T = "master_metadata_track_name"
 AL = "master_metadata_album_album_name"
 
-AGG_UNIQUE = f"""u AS (SELECT {A}, COUNT(DISTINCT {AL}) AS unique_albums_for_artist,
-              COUNT(DISTINCT {T}) AS num_unique_songs_for_artist
-       FROM pd GROUP BY {A})"""
-AGG_TRUE_ALBUMS = f"""n AS (SELECT {A}, COUNT(album_name) AS num_true_albums FROM (
-         SELECT {A}, {AL} AS album_name, COUNT(DISTINCT {T}) AS num_tracks
-         FROM pd GROUP BY {A}, {AL} HAVING COUNT(DISTINCT {T}) > 1) x
-       GROUP BY {A})"""
-AGG_PLAYS = f"""p AS (SELECT {A}, COUNT(*) AS play_count_per_artist FROM pd GROUP BY {A})"""
-AGG_CONSISTENCY = f"""l AS (SELECT {A}, COUNT(*) AS listening_consistency FROM (
-         SELECT {A}, strftime(ts, '%Y-%m') AS year_month
-         FROM pd GROUP BY {A}, strftime(ts, '%Y-%m')
-         HAVING COUNT(DISTINCT {T}) > 1) x
-       GROUP BY {A})"""
-AGG_SKIP = f"""s AS (SELECT {A}, AVG(CAST(skipped AS INT)) AS skip_rate FROM pd GROUP BY {A})"""
-AGG_INTENT = f"""i AS (SELECT {A}, SUM(CAST(reason_start IN ('clickrow', 'playbtn', 'backbtn') AS INT)) / COUNT(*)
-         AS intentional_listening_rate FROM pd GROUP BY {A})"""
-AGG_DONE = f"""c AS (SELECT {A}, SUM(CAST(reason_end = 'trackdone' AS INT)) / COUNT(*)
-         AS completion_rate FROM pd GROUP BY {A})"""
-AGG_REVISIT = f"""r AS (SELECT {A}, COUNT(*) AS revisit_rate FROM (
-         SELECT {A}, DATEDIFF('day', LAG(ts, 1) OVER (PARTITION BY {A} ORDER BY ts), ts) AS difference_days
-         FROM pd) x
-       WHERE difference_days > 120 GROUP BY {A})"""
+AGG_UNIQUE = f"""f_distinct AS (
+  SELECT {A}, COUNT(DISTINCT {AL}) AS unique_albums_for_artist,
+         COUNT(DISTINCT {T}) AS num_unique_songs_for_artist
+  FROM artist_plays GROUP BY {A})"""
+AGG_TRUE_ALBUMS = f"""f_albums AS (
+  SELECT {A}, COUNT(album_name) AS num_true_albums
+  FROM (SELECT {A}, {AL} AS album_name, COUNT(DISTINCT {T}) AS n_tracks
+        FROM artist_plays GROUP BY {A}, {AL}) g
+  WHERE n_tracks > 1 GROUP BY {A})"""
+AGG_PLAYS = f"""f_plays AS (SELECT {A}, COUNT(*) AS play_count_per_artist FROM artist_plays GROUP BY {A})"""
+AGG_CONSISTENCY = f"""f_months AS (
+  SELECT {A}, COUNT(*) AS listening_consistency
+  FROM (SELECT {A}, strftime(ts, '%Y-%m') AS year_month, COUNT(DISTINCT {T}) AS n_tracks
+        FROM artist_plays GROUP BY {A}, strftime(ts, '%Y-%m')) g
+  WHERE n_tracks > 1 GROUP BY {A})"""
+AGG_SKIP = f"""f_skip AS (SELECT {A}, AVG(CAST(skipped AS INT)) AS skip_rate FROM artist_plays GROUP BY {A})"""
+AGG_INTENT = f"""f_intent AS (
+  SELECT {A}, SUM(CAST(reason_start IN ('clickrow', 'playbtn', 'backbtn') AS INT)) / COUNT(*)
+         AS intentional_listening_rate
+  FROM artist_plays GROUP BY {A})"""
+AGG_DONE = f"""f_done AS (
+  SELECT {A}, SUM(CAST(reason_end = 'trackdone' AS INT)) / COUNT(*) AS completion_rate
+  FROM artist_plays GROUP BY {A})"""
+AGG_REVISIT = f"""f_gaps AS (
+  SELECT {A}, COUNT(*) AS revisit_rate
+  FROM (SELECT {A}, DATEDIFF('day', LAG(ts) OVER (PARTITION BY {A} ORDER BY ts), ts) AS gap
+        FROM artist_plays) g
+  WHERE gap > 120 GROUP BY {A})"""
 
 FEATURES_CTE = f"""{PLAYS_CTE},
-{AGG_UNIQUE},
-{AGG_TRUE_ALBUMS},
 {AGG_PLAYS},
-{AGG_CONSISTENCY},
-{AGG_SKIP},
-{AGG_INTENT},
+{AGG_UNIQUE},
 {AGG_DONE},
+{AGG_INTENT},
+{AGG_SKIP},
+{AGG_CONSISTENCY},
+{AGG_TRUE_ALBUMS},
 {AGG_REVISIT},
 features AS (
-  SELECT p.{A}, p.play_count_per_artist, u.unique_albums_for_artist, u.num_unique_songs_for_artist,
-         c.completion_rate, i.intentional_listening_rate, s.skip_rate,
-         l.listening_consistency, n.num_true_albums, r.revisit_rate
-  FROM p
-  LEFT JOIN u ON p.{A} = u.{A}
-  LEFT JOIN c ON p.{A} = c.{A}
-  LEFT JOIN i ON p.{A} = i.{A}
-  LEFT JOIN s ON p.{A} = s.{A}
-  LEFT JOIN l ON p.{A} = l.{A}
-  LEFT JOIN n ON p.{A} = n.{A}
-  LEFT JOIN r ON p.{A} = r.{A}
+  SELECT {A}, play_count_per_artist, unique_albums_for_artist, num_unique_songs_for_artist,
+         completion_rate, intentional_listening_rate, skip_rate,
+         listening_consistency, num_true_albums, revisit_rate
+  FROM f_plays
+  LEFT JOIN f_distinct USING ({A})
+  LEFT JOIN f_done USING ({A})
+  LEFT JOIN f_intent USING ({A})
+  LEFT JOIN f_skip USING ({A})
+  LEFT JOIN f_months USING ({A})
+  LEFT JOIN f_albums USING ({A})
+  LEFT JOIN f_gaps USING ({A})
 )"""
 
 LOG_FEATURES = ["play_count_per_artist", "num_unique_songs_for_artist", "completion_rate",
@@ -143,30 +149,30 @@ PLAY_COLS = ("ts, platform, ms_played, ip_addr, master_metadata_track_name, "
              "master_metadata_album_artist_name, master_metadata_album_album_name, "
              "spotify_track_uri, reason_start, reason_end, shuffle, skipped")
 
-ORACLE["flt1_drop_podcasts"] = f"WITH {PLAYS_CTE} SELECT {PLAY_COLS} FROM pd"
+ORACLE["flt1_drop_podcasts"] = f"WITH {PLAYS_CTE} SELECT {PLAY_COLS} FROM artist_plays"
 ORACLE["flt2_complete_rows"] = f"""WITH {PLAYS_CTE} SELECT {PLAY_COLS} FROM plays
 WHERE {T} IS NOT NULL AND {A} IS NOT NULL AND {AL} IS NOT NULL AND spotify_track_uri IS NOT NULL"""
 ORACLE["flt3_drop_all_null"] = f"""WITH {PLAYS_CTE} SELECT {PLAY_COLS} FROM plays
 WHERE NOT ({T} IS NULL AND {A} IS NULL AND {AL} IS NULL AND spotify_track_uri IS NULL)"""
-ORACLE["agg1_play_count"] = f"WITH {PLAYS_CTE}, {AGG_PLAYS} SELECT * FROM p"
-ORACLE["agg2_distinct_albums_tracks"] = f"WITH {PLAYS_CTE}, {AGG_UNIQUE} SELECT * FROM u"
+ORACLE["agg1_play_count"] = f"WITH {PLAYS_CTE}, {AGG_PLAYS} SELECT * FROM f_plays"
+ORACLE["agg2_distinct_albums_tracks"] = f"WITH {PLAYS_CTE}, {AGG_UNIQUE} SELECT * FROM f_distinct"
 ORACLE["agg3_multi_track_albums"] = f"""WITH {PLAYS_CTE}
 SELECT {A}, {AL} AS album_name, COUNT(DISTINCT {T}) AS num_tracks
-FROM pd GROUP BY {A}, {AL} HAVING num_tracks > 1"""
-ORACLE["agg4_true_albums"] = f"WITH {PLAYS_CTE}, {AGG_TRUE_ALBUMS} SELECT * FROM n"
-ORACLE["agg5_listening_consistency"] = f"WITH {PLAYS_CTE}, {AGG_CONSISTENCY} SELECT * FROM l"
+FROM artist_plays GROUP BY {A}, {AL} HAVING num_tracks > 1"""
+ORACLE["agg4_true_albums"] = f"WITH {PLAYS_CTE}, {AGG_TRUE_ALBUMS} SELECT * FROM f_albums"
+ORACLE["agg5_listening_consistency"] = f"WITH {PLAYS_CTE}, {AGG_CONSISTENCY} SELECT * FROM f_months"
 ORACLE["agg6_active_months"] = f"""WITH {PLAYS_CTE}
-SELECT {A}, COUNT(DISTINCT strftime(ts, '%Y-%m')) AS active_months FROM pd GROUP BY {A}"""
-ORACLE["agg7_skip_rate"] = f"WITH {PLAYS_CTE}, {AGG_SKIP} SELECT {A}, {r6(['skip_rate'])} FROM s"
+SELECT {A}, COUNT(DISTINCT strftime(ts, '%Y-%m')) AS active_months FROM artist_plays GROUP BY {A}"""
+ORACLE["agg7_skip_rate"] = f"WITH {PLAYS_CTE}, {AGG_SKIP} SELECT {A}, {r6(['skip_rate'])} FROM f_skip"
 ORACLE["agg8_intentional_rate"] = (f"WITH {PLAYS_CTE}, {AGG_INTENT} "
-                                   f"SELECT {A}, {r6(['intentional_listening_rate'])} FROM i")
-ORACLE["agg9_completion_rate"] = f"WITH {PLAYS_CTE}, {AGG_DONE} SELECT {A}, {r6(['completion_rate'])} FROM c"
-ORACLE["agg10_revisits"] = f"WITH {PLAYS_CTE}, {AGG_REVISIT} SELECT * FROM r"
+                                   f"SELECT {A}, {r6(['intentional_listening_rate'])} FROM f_intent")
+ORACLE["agg9_completion_rate"] = f"WITH {PLAYS_CTE}, {AGG_DONE} SELECT {A}, {r6(['completion_rate'])} FROM f_done"
+ORACLE["agg10_revisits"] = f"WITH {PLAYS_CTE}, {AGG_REVISIT} SELECT * FROM f_gaps"
 ORACLE["win1_previous_play"] = f"""WITH {PLAYS_CTE}
 SELECT {A}, ts, prev_timestamp, DATEDIFF('day', prev_timestamp, ts) AS difference_days FROM (
-  SELECT {A}, ts, LAG(ts, 1) OVER (PARTITION BY {A} ORDER BY ts) AS prev_timestamp FROM pd) x"""
+  SELECT {A}, ts, LAG(ts, 1) OVER (PARTITION BY {A} ORDER BY ts) AS prev_timestamp FROM artist_plays) x"""
 ORACLE["win3_partition_total"] = f"""WITH {PLAYS_CTE}
-SELECT {A}, COUNT(*) OVER (PARTITION BY {A}) AS total_plays FROM pd"""
+SELECT {A}, COUNT(*) OVER (PARTITION BY {A}) AS total_plays FROM artist_plays"""
 
 # ------------------------------------------------------ recency and blend --
 

@@ -40,8 +40,8 @@ def duck_features(rows):
     df = pd.DataFrame(rows)
     con = duckdb.connect()
     con.register("pdf", df)
-    con.execute("CREATE TABLE pd AS SELECT * FROM pdf WHERE master_metadata_album_artist_name IS NOT NULL")
-    sql = oracle.FEATURES_CTE.split("pd AS (")[1]
+    con.execute("CREATE TABLE artist_plays AS SELECT * FROM pdf WHERE master_metadata_album_artist_name IS NOT NULL")
+    sql = oracle.FEATURES_CTE.split("artist_plays AS (")[1]
     sql = "WITH " + sql.split("),\n", 1)[1]
     return con.execute(sql + " SELECT * FROM features").fetchdf()
 
