@@ -17,7 +17,7 @@ plays       lineitem x orders x part: one play per line item
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from encore.constants import PAGE_SIZE
@@ -79,7 +79,11 @@ def _paginate(ranked: DataFrame, item: F.Column) -> DataFrame:
              .groupBy("list", "page_no")
              .agg(F.sort_array(F.collect_list(F.struct(F.col("pos"), item.alias("it"))))
                   .alias("_items")))
-    last = F.max("page_no").over(Window.partitionBy("list"))
+    # the last page number per list (one row per list) joined back, rather
+    # than a window holding a whole list in one task
+    last_page = pages.groupBy("list").agg(F.max("page_no").alias("_last"))
+    pages = pages.join(last_page, "list")
+    last = F.col("_last")
     return pages.select(
         "list", "page_no",
         F.when(F.col("page_no") < last,

@@ -3,15 +3,18 @@
 A page row is (scope..., list, page_no, next, items).  Pages are read in
 ``page_no`` order and reading stops at the first page whose ``next`` is
 NULL; the 1-based list position is the index in the concatenated items.
-Offsets come from a running sum of page sizes over page rows (one row per
-page, not per item), then items are exploded with ``posexplode``.
+Offsets come from a distributed running sum of page sizes over page rows
+(one row per page, not per item), then items are exploded with
+``posexplode``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from encore.operators.ranking import running_sum_by_range
+
 
 def _kept_pages(pages: DataFrame, scope, list_col: str) -> DataFrame:
     k = [*scope, list_col]
@@ -19,9 +22,15 @@ def _kept_pages(pages: DataFrame, scope, list_col: str) -> DataFrame:
             .groupBy(*k).agg(F.min("page_no").alias("_last")))
     kept = (pages.join(last, k, "left")
             .where(F.col("_last").isNull() | (F.col("page_no") <= F.col("_last")))
-            .drop("_last"))
-    w = Window.partitionBy(*k).orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
-    return kept.withColumn("_off", F.coalesce(F.sum(F.size("items")).over(w), F.lit(0)))
+            .drop("_last")
+            .withColumn("_n", F.coalesce(F.size("items"), F.lit(0)).cast("long")))
+    # offset of a page = items on the earlier pages of its list: a
+    # distributed running sum, so a very long list is not one task
+    offsets = running_sum_by_range(kept.select(*k, "page_no", "_n"),
+                                   [F.col("page_no").asc()], "_n", k, "_cum")
+    return (kept.join(offsets.select(*k, "page_no", (F.col("_cum") - F.col("_n")).alias("_off")),
+                      [*k, "page_no"])
+            .drop("_n"))
 
 
 def flatten_ranked_artists(pages: DataFrame, scope=(), list_col: str = "list") -> DataFrame:
