@@ -3,17 +3,21 @@
 A page row is (scope..., list, page_no, next, items).  Pages are read in
 ``page_no`` order and reading stops at the first page whose ``next`` is
 NULL; the 1-based list position is the index in the concatenated items.
-Offsets come from a distributed running sum of page sizes over page rows
-(one row per page, not per item), then items are exploded with
-``posexplode``.
+Offsets come from a running sum of page sizes over page rows (one row
+per page, not per item) - a per-list window under a counted bound, a
+distributed range-based running sum beyond it - then items are exploded
+with ``posexplode``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from encore.operators.ranking import running_sum_by_range
+from encore.session import materialise
+
+SMALL_PAGES = 1_000_000   # page rows handled by a per-list window (checked by count)
 
 
 def _kept_pages(pages: DataFrame, scope, list_col: str) -> DataFrame:
@@ -24,8 +28,14 @@ def _kept_pages(pages: DataFrame, scope, list_col: str) -> DataFrame:
             .where(F.col("_last").isNull() | (F.col("page_no") <= F.col("_last")))
             .drop("_last")
             .withColumn("_n", F.coalesce(F.size("items"), F.lit(0)).cast("long")))
-    # offset of a page = items on the earlier pages of its list: a
-    # distributed running sum, so a very long list is not one task
+    # offset of a page = items on the earlier pages of its list.  Page rows
+    # are 1/PAGE_SIZE of the items; up to SMALL_PAGES of them (a counted
+    # bound) a window per list is fine, beyond it a distributed running sum
+    # keeps a very long list out of a single task.
+    kept = materialise(kept, "kept-pages")
+    if kept.count() <= SMALL_PAGES:
+        w = Window.partitionBy(*k).orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
+        return kept.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
     offsets = running_sum_by_range(kept.select(*k, "page_no", "_n"),
                                    [F.col("page_no").asc()], "_n", k, "_cum")
     return (kept.join(offsets.select(*k, "page_no", (F.col("_cum") - F.col("_n")).alias("_off")),

@@ -159,3 +159,10 @@ def test_strict_flatten_raises_on_missing_field(spark):
     assert ok == 6                                   # lenient: address NULL for event 3
     with pytest.raises(Exception, match="event field missing"):
         er.flatten_events(responses(spark), strict=True).collect()
+
+
+def test_page_offsets_distributed_path(spark, monkeypatch):
+    exp = sorted(tuple(r) for r in rp.flatten_ranked_artists(artist_pages(spark)).collect())
+    monkeypatch.setattr(rp, "SMALL_PAGES", 0)
+    got = sorted(tuple(r) for r in rp.flatten_ranked_artists(artist_pages(spark)).collect())
+    assert got == exp
