@@ -218,6 +218,11 @@ def features(plays: DataFrame, scope=(), artist=ARTIST, album=ALBUM, track=TRACK
              skipped="skipped", materialise: bool = True) -> DataFrame:
     """PIPE1: the wide per-artist feature table (F7), one row per artist.
 
+    ``materialise=True`` (default) checkpoints the rollup once: right when
+    the plays are expensive to re-read (JSON, joins).  For a columnar play
+    table ``False`` is cheaper at scale: each branch then scans only its
+    own columns with map-side aggregation and nothing is written.
+
     Four two-level aggregates over the rollup: (artist, track) gives play
     counts, the three rates and distinct tracks; (artist, album) gives
     distinct and multi-track albums; (artist, month) the consistency;

@@ -45,11 +45,18 @@ def _empty(spark: SparkSession, schema: T.StructType, scope_fields) -> DataFrame
 
 def run(spark: SparkSession, plays: DataFrame, artist_pages: DataFrame | None = None,
         track_pages: DataFrame | None = None, responses: DataFrame | None = None,
-        scope=(), as_of: str | None = None, top_n: int = TOP_ARTISTS) -> dict[str, DataFrame]:
-    """The whole pipeline as DataFrames (nothing is written here)."""
+        scope=(), as_of: str | None = None, top_n: int = TOP_ARTISTS,
+        materialise_rollup: bool = True) -> dict[str, DataFrame]:
+    """The whole pipeline as DataFrames (nothing is written here).
+
+    ``materialise_rollup``: keep True when the plays are expensive to
+    re-read (JSON exports, joins); for a columnar play table False lets
+    each feature branch scan only its own columns instead of writing the
+    rollup to the checkpoint folder.
+    """
     scope = list(scope)
     sf = [plays.schema[c] for c in scope]
-    features = feat.features(plays, scope=scope)
+    features = feat.features(plays, scope=scope, materialise=materialise_rollup)
     scores = superfan_scores(features, scope=scope)
     ap = artist_pages if artist_pages is not None else _empty(spark, ARTIST_PAGE_SCHEMA, sf)
     tp = track_pages if track_pages is not None else _empty(spark, TRACK_PAGE_SCHEMA, sf)
@@ -127,7 +134,9 @@ def main(argv=None, stop_session: bool = True) -> None:
     pages = _read(spark, a.artist_pages, ARTIST_PAGE_SCHEMA, sf) if a.artist_pages else None
     tpages = _read(spark, a.track_pages, TRACK_PAGE_SCHEMA, sf) if a.track_pages else None
     resp = _read(spark, a.responses, RESPONSE_SCHEMA, []) if a.responses else None
-    out = run(spark, plays, pages, tpages, resp, a.scope, a.as_of)
+    # parquet plays are cheap to re-read column by column; JSON is parsed once
+    out = run(spark, plays, pages, tpages, resp, a.scope, a.as_of,
+              materialise_rollup=(a.plays_format == "json"))
     write_outputs(out, a.out.rstrip("/"), a.scope)
     if stop_session:
         spark.stop()
