@@ -160,3 +160,10 @@ def test_approx_distinct_counts_close(spark):
     assert exact["num_unique_songs_for_artist"] == 40 and exact["unique_albums_for_artist"] == 7
     assert abs(approx["num_unique_songs_for_artist"] - 40) <= 2
     assert abs(approx["unique_albums_for_artist"] - 7) <= 1
+
+
+def test_features_same_with_or_without_materialised_rollup(spark):
+    plays = plays_df(spark, edge_rows())
+    a = sorted(tuple(r) for r in feat.features(plays, materialise=True).collect())
+    b = sorted(tuple(r) for r in feat.features(plays, materialise=False).collect())
+    assert a == b
