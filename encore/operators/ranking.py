@@ -44,9 +44,12 @@ def range_sorted(df: DataFrame, order, scope=(), num_partitions: int | None = No
 
     Adds ``_mid`` (monotonic id) and ``_pid`` (range partition index).
     """
-    n = num_partitions or _parts(df)
     keys = [*_as_cols(scope), *_as_cols(order)]
-    r = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    # without an explicit count AQE may merge adjacent ranges of a small
+    # input (still range-partitioned); ids are assigned after that, once
+    ranged = (df.repartitionByRange(num_partitions, *keys) if num_partitions
+              else df.repartitionByRange(*keys))
+    r = (ranged.sortWithinPartitions(*keys)
          .withColumn("_mid", F.monotonically_increasing_id()))
     r = materialise(r, "range-sorted")
     return r.withColumn("_pid", F.shiftright("_mid", _PART_BITS))
