@@ -290,13 +290,17 @@ def previous_play(plays: DataFrame, scope=(), artist=ARTIST, ts="ts",
     seg = seg.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*k).orderBy("_pid")))
     joined = local.join(seg.select(*k, "_pid", "_carry"), [*k, "_pid"], "left")
     first_prev = F.coalesce(F.col("_prev"), F.col("_carry"))
-    # Re-expand each distinct time to its plays in chunks of at most
-    # ``tie_chunk`` rows: a hot (artist, ts) never builds one huge array, and
-    # its chunks are spread over tasks before the rows are generated.
-    chunks = (joined.select(*k, ts, first_prev.alias("_first_prev"), "_c",
-                            F.explode(F.sequence(F.lit(0), F.floor((F.col("_c") - 1) / tie_chunk)
-                                                 .cast("long"))).alias("_chunk"))
-              .repartition(*k, ts, "_chunk"))
+    # Re-expand each distinct time to its plays.  Every array holds at most
+    # ``tie_chunk`` rows: when some (artist, ts) has more plays than that
+    # (checked on the materialised distinct table), it is cut into chunks
+    # that are spread over tasks before the rows are generated.
+    base = joined.select(*k, ts, first_prev.alias("_first_prev"), "_c")
+    if (r.agg(F.max("_c")).first()[0] or 0) > tie_chunk:
+        chunks = (base.select("*", F.explode(F.sequence(
+            F.lit(0), F.floor((F.col("_c") - 1) / tie_chunk).cast("long"))).alias("_chunk"))
+                  .repartition(*k, ts, "_chunk"))
+    else:
+        chunks = base.withColumn("_chunk", F.lit(0).cast("long"))
     lo = F.col("_chunk") * tie_chunk + 1
     hi = F.least(F.col("_c"), (F.col("_chunk") + 1) * tie_chunk)
     out = (chunks.select(*k, ts, "_first_prev", F.explode(F.sequence(lo, hi)).alias("_i"))
