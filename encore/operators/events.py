@@ -188,8 +188,9 @@ def match_events(artists: DataFrame, catalogue: DataFrame, artist_col: str = "ar
     # frequencies and candidates)
     cat = materialise(cat.withColumnRenamed("artist_name", "event_name"), "match-catalogue")
     scope = list(scope)
-    arts = artists.select(*scope, F.col(artist_col).alias("searched_artist"),
-                          F.col(rank_col).alias("artist_rank"))
+    # the artist list is read twice (names to match, pairs to join back)
+    arts = materialise(artists.select(*scope, F.col(artist_col).alias("searched_artist"),
+                                      F.col(rank_col).alias("artist_rank")), "artists")
     # Each distinct name is matched and capped once, whatever the number of
     # listeners whose lists hold it; the (listener, artist) pairs join back
     # afterwards (a name on many lists is a skewed key there, which AQE's
