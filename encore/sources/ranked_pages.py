@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from encore.operators.ranking import running_sum_by_range
+from encore.session import materialise
 
 SMALL_PAGES = 1_000_000   # page rows handled by a per-list window (checked by count)
 
@@ -31,6 +32,8 @@ def _kept_pages(pages: DataFrame, scope, list_col: str) -> DataFrame:
     # are 1/PAGE_SIZE of the items; up to SMALL_PAGES of them (a counted
     # bound) a window per list is fine, beyond it a distributed running sum
     # keeps a very long list out of a single task.
+    # written once: the size check and the result both read it
+    kept = materialise(kept, "kept-pages")
     if kept.count() <= SMALL_PAGES:
         w = Window.partitionBy(*k).orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
         return kept.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
