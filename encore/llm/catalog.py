@@ -82,3 +82,25 @@ SELECT page_id, host, path,
        coalesce((SELECT v FROM rules WHERE (host = h OR ends_with(host, '.' || h))
           AND starts_with(path, p) ORDER BY length(h || p) DESC, length(h) DESC LIMIT 1), 'allow') AS verdict
 FROM u"""
+
+
+@register("op3_chunk_fingerprints")
+def op3(spark, sf_dir):
+    """Chunk fingerprints of every document and its edited text, with likenesses."""
+    from encore.llm import cdc
+    return cdc.edited_pairs(read_table(spark, sf_dir, "documents"))
+
+
+@register("op8_embedding_dedup")
+def op8(spark, sf_dir):
+    """Cosine links of at least 0.93 between all vectors of a label, and components."""
+    from encore.llm import embed_dedup
+    return embed_dedup.embedding_components(read_table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
+@register("op9_poisson_mix")
+def op9(spark, sf_dir):
+    """The mixed corpus: sources weighted by the square root of their size, every
+    document repeated as drawn, in the global shuffle order."""
+    from encore.llm import mixing
+    return mixing.mix(read_table(spark, sf_dir, "documents"), alpha=0.5, seed=42)
