@@ -104,3 +104,16 @@ def op9(spark, sf_dir):
     document repeated as drawn, in the global shuffle order."""
     from encore.llm import mixing
     return mixing.mix(read_table(spark, sf_dir, "documents"), alpha=0.5, seed=42)
+
+
+@register("op4_byte_bpe")
+def op4(spark, sf_dir):
+    """Token ids of every document and the text decoded from them, as digests."""
+    import public_tokenizers
+
+    from encore.llm import bpe
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return (bpe.encode(docs, ranks, public_tokenizers.PATTERN)
+            .select("doc_id", "n_tokens", "ids_sha256",
+                    F.sha2(bpe.decode_ids(F.col("ids"), ranks), 256).alias("decoded_sha256")))
