@@ -117,3 +117,25 @@ def op4(spark, sf_dir):
     return (bpe.encode(docs, ranks, public_tokenizers.PATTERN)
             .select("doc_id", "n_tokens", "ids_sha256",
                     F.sha2(bpe.decode_ids(F.col("ids"), ranks), 256).alias("decoded_sha256")))
+
+
+@register("op2_warc_index")
+def op2(spark, sf_dir):
+    """Write all pages as WARC records with a capture index, find every page's capture
+    through the index and read the records back."""
+    from encore.llm import warc
+    from encore.sources.sinks import scratch_path
+    pages = read_table(spark, sf_dir, "pages")
+    path = scratch_path(spark, "warc")
+    archive = warc.write_archive(pages, path)
+    return warc.read_records(warc.lookup(pages.select("url", "page_id"), archive, path), path)
+
+
+ORACLE["op2_warc_index"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest FROM p),
+f AS (SELECT payload_digest AS g, min(page_id) AS first_id FROM d WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first_id < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first_id < page_id THEN first_id END AS refers_to
+FROM d LEFT JOIN f ON g = payload_digest"""
