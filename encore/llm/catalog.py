@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from encore.sources.tables import read_table
 
 QUERIES = {}
@@ -139,3 +140,22 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN first_id < page_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN first_id < page_id THEN first_id END AS refers_to
 FROM d LEFT JOIN f ON g = payload_digest"""
+
+
+@register("op7_katz_lm")
+def op7(spark, sf_dir):
+    """Katz backoff score of every document; a tenth of the ids is held out."""
+    from encore.llm import katz
+    docs = read_table(spark, sf_dir, "documents")
+    rest = F.pmod(id_crc(), F.lit(10))
+    return katz.score(docs, train=rest != 0, held_out=rest == 0)
+
+
+@register("pipeline")
+def pipeline(spark, sf_dir):
+    """The corpus pipeline over all documents."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
