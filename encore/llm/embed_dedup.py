@@ -169,13 +169,12 @@ def block_links(cosine: float):
             for i in np.flatnonzero(near.any(axis=1)):
                 js = np.flatnonzero(near[i])
                 me = find(at + i)
-                for j in np.unique(root[len(a) + js]):
+                for j, first in zip(*np.unique(root[len(a) + js], return_index=True)):
                     other = find(j)
-                    if other != me:
+                    if other != me:  # the first partner there stands for the merge
                         root[other] = me
-                        # any partner under that root stands for the merge
                         left.append(rows[i])
-                        right.append(b[js[root[len(a) + js] == j][0]])
+                        right.append(b[js[first]])
         hit = np.flatnonzero(n)
         return pa.table({
             "h1": pa.array(np.concatenate([h1[a][hit], h1[left] if left else np.array([], np.int64)])),

@@ -205,8 +205,8 @@ def send(ids, head, logs, counts: Counts):
             word = w != UNK
             sums = [pa.array(doc_id, pa.int64()), pa.array(held, pa.bool_()), pa.array(lens),
                     pa.array(np.bincount(doc, word & known_id[w], docs).astype(np.int64)),
-                    pa.array(np.bincount(doc, np.where(word, base[w], 0), docs)),
-                    pa.array(np.bincount(d[done], term[done], docs)),
+                    pa.array(np.bincount(doc, np.where(word, base[w], 0), docs).astype(float)),
+                    pa.array(np.bincount(d[done], term[done], docs).astype(float)),
                     *[pa.array(np.bincount(d, np.where(c == i, n, 0), docs).astype(np.int32))
                       for i in range(1, K + 1)]]
             yield out(-1 - rid, rid, np.zeros(docs, np.int64),
