@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from encore.constants import MONTH_FORMAT, DIGEST_DATE_FORMAT
+from encore.constants import DIGEST_DATE_FORMAT, MONTH_FORMAT, WHITE_SPACE
 
 
 def col_(c) -> Column:
@@ -33,8 +36,9 @@ def ratio(num, den) -> Column:
 
 
 def strip_ws(c) -> Column:
-    """SCL15: remove all leading/trailing whitespace (``trim`` only strips spaces)."""
-    return F.regexp_replace(col_(c), r"^\s+|\s+$", "")
+    """SCL15: remove all leading/trailing Unicode whitespace, no-break spaces
+    included (``trim`` only strips spaces)."""
+    return F.regexp_replace(col_(c), rf"^{WHITE_SPACE}+|{WHITE_SPACE}+$", "")
 
 
 def split_first(c, pattern: str) -> Column:
@@ -47,15 +51,6 @@ def long_date(d) -> Column:
     return F.date_format(col_(d), DIGEST_DATE_FORMAT)
 
 
-def weighted_sum(weights: dict[str, float]) -> Column:
-    """SCL7-SCL10: NULL-propagating weighted sum, summed in the given order."""
-    expr = None
-    for name, w in weights.items():
-        term = F.lit(w) * F.col(name)
-        expr = term if expr is None else expr + term
-    return expr
-
-
 def html_escape(c) -> Column:
     """SCL18 helper: escape ``& < > "`` for HTML text and attributes."""
     x = col_(c)
@@ -64,9 +59,26 @@ def html_escape(c) -> Column:
     return x
 
 
+def named_entities() -> dict[str, str]:
+    """Entity name (without ``;``) -> text, from the standard library's HTML table."""
+    return {k[:-1]: v for k, v in html5.items() if k.endswith(";")}
+
+
 def html_unescape(c) -> Column:
-    """Decode the basic named entities of element text (``&amp;`` last)."""
+    """Decode the named and numeric character references of element text, each once
+    (``&amp;lt;`` gives ``&lt;``); unknown ones stay as they are."""
+    names = F.from_json(F.lit(json.dumps(named_entities())), "map<string,string>")
+
+    def decoded(piece):
+        ref = F.regexp_extract(piece, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+        code = (F.when(ref.rlike("^#[xX]"), F.conv(F.substring(ref, 3, 6), 16, 10))
+                .when(ref.startswith("#"), F.substring(ref, 2, 7)).cast("int"))
+        valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        char = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        text = F.when(ref.startswith("#"), char).when(ref != "", F.try_element_at(names, ref))
+        return F.coalesce(F.concat(text, piece.substr(F.length(ref) + 2, F.length(piece))), F.concat(F.lit("&"), piece))
+
     x = col_(c)
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        x = F.replace(x, F.lit(a), F.lit(b))
-    return x
+    pieces = F.split(x, "&")
+    rest = F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), decoded)
+    return F.when(x.contains("&"), F.concat(F.get(pieces, F.lit(0)), F.array_join(rest, ""))).otherwise(x)

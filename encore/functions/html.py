@@ -49,7 +49,7 @@ def card(escape: bool = True) -> Column:
     return render(DIGEST_CARD, escape)
 
 
-CARD_JOINER = DIGEST_DIVIDER + DIGEST_CARD_END
+CARD_JOINER = DIGEST_CARD_END + DIGEST_DIVIDER
 
 
 def document(cards: Column, date_text: Column) -> Column:

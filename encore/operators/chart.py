@@ -8,6 +8,8 @@ names.  Every step is per page and bounded by the page's item count.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,13 @@ from encore.functions.columns import html_unescape, split_first, strip_ws
 from encore.operators.ranking import ordered_distinct, top_k_per_group
 
 
+def class_pattern(name: str) -> str:
+    """SRC8: pattern (group 1) of the text of ``<li>`` elements, or of links in them,
+    whose ``class`` attribute holds the given class."""
+    own = rf"class\s*=\s*[\"'](?:[^\"']*\s)?{re.escape(name)}(?:\s[^\"']*)?[\"']"
+    return rf"(?s)<li(?:\s[^>]*{own}[^>]*>|[^>]*>\s*<a\s[^>]*{own}[^>]*>)(.*?)</li>"
+
+
 def element_texts(pages: DataFrame, pattern: str = CHART_ITEM_PATTERN, key: str = "page_id",
                   html_col: str = "html") -> DataFrame:
     """SRC8 + SCL15: (key, position, text) for every element matched by
