@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from encore.constants import (ALBUM, ARTIST, COMPLETED_REASON, INTENTIONAL_REASONS,
                               PLAY_COLUMNS, REVISIT_GAP_DAYS, TRACK)
 from encore.functions.columns import day_gap, flag, month_key, ratio
-from encore.operators.ranking import range_sorted
+from encore.operators.ranking import range_sorted, require_scope
 from encore.session import materialise as materialise_df
 
 
@@ -198,7 +198,7 @@ def play_rollup(plays: DataFrame, scope=(), artist=ARTIST, album=ALBUM, track=TR
     Every PIPE1 feature is derivable from these rows; the shuffle that
     builds them carries map-side-combined rows only.
     """
-    return (drop_podcasts(plays, artist)
+    return (drop_podcasts(require_scope(plays, scope), artist)
             .groupBy(*scope, artist, F.to_date(ts).alias("day"), album, track)
             .agg(F.count(F.lit(1)).alias("n_plays"),
                  F.sum(intentional_flag(reason_start)).alias("n_intent"),

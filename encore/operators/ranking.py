@@ -39,11 +39,21 @@ def _as_cols(cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
+def require_scope(df: DataFrame, scope) -> DataFrame:
+    """``df`` with a check on its scope columns: a NULL fails the job, since joins on
+    the scope would drop the row without a word."""
+    if not scope:
+        return df
+    return df.withColumns({c: F.when(F.col(c).isNull(), F.raise_error(F.lit(f"NULL in scope column {c}")))
+                           .otherwise(F.col(c)) for c in scope})
+
+
 def range_sorted(df: DataFrame, order, scope=(), num_partitions: int | None = None) -> DataFrame:
     """Range-partitioned, sorted, id-tagged copy of ``df``, materialised once.
 
     Adds ``_mid`` (monotonic id) and ``_pid`` (range partition index).
     """
+    df = require_scope(df, scope)
     keys = [*_as_cols(scope), *_as_cols(order)]
     # without an explicit count AQE may merge adjacent ranges of a small
     # input (still range-partitioned); ids are assigned after that, once
@@ -76,10 +86,10 @@ def _segment_offsets(r: DataFrame, scope, weight: str | None) -> DataFrame:
     # With a scope the table follows the number of scopes (each scope spans
     # at most #partitions rows of the window): broadcast under a checked
     # size, sort-merge joined on (scope, partition) beyond it.
-    return _broadcast_if_small(seg.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))))
+    return broadcast_if_small(seg.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))))
 
 
-def _broadcast_if_small(df: DataFrame) -> DataFrame:
+def broadcast_if_small(df: DataFrame) -> DataFrame:
     """Broadcast ``df`` if it has at most BROADCAST_ROWS rows (counted; ``df``
     is a cheap aggregate over a checkpointed input, so it is not stored)."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -204,7 +214,7 @@ def presence_score(ranked: DataFrame, rank: str, scope=(), out: str = "api_prese
     scope = list(scope)
     if scope:
         totals = ranked.groupBy(*scope).agg(F.count(F.lit(1)).alias("_total"))
-        joined = ranked.join(totals, scope, "left")
+        joined = ranked.join(broadcast_if_small(totals), scope, "left")
     else:
         n = ranked.count()
         joined = ranked.withColumn("_total", F.lit(n).cast("long"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from encore.constants import DROPPED_FEATURES
+from encore.operators.ranking import broadcast_if_small
 
 
 def numeric_columns(df: DataFrame, exclude=()) -> list[str]:
@@ -73,7 +74,7 @@ def max_normalise(df: DataFrame, col: str, out: str, scope=()) -> DataFrame:
     if not scope:
         m = stats.first()["_max"]
         return df.withColumn(out, F.try_divide(F.col(col).cast("double"), F.lit(m).cast("double")))
-    return (df.join(stats, list(scope), "left")
+    return (df.join(broadcast_if_small(stats), list(scope), "left")
             .withColumn(out, F.try_divide(F.col(col).cast("double"), F.col("_max")))
             .drop("_max"))
 

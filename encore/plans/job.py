@@ -75,12 +75,27 @@ def run(spark: SparkSession, plays: DataFrame, artist_pages: DataFrame | None =
             "events": events, "errors": event_responses.error_responses(rs), "digests": docs}
 
 
+#: Names that one digest document may be made from.
+MAX_NAMES = 10_000
+#: Column of a names list that sorts as its rows stand (``sinks.read_csv``).
+ROW_ORDER = "_row_order"
+
+
 def run_names(spark: SparkSession, names: DataFrame, responses: DataFrame | None = None,
-              as_of: str | None = None, name_col: str = "artist_name") -> dict[str, DataFrame]:
+              as_of: str | None = None, name_col: str = "artist_name",
+              order: list[str] | None = None) -> dict[str, DataFrame]:
     """The chart-seeded flow: a list of names (e.g. the chart CSV) instead of a
-    listening history; the list order is the artist rank."""
-    ranked = row_number_by_range(names.withColumn("_order", F.monotonically_increasing_id()),
-                                 [F.col("_order").asc()], out="artist_rank")
+    listening history.  The artist rank follows ``order``: ``chart_position`` where the
+    list has it, else the rows' places in their files (ROW_ORDER), else the name.  A name keeps its best place; at most MAX_NAMES names are taken,
+    since the digest is one document."""
+    if order is None:
+        order = [c for c in ("chart_position", ROW_ORDER) if c in names.columns][:1]
+    one = names.where(F.col(name_col).isNotNull()).groupBy(name_col).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.min(c).alias(c) for c in order])
+    if one.limit(MAX_NAMES + 1).count() > MAX_NAMES:
+        raise ValueError(f"more than {MAX_NAMES} names")
+    ranked = row_number_by_range(one, [*[F.col(c).asc_nulls_last() for c in order],
+                                       F.col(name_col).asc()], out="artist_rank")
     top = ranked.select(F.col(name_col).alias("artist_name"), "artist_rank")
     rs = responses if responses is not None else _empty(spark, RESPONSE_SCHEMA, [])
     catalogue = event_responses.flatten_events(rs, keep_catalogue=True)
@@ -115,9 +130,13 @@ def main(argv=None, stop_session: bool = True) -> None:
     p.add_argument("--out", required=True)
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("encore-job").getOrCreate()
+    spark.conf.set("spark.sql.session.timeZone", "UTC")  # month keys and day gaps are UTC's
     if a.artists_csv:
         resp = _read(spark, a.responses, RESPONSE_SCHEMA, []) if a.responses else None
-        out = run_names(spark, sinks.read_csv(spark, a.artists_csv), resp, a.as_of)
+        names = sinks.read_csv(spark, a.artists_csv, None, ROW_ORDER)
+        if "chart_position" in names.columns:
+            names = names.withColumn("chart_position", F.col("chart_position").cast("long"))
+        out = run_names(spark, names, resp, a.as_of)
         write_outputs(out, a.out.rstrip("/"))
         if stop_session:
             spark.stop()

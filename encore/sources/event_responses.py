@@ -33,6 +33,15 @@ def ok_responses(parsed: DataFrame) -> DataFrame:
     return parsed.where((F.col("status") == 200) & F.col("_doc._embedded").isNotNull())
 
 
+def unreadable_responses(responses: DataFrame) -> DataFrame:
+    """SRC7: what is neither a result nor an API error: no status, or status 200 with a
+    body that is not JSON, as (query, status, reason)."""
+    reason = (F.when(F.col("status").isNull(), F.lit("no status"))
+              .when((F.col("status") == 200) & (F.col("body").isNull() | F.try_parse_json("body").isNull()),
+                    F.lit("body is not JSON")))
+    return responses.select("query", "status", reason.alias("reason")).where("reason IS NOT NULL")
+
+
 def error_responses(responses: DataFrame) -> DataFrame:
     """SRC7: the error lines: every non-200 response as (query, status, message)."""
     return (responses.where(F.col("status") != 200)

@@ -3,45 +3,38 @@
 A page row is (scope..., list, page_no, next, items).  Pages are read in
 ``page_no`` order and reading stops at the first page whose ``next`` is
 NULL; the 1-based list position is the index in the concatenated items.
-Offsets come from a running sum of page sizes over page rows (one row
-per page, not per item) - a per-list window under a counted bound, a
-distributed range-based running sum beyond it - then items are exploded
-with ``posexplode``.
+A page that was fetched more than once (equal list and page_no) is read
+once (the least items, if they differ); a NULL list or scope is a list of
+its own.  Offsets are a distributed running sum over page sizes (one
+narrow row per page, never the items), joined back on (list, page_no);
+then items are exploded with ``posexplode``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from encore.operators.ranking import running_sum_by_range
+from encore.operators.ranking import broadcast_if_small, running_sum_by_range
 from encore.session import materialise
 
-SMALL_PAGES = 1_000_000   # page rows handled by a per-list window (checked by count)
-
 
 def _kept_pages(pages: DataFrame, scope, list_col: str) -> DataFrame:
     k = [*scope, list_col]
-    last = (pages.where(F.col("next").isNull())
-            .groupBy(*k).agg(F.min("page_no").alias("_last")))
-    kept = (pages.join(last, k, "left")
-            .where(F.col("_last").isNull() | (F.col("page_no") <= F.col("_last")))
-            .drop("_last")
-            .withColumn("_n", F.coalesce(F.size("items"), F.lit(0)).cast("long")))
-    # offset of a page = items on the earlier pages of its list.  Page rows
-    # are 1/PAGE_SIZE of the items; up to SMALL_PAGES of them (a counted
-    # bound) a window per list is fine, beyond it a distributed running sum
-    # keeps a very long list out of a single task.
-    # written once: the size check and the result both read it
-    kept = materialise(kept, "kept-pages")
-    if kept.count() <= SMALL_PAGES:
-        w = Window.partitionBy(*k).orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
-        return kept.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
-    offsets = running_sum_by_range(kept.select(*k, "page_no", "_n"),
-                                   [F.col("page_no").asc()], "_n", k, "_cum")
-    return (kept.join(offsets.select(*k, "page_no", (F.col("_cum") - F.col("_n")).alias("_off")),
-                      [*k, "page_no"])
-            .drop("_n"))
+    # a struct is equal to itself even where its fields are NULL
+    one = (pages.groupBy(F.struct(*k).alias("_list"), "page_no")
+           .agg(F.min("next").alias("next"), F.count("next").alias("_more"),
+                F.count(F.lit(1)).alias("_copies"), F.min("items").alias("items")))
+    one = materialise(one, "list-pages")
+    last = (one.where(F.col("_more") < F.col("_copies"))
+            .groupBy(F.col("_list").alias("_l")).agg(F.min("page_no").alias("_last")))
+    kept = (one.join(broadcast_if_small(last), F.col("_list") == F.col("_l"), "left")
+            .where(F.col("_last").isNull() | (F.col("page_no") <= F.col("_last"))))
+    sizes = kept.select("_list", "page_no",
+                        F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("_n"))
+    offsets = running_sum_by_range(sizes, [F.col("page_no").asc()], "_n", ["_list"], "_cum")
+    offsets = offsets.select("_list", "page_no", (F.col("_cum") - F.col("_n")).alias("_off"))
+    return kept.join(offsets, ["_list", "page_no"]).select("_list.*", "_off", "items")
 
 
 def flatten_ranked_artists(pages: DataFrame, scope=(), list_col: str = "list") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from encore.schemas import CHART_CSV_SCHEMA
 from encore.session import ensure_checkpoint_dir
@@ -34,10 +35,21 @@ def write_csv(df: DataFrame, path: str, columns=None, mode: str = "overwrite") -
     return path
 
 
-def read_csv(spark: SparkSession, path: str, schema=CHART_CSV_SCHEMA) -> DataFrame:
-    """SRC3: CSV with a header row and quoted fields that contain commas."""
-    return (spark.read.schema(schema).option("header", True).option("quote", '"')
-            .option("escape", '"').option("multiLine", True).csv(path))
+def read_csv(spark: SparkSession, path: str, schema=CHART_CSV_SCHEMA,
+             row_order: str | None = None) -> DataFrame:
+    """SRC3: CSV with a header row and quoted fields that contain commas.  Columns
+    are taken by their header names, whatever their order; a column of ``schema``
+    that the file lacks is an error, and without a schema all are read as text.
+    ``row_order`` names a column that sorts as the rows stand: by file name, then
+    by place in the file."""
+    raw = (spark.read.option("header", True).option("quote", '"')
+           .option("escape", '"').option("multiLine", True).csv(path))
+    cols = ([F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields]
+            if schema is not None else [F.col(f"`{c}`") for c in raw.columns])
+    if row_order:
+        cols.append(F.struct(F.col("_metadata.file_name"), F.monotonically_increasing_id().alias("row"))
+                    .alias(row_order))
+    return raw.select(*cols)
 
 
 def write_digests(docs: DataFrame, path: str, scope=(), mode: str = "overwrite") -> str:

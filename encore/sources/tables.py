@@ -23,7 +23,7 @@ def preview(df: DataFrame, n: int = 5, order=None) -> DataFrame:
 
 
 def read_play_history(spark: SparkSession, paths, schema=PLAY_SCHEMA,
-                      multi_line: bool = True) -> DataFrame:
+                      multi_line: bool = True, mode: str = "FAILFAST") -> DataFrame:
     """SRC1 + SET1: scan JSON-array export files with a declared schema.
 
     Columns missing from a file come back NULL and extra columns are
@@ -31,11 +31,12 @@ def read_play_history(spark: SparkSession, paths, schema=PLAY_SCHEMA,
     per-file inference pass.  Timestamps with a ``Z`` suffix parse as UTC
     instants (``timestamp``, not ``timestamp_ntz``).  ``multi_line=True``
     reads files that each hold one JSON array (the export format);
-    ``False`` reads JSON Lines.
+    ``False`` reads JSON Lines.  A file that is not valid JSON fails the
+    read; ``mode="PERMISSIVE"`` reads its broken records as all-NULL rows.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     return (spark.read.schema(schema).option("multiLine", multi_line)
-            .option("mode", "PERMISSIVE").json(paths)
+            .option("mode", mode).json(paths)
             .select(*PLAY_COLUMNS))
 
 
@@ -48,11 +49,3 @@ def union_exports(frames, dedupe: bool = False) -> DataFrame:
     out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     return out.dropDuplicates() if dedupe else out
 
-
-def typed_plays(df: DataFrame) -> DataFrame:
-    """PRJ1 with the declared column types (casts only where needed)."""
-    cols = []
-    for f in PLAY_SCHEMA.fields:
-        c = F.col(f.name) if f.name in df.columns else F.lit(None)
-        cols.append(c.cast(f.dataType).alias(f.name))
-    return df.select(*cols)

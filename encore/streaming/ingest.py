@@ -15,22 +15,26 @@ from pyspark.sql import functions as F
 
 from encore.constants import PLAY_COLUMNS
 from encore.schemas import PLAY_SCHEMA
-from encore.sources.sinks import scratch_path
 
 
 def ingest_exports(spark: SparkSession, source_dir: str, table_path: str,
-                   checkpoint_location: str | None = None, schema=PLAY_SCHEMA,
-                   multi_line: bool = True, max_files_per_trigger: int | None = None) -> int:
+                   checkpoint_location: str, schema=PLAY_SCHEMA, multi_line: bool = True,
+                   max_files_per_trigger: int | None = None, scope=()) -> int:
     """Append the not-yet-seen export files under ``source_dir`` to the play
-    table at ``table_path``; returns the number of micro-batches run."""
-    ckpt = checkpoint_location or scratch_path(spark, "ingest-ckpt")
-    reader = spark.readStream.schema(schema).option("multiLine", multi_line)
+    table at ``table_path``; returns the number of micro-batches run.
+
+    ``checkpoint_location`` belongs to the table: every run must name the
+    same one, or the sink takes the run's batches for ones it has.  Columns
+    of ``schema`` that ``scope`` names (the listener) are kept beside the
+    play columns.  A file that is not valid JSON fails the run."""
+    reader = (spark.readStream.schema(schema).option("multiLine", multi_line)
+              .option("mode", "FAILFAST"))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    plays = (reader.json(source_dir).select(*PLAY_COLUMNS)
+    plays = (reader.json(source_dir).select(*scope, *PLAY_COLUMNS)
              .withColumn("year", F.year("ts")).withColumn("month", F.month("ts")))
     q = (plays.writeStream.format("parquet").outputMode("append")
-         .option("path", table_path).option("checkpointLocation", ckpt)
+         .option("path", table_path).option("checkpointLocation", checkpoint_location)
          .partitionBy("year", "month").trigger(availableNow=True).start())
     q.awaitTermination()
     return len(q.recentProgress)

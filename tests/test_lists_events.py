@@ -161,8 +161,28 @@ def test_strict_flatten_raises_on_missing_field(spark):
         er.flatten_events(responses(spark), strict=True).collect()
 
 
-def test_page_offsets_distributed_path(spark, monkeypatch):
-    exp = sorted(tuple(r) for r in rp.flatten_ranked_artists(artist_pages(spark)).collect())
-    monkeypatch.setattr(rp, "SMALL_PAGES", 0)
-    got = sorted(tuple(r) for r in rp.flatten_ranked_artists(artist_pages(spark)).collect())
-    assert got == exp
+def test_repeated_pages_and_null_lists(spark):
+    rows = [("a", 1, "n", [{"name": "x"}, {"name": "y"}]), ("a", 1, "n", [{"name": "x"}, {"name": "y"}]),
+            ("a", 2, None, [{"name": "z"}]), ("a", 3, None, [{"name": "beyond"}]),
+            (None, 1, "n", [{"name": "p"}]), (None, 2, None, [{"name": "q"}])]
+    got = rp.flatten_ranked_artists(spark.createDataFrame(rows, ARTIST_PAGE_SCHEMA))
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, [
+        ("a", 1, "x"), ("a", 2, "y"), ("a", 3, "z"), (None, 1, "p"), (None, 2, "q")]))
+
+
+def test_null_scope_is_refused(spark):
+    import pytest
+
+    from encore.operators import ranking
+    df = spark.createDataFrame([(1, 2), (None, 3)], "user_id long, v long")
+    with pytest.raises(Exception, match="NULL in scope column user_id"):
+        ranking.row_number_by_range(df, ["v"], ["user_id"]).collect()
+
+
+def test_every_response_takes_one_route(spark):
+    rows = [("q", 200, '{"_embedded": {"events": []}}'), ("q", 200, "{}"), ("q", 200, "{cut"),
+            ("q", 200, None), ("q", None, "{}"), ("q", 429, "x")]
+    df = spark.createDataFrame(rows, "query string, status int, body string")
+    assert er.error_responses(df).count() == 1
+    got = sorted((r.reason for r in er.unreadable_responses(df).collect()))
+    assert got == ["body is not JSON", "body is not JSON", "no status"]
