@@ -5,7 +5,7 @@ features share one pass per statistic instead of a Python loop of jobs.
 Exact order statistics (quartiles, average ranks) use the distributed
 range-rank primitives in ``encore.operators.ranking``, never a
 single-partition window or an in-memory percentile map per feature.
-MLlib fits (K-Means, PCA) are distributed tree aggregations; their
+The fits (K-Means rounds, MLlib's PCA) are distributed aggregations; their
 fitted models are fixed-size (k centres, d x 2 loadings).
 """
 
@@ -16,7 +16,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from encore.constants import DESCRIBE_QUANTILES, HIST_BINS, KMEANS_K, KMEANS_SEED, PCA_K
+from encore.constants import DESCRIBE_QUANTILES, HIST_BINS, KMEANS_K, KMEANS_ROUNDS, PCA_K
 from encore.operators.ranking import (average_rank, average_rank_table, join_per_value,
                                      row_number_by_range)
 from encore.operators.scaling import numeric_columns
@@ -141,21 +141,40 @@ def spearman(df: DataFrame, cols=None, scope=()) -> DataFrame:
 
 
 def kmeans_clusters(df: DataFrame, cols, key: str, score: str, k: int = KMEANS_K,
-                    seed: int = KMEANS_SEED) -> DataFrame:
-    """ML1: K-Means on the NULL->0 features; clusters relabelled 0..k-1 by
-    descending mean ``score`` so labels are stable across libraries."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
-    x = df.fillna(0, subset=list(cols))
-    vec = VectorAssembler(inputCols=list(cols), outputCol="_features").transform(x)
-    model = KMeans(k=k, seed=seed, featuresCol="_features", predictionCol="_raw").fit(vec)
-    pred = model.transform(vec).drop("_features")
-    means = pred.groupBy("_raw").agg(F.avg(score).alias("_m"))
+                    rounds: int = KMEANS_ROUNDS) -> DataFrame:
+    """ML1: K-Means on the features with NULL as 0, in separate columns: the returned
+    columns keep their NULLs.  Adds ``cluster``, 0..k-1 by descending mean ``score``.
+
+    Lloyd's rounds from fixed starting centres, spaced evenly between each feature's
+    least and greatest value, so the result depends neither on the partitioning nor
+    on a seed.  A round is one aggregate (k rows reach the driver); centres are
+    rounded to 9 places against the order of summation.  An empty cluster keeps its
+    centre; a row as near to two centres goes to the first."""
+    cols = list(cols)
+    x = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols]
+    ends = df.agg(*[f(c) for c in x for f in (F.min, F.max)]).first()
+    lo, hi = [v or 0.0 for v in ends[0::2]], [v or 0.0 for v in ends[1::2]]
+    centres = [[a + (b - a) * (2 * i + 1) / (2 * k) for a, b in zip(lo, hi)] for i in range(k)]
+
+    def nearest():
+        dist = [sum(((c - F.lit(m)) * (c - F.lit(m)) for c, m in zip(x, centre)), F.lit(0.0))
+                for centre in centres]
+        return F.array_position(F.array(*dist), F.least(*dist)).cast("int") if k > 1 else F.lit(1)
+
+    for _ in range(rounds):
+        means = df.groupBy(nearest().alias("_raw")).agg(*[F.avg(c).alias(f"_{i}") for i, c in enumerate(x)])
+        new = list(centres)
+        for row in means.collect():
+            new[row[0] - 1] = [round(v, 9) for v in row[1:]]
+        if new == centres:
+            break
+        centres = new
+    placed = df.withColumn("_raw", nearest())
+    means = placed.groupBy("_raw").agg(F.avg(score).alias("_m"))
     # k rows: bounded by the cluster count
     order = means.select("_raw", (F.row_number().over(
         Window.orderBy(F.col("_m").desc_nulls_last(), F.col("_raw"))) - 1).alias("cluster"))
-    return pred.join(F.broadcast(order), "_raw").drop("_raw")
+    return placed.join(F.broadcast(order), "_raw").drop("_raw")
 
 
 def cluster_sizes(clustered: DataFrame) -> DataFrame:
@@ -186,14 +205,17 @@ def pca_coords(df: DataFrame, cols, k: int = PCA_K, prefix: str = "PC") -> DataF
     return out
 
 
-def _chi2_sf_even(x, df: int):
-    """Upper tail of chi-square with even ``df`` (closed form)."""
-    m = df // 2
-    half = x / 2.0
-    total = F.lit(0.0)
-    for i in range(m):
-        total = total + F.pow(half, float(i)) / float(math.factorial(i))
-    return F.exp(-half) * total
+def chi2_tail(x: float | None, df: int) -> float | None:
+    """Upper tail of the chi-square distribution for any degrees of freedom (closed
+    form: a finite sum, with ``erfc`` where ``df`` is odd)."""
+    if x is None or df < 1:
+        return None
+    half, odd = x / 2, df % 2
+    total = math.erfc(math.sqrt(half)) if odd else 0.0
+    for i in range(df // 2):
+        n = i + odd / 2
+        total += math.exp(n * math.log(half) - half - math.lgamma(n + 1)) if half > 0 else float(n == 0)
+    return min(total, 1.0)
 
 
 def kruskal_wallis(df: DataFrame, group: str, cols) -> DataFrame:
@@ -201,8 +223,8 @@ def kruskal_wallis(df: DataFrame, group: str, cols) -> DataFrame:
 
     Average ranks per feature (distributed), rank sums per (feature, group),
     tie correction from the tie-group sizes.  ``p`` is the chi-square tail
-    with (groups - 1) degrees of freedom, closed form for an even count
-    (the 3-cluster case); odd counts give NULL.  All-tied features give NULL.
+    with (groups - 1) degrees of freedom.  All-tied features and a single
+    group give NULL.
     """
     long = unpivot(df, cols, keys=[group], name="feature")
     ranked = average_rank(long, "value", ["feature"], "_r")
@@ -218,8 +240,9 @@ def kruskal_wallis(df: DataFrame, group: str, cols) -> DataFrame:
     h = 12.0 / (n * (n + 1)) * F.col("_s") - 3 * (n + 1)
     c = 1 - F.col("_tt") / (F.pow(n, 3) - n)
     hc = F.when(c > 0, h / c)
-    dof = F.col("groups") - 1
-    p = F.lit(None).cast("double")
-    for d in (2, 4, 6, 8):
-        p = F.when(dof == d, _chi2_sf_even(hc, d)).otherwise(p)
-    return j.select("feature", hc.alias("statistic"), p.alias("p_value"), "groups", "N")
+    # one row per feature: the tail of each statistic is taken on the driver
+    rows = [(*r, chi2_tail(r["statistic"], r["groups"] - 1))
+            for r in j.select("feature", hc.alias("statistic"), "groups", "N").collect()]
+    return df.sparkSession.createDataFrame(
+        rows, "feature string, statistic double, groups long, N long, p_value double"
+    ).select("feature", "statistic", "p_value", "groups", "N")

@@ -9,6 +9,7 @@ cross-engine comparison only.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -275,6 +276,12 @@ def q_src7(spark, base):
     return responses.error_responses(stand_in.event_responses(spark, base))
 
 
+@register("src7_unreadable_responses")
+def q_src7_unreadable(spark, base):
+    """SRC7: responses without a status or with a body that is not JSON."""
+    return responses.unreadable_responses(stand_in.event_responses(spark, base))
+
+
 @register("jn8_category_filter")
 def q_jn8(spark, base):
     """JN8: music events in the US from the primary source."""
@@ -374,6 +381,49 @@ def q_pipe7(spark, base):
     return chart_ops.chart_seed(_pages(spark, base))
 
 
+@register("snk1_saved_features")
+def q_snk1(spark, base):
+    """SNK1: the feature table saved as a catalog table and read back by name."""
+    name = f"encore_features_{uuid.uuid4().hex}"
+    sinks.save_table(_feature_table(spark, base), name)
+    return r6(spark.table(name), ["completion_rate", "intentional_listening_rate", "skip_rate"])
+
+
+@register("snk3_view_top_artists")
+def q_snk3(spark, base):
+    """SNK3: the scores as a view that SQL reads."""
+    name = f"encore_scores_{uuid.uuid4().hex}"
+    sinks.register_view(_scores(spark, base, rank=False), name)
+    return r6(spark.sql(f"""SELECT artist_name, superfan_score FROM {name}
+                            WHERE superfan_score >= 0.5"""), ["superfan_score"])
+
+
+@register("snk4_written_digests")
+def q_snk4(spark, base):
+    """SNK4: one digest document per listener (the event's city stands for one),
+    written to files and read back."""
+    path = sinks.scratch_path(spark, "digests")
+    events = _matched(spark, base).withColumn("listener", F.coalesce("city", F.lit("none")))
+    docs = digest_ops.digest(events, scope=["listener"], as_of="2026-06-07")
+    sinks.write_digests(docs, path, ["listener"])
+    back = spark.read.text(path, wholetext=True)
+    return back.select("listener", (F.size(F.split("value", "<article>")) - 1).cast("long").alias("cards"))
+
+
+@register("pipe7_chart_events")
+def q_pipe7_events(spark, base):
+    """PIPE7 + PIPE5: the chart-seeded flow.  A chart CSV (supplier and customer names
+    as a chart page has them, in order, in several files) -> names -> events."""
+    from encore.plans import job
+    path = sinks.scratch_path(spark, "chart-names")
+    seed = chart_ops.chart_seed(stand_in.chart_pages(spark, base))
+    sinks.write_csv(seed.repartition(3), path, ["chart_position", "page_id", "artist_name"])
+    names = sinks.read_csv(spark, path, T.StructType([
+        T.StructField("artist_name", T.StringType()), T.StructField("chart_position", T.LongType())]))
+    out = job.run_names(spark, names, stand_in.event_responses(spark, base), as_of="2026-06-07")
+    return out["events"]
+
+
 @register("snk2_src3_chart_csv")
 def q_snk2(spark, base):
     """SNK2 + SRC3: the chart seed written as CSV with a header and read back."""
@@ -450,8 +500,8 @@ def _clustered(spark, base):
 
 @register("ml1_kmeans")
 def q_ml1(spark, base):
-    """ML1: K-Means (k=3, seed 0) on the scaled features and score."""
-    return _clustered(spark, base).select("artist_name", "superfan_score", "cluster")
+    """ML1: K-Means (k=3, fixed starting centres) on the scaled features and score."""
+    return r6(_clustered(spark, base).select("artist_name", "superfan_score", "cluster"), ["superfan_score"])
 
 
 @register("agg17_cluster_sizes")
@@ -470,11 +520,26 @@ def q_ml3(spark, base):
 
 @register("ml4_kruskal_wallis")
 def q_ml4(spark, base):
-    """ML4: Kruskal-Wallis H and p for each feature across the K-Means clusters."""
-    c = explore.kmeans_clusters(pipe.materialise(_scores(spark, base, rank=False))
-                                .fillna(0, subset=X_COLS),
-                                X_COLS, "artist_name", "superfan_score")
-    return explore.kruskal_wallis(c, "cluster", X_COLS)
+    """ML4: Kruskal-Wallis H and p for each feature (NULL as 0) across the clusters."""
+    c = _clustered(spark, base).fillna(0, subset=X_COLS)
+    return r6(explore.kruskal_wallis(c, "cluster", X_COLS), ["statistic", "p_value"])
+
+
+@register("pipe8_explore")
+def q_pipe8(spark, base):
+    """PIPE8: the whole exploration of the feature table; the clusters it finds, with
+    their sizes and score ranges."""
+    parts = pipe.explore_features(_feature_table(spark, base))
+    by = parts["clusters"].groupBy("cluster").agg(
+        F.min("superfan_score").alias("least"), F.max("superfan_score").alias("greatest"))
+    return r6(parts["sizes"].join(by, "cluster"), ["least", "greatest"])
+
+
+@register("top3_log_score_preview")
+def q_top3_log(spark, base):
+    """TOP3: the 30 best log-scaled scores of the exploration."""
+    top = pipe.explore_features(_feature_table(spark, base))["preview"]
+    return r6(top.select("artist_name", "superfan_score"), ["superfan_score"])
 
 
 # ----------------------------------------------- sources and single steps --

@@ -10,15 +10,16 @@ Doubles are rounded to 6 places on both sides.
 from __future__ import annotations
 
 PLAYS_CTE = """plays AS (
-  SELECT o.o_orderdate AS ts,
+  SELECT o.o_orderdate + to_seconds(CAST(CASE l.l_linenumber WHEN 1 THEN 0 WHEN 2 THEN 86399
+           ELSE (l.l_orderkey * 37 + l.l_linenumber * 3600) % 86400 END AS BIGINT)) AS ts,
          o.o_orderstatus AS platform,
          CAST(l.l_quantity * 1000 AS BIGINT) AS ms_played,
          CAST(NULL AS VARCHAR) AS ip_addr,
-         CAST(l.l_partkey AS VARCHAR) AS master_metadata_track_name,
+         CASE WHEN l.l_partkey % 23 <> 0 THEN CAST(l.l_partkey AS VARCHAR) END AS master_metadata_track_name,
          CASE WHEN o.o_orderpriority = '5-LOW' THEN NULL
               ELSE printf('Customer#%09d', o.o_custkey) END AS master_metadata_album_artist_name,
-         p.p_brand AS master_metadata_album_album_name,
-         'uri:track:' || CAST(l.l_partkey AS VARCHAR) AS spotify_track_uri,
+         CASE WHEN l.l_partkey % 46 <> 0 THEN p.p_brand END AS master_metadata_album_album_name,
+         CASE WHEN l.l_partkey % 46 <> 0 THEN 'uri:track:' || CAST(l.l_partkey AS VARCHAR) END AS spotify_track_uri,
          CASE WHEN l.l_linenumber = 3 THEN NULL
               WHEN o.o_orderpriority = '1-URGENT' THEN 'clickrow'
               WHEN o.o_orderpriority = '2-HIGH' THEN 'playbtn'
@@ -178,7 +179,7 @@ SELECT {A}, COUNT(*) OVER (PARTITION BY {A}) AS total_plays FROM artist_plays"""
 
 LISTS_CTE = """spend AS (
   SELECT 'long_term' AS list, o_custkey, round(SUM(o_totalprice), 2) AS spend
-  FROM orders WHERE o_orderdate >= TIMESTAMP '2000-08-01' GROUP BY o_custkey
+  FROM orders GROUP BY o_custkey
   UNION ALL
   SELECT 'medium_term', o_custkey, round(SUM(o_totalprice), 2)
   FROM orders WHERE o_orderdate >= TIMESTAMP '2001-02-01' GROUP BY o_custkey
@@ -199,7 +200,6 @@ tracks AS (
            ROW_NUMBER() OVER (ORDER BY qty DESC, o_custkey, l_partkey) AS position
     FROM (SELECT o_custkey, l_partkey, SUM(l_quantity) AS qty
           FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-          WHERE o_orderdate >= TIMESTAMP '2000-08-01'
           GROUP BY o_custkey, l_partkey) y) x
   JOIN part ON p_partkey = l_partkey
 ),
@@ -270,7 +270,7 @@ SELECT artist_name, {r6(BLEND_DOUBLES)}, blend_rank FROM (
 EVENTS_CTE = """ev AS (
   SELECT o_orderkey, o_custkey, o_orderkey // 20 AS page,
          printf('Customer#%09d', o_custkey) AS query,
-         CASE WHEN o_custkey % 50 = 7 THEN 500 ELSE 200 END AS status,
+         CASE o_custkey % 50 WHEN 7 THEN 500 WHEN 11 THEN NULL ELSE 200 END AS status,
          CAST(o_orderkey AS VARCHAR) AS event_id,
          printf('Customer#%09d', o_custkey) ||
            CASE o_orderkey % 4 WHEN 0 THEN ' Live' WHEN 1 THEN ' World Tour'
@@ -289,13 +289,12 @@ EVENTS_CTE = """ev AS (
          CASE WHEN o_orderkey % 11 = 0 THEN 'CA' ELSE 'US' END AS country,
          CASE WHEN o_orderkey % 13 = 0 THEN 'resale' ELSE 'ticketmaster' END AS source
   FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
-  WHERE o_orderstatus = 'O'
 ),
 okev AS (
   SELECT *,
          images[list_position(list_transform(images, lambda x: x.width),
                               list_max(list_transform(images, lambda x: x.width)))].url AS artist_image
-  FROM ev WHERE status = 200 AND page % 9 <> 4
+  FROM ev WHERE status = 200 AND page % 9 <> 4 AND page % 7 <> 3
 )"""
 
 FLAT_SQL = ("query, name AS artist_name, url AS ticket_link, artist_image, concert_date, "
@@ -358,6 +357,8 @@ WHERE event_position <= 5"""
 
 from encore.constants import (CHART_ITEM_PATTERN, CHART_SPLIT_PATTERN, DIGEST_CARD,  # noqa: E402
                               DIGEST_CARD_END, DIGEST_DIVIDER, DIGEST_HEAD, DIGEST_TAIL)
+from encore.constants import WHITE_SPACE  # noqa: E402
+from encore.functions.columns import named_entities  # noqa: E402
 from encore.functions.html import sql_literal, sql_render  # noqa: E402
 
 MATCHED_CTE = f"""{TOP50_CTE},
@@ -385,7 +386,7 @@ ORACLE["pipe6_digest"] = f"""WITH {MATCHED_CTE}
 SELECT COUNT(*) AS n_events, strftime(DATE '2026-06-07', '%B %d, %Y') AS digest_date,
        {sql_literal(_HEAD0)} || strftime(DATE '2026-06-07', '%B %d, %Y') || {sql_literal(_HEAD1)}
        || CASE WHEN COUNT(*) > 0 THEN
-            string_agg({sql_render(DIGEST_CARD)}, {sql_literal(DIGEST_DIVIDER + DIGEST_CARD_END)}
+            string_agg({sql_render(DIGEST_CARD)}, {sql_literal(DIGEST_CARD_END + DIGEST_DIVIDER)}
                        ORDER BY concert_date, artist_rank, event_position)
             || {sql_literal(DIGEST_CARD_END)} ELSE '' END
        || {sql_literal(DIGEST_TAIL)} AS html
@@ -393,24 +394,34 @@ FROM matched"""
 
 ORACLE["scl16_long_date"] = "SELECT o_orderkey, strftime(o_orderdate, '%B %d, %Y') AS long_date FROM orders"
 
-ITEMS_CTE = f"""raw AS (
+_STRIP = sql_literal(rf"^{WHITE_SPACE}+|{WHITE_SPACE}+$")
+_NAMED = "MAP {" + ", ".join(f"{sql_literal(k)}: {sql_literal(v)}"
+                             for k, v in named_entities().items()) + "}"
+_REF = "regexp_extract(p, '^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);', 1)"
+_CODE = (f"TRY_CAST(CASE WHEN lower(left({_REF}, 2)) = '#x' THEN '0x' || substr({_REF}, 3) "
+         f"ELSE substr({_REF}, 2) END AS INTEGER)")
+_UNESCAPED = f"""(SELECT coalesce(string_agg(CASE WHEN i = 1 THEN p ELSE coalesce(
+             CASE WHEN {_REF} LIKE '#%' THEN CASE WHEN {_CODE} BETWEEN 1 AND 1114111 THEN chr({_CODE}) END
+                  WHEN {_REF} <> '' THEN (SELECT v FROM named WHERE k = {_REF}) END
+             || substr(p, length({_REF}) + 2), '&' || p) END, '' ORDER BY i), '')
+           FROM (SELECT unnest(s) AS p, unnest(generate_series(1, len(s))) AS i
+                 FROM (SELECT string_split(regexp_replace(raw, '<[^>]+>', '', 'g'), '&') AS s)))"""
+
+ITEMS_CTE = f"""named AS (SELECT unnest(map_keys(m)) AS k, unnest(map_values(m)) AS v FROM (SELECT {_NAMED} AS m)),
+raw AS (
   SELECT page_id, unnest(m) AS raw, unnest(generate_series(1, len(m))) AS position
   FROM (SELECT page_id, regexp_extract_all(html, {sql_literal(CHART_ITEM_PATTERN)}, 1) AS m
         FROM pages) x
 ),
 items AS (
   SELECT page_id, position,
-         regexp_replace(
-           replace(replace(replace(replace(replace(
-             regexp_replace(raw, '<[^>]+>', '', 'g'),
-             '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'),
-           '^\\s+|\\s+$', '', 'g') AS text
+         regexp_replace({_UNESCAPED}, {_STRIP}, '', 'g') AS text
   FROM raw
 ),
 names AS (
   SELECT page_id, position,
          regexp_replace(string_split_regex(text, {sql_literal(CHART_SPLIT_PATTERN)})[1],
-                        '^\\s+|\\s+$', '', 'g') AS artist_name
+                        {_STRIP}, '', 'g') AS artist_name
   FROM items
 ),
 seed AS (
@@ -562,3 +573,99 @@ assert MATCHED_CTE.startswith(_BLEND_PART)
 RANK_MATCHED_CTE = _RANK_TOP50 + "\n" + MATCHED_CTE[len(_BLEND_PART):]
 ORACLE["pipe5_rank_top50_events"] = f"""WITH {RANK_MATCHED_CTE}
 SELECT * FROM matched"""
+
+# ------------------------------------------------- clusters, sinks, chart flow --
+
+def _kmeans_ctes(k: int = 3, rounds: int = 10) -> str:
+    """Lloyd's rounds as a chain of CTEs from the same fixed starting centres."""
+    n = len(SCORE_COLS)
+    xs = ", ".join(f"COALESCE({c}, 0) AS x{i}" for i, c in enumerate(SCORE_COLS))
+    start = " UNION ALL ".join(
+        f"SELECT {j + 1} AS c, " + ", ".join(
+            f"MIN(x{i}) + (MAX(x{i}) - MIN(x{i})) * {2 * j + 1} / {2 * k} AS m{i}" for i in range(n))
+        + " FROM x" for j in range(k))
+    near = " + ".join(f"(x{i} - m{i}) * (x{i} - m{i})" for i in range(n))
+    out = [f"x AS (SELECT artist_name, superfan_score AS s, {xs} FROM superfan_scores)",
+           f"m0 AS ({start})"]
+    for r in range(rounds + 1):
+        out.append(f"""a{r} AS (SELECT x.*, c FROM x, m{r}
+          QUALIFY ROW_NUMBER() OVER (PARTITION BY artist_name ORDER BY {near}, c) = 1)""")
+        if r < rounds:
+            out.append(f"m{r + 1} AS (SELECT m{r}.c, " + ", ".join(
+                f"COALESCE(round(AVG(x{i}), 9), any_value(m{i})) AS m{i}" for i in range(n))
+                + f" FROM m{r} LEFT JOIN a{r} ON a{r}.c = m{r}.c GROUP BY m{r}.c)")
+    out.append(f"""clusters AS (SELECT artist_name, s, {', '.join(f'x{i}' for i in range(n))},
+         CAST(DENSE_RANK() OVER (ORDER BY mean DESC NULLS LAST, c) - 1 AS INTEGER) AS cluster
+         FROM (SELECT *, AVG(s) OVER (PARTITION BY c) AS mean FROM a{rounds}))""")
+    return ",\n".join(out)
+
+
+CLUSTERS_CTE = f"{SCORES_CTE},\n{_kmeans_ctes()}"
+ORACLE["ml1_kmeans"] = f"""WITH {CLUSTERS_CTE}
+SELECT artist_name, round(s, 6) AS superfan_score, cluster FROM clusters"""
+ORACLE["agg17_cluster_sizes"] = f"""WITH {CLUSTERS_CTE}
+SELECT cluster, COUNT(*) AS count FROM clusters GROUP BY cluster"""
+ORACLE["pipe8_explore"] = f"""WITH {CLUSTERS_CTE}
+SELECT cluster, COUNT(*) AS count, round(MIN(s), 6) AS least, round(MAX(s), 6) AS greatest
+FROM clusters GROUP BY cluster"""
+_KW = " UNION ALL ".join(f"SELECT '{c}' AS feature, x{i} AS value, cluster FROM clusters"
+                         for i, c in enumerate(SCORE_COLS))
+ORACLE["ml4_kruskal_wallis"] = f"""WITH {CLUSTERS_CTE}, long AS ({_KW}),
+ranked AS (SELECT *, RANK() OVER (PARTITION BY feature ORDER BY value)
+             + (COUNT(*) OVER (PARTITION BY feature, value) - 1) / 2.0 AS r FROM long),
+per AS (SELECT feature, cluster, SUM(r) AS rs, COUNT(*) AS n FROM ranked GROUP BY feature, cluster),
+tot AS (SELECT feature, CAST(SUM(n) AS BIGINT) AS N, SUM(rs * rs / n) AS s, COUNT(*) AS groups
+        FROM per GROUP BY feature),
+ties AS (SELECT feature, SUM(t * t * t - t) AS tt FROM (
+           SELECT feature, value, CAST(COUNT(*) AS DOUBLE) AS t FROM long GROUP BY feature, value) q
+         GROUP BY feature),
+h AS (SELECT feature, groups, N, CASE WHEN tt < 1.0 * N * N * N - N THEN
+        (12.0 / (1.0 * N * (N + 1)) * s - 3 * (N + 1)) / (1 - tt / (1.0 * N * N * N - N)) END AS h
+      FROM tot JOIN ties USING (feature))
+SELECT feature, round(h, 6) AS statistic,
+       round(CASE groups WHEN 3 THEN exp(-h / 2) END, 6) AS p_value, groups, N FROM h"""
+ORACLE["top3_log_score_preview"] = f"""WITH {SCORES_CTE}
+SELECT artist_name, round(superfan_score, 6) AS superfan_score FROM superfan_scores
+ORDER BY superfan_score DESC NULLS LAST, artist_name LIMIT 30"""
+ORACLE["snk1_saved_features"] = ORACLE["pipe1_features"]
+ORACLE["snk3_view_top_artists"] = f"""WITH {SCORES_CTE}
+SELECT artist_name, round(superfan_score, 6) AS superfan_score FROM superfan_scores
+WHERE superfan_score >= 0.5"""
+ORACLE["snk4_written_digests"] = f"""WITH {MATCHED_CTE}
+SELECT COALESCE(city, 'none') AS listener, COUNT(*) AS cards FROM matched GROUP BY 1"""
+ORACLE["src7_unreadable_responses"] = f"""WITH {EVENTS_CTE}
+SELECT query, status, CASE WHEN status IS NULL THEN 'no status' ELSE 'body is not JSON' END AS reason
+FROM (SELECT o_custkey, page, any_value(query) AS query, any_value(status) AS status
+      FROM ev GROUP BY o_custkey, page) x
+WHERE status IS NULL OR (status = 200 AND page % 7 = 3 AND page % 9 <> 4)"""
+
+_CHART_PAGES = """pages AS (
+  SELECT CAST(c_nationkey AS BIGINT) AS page_id,
+         '<ul>' || string_agg('<li><a href="/a">' || CASE c_custkey % 4
+           WHEN 0 THEN printf('Customer#%09d', c_custkey) || ' &amp; ' || printf('Supplier#%09d', c_custkey)
+           WHEN 1 THEN '&nbsp;' || printf('Customer#%09d', c_custkey) || '&#160;'
+           WHEN 2 THEN printf('Customer#%09d', c_custkey) || ' Featuring Beyonc&eacute;'
+           ELSE 'Caf&eacute; &#x4e2d; ' || CAST(c_custkey AS VARCHAR) END || '</a></li>', ''
+           ORDER BY c_custkey) || '</ul>' AS html
+  FROM customer GROUP BY c_nationkey
+)"""
+ORACLE["pipe7_chart_events"] = f"""WITH {_CHART_PAGES}, {ITEMS_CTE}, {EVENTS_CTE},
+chart AS (SELECT artist_name, MIN(chart_position) AS place FROM seed GROUP BY artist_name),
+anorm AS (
+  SELECT artist_name AS searched_artist, ROW_NUMBER() OVER (ORDER BY place, artist_name) AS artist_rank,
+         array_to_string({MATCH_SQL.format(c='artist_name')}, ' ') AS a_norm FROM chart
+),
+enorm AS (
+  SELECT *, array_to_string({MATCH_SQL.format(c='name')}, ' ') AS e_norm FROM okev
+  WHERE lower(classification) = 'music' AND country = 'US' AND source = 'ticketmaster'
+    AND {DIST_SQL} <= 150
+),
+pairs AS (
+  SELECT a.searched_artist, a.artist_rank, e.* FROM anorm a, enorm e
+  WHERE length(a.a_norm) > 0 AND instr(' ' || e.e_norm || ' ', ' ' || a.a_norm || ' ') > 0
+)
+SELECT searched_artist, artist_rank, event_position, event_id, name AS artist_name,
+       url AS ticket_link, artist_image, concert_date, venue, city, address FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY searched_artist ORDER BY concert_date, event_id)
+         AS event_position FROM pairs) x
+WHERE event_position <= 5"""

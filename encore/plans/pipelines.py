@@ -2,8 +2,8 @@
 
 The other composites live with their operators - PIPE3/PIPE4 in
 ``operators.recency``, PIPE5 in ``operators.events``, PIPE6 in
-``operators.digest``, PIPE7 in ``operators.chart``, PIPE8 in
-``operators.explore`` - and the whole chain is ``plans.job.run``.
+``operators.digest``, PIPE7 in ``operators.chart`` - and the whole chain
+is ``plans.job.run``.  PIPE8 (the exploration) is composed here.
 
 Materialisation points are explicit and few: the per-artist feature
 table is checkpointed once before the scaler fit reads it (so the play
@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from encore.constants import (ARTIST, DROPPED_FEATURES, LOG_SCORE_WEIGHTS, RAW_SCORE_WEIGHTS,
                               TOP_ARTISTS)
 from encore.operators import features as feat
-from encore.operators import ranking, scaling
+from encore.operators import explore, ranking, scaling
+from encore.operators.ranking import top_k
 from encore import session
 
 features = feat.features  # PIPE1
@@ -75,3 +76,26 @@ def top_ranked(scores: DataFrame, n: int = TOP_ARTISTS, scope=()) -> DataFrame:
     top = ranking.top_k(scores, order, n)
     # numbering the n rows left by the top-k
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
+
+
+def explore_features(feature_table: DataFrame, preview: int = 30) -> dict[str, DataFrame]:
+    """PIPE8: the whole exploration of a feature table: column profile, summary
+    statistics, histograms, rank correlations, log-scaled scores with the best
+    ``preview`` of them, clusters with their sizes and coordinates, and the test of
+    every feature across the clusters."""
+    scores = materialise(superfan_scores(feature_table, rank=False))
+    cols = [c for c in scores.columns if c.startswith("log_")] + ["superfan_score"]
+    clusters = explore.kmeans_clusters(scores, cols, "artist_name", "superfan_score")
+    return {
+        "profile": explore.column_profile(feature_table),
+        "describe": explore.describe(feature_table),
+        "histogram": explore.histogram(feature_table),
+        "spearman": explore.spearman(feature_table),
+        "scores": scores,
+        "preview": top_k(scores, [F.col("superfan_score").desc_nulls_last(),
+                                  F.col("artist_name").asc()], preview),
+        "clusters": clusters,
+        "sizes": explore.cluster_sizes(clusters),
+        "frame": explore.pca_coords(clusters.fillna(0, subset=cols), cols),
+        "kruskal_wallis": explore.kruskal_wallis(clusters.fillna(0, subset=cols), "cluster", cols),
+    }

@@ -9,7 +9,9 @@ same input.
 plays       lineitem x orders x part: one play per line item
             artist  = 'Customer#%09d' of the order's customer, NULL for
                       priority 5-LOW (podcasts)
-            track   = part key, album = part brand, ts = order date
+            track   = part key (NULL for keys 0 mod 23), album = part brand
+            (NULL, as the URI, for keys 0 mod 46), ts = order date and a time
+            of day (lines 1 and 2: 00:00:00 and 23:59:59)
             reason_start from priority (NULL on line 3), reason_end from
             line status (NULL on line 5), skipped from return flag (NULL
             for 'N')
@@ -30,6 +32,12 @@ def artist_name(custkey) -> F.Column:
     return F.concat(F.lit("Customer#"), F.lpad(custkey.cast("string"), 9, "0"))
 
 
+def _second_of_day() -> F.Column:
+    """Midnight, the day's last second, or some time between, by line number."""
+    return (F.when(F.col("l_linenumber") == 1, F.lit(0)).when(F.col("l_linenumber") == 2, F.lit(86399))
+            .otherwise((F.col("l_orderkey") * 37 + F.col("l_linenumber") * 3600) % 86400))
+
+
 def plays(spark: SparkSession, base: str) -> DataFrame:
     l = read_table(spark, base, "lineitem").select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_discount",
@@ -40,15 +48,17 @@ def plays(spark: SparkSession, base: str) -> DataFrame:
     j = l.join(o, l.l_orderkey == o.o_orderkey).join(p, l.l_partkey == p.p_partkey)
     prio = F.col("o_orderpriority")
     return j.select(
-        F.col("o_orderdate").alias("ts"),
+        (F.col("o_orderdate") + F.make_dt_interval(secs=_second_of_day())).alias("ts"),
         F.col("o_orderstatus").alias("platform"),
         (F.col("l_quantity") * 1000).cast("long").alias("ms_played"),
         F.lit(None).cast("string").alias("ip_addr"),
-        F.col("l_partkey").cast("string").alias("master_metadata_track_name"),
+        F.when(F.col("l_partkey") % 23 != 0, F.col("l_partkey").cast("string"))
+         .alias("master_metadata_track_name"),
         F.when(prio == "5-LOW", F.lit(None).cast("string"))
          .otherwise(artist_name(F.col("o_custkey"))).alias("master_metadata_album_artist_name"),
-        F.col("p_brand").alias("master_metadata_album_album_name"),
-        F.concat(F.lit("uri:track:"), F.col("l_partkey").cast("string")).alias("spotify_track_uri"),
+        F.when(F.col("l_partkey") % 46 != 0, F.col("p_brand")).alias("master_metadata_album_album_name"),
+        F.when(F.col("l_partkey") % 46 != 0,
+               F.concat(F.lit("uri:track:"), F.col("l_partkey").cast("string"))).alias("spotify_track_uri"),
         F.when(F.col("l_linenumber") == 3, F.lit(None).cast("string"))
          .when(prio == "1-URGENT", F.lit("clickrow"))
          .when(prio == "2-HIGH", F.lit("playbtn"))
@@ -66,7 +76,7 @@ def plays(spark: SparkSession, base: str) -> DataFrame:
 # artist lists: every customer with orders since a start date, ranked by
 # order spend (ties by key), cut into pages of PAGE_SIZE items; the list
 # grows with the tables.
-LIST_STARTS = {"long_term": "2000-08-01", "medium_term": "2001-02-01",
+LIST_STARTS = {"long_term": "0001-01-01", "medium_term": "2001-02-01",
                "short_term": "2001-07-01"}
 
 
@@ -129,11 +139,12 @@ def track_pages(spark: SparkSession, base: str) -> DataFrame:
 
 
 # event-search responses ------------------------------------------------------
-# One event per open order ('O'), headlined by the order's customer; events
+# One event per order, headlined by the order's customer; events
 # are grouped into response pages of the same customer and order-key block
 # of 20 (so a page never holds more than 20 events).  Customers whose key
 # is 7 mod 50 get status 500; every ninth page block comes back 200 without
-# an ``_embedded`` block.
+# an ``_embedded`` block; every seventh is cut off, and customers whose key is
+# 11 mod 50 come without a status.
 
 def _event_struct() -> F.Column:
     k = F.col("o_orderkey")
@@ -169,8 +180,7 @@ def _event_struct() -> F.Column:
 
 def event_responses(spark: SparkSession, base: str) -> DataFrame:
     o = (read_table(spark, base, "orders")
-         .select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
-         .where(F.col("o_orderstatus") == "O"))
+         .select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"))
     c = read_table(spark, base, "customer").select("c_custkey", "c_nationkey")
     n = read_table(spark, base, "nation").select("n_nationkey", "n_name")
     j = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
@@ -178,10 +188,30 @@ def event_responses(spark: SparkSession, base: str) -> DataFrame:
              .groupBy("o_custkey", "page")
              .agg(F.sort_array(F.collect_list(F.struct("o_orderkey", _event_struct().alias("e"))))
                   .alias("_evs")))
-    status = F.when(F.col("o_custkey") % 50 == 7, F.lit(500)).otherwise(F.lit(200))
+    status = (F.when(F.col("o_custkey") % 50 == 7, F.lit(500))
+              .when(F.col("o_custkey") % 50 == 11, F.lit(None).cast("int")).otherwise(F.lit(200)))
     body = (F.when(status == 500, F.lit('{"errors": [{"code": "500"}]}'))
             .when(F.col("page") % 9 == 4, F.lit("{}"))
+            .when(F.col("page") % 7 == 3, F.lit('{"_embedded": {"events": [{"id":'))
             .otherwise(F.to_json(F.struct(F.struct(
                 F.transform("_evs", lambda x: x["e"]).alias("events")).alias("_embedded")))))
     return pages.select(artist_name(F.col("o_custkey")).alias("query"),
                         status.cast("int").alias("status"), body.alias("body"))
+
+
+# chart pages ----------------------------------------------------------------
+# One page per nation: its customers by key as list items, some with a partner
+# after ``&amp;`` or ``featuring``, with entities and no-break spaces around.
+
+def chart_pages(spark: SparkSession, base: str) -> DataFrame:
+    c = read_table(spark, base, "customer").select("c_custkey", "c_nationkey")
+    k = F.col("c_custkey")
+    name = (F.when(k % 4 == 0, F.concat(artist_name(k), F.lit(" &amp; "), supplier_name(k)))
+            .when(k % 4 == 1, F.concat(F.lit("&nbsp;"), artist_name(k), F.lit("&#160;")))
+            .when(k % 4 == 2, F.concat(artist_name(k), F.lit(" Featuring Beyonc&eacute;")))
+            .otherwise(F.concat(F.lit("Caf&eacute; &#x4e2d; "), k.cast("string"))))
+    item = F.concat(F.lit('<li><a href="/a">'), name, F.lit("</a></li>"))
+    return (c.groupBy(F.col("c_nationkey").cast("long").alias("page_id"))
+            .agg(F.sort_array(F.collect_list(F.struct(k, item.alias("it")))).alias("_items"))
+            .select("page_id", F.concat(F.lit("<ul>"), F.array_join(
+                F.transform("_items", lambda x: x["it"]), ""), F.lit("</ul>")).alias("html")))

@@ -151,3 +151,52 @@ def test_scoped_statistics_equal_per_scope(spark):
                                for v in r)
                          for r in scoped[name].where(F.col("user_id") == u).drop("user_id").collect())
             assert got == exp, (name, u)
+
+
+def test_entities_and_spaces_in_names(spark):
+    items = ["Beyonc&eacute;", "Guns N&#8217; Roses", "&nbsp; A&#x4E2D; \u2003", "AT&amp;T", "&amp;lt;",
+             "&bogus; x", "a & b", "&#xD800;", "&#0;", "R&D"]
+    html_text = "".join(f"<li><a href='#'>{i}</a></li>" for i in items)
+    df = spark.createDataFrame([(1, html_text), (2, None)], "page_id long, html string")
+    got = [r.text for r in chart.element_texts(df).orderBy("position").collect()]
+    assert got == ["Beyonc\u00e9", "Guns N\u2019 Roses", "A\u4e2d", "AT&T", "&lt;", "&bogus; x", "a & b",
+                   "&#xD800;", "&#0;", "R&D"]
+
+
+def test_items_by_class(spark):
+    html_text = ('<ul><li class="item top">A</li><li class="topping">B</li><li>C</li>'
+                 "<li><a href='/x' class='top'>D</a></li></ul>")
+    df = spark.createDataFrame([(1, html_text)], "page_id long, html string")
+    got = chart.element_texts(df, chart.class_pattern("top")).orderBy("position").collect()
+    assert [r.text for r in got] == ["A", "D"]
+
+
+def test_chart_csv_by_header_keeps_order(spark, tmpdir_path):
+    from encore.plans import job
+    names = [f"N{i:03d}" for i in range(60, 0, -1)]
+    df = spark.createDataFrame([(7, i + 1, n) for i, n in enumerate(names)],
+                               "page_id long, chart_position long, artist_name string").repartition(4)
+    sinks.write_csv(df, f"{tmpdir_path}/c")
+    schema = "artist_name string, chart_position long"
+    back = sinks.read_csv(spark, f"{tmpdir_path}/c", spark.createDataFrame([], schema).schema)
+    top = job.run_names(spark, back)["top"].orderBy("artist_rank").collect()
+    assert [r.artist_name for r in top] == names
+
+
+def test_kmeans_keeps_nulls_and_ignores_partitions(spark):
+    rows = [(f"a{i}", float(i % 7), None if i % 5 == 0 else i / 10, None if i % 11 == 0 else i / 100)
+            for i in range(90)]
+    df = spark.createDataFrame(rows, "k string, x double, y double, s double")
+    got = [sorted((r.k, r.y, r.s, r.cluster) if r.s is not None else (r.k, -1, -1, r.cluster)
+                  for r in explore.kmeans_clusters(df.repartition(n), ["x", "y", "s"], "k", "s").na.fill(-2, ["y"])
+                  .collect()) for n in (1, 7)]
+    assert got[0] == got[1] and len({g[3] for g in got[0]}) == 3
+    assert sum(g[2] == -1 for g in got[0]) == 9
+
+
+def test_chi_square_tail():
+    assert abs(explore.chi2_tail(3.841458820694124, 1) - 0.05) < 1e-9
+    assert abs(explore.chi2_tail(5.991464547107979, 2) - 0.05) < 1e-9
+    assert abs(explore.chi2_tail(7.814727903251179, 3) - 0.05) < 1e-9
+    assert abs(explore.chi2_tail(18.307038053275146, 10) - 0.05) < 1e-9
+    assert explore.chi2_tail(0.0, 4) == 1.0 and explore.chi2_tail(None, 2) is None

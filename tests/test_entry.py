@@ -35,8 +35,7 @@ def test_every_query_has_oracle_or_is_ml():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     qs, sqls = QUERIES, ORACLE
     assert set(sqls) <= set(qs)
-    assert {q for q in qs if q not in sqls} <= {"ml1_kmeans", "agg17_cluster_sizes",
-                                                "ml3_cluster_frame", "ml4_kruskal_wallis"}
+    assert {q for q in qs if q not in sqls} <= {"ml3_cluster_frame"}
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data missing")
