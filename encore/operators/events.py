@@ -7,8 +7,8 @@ Per-artist search calls become one distributed join:
 * JN6 keyword match without a cross product: names are lower-cased and
   split into word tokens; each artist is blocked on its *rarest* token
   (document frequency over the filtered catalogue), which every matching
-  event must contain, so blocking is exact.  The artist side is the
-  ranked top-k list (bounded by k), hence broadcast; the catalogue is
+  event must contain, so blocking is exact.  The artist side is broadcast
+  where it is counted to be small; the catalogue is
   exploded by token and joined map-side, then each candidate is verified;
 * each distinct artist name is matched once, however many listeners'
   lists hold it, and the (listener, artist) pairs join back afterwards;
@@ -22,11 +22,12 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from encore.constants import (EARTH_RADIUS, EVENT_CLASSIFICATION, EVENT_COUNTRY, EVENT_GEOHASH,
                               EVENT_RADIUS, EVENT_RADIUS_UNIT, EVENT_SOURCE, EVENTS_PER_ARTIST)
 from encore.functions.geo import geohash_centre, haversine
-from encore.operators.ranking import top_k_per_group
+from encore.operators.ranking import BROADCAST_ROWS, top_k_per_group
 from encore.session import materialise
 
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
@@ -74,8 +75,7 @@ def radius_filter(catalogue: DataFrame, geohash: str = EVENT_GEOHASH,
 
 def keyword_match(artists: DataFrame, catalogue: DataFrame, artist_col: str = "artist_name",
                   event_col: str = "event_name", mode: str = "contains",
-                  artists_bounded: bool = False, max_edits: int = 1,
-                  event_key: str | None = None) -> DataFrame:
+                  max_edits: int = 1, event_key: str | None = None) -> DataFrame:
     """JN5 + JN6: every (artist, event) pair whose names match.
 
     ``mode="exact"``: equal token sequences (an equi-join on the normalised
@@ -84,16 +84,18 @@ def keyword_match(artists: DataFrame, catalogue: DataFrame, artist_col: str = "a
     ``mode="fuzzy"``: some run of as many consecutive event-name words as
     the artist name has is within ``max_edits`` character edits of it
     (``event_key`` names the catalogue key used to report a pair once).
-    ``artists_bounded=True`` states the artist side is a bounded list
-    (top-k), so it is broadcast; by default Spark/AQE choose the join from
-    the measured size.
+    The artist side is broadcast only if it has at most ``BROADCAST_ROWS``
+    rows (counted); beyond that Spark/AQE choose the join from the measured
+    size.
     """
-    def side(df):
-        return F.broadcast(df) if artists_bounded else df
-
     # the artist list feeds three branches below; it is written once
     a = materialise(artists.withColumn("_anorm", normalised(artist_col))
                     .where(F.length("_anorm") > 0), "match-artists")
+    few = a.count() <= BROADCAST_ROWS
+
+    def side(df):
+        return F.broadcast(df) if few else df
+
     if mode == "exact":
         c = catalogue.withColumn("_anorm", normalised(event_col))
         return c.join(side(a), "_anorm").drop("_anorm")
@@ -123,22 +125,31 @@ def keyword_match(artists: DataFrame, catalogue: DataFrame, artist_col: str = "a
             .drop("_tok", "_etok", "_etok_seq", "_anorm"))
 
 
+def shortened(text: Column, k: int) -> Column:
+    """The distinct texts that remain when up to ``k`` characters are taken out."""
+    out = F.array(text)
+    for _ in range(k):
+        out = F.array_union(out, F.flatten(F.transform(out, lambda w: F.transform(
+            F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))),
+            lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1))))))
+    return out
+
+
 def _fuzzy_match(a: DataFrame, catalogue: DataFrame, artist_col: str, event_col: str,
                  k: int, event_key: str | None, side) -> DataFrame:
     """Edit-distance match on whole-word windows, without a cross product.
 
-    Candidates are generated by an equi-join on (window word count,
-    window length) against artists expanded to every length within ``k``
-    of their own (an edit changes the length by at most one), so only
-    windows that could be within ``k`` edits are compared.  The set of
-    artist word counts is a bounded summary (names have few words).
+    Two texts within ``k`` edits have a text in common among those that
+    remain when up to ``k`` characters are taken out of each, so candidates
+    are generated by an equi-join on (word count, remaining text) and then
+    verified; names that merely have the same length never meet.  The set
+    of artist word counts is a bounded summary (names have few words).
     """
-    a = (a.withColumn("_m", F.size(name_tokens(artist_col)))
-         .withColumn("_alen", F.length("_anorm")))
+    a = a.withColumn("_m", F.size(name_tokens(artist_col)))
     sizes = sorted(r["_m"] for r in a.select("_m").distinct().collect())
     if not sizes:
-        return (catalogue.join(side(a), F.lit(False))
-                .drop("_anorm", "_m", "_alen"))
+        kept = [f for f in a.schema.fields if f.name not in ("_anorm", "_m")]
+        return a.sparkSession.createDataFrame([], T.StructType([*catalogue.schema.fields, *kept]))
     tok = name_tokens(event_col)
     n = F.size(tok)
 
@@ -152,14 +163,12 @@ def _fuzzy_match(a: DataFrame, catalogue: DataFrame, artist_col: str, event_col:
         .otherwise(F.array().cast("array<struct<m:int,w:string>>"))
         for m in sizes]))
     c = catalogue.select("*", F.explode(windows).alias("_win"))
-    c = c.select("*", F.col("_win.m").alias("_m"), F.col("_win.w").alias("_w"),
-                 F.length(F.col("_win.w")).alias("_wlen")).drop("_win")
-    a_len = a.select("*", F.explode(F.sequence(F.col("_alen") - k, F.col("_alen") + k))
-                     .alias("_wlen"))
-    cand = c.join(side(a_len), ["_m", "_wlen"])
+    c = c.select("*", F.col("_win.m").alias("_m"), F.col("_win.w").alias("_w")).drop("_win")
+    cand = (c.withColumn("_rest", F.explode(shortened(F.col("_w"), k)))
+            .join(side(a.withColumn("_rest", F.explode(shortened(F.col("_anorm"), k)))), ["_m", "_rest"]))
     hit = cand.where(F.levenshtein("_w", "_anorm", k).between(0, k))
-    hit = hit.drop("_m", "_wlen", "_w", "_anorm", "_alen")
-    keys = [col for col in a.columns if col not in ("_anorm", "_m", "_alen")]
+    hit = hit.drop("_m", "_rest", "_w", "_anorm")
+    keys = [col for col in a.columns if col not in ("_anorm", "_m")]
     if event_key:
         return hit.dropDuplicates([*keys, event_key])
     return hit.distinct()
@@ -175,9 +184,8 @@ def match_events(artists: DataFrame, catalogue: DataFrame, artist_col: str = "ar
 
     ``artists``: (scope..., artist_name, artist_rank); ``catalogue``:
     flattened events with event_id, artist_name (event name), coordinates
-    and categories, shared by all scopes.  Without a scope the artist list
-    is a top-k (bounded) and is broadcast; with a scope it grows with the
-    number of listeners and the join is left to AQE.
+    and categories, shared by all scopes.  The distinct names are broadcast
+    only if counted to be few.
     Returns F10 columns plus searched_artist, artist_rank and event_id.
     The kept events per artist are the soonest (ties by event id).
     """
@@ -196,8 +204,7 @@ def match_events(artists: DataFrame, catalogue: DataFrame, artist_col: str = "ar
     # afterwards (a name on many lists is a skewed key there, which AQE's
     # skew join splits; its build side is at most ``per_artist`` rows).
     names = arts.select("searched_artist").distinct()
-    pairs = keyword_match(names, cat, "searched_artist", "event_name", mode,
-                          artists_bounded=not scope, event_key="event_id")
+    pairs = keyword_match(names, cat, "searched_artist", "event_name", mode, event_key="event_id")
     kept = top_k_per_group(pairs, ["searched_artist"],
                            [F.col("concert_date").asc_nulls_last(), F.col("event_id").asc()],
                            per_artist, out="event_position")
