@@ -305,8 +305,7 @@ def q_jn6(spark, base):
     """JN5 + JN6: every (top artist, event) pair whose names match as whole words."""
     cat = _catalogue(spark, base).withColumnRenamed("artist_name", "event_name")
     arts = _top_artists(spark, base).withColumnRenamed("artist_name", "searched_artist")
-    return (ev_ops.keyword_match(arts, cat, "searched_artist", "event_name",
-                                 artists_bounded=True)
+    return (ev_ops.keyword_match(arts, cat, "searched_artist", "event_name")
             .select("searched_artist", "artist_rank", "event_id", "event_name"))
 
 
@@ -608,8 +607,7 @@ def q_jn6_fuzzy(spark, base):
     a run of words within one character edit of the artist name."""
     cat = _catalogue(spark, base).withColumnRenamed("artist_name", "event_name")
     arts = _top_artists(spark, base).withColumnRenamed("artist_name", "searched_artist")
-    return (ev_ops.keyword_match(arts, cat, "searched_artist", "event_name", mode="fuzzy",
-                                 artists_bounded=True, max_edits=1, event_key="event_id")
+    return (ev_ops.keyword_match(arts, cat, "searched_artist", "event_name", mode="fuzzy", max_edits=1, event_key="event_id")
             .select("searched_artist", "artist_rank", "event_id", "event_name"))
 
 
@@ -620,3 +618,43 @@ def q_pipe5_rank(spark, base):
     top = pipe.top_ranked(_scores(spark, base, rank=False), 50)
     return ev_ops.match_events(top.select("artist_name", F.col("rank").alias("artist_rank")),
                                _catalogue(spark, base))
+
+
+# ------------------------------------------------- many listeners at once --
+
+SCOPE = ["user_id"]
+
+
+def _listener_features(spark, base):
+    return feat.features(stand_in.listener_plays(spark, base), scope=SCOPE)
+
+
+@register("scoped_pipe2_scores")
+def q_scoped_pipe2(spark, base):
+    """PIPE1 + PIPE2 per listener: features, scaling, score and rank within each."""
+    out = pipe.superfan_scores(_listener_features(spark, base), scope=SCOPE)
+    return r6(out.select(*SCOPE, "artist_name", "rank", *SCORE_COLS), SCORE_COLS)
+
+
+@register("scoped_win6_average_rank")
+def q_scoped_win6(spark, base):
+    """WIN6 per listener: average rank of each artist's play count."""
+    counts = _listener_features(spark, base).select(*SCOPE, ARTIST, "play_count_per_artist")
+    return rank_ops.average_rank(counts, "play_count_per_artist", SCOPE, out="avg_rank")
+
+
+@register("scoped_agg18_describe")
+def q_scoped_agg18(spark, base):
+    """AGG18 per listener: summary statistics of the feature columns."""
+    out = explore.describe(_listener_features(spark, base), scope=SCOPE)
+    return r6(out, [c for c in ("mean", "std", "min", "p25", "p50", "p75", "max") if c in out.columns])
+
+
+@register("scoped_pipe6_digests")
+def q_scoped_pipe6(spark, base):
+    """PIPE5 + PIPE6 per listener: the events of each listener's 50 best artists as one
+    digest document each."""
+    scores = pipe.superfan_scores(_listener_features(spark, base), scope=SCOPE, rank=False)
+    top = pipe.top_ranked(scores, 50, SCOPE).select(*SCOPE, "artist_name", F.col("rank").alias("artist_rank"))
+    matched = ev_ops.match_events(top, _catalogue(spark, base), scope=SCOPE)
+    return digest_ops.digest(matched, scope=SCOPE, as_of=DIGEST_AS_OF)

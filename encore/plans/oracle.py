@@ -669,3 +669,59 @@ SELECT searched_artist, artist_rank, event_position, event_id, name AS artist_na
   SELECT *, ROW_NUMBER() OVER (PARTITION BY searched_artist ORDER BY concert_date, event_id)
          AS event_position FROM pairs) x
 WHERE event_position <= 5"""
+
+# ------------------------------------------------- many listeners at once --
+
+def _scoped(cte: str) -> str:
+    """The CTEs of one listener's history, for every user_id at once."""
+    head, rest = cte[:len(PLAYS_CTE)], cte[len(PLAYS_CTE):]
+    head = head.replace("SELECT o.o_orderdate", "SELECT e.user_id, o.o_orderdate").replace(
+        "  JOIN part p", """  JOIN events e ON e.event_id = o.o_orderkey % (SELECT COUNT(*) FROM events)
+  JOIN part p""")
+    rest = (rest.replace(A, f"user_id, {A}").replace("OVER ()", "OVER (PARTITION BY user_id)")
+            .replace("OVER (ORDER BY", "OVER (PARTITION BY user_id ORDER BY"))
+    return head + rest
+
+
+ORACLE["scoped_pipe2_scores"] = f"""WITH {_scoped(SCORES_CTE)}
+SELECT user_id, artist_name, rank, {r6(SCORE_COLS)} FROM superfan_scores"""
+ORACLE["scoped_win6_average_rank"] = f"""WITH {_scoped(FEATURES_CTE)}
+SELECT user_id, {A}, play_count_per_artist,
+       RANK() OVER (PARTITION BY user_id ORDER BY play_count_per_artist)
+         + (COUNT(*) OVER (PARTITION BY user_id, play_count_per_artist) - 1) / 2.0 AS avg_rank
+FROM features"""
+ORACLE["scoped_agg18_describe"] = f"""WITH {_scoped(FEATURES_CTE)}, long AS ({_LONG.replace("SELECT '", "SELECT user_id, '")})
+SELECT user_id, column_name, COUNT(*) AS count, round(AVG(value), 6) AS mean,
+       round(STDDEV_SAMP(value), 6) AS std, round(MIN(value), 6) AS min,
+       round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.5), 6) AS p50,
+       round(quantile_cont(value, 0.75), 6) AS p75, round(MAX(value), 6) AS max
+FROM long GROUP BY user_id, column_name"""
+ORACLE["scoped_pipe6_digests"] = f"""WITH {_scoped(SCORES_CTE)},
+{EVENTS_CTE},
+anorm AS (
+  SELECT DISTINCT artist_name AS searched_artist,
+         array_to_string({MATCH_SQL.format(c='artist_name')}, ' ') AS a_norm
+  FROM superfan_scores WHERE rank <= 50
+),
+enorm AS (
+  SELECT *, array_to_string({MATCH_SQL.format(c='name')}, ' ') AS e_norm FROM okev
+  WHERE lower(classification) = 'music' AND country = 'US' AND source = 'ticketmaster'
+    AND {DIST_SQL} <= 150
+),
+kept AS (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY searched_artist ORDER BY concert_date, event_id) AS event_position
+  FROM anorm a, enorm e
+  WHERE length(a.a_norm) > 0 AND instr(' ' || e.e_norm || ' ', ' ' || a.a_norm || ' ') > 0
+),
+matched AS (
+  SELECT s.user_id, s.rank AS artist_rank, event_position, name AS artist_name, url AS ticket_link,
+         artist_image, concert_date, venue, city, address
+  FROM superfan_scores s JOIN kept k ON k.searched_artist = s.artist_name
+  WHERE s.rank <= 50 AND event_position <= 5
+)
+SELECT user_id, COUNT(*) AS n_events, strftime(DATE '2026-06-07', '%B %d, %Y') AS digest_date,
+       {sql_literal(_HEAD0)} || strftime(DATE '2026-06-07', '%B %d, %Y') || {sql_literal(_HEAD1)}
+       || string_agg({sql_render(DIGEST_CARD)}, {sql_literal(DIGEST_CARD_END + DIGEST_DIVIDER)}
+                     ORDER BY concert_date, artist_rank, event_position)
+       || {sql_literal(DIGEST_CARD_END)} || {sql_literal(DIGEST_TAIL)} AS html
+FROM matched GROUP BY user_id"""

@@ -38,7 +38,7 @@ def _second_of_day() -> F.Column:
             .otherwise((F.col("l_orderkey") * 37 + F.col("l_linenumber") * 3600) % 86400))
 
 
-def plays(spark: SparkSession, base: str) -> DataFrame:
+def plays(spark: SparkSession, base: str, keep=()) -> DataFrame:
     l = read_table(spark, base, "lineitem").select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_discount",
         "l_returnflag", "l_linestatus")
@@ -48,6 +48,7 @@ def plays(spark: SparkSession, base: str) -> DataFrame:
     j = l.join(o, l.l_orderkey == o.o_orderkey).join(p, l.l_partkey == p.p_partkey)
     prio = F.col("o_orderpriority")
     return j.select(
+        *keep,
         (F.col("o_orderdate") + F.make_dt_interval(secs=_second_of_day())).alias("ts"),
         F.col("o_orderstatus").alias("platform"),
         (F.col("l_quantity") * 1000).cast("long").alias("ms_played"),
@@ -72,6 +73,15 @@ def plays(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
+def listener_plays(spark: SparkSession, base: str) -> DataFrame:
+    """The plays with a listener: the user of the ``events`` row that the order's key
+    falls on (keys modulo the number of events)."""
+    events = read_table(spark, base, "events").select("event_id", "user_id")
+    n = events.count()
+    return (plays(spark, base, keep=[F.pmod("l_orderkey", F.lit(max(n, 1))).alias("_event")])
+            .join(events, F.col("_event") == F.col("event_id")).drop("_event", "event_id"))
+
+
 # ranked lists --------------------------------------------------------------
 # artist lists: every customer with orders since a start date, ranked by
 # order spend (ties by key), cut into pages of PAGE_SIZE items; the list
