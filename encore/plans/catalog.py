@@ -51,6 +51,17 @@ def q_pipe1(spark, base):
     return r6(out, ["completion_rate", "intentional_listening_rate", "skip_rate"])
 
 
+@register("pipe1_features_columnar")
+def q_pipe1_columnar(spark, base):
+    """PIPE1 over a columnar play table: every branch reads its own columns and no
+    roll-up is written."""
+    from encore.sources import sinks
+    path = sinks.scratch_path(spark, "plays")
+    stand_in.plays(spark, base).write.parquet(path)
+    out = feat.features(spark.read.parquet(path), materialise=False)
+    return r6(out, ["completion_rate", "intentional_listening_rate", "skip_rate"])
+
+
 def _scores(spark, base, rank: bool = True):
     return pipe.superfan_scores(feat.features(stand_in.plays(spark, base)), rank=rank)
 

@@ -28,6 +28,7 @@ from encore.operators import features as feat
 from encore.operators import recency
 from encore.operators.ranking import row_number_by_range
 from encore.plans.pipelines import superfan_scores
+from encore.session import materialise
 from encore.schemas import ARTIST_PAGE_SCHEMA, RESPONSE_SCHEMA, TRACK_PAGE_SCHEMA
 from encore.sources import event_responses, ranked_pages, sinks, tables
 
@@ -65,11 +66,13 @@ def run(spark: SparkSession, plays: DataFrame, artist_pages: DataFrame | None =
     blended = recency.blend(scores, recency.api_presence(ranked, scope=scope),
                             recency.track_breadth(tracks, scope=scope),
                             recency.time_range_consistency(ranked, scope=scope), scope=scope)
+    # three results read the blend, and two the events: each is computed once
+    blended = materialise(blended, "blended")
     top = (recency.top_blended(blended, top_n, scope)
            .withColumnRenamed("blend_rank", "artist_rank"))
     rs = responses if responses is not None else _empty(spark, RESPONSE_SCHEMA, [])
     catalogue = event_responses.flatten_events(rs, keep_catalogue=True)
-    events = event_ops.match_events(top, catalogue, scope=scope)
+    events = materialise(event_ops.match_events(top, catalogue, scope=scope), "events")
     docs = digest_ops.digest(events, scope=scope, as_of=as_of)
     return {"features": features, "scores": scores, "blended": blended, "top": top,
             "events": events, "errors": event_responses.error_responses(rs), "digests": docs}

@@ -725,3 +725,5 @@ SELECT user_id, COUNT(*) AS n_events, strftime(DATE '2026-06-07', '%B %d, %Y') A
                      ORDER BY concert_date, artist_rank, event_position)
        || {sql_literal(DIGEST_CARD_END)} || {sql_literal(DIGEST_TAIL)} AS html
 FROM matched GROUP BY user_id"""
+
+ORACLE["pipe1_features_columnar"] = ORACLE["pipe1_features"]
