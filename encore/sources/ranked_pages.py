@@ -5,19 +5,22 @@ A page row is (scope..., list, page_no, next, items).  Pages are read in
 NULL; the 1-based list position is the index in the concatenated items.
 A page that was fetched more than once (equal list and page_no) is read
 once (the least items, if they differ); a NULL list or scope is a list of
-its own.  Offsets are a distributed running sum over page sizes (one
-narrow row per page, never the items), joined back on (list, page_no);
-then items are exploded with ``posexplode``.
+its own.  Offsets are running sums over page sizes (one narrow row per
+page, never the items) inside blocks of BLOCK pages and over the blocks'
+totals, so no list is summed in one task; they join back on (list,
+page_no), and items are exploded with ``posexplode``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from encore.operators.ranking import broadcast_if_small, running_sum_by_range
+from encore.operators.ranking import broadcast_if_small
 from encore.session import materialise
 
+BLOCK = 10_000   # pages whose sizes are summed together
+
 
 def _kept_pages(pages: DataFrame, scope, list_col: str) -> DataFrame:
     k = [*scope, list_col]
@@ -30,10 +33,17 @@ def _kept_pages(pages: DataFrame, scope, list_col: str) -> DataFrame:
             .groupBy(F.col("_list").alias("_l")).agg(F.min("page_no").alias("_last")))
     kept = (one.join(broadcast_if_small(last), F.col("_list") == F.col("_l"), "left")
             .where(F.col("_last").isNull() | (F.col("page_no") <= F.col("_last"))))
-    sizes = kept.select("_list", "page_no",
+    sizes = kept.select("_list", "page_no", F.floor(F.col("page_no") / BLOCK).alias("_block"),
                         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("_n"))
-    offsets = running_sum_by_range(sizes, [F.col("page_no").asc()], "_n", ["_list"], "_cum")
-    offsets = offsets.select("_list", "page_no", (F.col("_cum") - F.col("_n")).alias("_off"))
+    inside = (Window.partitionBy("_list", "_block").orderBy("page_no")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    across = (Window.partitionBy("_list").orderBy("_block")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    blocks = (sizes.groupBy("_list", "_block").agg(F.sum("_n").alias("_n"))
+              .select("_list", "_block", F.sum("_n").over(across).alias("_before")))
+    offsets = (sizes.withColumn("_inside", F.sum("_n").over(inside)).join(blocks, ["_list", "_block"])
+               .select("_list", "page_no", (F.coalesce("_before", F.lit(0))
+                                            + F.coalesce("_inside", F.lit(0))).alias("_off")))
     return kept.join(offsets, ["_list", "page_no"]).select("_list.*", "_off", "items")
 
 

@@ -161,6 +161,12 @@ def test_strict_flatten_raises_on_missing_field(spark):
         er.flatten_events(responses(spark), strict=True).collect()
 
 
+def test_offsets_across_blocks(spark, monkeypatch):
+    exp = sorted(tuple(r) for r in rp.flatten_ranked_artists(artist_pages(spark)).collect())
+    monkeypatch.setattr(rp, "BLOCK", 1)
+    assert sorted(tuple(r) for r in rp.flatten_ranked_artists(artist_pages(spark)).collect()) == exp
+
+
 def test_repeated_pages_and_null_lists(spark):
     rows = [("a", 1, "n", [{"name": "x"}, {"name": "y"}]), ("a", 1, "n", [{"name": "x"}, {"name": "y"}]),
             ("a", 2, None, [{"name": "z"}]), ("a", 3, None, [{"name": "beyond"}]),
