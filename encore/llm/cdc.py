@@ -37,6 +37,8 @@ LEAST, NORMAL, MOST = 16, 64, 256
 WINDOW, PIECE = 32, 1 << 20
 #: Text bytes that one range should hold.
 RANGE_BYTES = 64 << 20
+#: Most ranges, which bounds the quantile sketch; beyond, ranges grow (they are streamed).
+MOST_RANGES = 20_000
 
 
 def gear_table() -> np.ndarray:
@@ -137,6 +139,7 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the fingerprint to the edited text's and to the successor's."""
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES)
+    parts = min(parts, MOST_RANGES)
     kind = docs.schema[id_col].dataType.simpleString()
     fields = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]

@@ -38,6 +38,8 @@ BLOCK = 2048
 CELL_ROWS = 4096
 #: Most cells (bounds the broadcast centres) and most vectors that k-means fits on.
 MAX_CELLS, SAMPLE = 4096, 20_000
+#: Bytes that the sample and the centres may each take, whatever the dimension.
+MODEL_BYTES = 64 << 20
 #: Nodes of vectors without an id lie above this and all ids below it.
 NO_ID = (1 << 63) - (1 << 33)
 
@@ -72,12 +74,13 @@ def fit_centres(vectors: DataFrame) -> dict[int, np.ndarray]:
         F.max("count").alias("most"), F.sum("count").alias("n")).orderBy(F.desc("n"), "dim").first()
     if sizes is None:
         return {}
-    k = min(MAX_CELLS, math.ceil(sizes["most"] / CELL_ROWS))
+    fit_rows = max(1, MODEL_BYTES // (8 * sizes["dim"]))
+    k = min(MAX_CELLS, fit_rows, math.ceil(sizes["most"] / CELL_ROWS))
     if k < 2:
         return {}
-    share = min(1 << 20, math.ceil((1 << 20) * SAMPLE / sizes["n"]))
+    share = min(1 << 20, math.ceil((1 << 20) * min(SAMPLE, fit_rows) / sizes["n"]))
     rows = (vectors.where((F.col("dim") == sizes["dim"]) & (F.pmod("h1", F.lit(1 << 20)) < share))
-            .orderBy("h1", "h2").limit(2 * SAMPLE).select("embedding").toArrow())
+            .orderBy("h1", "h2").limit(2 * min(SAMPLE, fit_rows)).select("embedding").toArrow())
     x = unit(matrix(rows["embedding"].combine_chunks()))
     return {sizes["dim"]: spherical_kmeans(x, min(k, len(x)))}
 
