@@ -46,9 +46,10 @@ HEAD = 512
 K = 5
 START, END, UNK, WORD = 0, 1, 2, 3
 SHIFT = 21  # bits of a word id in a bigram key
-CHUNK = 1 << 20  # tokens that a task handles at once
-RUN_ROWS = 1 << 20
-PART_TOKENS = 6_000_000
+CHUNK = 1 << 18  # tokens that a task handles at once
+WORDS_HELD = 1 << 20  # distinct words that a counting task holds
+RUN_ROWS = 1 << 18
+PART_TOKENS = 3_000_000
 R = [f"r{i}" for i in range(1, K + 2)]
 
 
@@ -86,7 +87,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 if train:
                     seen.update(words)
                     n, rows = n + len(words), rows + 1
-                if len(seen) > CHUNK:
+                if len(seen) > WORDS_HELD:
                     yield report()
                     seen, n, rows, every = Counter(), 0, 0, 0
         yield report()

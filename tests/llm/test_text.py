@@ -207,7 +207,7 @@ def slow_katz(rows, train, vocabulary):
 @pytest.mark.parametrize("vocabulary,head,run_rows,chunk", [(1 << 20, 512, 1 << 20, 1 << 20), (40, 4, 5, 7),
                                                             (1, 3, 50, 1 << 20)])
 def test_katz_matches_brute_force(spark, monkeypatch, vocabulary, head, run_rows, chunk):
-    for k, v in (("VOCABULARY", vocabulary), ("HEAD", head), ("CHUNK", chunk)):
+    for k, v in (("VOCABULARY", vocabulary), ("HEAD", head), ("CHUNK", chunk), ("WORDS_HELD", chunk)):
         monkeypatch.setattr(katz, k, v)
     rnd = random.Random(6)
     words = [f"w{int(rnd.paretovariate(0.8))}" for _ in range(3000)] + ["The", "the"] * 300
