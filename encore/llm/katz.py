@@ -17,7 +17,9 @@ first and broadcast; every other bigram and rare word of a document is sent, onc
 document, to the partition of its key, where the sorted run gives its training count and
 so the token's term.  The same run gives what alpha(h) needs.  Then terms are summed per
 document, alpha is made from the stored sums (one row per vocabulary word) and is
-applied to the unseen tokens.  No key outside the head holds more than 1 / HEAD of the
+applied to the unseen tokens.  ``score`` does so in one pass over a corpus that holds
+both training and other rows; ``fit`` stores the n-gram counts in a partitioned table
+instead, and ``score_with`` lets any documents meet that table.  No key outside the head holds more than 1 / HEAD of the
 tokens; a run longer than ``RUN_ROWS`` is not held but read from its stored rows again.
 
 Cases: a null text is empty and has one token, the end; rows that repeat a doc_id are
@@ -225,7 +227,7 @@ def send(ids, head, logs, counts: Counts):
                 yield out(hs[first], rid[ds[first]], n * sign[ds[first]], pa.nulls(len(first), fields))
 
     def out(key, rid, n, doc):
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(rid), pa.array(n, pa.int32()), doc],
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(rid), pa.array(n, pa.int64()), doc],
                                           ["key", "rid", "n", "doc"])
 
     return run
@@ -233,7 +235,11 @@ def send(ids, head, logs, counts: Counts):
 
 def terms(key, rid, n, c, logs, counts: Counts):
     """Sums of rows whose key's training count is ``c``: per document, and unseen
-    bigrams per document and history."""
+    bigrams per document and history.  Rows of a stored table (rid -1) only count."""
+    own = rid >= 0
+    key, rid, n, c = key[own], rid[own], n[own], c[own]
+    if not len(key):
+        return
     low, _, hlog = logs
     m, bigram = np.abs(n).astype(np.int64), key < (1 << 62)
     h, w = np.where(bigram, key >> SHIFT, 0), np.where(bigram, key & ((1 << SHIFT) - 1), 1)
@@ -320,7 +326,7 @@ def meet(logs, counts: Counts, run_rows: int):
                 same = rows[0] == long_key
                 if same.any():
                     long_count += int(np.maximum(rows[2][same], 0).sum())
-                    yield batch(3, rows[0][same], b=rows[1][same], n=rows[2][same].astype(np.int64))
+                    yield batch(3, rows[0][same], b=rows[1][same], n=rows[2][same])
                 if not same.all():
                     yield batch(4, [long_key], n=[long_count])
                     long_key = None
@@ -335,7 +341,7 @@ def meet(logs, counts: Counts, run_rows: int):
                 if size > run_rows:
                     key, rid, n = open_run
                     long_key, long_count, held, size = key[0], int(np.maximum(n, 0).sum()), [], 0
-                    yield batch(3, key, b=rid, n=n.astype(np.int64))
+                    yield batch(3, key, b=rid, n=n)
         if long_key is not None:
             yield batch(4, [long_key], n=[long_count])
         if size:
@@ -396,39 +402,45 @@ def backoff(history, head: np.ndarray, low: np.ndarray, by_id: np.ndarray):
         return d, np.where(seen, np.log10(left / rest), 0.0)
 
 
-def score(docs: DataFrame, train: Column, held_out: Column, id_col: str = "doc_id",
-          text_col: str = "text", run_rows: int = RUN_ROWS) -> DataFrame:
-    """Learn from the rows where ``train`` holds and score every row: doc_id, held_out,
-    n_tokens, n_known, train_tokens, base_score, score (log10)."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("rid"),
+class Model(NamedTuple):
+    """A fitted model: class counts, head bigrams, discounts, log10 alpha per class, and
+    the folder of its n-gram table (key, n), partitioned by ``bucket``."""
+    counts: Counts
+    head: np.ndarray
+    discounts: np.ndarray
+    alpha: np.ndarray
+    ngrams: str
+
+
+ROW = f"key long, rid long, n long, doc {DOC}"
+
+
+def _rows(docs: DataFrame, train: Column, held_out: Column, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("rid"),
                        F.col(id_col).cast("long").alias("id"),
                        F.coalesce(held_out, F.lit(False)).alias("held"),
                        F.coalesce(train, F.lit(False)).alias("train"))
-    counts = vocabulary(stored(word_counts(rows), "katz-words"))
-    share = spark.sparkContext.broadcast
-    ids = share({w: i for i, w in enumerate(counts.words, WORD)})
-    logs = share(class_logs(counts))
-    table = head_counts(rows, ids, min(HEAD, len(counts.by_id)))
-    head = share(table)
-    counts = counts._replace(words=[])
-    parts = max(8, -(-counts.tokens_all // PART_TOKENS))
-    sent = (rows.mapInArrow(send(ids, head, logs, counts), f"key long, rid long, n int, doc {DOC}")
-            .repartition(parts, "key").sortWithinPartitions("key"))
-    sums = stored(summed(sent.mapInArrow(meet(logs, counts, run_rows), SUMS)), "katz-sums")
-    runs = {r.a: r.n for r in sums.where("kind = 4").select("a", "n").collect()}
+
+
+def _met(sent: DataFrame, counts: Counts, tokens: int, logs, run_rows: int) -> DataFrame:
+    """The stored sums of all rows of ``send`` (and of an n-gram table)."""
+    parts = max(8, -(-tokens // PART_TOKENS))
+    return stored(summed(sent.repartition(parts, "key").sortWithinPartitions("key")
+                         .mapInArrow(meet(logs, counts, run_rows), SUMS)), "katz-sums")
+
+
+def _long_runs(sums: DataFrame) -> dict[int, int]:
+    """Training counts of the runs that were not held: one for every run_rows rows at most."""
+    return {r.a: r.n for r in sums.where("kind = 4").select("a", "n").collect()}
+
+
+def _scores(sums: DataFrame, runs: dict[int, int], counts: Counts, logs, d: np.ndarray,
+            alpha: np.ndarray, id_col: str) -> DataFrame:
     doc = sums.where("kind < 2")
-    if runs:  # at most one for every run_rows rows
-        doc = summed(doc.unionByName(
-            sums.where("kind = 3").select("a", "b", F.col("n").cast("int").alias("n"))
-            .mapInArrow(again(runs, logs, counts), SUMS)))
-    low = class_logs(counts)[0]
-    history = sums.where("kind = 2").select("a", "n", "x", *R).toArrow()
     if runs:
-        long_rows = pa.Table.from_batches([histories(np.array(list(runs)), np.array(list(runs.values())), low)])
-        history = merge_histories(history, long_rows)
-    d, alpha = backoff(history, table, low, counts.by_id)
-    weights = share(alpha)
+        doc = summed(doc.unionByName(sums.where("kind = 3").select("a", "b", "n")
+                                     .mapInArrow(again(runs, logs, counts), SUMS)))
+    weights = sums.sparkSession.sparkContext.broadcast(alpha)
 
     def unseen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -446,6 +458,71 @@ def score(docs: DataFrame, train: Column, held_out: Column, id_col: str = "doc_i
                     (F.col("y") + seen + F.coalesce("u", F.lit(0.0))).alias("score")))
 
 
+def score(docs: DataFrame, train: Column, held_out: Column, id_col: str = "doc_id",
+          text_col: str = "text", run_rows: int = RUN_ROWS) -> DataFrame:
+    """Learn from the rows where ``train`` holds and score every row in one pass:
+    doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
+    The same as ``fit`` and ``score_with``, but n-gram counts are not stored: they are
+    made in the partition where the rows that need them meet."""
+    rows = _rows(docs, train, held_out, id_col, text_col)
+    share = docs.sparkSession.sparkContext.broadcast
+    counts = vocabulary(stored(word_counts(rows), "katz-words"))
+    ids = share({w: i for i, w in enumerate(counts.words, WORD)})
+    low, *_ = all_logs = class_logs(counts)
+    logs = share(all_logs)
+    table = head_counts(rows, ids, min(HEAD, len(counts.by_id)))
+    counts = counts._replace(words=[])
+    sent = rows.mapInArrow(send(ids, share(table), logs, counts), ROW)
+    sums = _met(sent, counts, counts.tokens_all, logs, run_rows)
+    runs = _long_runs(sums)
+    history = sums.where("kind = 2").select("a", "n", "x", *R).toArrow()
+    if runs:
+        history = merge_histories(history, pa.Table.from_batches(
+            [histories(np.array(list(runs)), np.array(list(runs.values())), low)]))
+    d, alpha = backoff(history, table, low, counts.by_id)
+    return _scores(sums, runs, counts, logs, d, alpha, id_col)
+
+
+def fit(docs: DataFrame, path: str, buckets: int = 64, id_col: str = "doc_id",
+        text_col: str = "text") -> Model:
+    """Learn from all rows; the n-gram counts are stored under ``path``, partitioned by
+    ``bucket`` (the key modulo ``buckets``)."""
+    rows = _rows(docs, F.lit(True), F.lit(False), id_col, text_col)
+    share = docs.sparkSession.sparkContext.broadcast
+    counts = vocabulary(stored(word_counts(rows), "katz-words"))
+    ids = share({w: i for i, w in enumerate(counts.words, WORD)})
+    low, *_ = all_logs = class_logs(counts)
+    logs = share(all_logs)
+    table = head_counts(rows, ids, min(HEAD, len(counts.by_id)))
+    grams = (rows.mapInArrow(send(ids, share(table), logs, counts._replace(words=[])), ROW)
+             .where("key >= 0").groupBy("key").agg(F.sum("n").alias("n")))
+    grams.withColumn("bucket", F.pmod("key", F.lit(buckets))).write.partitionBy("bucket").parquet(path)
+
+    def per_history(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield histories(b.column(0).to_numpy(), b.column(1).to_numpy(), logs.value[0])
+
+    stored_grams = docs.sparkSession.read.schema("key long, n long").parquet(path)
+    history = (summed(stored_grams.mapInArrow(per_history, SUMS)).select("a", "n", "x", *R).toArrow())
+    return Model(counts, table, *backoff(history, table, low, counts.by_id), path)
+
+
+def score_with(model: Model, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+               run_rows: int = RUN_ROWS) -> DataFrame:
+    """Score documents by a fitted model: their n-grams meet the stored table's rows.
+    The columns are those of ``score``; held_out is true."""
+    spark = docs.sparkSession
+    share = spark.sparkContext.broadcast
+    rows = _rows(docs, F.lit(False), F.lit(True), id_col, text_col)
+    ids = share({w: i for i, w in enumerate(model.counts.words, WORD)})
+    counts, logs = model.counts._replace(words=[]), share(class_logs(model.counts))
+    sent = rows.mapInArrow(send(ids, share(model.head), logs, counts), ROW)
+    grams = spark.read.schema("key long, n long").parquet(model.ngrams).select(
+        "key", F.lit(-1).cast("long").alias("rid"), "n", F.lit(None).cast(DOC).alias("doc"))
+    sums = _met(sent.unionByName(grams), counts, counts.tokens_all, logs, run_rows)
+    return _scores(sums, _long_runs(sums), counts, logs, model.discounts, model.alpha, id_col)
+
+
 def merge_histories(a: pa.Table, b: pa.Table) -> pa.Table:
     """Sums per history of two tables of history rows."""
     cols = ["a", "n", "x", *R]

@@ -222,6 +222,22 @@ def test_katz_matches_brute_force(spark, monkeypatch, vocabulary, head, run_rows
     assert all(abs(s - 1) < 1e-9 for s in sums)
 
 
+@pytest.mark.parametrize("run_rows", [1 << 18, 20])
+def test_stored_model_scores_alike(spark, monkeypatch, tmpdir_path, run_rows):
+    for k, v in (("VOCABULARY", 60), ("HEAD", 5)):
+        monkeypatch.setattr(katz, k, v)
+    rnd = random.Random(8)
+    words = [f"w{int(rnd.paretovariate(0.8))}" for _ in range(2000)]
+    rows = [(i, " ".join(rnd.choices(words, k=rnd.randrange(50)))) for i in range(50)] + [(50, None), (51, "z z9 z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    held = F.col("doc_id") % 10 == 0
+    model = katz.fit(df.where(~held), f"{tmpdir_path}/ngrams", buckets=3)
+    cols = ["doc_id", "n_tokens", "n_known", "train_tokens", F.round("base_score", 8), F.round("score", 8)]
+    got = katz.score_with(model, df.where(held), run_rows=run_rows).select(cols).collect()
+    want = katz.score(df, ~held, held).where("held_out").select(cols).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 6
+
+
 def test_katz_edges(spark):
     df = spark.createDataFrame([(None, "a b"), (1, "a")], "doc_id long, text string")
     none = katz.score(df, F.lit(False), F.lit(True)).collect()
