@@ -178,14 +178,13 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
 
         class Ids(dict):
             def __missing__(self, word):
-                if word in known:
-                    return known[word]
-                if len(self) > CACHE:
+                if len(self) > len(known) + CACHE:
                     self.clear()
+                    self.update(known)
                 self[word] = own = np.array(merge_word(word.encode(), ranks), "<u4").tobytes()
                 return own
 
-        cache = Ids()
+        cache = Ids(known)
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
