@@ -175,8 +175,9 @@ def head_counts(docs: DataFrame, ids, size: int) -> np.ndarray:
     return out.reshape(size, size)
 
 
-DOC = "struct<id:long,held:boolean,n:long,known:long,x:double,y:double," + ",".join(
-    f"{r}:int" for r in R[:K]) + ">"
+#: A document's own sums, packed into one binary value (null in all other rows).
+DOC = np.dtype([("id", "<i8"), ("has_id", "?"), ("held", "?"), ("n", "<i8"), ("known", "<i8"), ("x", "<f8"),
+                ("y", "<f8"), *[(r, "<i4") for r in R[:K]]])
 SUMS = "kind int, a long, b long, id long, held boolean, n long, known long, x double, y double, " + ", ".join(
     f"{r} long" for r in R)
 
@@ -190,8 +191,6 @@ def send(ids, head, logs, counts: Counts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, (_, base, hlog) = head.value, logs.value
         size = len(table)
-        fields = pa.struct([("id", pa.int64()), ("held", pa.bool_()), ("n", pa.int64()), ("known", pa.int64()),
-                            ("x", pa.float64()), ("y", pa.float64()), *[(r, pa.int32()) for r in R[:K]]])
         for rows, starts, w, h, rare, at in token_chunks(batches, ids.value):
             rid, doc_id, held, train = rows
             rid, sign = np.array(rid), np.where(np.array(train), 1, -1)
@@ -206,16 +205,18 @@ def send(ids, head, logs, counts: Counts):
             done = c > 0
             term = n * (np.log10(np.where(c > K, c, 1)) - hlog[hh])
             word = w != UNK
-            sums = [pa.array(doc_id, pa.int64()), pa.array(held, pa.bool_()), pa.array(lens),
-                    pa.array(np.bincount(doc, word & known_id[w], docs).astype(np.int64)),
-                    pa.array(np.bincount(doc, np.where(word, base[w], 0), docs).astype(float)),
-                    pa.array(np.bincount(d[done], term[done], docs).astype(float)),
-                    *[pa.array(np.bincount(d, np.where(c == i, n, 0), docs).astype(np.int32))
-                      for i in range(1, K + 1)]]
+            sums = np.zeros(docs, DOC)
+            sums["id"], sums["has_id"] = [i or 0 for i in doc_id], [i is not None for i in doc_id]
+            sums["held"], sums["n"] = held, lens
+            sums["known"] = np.bincount(doc, word & known_id[w], docs)
+            sums["x"] = np.bincount(doc, np.where(word, base[w], 0), docs)
+            sums["y"] = np.bincount(d[done], term[done], docs)
+            for i, r in enumerate(R[:K], 1):
+                sums[r] = np.bincount(d, np.where(c == i, n, 0), docs)
             yield out(-1 - rid, rid, np.zeros(docs, np.int64),
-                      pa.StructArray.from_arrays(sums, fields=list(fields)))
+                      pa.array([sums[i:i + 1].tobytes() for i in range(docs)], pa.binary()))
             rest = ~done
-            yield out(key[rest], rid[d[rest]], n[rest] * sign[d[rest]], pa.nulls(int(rest.sum()), fields))
+            yield out(key[rest], rid[d[rest]], n[rest] * sign[d[rest]], pa.nulls(int(rest.sum()), pa.binary()))
             if rare:
                 digest = xxhash.xxh64_intdigest
                 hashes = np.fromiter((digest(x) for x in rare), np.uint64, len(rare))
@@ -224,7 +225,7 @@ def send(ids, head, logs, counts: Counts):
                 hs, ds = hashes[order], at[order]
                 first = np.flatnonzero(np.concatenate([[True], (hs[1:] != hs[:-1]) | (ds[1:] != ds[:-1])]))
                 n = np.diff(np.append(first, len(hs)))
-                yield out(hs[first], rid[ds[first]], n * sign[ds[first]], pa.nulls(len(first), fields))
+                yield out(hs[first], rid[ds[first]], n * sign[ds[first]], pa.nulls(len(first), pa.binary()))
 
     def out(key, rid, n, doc):
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(rid), pa.array(n, pa.int64()), doc],
@@ -319,8 +320,10 @@ def meet(logs, counts: Counts, run_rows: int):
             docs = key < 0
             if docs.any():
                 own = b.filter(pa.array(docs))
-                f = dict(zip([x.name for x in own.schema.field("doc").type], own.column(3).flatten()))
-                yield batch(0, own.column(1).to_numpy(), **f)
+                f = np.frombuffer(b"".join(own.column(3).to_pylist()), DOC)
+                yield batch(0, own.column(1).to_numpy(),
+                            id=[i if has else None for i, has in zip(f["id"].tolist(), f["has_id"].tolist())],
+                            **{k: f[k] for k in DOC.names[2:]})
             rows = (key[~docs], b.column(1).to_numpy()[~docs], b.column(2).to_numpy()[~docs])
             if long_key is not None:
                 same = rows[0] == long_key
@@ -412,7 +415,7 @@ class Model(NamedTuple):
     ngrams: str
 
 
-ROW = f"key long, rid long, n long, doc {DOC}"
+ROW = "key long, rid long, n long, doc binary"
 
 
 def _rows(docs: DataFrame, train: Column, held_out: Column, id_col: str, text_col: str) -> DataFrame:
@@ -518,7 +521,7 @@ def score_with(model: Model, docs: DataFrame, id_col: str = "doc_id", text_col:
     counts, logs = model.counts._replace(words=[]), share(class_logs(model.counts))
     sent = rows.mapInArrow(send(ids, share(model.head), logs, counts), ROW)
     grams = spark.read.schema("key long, n long").parquet(model.ngrams).select(
-        "key", F.lit(-1).cast("long").alias("rid"), "n", F.lit(None).cast(DOC).alias("doc"))
+        "key", F.lit(-1).cast("long").alias("rid"), "n", F.lit(None).cast("binary").alias("doc"))
     sums = _met(sent.unionByName(grams), counts, counts.tokens_all, logs, run_rows)
     return _scores(sums, _long_runs(sums), counts, logs, model.discounts, model.alpha, id_col)
 
