@@ -49,7 +49,7 @@ K = 5
 START, END, UNK, WORD = 0, 1, 2, 3
 SHIFT = 21  # bits of a word id in a bigram key
 CHUNK = 1 << 18  # tokens that a task handles at once
-WORDS_HELD = 1 << 20  # distinct words that a counting task holds
+WORDS_HELD = 1 << 18  # distinct words that a counting task holds
 RUN_ROWS = 1 << 18
 PART_TOKENS = 3_000_000
 R = [f"r{i}" for i in range(1, K + 2)]
