@@ -22,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Labelled documents that training takes at most (about; chosen by hash).
+#: Labelled documents that training takes at most, but one of each language at least.
 SAMPLE_DOCS = 20_000
 #: Languages that a model may hold; more are refused.
 MAX_LANGS = 500
@@ -104,32 +104,76 @@ def scores(model: Model, texts) -> tuple[list[str], np.ndarray]:
     return [langs[k] if s else "und" for k, s in zip(best, seen)], score
 
 
-def train(docs: DataFrame, labelled: Column, sample_docs: int = SAMPLE_DOCS,
-          text_col: str = "text", label_col: str = "lang") -> Model:
-    """Fit on the rows where ``labelled`` holds and text and label are not null, or a
-    sample of about ``sample_docs`` of them chosen by the text's hash."""
+def quota(n: list[int], total: int) -> int:
+    """The most rows a language may give so that all give ``total`` at most (but 1 each)."""
+    left, sizes = total, sorted(n)
+    for i, k in enumerate(sizes):
+        share = left // (len(sizes) - i)
+        if k > share:
+            return max(1, share)
+        left -= k
+    return max(1, sizes[-1]) if sizes else 1
+
+
+def least_rows(rows: DataFrame, most: int) -> DataFrame:
+    """(text, lang, n): of each language the ``most`` rows of least hash h, equal
+    rows (one text, language and hash) as one with their number n."""
+    cell = F.shiftright("h", 53)
+    by_cell = rows.groupBy("lang", cell.alias("cell")).agg(F.count("*").alias("n"))
+    over = Window.partitionBy("lang").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    # the cell of each language in which its last row lies, and the rows before that cell
+    edge = (by_cell.withColumn("before", F.coalesce(F.sum("n").over(over), F.lit(0)))
+            .where(F.col("before") < most).groupBy("lang")
+            .agg(F.max_by(F.struct("cell", "before"), "cell").alias("e")).select("lang", "e.*").toArrow().to_pylist())
+    spark = rows.sparkSession
+    edges = F.broadcast(spark.createDataFrame([(r["lang"], r["cell"], r["before"]) for r in edge],
+                                              "lang string, edge long, before long"))
+    near = rows.join(edges, "lang")
+    over = Window.partitionBy("lang").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = (near.where(cell == F.col("edge")).groupBy("lang", "before", "h").agg(F.count("*").alias("n"))
+            .withColumn("taken", F.col("before") + F.coalesce(F.sum("n").over(over), F.lit(0)))
+            .where(F.col("taken") < most).groupBy("lang")
+            .agg(F.max_by(F.struct("h", F.least("n", F.lit(most) - F.col("taken")).alias("last")), "h").alias("e"))
+            .select("lang", "e.*").toArrow().to_pylist())
+    cut = F.broadcast(spark.createDataFrame([(r["lang"], r["h"], r["last"]) for r in cuts],
+                                            "lang string, cut long, last long"))
+    return (rows.join(cut, "lang").where(F.col("h") <= F.col("cut")).groupBy("lang", "h", "cut", "last")
+            .agg(F.min("text").alias("text"), F.count("*").alias("n"))
+            .select("text", "lang", F.when(F.col("h") == F.col("cut"), F.col("last")).otherwise(F.col("n")).alias("n")))
+
+
+def train(docs: DataFrame, labelled: Column, sample_docs: int = SAMPLE_DOCS, text_col: str = "text",
+          label_col: str = "lang", id_col: str = "doc_id") -> Model:
+    """Fit on the rows where ``labelled`` holds and text and label are not null.  Of over
+    ``sample_docs`` rows each language gives those of least hash over text and id, up to
+    an equal quota, so that every language has some; priors count all rows."""
     rows = docs.where(labelled & F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
     n = {r[0]: r[1] for r in rows.groupBy(label_col).count().orderBy(label_col).limit(MAX_LANGS + 1).collect()}
     if len(n) > MAX_LANGS:
         raise ValueError(f"over {MAX_LANGS} languages")
     langs, total = sorted(n), sum(n.values())
+    named = [F.col(c) for c in docs.columns if c.lower() == id_col.lower()]
+    rows = rows.select(F.col(text_col).alias("text"), F.col(label_col).alias("lang"),
+                       F.shiftrightunsigned(F.xxhash64(text_col, *named), 1).alias("h"))
     if total > sample_docs:
-        rows = rows.where(F.pmod(F.xxhash64(text_col), F.lit(1 << 20)) < (1 << 20) * sample_docs // total)
+        rows = least_rows(rows, quota(list(n.values()), sample_docs))
+    else:
+        rows = rows.select("text", "lang", F.lit(1).cast("long").alias("n"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for b in batches:
-            for text, lang in zip(b.column(0), b.column(1).to_pylist()):
+            for text, lang, k in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 own = sums.setdefault(lang, np.zeros(1 << BITS, np.int64))
                 for ids in buckets(clean(text.as_py())):
-                    own += np.bincount(ids, minlength=1 << BITS)
+                    own += k * np.bincount(ids, minlength=1 << BITS)
         for lang, own in sums.items():  # at most 2**BITS rows a language
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(own[at])],
                 ["lang", "bucket", "n"])
 
-    found = (rows.select(text_col, label_col).repartition(max(1, min(16, sample_docs // 1000)))
+    found = (rows.repartition(max(1, min(16, sample_docs // 1000)))
              .mapInArrow(count, "lang string, bucket int, n long")
              .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow())
     counts = np.zeros((1 << BITS, len(langs)))

@@ -44,6 +44,25 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in lang_id.predict(rows, none).collect()} == {"und"}
 
 
+def test_language_sample_covers_labels_and_is_bounded(spark):
+    rows = [(i, f"hello there number {'abc'[i % 3] * (i % 40)}", "en") for i in range(3000)]
+    rows += [(None, "same text again", "de")] * 1000 + [(i, "bonjour le monde", "fr") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    h = F.shiftrightunsigned(F.xxhash64("text", "doc_id"), 1).alias("h")
+    got = lang_id.least_rows(df.select("text", "lang", h), 40).collect()
+    per = Counter()
+    for r in got:
+        per[r.lang] += r.n
+    assert per == {"en": 40, "de": 40, "fr": 3}
+    en = sorted((r.h, r.text) for r in df.where("lang = 'en'").select("text", h).collect())[:40]
+    assert Counter(t for _, t in en) == Counter(r.text for r in got if r.lang == "en" for _ in range(r.n))
+    assert lang_id.quota([3000, 1000, 3], 83) == 40 and lang_id.quota([5, 6], 1) == 1
+    model = lang_id.train(df, F.lit(True), sample_docs=60)
+    assert len({tuple(model[1][:, k]) for k in range(3)}) == 3 and np.ptp(model[1][:, 2]) > 0
+    out = lang_id.predict(spark.createDataFrame([(1, "bonjour le monde")], "doc_id long, text string"), model)
+    assert out.first().lang_pred == "fr"
+
+
 def test_language_pieces_equal_whole(monkeypatch):
     chars = lang_id.clean("abc def " * 50)
     whole = np.sort(np.concatenate(list(lang_id.buckets(chars))))
