@@ -30,8 +30,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group linked by SimHash (3-word shingles, 3 bits)."""
-    return simhash.near_dedup(docs, shingle=3, distance=3).select(*docs.columns)
+    """Keep one document of each group linked by SimHash (3-word shingles, 3 bits), also
+    of groups without ids or with clashing ones."""
+    return simhash.near_dedup(docs, shingle=3, distance=3, keep_nameless=False).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from encore.llm.common import checkpointed, connected_components, stored
@@ -54,17 +54,18 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id",
-                 text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row; fp is the fingerprint as a signed long."""
-    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp long"
+                 text_col: str = "text", others: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, *others, fp) of every row; fp is the fingerprint as a signed long."""
+    names = [id_col, *others]
+    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in names) + "fp long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(1)), np.uint64,
+            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(0)), np.uint64,
                               b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], [id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(fps.view(np.int64))], [*names, "fp"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(text_col, *names).mapInArrow(run, schema)
 
 
 def local_links(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -176,27 +177,44 @@ def variant_links(distinct: DataFrame, distance: int = 3, run_rows: int = RUN_RO
     return links.unionByName(_swept(second, distance, None).select("a", "b"))
 
 
+def _nodes(rows: DataFrame, first: Column, distance: int, run_rows: int) -> DataFrame:
+    """(fp, first, component) of each distinct fingerprint; first is the least value."""
+    least = checkpointed(rows.groupBy("fp").agg(F.min(first).alias("first")))
+    of = connected_components(variant_links(least, distance, run_rows))
+    return least.join(of, least["fp"] == of["node"], "left").select(
+        "fp", "first", F.coalesce("component", "fp").alias("component"))
+
+
 def simhash_components(docs: DataFrame, shingle: int = 3, distance: int = 3,
                        id_col: str = "doc_id", text_col: str = "text",
                        run_rows: int = RUN_ROWS) -> DataFrame:
     """(doc_id, fp, component_id) per row: component_id is the smallest doc_id
     reachable over links of at most ``distance`` differing bits."""
     rows = checkpointed(fingerprints(docs, shingle, id_col, text_col))
-    least = checkpointed(rows.groupBy("fp").agg(F.min(id_col).alias("first_id")))
-    of = connected_components(variant_links(least, distance, run_rows))
-    node = least.join(of, least["fp"] == of["node"], "left").select(
-        "fp", "first_id", F.coalesce("component", "fp").alias("component"))
-    ids = node.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    node = _nodes(rows, F.col(id_col), distance, run_rows)
+    ids = node.groupBy("component").agg(F.min("first").alias("component_id"))
     per_fp = node.join(ids, "component").select(F.col("fp").alias("fp2"), "component_id")
     return (rows.join(per_fp, rows["fp"] == per_fp["fp2"])
             .select(id_col, rows["fp"], "component_id"))
 
 
-def near_dedup(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
-    """The documents whose doc_id is the smallest of their component; where rows
-    repeat that doc_id, one of them stays.  Rows without a doc_id cannot be named
-    by a component and stay.  All columns stay."""
-    classes = simhash_components(docs, shingle, distance)
-    kept = classes.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+def near_dedup(docs: DataFrame, shingle: int = 3, distance: int = 3,
+               keep_nameless: bool = True) -> DataFrame:
+    """One row of each component, by a key of its own: the least doc_id (null last), of
+    those the least text hash, of those the first row.  With ``keep_nameless`` all rows
+    without a doc_id stay beside it.  All columns stay."""
+    key = "row_key"
+    while key in map(str.lower, docs.columns):
+        key += "_"
+    keyed = stored(docs.withColumn(key, F.monotonically_increasing_id()), "simhash-rows")
+    named = keyed.select(F.col("doc_id"), F.col("text"), F.xxhash64("text").alias("text_hash"),
+                         F.col(key).alias("key"))
+    rows = checkpointed(fingerprints(named, shingle, others=("text_hash", "key")))
+    first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash", "key")
+    node = _nodes(rows, first, distance, RUN_ROWS)
+    kept = node.groupBy("component").agg(F.min("first").alias("first")).select(
+        F.col("first.key").alias(key), F.col("first.nameless").alias("nameless"))
+    if not keep_nameless:
+        return keyed.join(kept, key, "left_semi").drop(key)
+    return (keyed.join(kept.where(~F.col("nameless")), key, "left_semi")
+            .unionByName(keyed.where("doc_id IS NULL")).drop(key))

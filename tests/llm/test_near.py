@@ -94,6 +94,19 @@ def test_components_of_documents(spark):
     assert simhash.simhash_components(df.limit(0)).count() == 0
 
 
+def test_one_document_of_each_group_without_names(spark):
+    import corpus_pipeline as cp
+    far = ["one two three four five six", "sun moon star sky cloud rain", "red green blue black white grey"]
+    rows = [(5, far[0]), (5, far[1]), (2, far[1]), (7, far[0]), *[(None, far[2])] * 6, (None, far[1]), (5, far[0])]
+    assert min((simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() for a in far for b in far if a != b) > 3
+    df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, row_key int").repartition(3)
+    got = cp.drop_near_copies(spark, df, SF)
+    assert got.columns == df.columns
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(5, far[0]), (2, far[1]), (None, far[2])])
+    clash = spark.createDataFrame([(5, far[0]), (5, far[1])], "doc_id long, text string")
+    assert cp.drop_near_copies(spark, clash, SF).count() == 2
+
+
 # -------------------------------------------------------------- embeddings --
 
 def slow_vectors(rows, cosine=0.93):
