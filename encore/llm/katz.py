@@ -1,26 +1,32 @@
 """Katz backoff bigram language model with Good-Turing discounts.
 
 Tokens are the lower-cased words of a text and one end.  Training word counts are a
-stored table.  Words that hold over 1 / ``VOCABULARY`` of the training tokens (so fewer
-than ``VOCABULARY``) are the model's vocabulary and are broadcast; all other words are
-the class UNK, whose words share its probability by their own counts.  With c the
+stored table.  Every training word has bigrams and a history of its own.  With c the
 training count of a bigram, d the Good-Turing discount for c up to 5 and 1 above:
 
     P(w | h) = d c(h, w) / (c(h) + 1/2)      if c(h, w) > 0
              = alpha(h) P(w)                 otherwise,
 
-P(w) the smoothed class share, and alpha(h) set so that the classes sum to one exactly;
-the half keeps mass for unseen words where no count of h is discounted.
+P(w) the smoothed share, and alpha(h) set so that all words and one unknown word sum to
+one exactly; the half keeps mass for unseen words where no count of h is discounted.
+
+Words that hold over 1 / ``BROADCAST`` of the training tokens (so fewer than
+``BROADCAST``) have small ids and broadcast counts, which is a shortcut only; any other
+word is named by a 62-bit hash, and its count and alpha are rows of tables that are
+joined on the name.  Where ``VOCABULARY`` is set, words that hold no more than
+1 / VOCABULARY are one class UNK instead, whose words share its probability by their own
+counts; ``fit`` and ``score_with`` know this form only.
 
 Scoring evaluates this per token.  Pairs of the ``HEAD`` most frequent words are counted
 first and broadcast; every other bigram and rare word of a document is sent, once per
 document, to the partition of its key, where the sorted run gives its training count and
-so the token's term.  The same run gives what alpha(h) needs.  Then terms are summed per
-document, alpha is made from the stored sums (one row per vocabulary word) and is
-applied to the unseen tokens.  ``score`` does so in one pass over a corpus that holds
-both training and other rows; ``fit`` stores the n-gram counts in a partitioned table
-instead, and ``score_with`` lets any documents meet that table.  No key outside the head holds more than 1 / HEAD of the
-tokens; a run longer than ``RUN_ROWS`` is not held but read from its stored rows again.
+so the token's term.  The same run gives what alpha(h) needs.  What a run lacks, P(w) of
+a rare w behind another word, is joined to the stored sums.  Then terms are summed per
+document, alpha is made per history and is applied to the unseen tokens.  ``score`` does
+so in one pass over a corpus that holds both training and other rows; ``fit`` stores the
+n-gram counts in a partitioned table instead, and ``score_with`` lets any documents meet
+that table.  No training key outside the head holds more than 1 / HEAD of the tokens; a
+run longer than ``RUN_ROWS`` is not held but read from its stored rows again.
 
 Cases: a null text is empty and has one token, the end; rows that repeat a doc_id are
 scored one by one; a null doc_id is neither held out nor trained on; without training
@@ -42,12 +48,17 @@ from pyspark.sql import functions as F
 
 from encore.llm.common import stored
 
-VOCABULARY = 1 << 20
+#: Share of the tokens below which words are one class; None: none are.
+VOCABULARY = None
+#: Words over this share have ids and broadcast counts.
+BROADCAST = 1 << 20
 HEAD = 512
 #: Counts up to K are discounted.
 K = 5
 START, END, UNK, WORD = 0, 1, 2, 3
 SHIFT = 21  # bits of a word id in a bigram key
+#: Least keys of bigrams with a word named by hash, and of such words.
+HASHED, NAMED = 1 << 61, 1 << 62
 CHUNK = 1 << 18  # tokens that a task handles at once
 WORDS_HELD = 1 << 18  # distinct words that a counting task holds
 RUN_ROWS = 1 << 18
@@ -63,6 +74,12 @@ class Counts(NamedTuple):
     distinct: int
     rare_distinct: int
     tokens_all: int
+    classed: bool  # words without an id are the class UNK
+
+    @property
+    def low_total(self) -> float:
+        """What smoothed shares of single words are divided by: all words, end and unknown."""
+        return self.tokens + 0.1 * (self.distinct + 1 + (self.by_id[END] == 0))
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -99,17 +116,17 @@ def word_counts(docs: DataFrame) -> DataFrame:
                                  F.sum("n_all").alias("n_all")))
 
 
-def vocabulary(table: DataFrame) -> Counts:
-    """Class counts from the stored word counts."""
+def vocabulary(table: DataFrame, classed: bool) -> Counts:
+    """Counts of the words with an id from the stored word counts."""
     n, rows, every = (table.where("word IS NULL").select("n", "rows", "n_all").first() or (0, 0, 0))
     words = table.where("word IS NOT NULL")
     tokens = n + rows
-    top = (words.where(F.col("n") * VOCABULARY > tokens).select("word", "n")
+    top = (words.where(F.col("n") * (VOCABULARY or BROADCAST) > tokens).select("word", "n")
            .orderBy(F.desc("n"), "word").toArrow())
     distinct = words.count()
     own = top["n"].to_numpy()
-    by_id = np.concatenate([[rows, rows, n - own.sum()], own]).astype(np.int64)
-    return Counts(top["word"].to_pylist(), by_id, tokens, distinct + (rows > 0), distinct - len(own), every)
+    by_id = np.concatenate([[rows, rows, n - own.sum() if classed else 0], own]).astype(np.int64)
+    return Counts(top["word"].to_pylist(), by_id, tokens, distinct + (rows > 0), distinct - len(own), every, classed)
 
 
 def class_logs(c: Counts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,19 +134,20 @@ def class_logs(c: Counts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     share = c.by_id + 0.1
     share[START] = 0
     with np.errstate(divide="ignore"):
-        low = np.log10(share / share.sum())
+        low = np.log10(share / (share.sum() if c.classed else c.low_total))
     base = np.log10((c.by_id + 0.1) / (c.tokens + 0.1 * (c.distinct + 1)))
     return low, base, np.log10(c.by_id + 0.5)
 
 
 def token_chunks(batches: Iterator[pa.RecordBatch], ids: dict[bytes, int]):
     """Chunks of whole documents and of pieces of long ones: (column rows, document
-    starts, class ids, histories, rare words, their documents)."""
-    get, rows, starts, flat, hist, rare, at = ids.get, [], [], [], [], [], []
+    starts, class ids, histories, rare words, their documents, the rare words before
+    pieces by piece)."""
+    get, rows, starts, flat, hist, rare, at, before = ids.get, [], [], [], [], [], [], {}
 
     def chunk():
         return (list(zip(*rows)), np.array(starts), np.array(flat, np.int64), np.array(hist, np.int64),
-                rare, np.array(at, np.int64))
+                rare, np.array(at, np.int64), before)
 
     for b in batches:
         for text, *row in zip(b.column(0), *[c.to_pylist() for c in b.columns[1:]]):
@@ -139,6 +157,8 @@ def token_chunks(batches: Iterator[pa.RecordBatch], ids: dict[bytes, int]):
                 part = words[lo:lo + CHUNK]
                 own = [get(w, UNK) for w in part]
                 k = len(rows)
+                if last == UNK:
+                    before[k] = words[lo - 1]
                 missed = [w for w, i in zip(part, own) if i == UNK]
                 rare += missed
                 at += [k] * len(missed)
@@ -152,18 +172,20 @@ def token_chunks(batches: Iterator[pa.RecordBatch], ids: dict[bytes, int]):
                 last = own[-1]
                 if len(flat) >= CHUNK:
                     yield chunk()
-                    rows, starts, flat, hist, rare, at = [], [], [], [], [], []
+                    rows, starts, flat, hist, rare, at, before = [], [], [], [], [], [], {}
     if rows:
         yield chunk()
 
 
-def head_counts(docs: DataFrame, ids, size: int) -> np.ndarray:
-    """Training counts of bigrams of the ``size`` first classes."""
+def head_counts(docs: DataFrame, ids, size: int, classed: bool) -> np.ndarray:
+    """Training counts of bigrams of the ``size`` first ids."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size * size, np.int64)
-        for _, _, w, h, _, _ in token_chunks(batches, ids.value):
+        for _, _, w, h, *_ in token_chunks(batches, ids.value):
             pick = (w < size) & (h < size)
+            if not classed:
+                pick &= (w != UNK) & (h != UNK)
             total += np.bincount(h[pick] * size + w[pick], minlength=size * size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["code", "n"])
@@ -182,21 +204,46 @@ SUMS = "kind int, a long, b long, id long, held boolean, n long, known long, x d
     f"{r} long" for r in R)
 
 
+def named(words: list[bytes]) -> np.ndarray:
+    """Names of words without an id."""
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    return (hashes >> np.uint64(2)).astype(np.int64) | NAMED
+
+
+def hashed(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Keys of bigrams with a named word."""
+    x = h.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(32)) ^ w.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return ((x ^ (x >> np.uint64(32))) >> np.uint64(3)).astype(np.int64) | HASHED
+
+
+def pairs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """History and word of bigrams of ids; 0 and 1 for other keys."""
+    plain = key < HASHED
+    return np.where(plain, key >> SHIFT, 0), np.where(plain, key & ((1 << SHIFT) - 1), 1)
+
+
 def send(ids, head, logs, counts: Counts):
     """Per document: its row of sums over head bigrams and class terms (key under 0),
-    and its other bigrams (key h, w) and rare words (key from a hash) with counts,
-    negative outside training."""
+    and its other bigrams (key h, w, or a hash and both names) and rare words (key from a
+    hash) with counts, negative outside training."""
     known_id = counts.by_id > 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, (_, base, hlog) = head.value, logs.value
         size = len(table)
-        for rows, starts, w, h, rare, at in token_chunks(batches, ids.value):
+        for rows, starts, w, h, rare, at, before in token_chunks(batches, ids.value):
             rid, doc_id, held, train = rows
             rid, sign = np.array(rid), np.where(np.array(train), 1, -1)
             docs, lens = len(rid), np.diff(np.append(starts, len(w)))
             doc = np.repeat(np.arange(docs), lens)
-            code, n = np.unique((doc << (2 * SHIFT)) | (h << SHIFT) | w, return_counts=True)
+            code = (doc << (2 * SHIFT)) | (h << SHIFT) | w
+            names = named(rare)
+            if not counts.classed and (rare or before):
+                by_hash = (w == UNK) | (h == UNK)
+                code = code[~by_hash]
+            code, n = np.unique(code, return_counts=True)
             d, key = code >> (2 * SHIFT), code & ((1 << (2 * SHIFT)) - 1)
             hh, ww = key >> SHIFT, key & ((1 << SHIFT) - 1)
             small = (hh < size) & (ww < size)
@@ -217,16 +264,31 @@ def send(ids, head, logs, counts: Counts):
                       pa.array([sums[i:i + 1].tobytes() for i in range(docs)], pa.binary()))
             rest = ~done
             yield out(key[rest], rid[d[rest]], n[rest] * sign[d[rest]], pa.nulls(int(rest.sum()), pa.binary()))
+            if not counts.classed and (rare or before):
+                ww = w.copy()
+                ww[w == UNK] = names
+                hh = np.concatenate([[START], ww[:-1]])
+                hh[starts] = h[starts]
+                for k, word_before in before.items():
+                    hh[starts[k]] = named([word_before])[0]
+                d, hh, ww = doc[by_hash], hh[by_hash], ww[by_hash]
+                key = hashed(hh, ww)
+                first, n, order = runs(key, d)
+                key, d, both = key[order][first], d[order][first], np.stack([hh, ww], 1)[order][first]
+                ends = np.arange(0, 16 * len(key) + 1, 16, dtype=np.int32)
+                yield out(key, rid[d], n * sign[d], pa.Array.from_buffers(
+                    pa.binary(), len(key), [None, pa.py_buffer(ends), pa.py_buffer(both.tobytes())]))
             if rare:
-                digest = xxhash.xxh64_intdigest
-                hashes = np.fromiter((digest(x) for x in rare), np.uint64, len(rare))
-                hashes = (hashes >> np.uint64(2)).astype(np.int64) | (1 << 62)
-                order = np.lexsort((hashes, at))
-                hs, ds = hashes[order], at[order]
-                first = np.flatnonzero(np.concatenate([[True], (hs[1:] != hs[:-1]) | (ds[1:] != ds[:-1])]))
-                n = np.diff(np.append(first, len(hs)))
+                first, n, order = runs(names, at)
+                hs, ds = names[order], at[order]
                 yield out(hs[first], rid[ds[first]], n * sign[ds[first]], pa.nulls(len(first), pa.binary()))
 
+    def runs(key, d):
+        order = np.lexsort((key, d))
+        k, d = key[order], d[order]
+        first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (d[1:] != d[:-1])]))
+        return first, np.diff(np.append(first, len(k))), order
+
     def out(key, rid, n, doc):
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(rid), pa.array(n, pa.int64()), doc],
                                           ["key", "rid", "n", "doc"])
@@ -234,20 +296,26 @@ def send(ids, head, logs, counts: Counts):
     return run
 
 
-def terms(key, rid, n, c, logs, counts: Counts):
-    """Sums of rows whose key's training count is ``c``: per document, and unseen
-    bigrams per document and history.  Rows of a stored table (rid -1) only count."""
+def terms(key, rid, n, h, w, c, logs, counts: Counts):
+    """Sums of rows whose key's training count is ``c``: per document, unseen bigrams per
+    document and history, and those per document and named word.  Rows of a stored table
+    (rid -1) only count."""
     own = rid >= 0
-    key, rid, n, c = key[own], rid[own], n[own], c[own]
+    key, rid, n, h, w, c = (x[own] for x in (key, rid, n, h, w, c))
     if not len(key):
         return
     low, _, hlog = logs
-    m, bigram = np.abs(n).astype(np.int64), key < (1 << 62)
-    h, w = np.where(bigram, key >> SHIFT, 0), np.where(bigram, key & ((1 << SHIFT) - 1), 1)
+    m, bigram = np.abs(n).astype(np.int64), key < NAMED
     seen = c > 0
-    rare_all = counts.by_id[UNK] + 0.1 * (counts.rare_distinct + 1)
-    y = np.where(bigram, np.where(seen, np.log10(np.where(c > K, c, 1)) - hlog[h], low[w]),
-                 np.log10((c + 0.1) / rare_all)) * m
+    # a named history's own share: all at its word's key, and taken back with its alpha
+    of_h = np.where(h < NAMED, hlog[np.where(h < NAMED, h, 0)], 0)
+    of_w = np.where(w < NAMED, low[np.where(w < NAMED, w, 1)], 0)
+    if counts.classed:
+        rare_all = counts.by_id[UNK] + 0.1 * (counts.rare_distinct + 1)
+        word = np.log10((c + 0.1) / rare_all)
+    else:
+        word = np.where(seen, -np.log10(c + 0.5), 0)
+    y = np.where(bigram, np.where(seen, np.log10(np.where(c > K, c, 1)) - of_h, of_w), word) * m
     x = np.where(bigram, 0, np.log10((c + 0.1) / (counts.tokens + 0.1 * (counts.distinct + 1)))) * m
     ids, at = np.unique(rid, return_inverse=True)
 
@@ -262,19 +330,31 @@ def terms(key, rid, n, c, logs, counts: Counts):
     miss = bigram & ~seen
     if miss.any():
         yield batch(1, rid[miss], b=h[miss], n=m[miss])
+        miss &= w >= NAMED
+        if miss.any():
+            yield batch(6, rid[miss], b=w[miss], n=m[miss])
 
 
-def histories(key, c, low):
-    """Per history: seen lower-order mass, bigrams by count, and undiscounted counts."""
-    pick = (key >= 0) & (key < (1 << 62)) & (c > 0)
-    h, at = np.unique(key[pick] >> SHIFT, return_inverse=True)
-    c, w = c[pick], key[pick] & ((1 << SHIFT) - 1)
+def histories(key, c, h, w, low):
+    """Per history: seen lower-order mass, bigrams by count, and undiscounted counts; per
+    history and named word the same without the mass; and counts of named words."""
+    pick = (key >= 0) & (key < NAMED) & (c > 0) & (w < NAMED)
+    a, at = np.unique(h[pick], return_inverse=True)
+    k = c[pick]
 
     def per(v):
-        return np.bincount(at, v, len(h))
+        return np.bincount(at, v, len(a))
 
-    return batch(2, h, n=per(np.where(c > K, c, 0)).astype(np.int64), x=per(10.0 ** low[w]),
-                 **{r: per(c == i).astype(np.int64) for i, r in enumerate(R, 1)})
+    yield batch(2, a, n=per(np.where(k > K, k, 0)).astype(np.int64), x=per(10.0 ** low[w[pick]]),
+                **{r: per(k == i).astype(np.int64) for i, r in enumerate(R, 1)})
+    pick = (key >= HASHED) & (key < NAMED) & (c > 0) & (w >= NAMED)
+    if pick.any():
+        k = c[pick]
+        yield batch(7, h[pick], b=w[pick], n=np.where(k > K, k, 0),
+                    **{r: (k == i).astype(np.int64) for i, r in enumerate(R, 1)})
+    pick = (key >= NAMED) & (c > 0)
+    if pick.any():
+        yield batch(8, key[pick], n=c[pick])
 
 
 def batch(kind: int, a, **cols) -> pa.RecordBatch:
@@ -295,13 +375,20 @@ def batch(kind: int, a, **cols) -> pa.RecordBatch:
 
 def meet(logs, counts: Counts, run_rows: int):
     """Sorted rows of ``send`` -> sums.  Kinds: 0 document, 1 unseen bigram, 2 history,
-    3 a row of a run over ``run_rows``, 4 such a run's training count."""
+    3 a row of a run over ``run_rows``, 4 such a run's training count (id and known are
+    its history and word), 6 unseen bigram of a named word, 7 seen bigram of a named word,
+    8 training count of a named word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low = logs.value[0]
         held, size, long_key, long_count = [], 0, None, 0
 
-        def settle(key, rid, n, last):
+        def long_run():
+            key, h, w = long_key
+            yield batch(4, [key], n=[long_count], id=[h], known=[w])
+            yield from histories(*(np.array([x], np.int64) for x in (key, long_count, h, w)), low)
+
+        def settle(key, rid, n, h, w, last):
             """All whole runs; gives back the open run at the end."""
             cuts = np.flatnonzero(np.diff(key)) + 1
             begin = np.concatenate([[0], cuts])
@@ -309,11 +396,11 @@ def meet(logs, counts: Counts, run_rows: int):
             begin = begin if last else begin[:-1]
             if end:
                 c = np.add.reduceat(np.maximum(n[:end], 0).astype(np.int64), begin)
-                out = [histories(key[begin], c, low)]
-                out += terms(key[:end], rid[:end], n[:end], np.repeat(c, np.diff(np.append(begin, end))),
-                             logs.value, counts)
-                return out, (key[end:], rid[end:], n[end:])
-            return [], (key, rid, n)
+                out = [*histories(key[begin], c, h[begin], w[begin], low)]
+                out += terms(key[:end], rid[:end], n[:end], h[:end], w[:end],
+                             np.repeat(c, np.diff(np.append(begin, end))), logs.value, counts)
+                return out, (key[end:], rid[end:], n[end:], h[end:], w[end:])
+            return [], (key, rid, n, h, w)
 
         for b in batches:
             key = b.column(0).to_numpy()
@@ -324,14 +411,19 @@ def meet(logs, counts: Counts, run_rows: int):
                 yield batch(0, own.column(1).to_numpy(),
                             id=[i if has else None for i, has in zip(f["id"].tolist(), f["has_id"].tolist())],
                             **{k: f[k] for k in DOC.names[2:]})
-            rows = (key[~docs], b.column(1).to_numpy()[~docs], b.column(2).to_numpy()[~docs])
+            h, w = pairs(key)
+            both = (key >= HASHED) & (key < NAMED)
+            if both.any():
+                names = np.frombuffer(b"".join(b.column(3).filter(pa.array(both)).to_pylist()), np.int64)
+                h[both], w[both] = names[::2], names[1::2]
+            rows = tuple(x[~docs] for x in (key, b.column(1).to_numpy(), b.column(2).to_numpy(), h, w))
             if long_key is not None:
-                same = rows[0] == long_key
+                same = rows[0] == long_key[0]
                 if same.any():
                     long_count += int(np.maximum(rows[2][same], 0).sum())
                     yield batch(3, rows[0][same], b=rows[1][same], n=rows[2][same])
                 if not same.all():
-                    yield batch(4, [long_key], n=[long_count])
+                    yield from long_run()
                     long_key = None
                 rows = tuple(r[~same] for r in rows)
             if len(rows[0]):
@@ -342,11 +434,12 @@ def meet(logs, counts: Counts, run_rows: int):
                 yield from out
                 held, size = [open_run], len(open_run[0])
                 if size > run_rows:
-                    key, rid, n = open_run
-                    long_key, long_count, held, size = key[0], int(np.maximum(n, 0).sum()), [], 0
+                    key, rid, n, h, w = open_run
+                    long_key, long_count = (key[0], h[0], w[0]), int(np.maximum(n, 0).sum())
+                    held, size = [], 0
                     yield batch(3, key, b=rid, n=n)
         if long_key is not None:
-            yield batch(4, [long_key], n=[long_count])
+            yield from long_run()
         if size:
             out, _ = settle(*map(np.concatenate, zip(*held)), last=True)
             yield from out
@@ -354,15 +447,15 @@ def meet(logs, counts: Counts, run_rows: int):
     return run
 
 
-def again(long_counts: dict[int, int], logs, counts: Counts):
+def again(long_counts: dict[int, tuple[int, int, int]], logs, counts: Counts):
     """Rows of long runs with their known counts -> sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             key, rid, n = [c.to_numpy() for c in b.columns]
             if len(key):
-                c = np.array([long_counts[k] for k in key.tolist()], np.int64)
-                yield from terms(key, rid, n, c, logs.value, counts)
+                c, h, w = np.array([long_counts[k] for k in key.tolist()], np.int64).T
+                yield from terms(key, rid, n, h, w, c, logs.value, counts)
 
     return run
 
@@ -383,8 +476,9 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return out
 
 
-def backoff(history, head: np.ndarray, low: np.ndarray, by_id: np.ndarray):
-    """Discounts and log10 alpha of every class as a history."""
+def backoff(history, head: np.ndarray, low: np.ndarray, by_id: np.ndarray, others=0):
+    """Discounts and log10 alpha of every class as a history; ``others`` are the numbers
+    of bigrams seen 1..K+1 times of all other histories."""
     size, p = len(by_id), 10.0 ** low
     by_count = np.zeros((K + 1, size))
     mass, undiscounted = np.zeros(size), np.zeros(size)
@@ -397,7 +491,7 @@ def backoff(history, head: np.ndarray, low: np.ndarray, by_id: np.ndarray):
         by_count[i][:k] += (head == i + 1).sum(axis=1)
     mass[:k] += (head > 0) @ p[:k]
     undiscounted[:k] += np.where(head > K, head, 0).sum(axis=1)
-    d = discounts(by_count.sum(axis=1))
+    d = discounts(by_count.sum(axis=1) + others)
     kept = undiscounted + (np.arange(1, K + 1) * d) @ by_count[:K]
     left, rest = 1 - kept / (by_id + 0.5), 1 - mass
     seen = (by_id > 0) & (rest > 1e-12)
@@ -432,14 +526,46 @@ def _met(sent: DataFrame, counts: Counts, tokens: int, logs, run_rows: int) -> D
                          .mapInArrow(meet(logs, counts, run_rows), SUMS)), "katz-sums")
 
 
-def _long_runs(sums: DataFrame) -> dict[int, int]:
-    """Training counts of the runs that were not held: one for every run_rows rows at most."""
-    return {r.a: r.n for r in sums.where("kind = 4").select("a", "n").collect()}
-
-
-def _scores(sums: DataFrame, runs: dict[int, int], counts: Counts, logs, d: np.ndarray,
-            alpha: np.ndarray, id_col: str) -> DataFrame:
-    doc = sums.where("kind < 2")
+def _long_runs(sums: DataFrame) -> dict[int, tuple[int, int, int]]:
+    """Training count, history and word of the runs that were not held: one for every
+    run_rows rows at most."""
+    return {r.a: (r.n, r.id, r.known) for r in sums.where("kind = 4").select("a", "n", "id", "known").collect()}
+
+
+def _histories(sums: DataFrame, counts: Counts) -> DataFrame:
+    """(a, n, x, r1..): the stored sums of every history."""
+    own = sums.where("kind = 2").select("a", "n", "x", *R)
+    if counts.classed:
+        return own
+    words = sums.where("kind = 8").select(F.col("a").alias("word"), F.col("n").alias("c"))
+    more = sums.where("kind = 7").select("a", "b", F.col("n").alias("k"), *R).join(words, F.col("b") == F.col("word")).select(
+        "a", F.col("k").alias("n"), ((F.col("c") + 0.1) / counts.low_total).alias("x"), *R)
+    return stored(own.unionByName(more).groupBy("a").agg(*[F.sum(c).alias(c) for c in ("n", "x", *R)]),
+                  "katz-histories")
+
+
+def _named_terms(doc: DataFrame, sums: DataFrame, history: DataFrame, counts: Counts, d: np.ndarray) -> DataFrame:
+    """(rid, u): of each document P(w) of unseen bigrams of named words, and log10 alpha of
+    named histories of unseen bigrams with log10 (c(h) + 1/2), which their words' terms hold."""
+    words = sums.where("kind = 8").select(F.col("a").alias("word"), F.col("n").alias("c"))
+    low = (doc.where("kind = 6").select("a", "b", "n").join(words, F.col("b") == F.col("word"), "left")
+           .select(F.col("a").alias("rid"),
+                   (F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 0.1) / counts.low_total)).alias("u")))
+    half = F.col("c") + 0.5
+    kept = sum((F.col(r) * float(i * d[i - 1]) for i, r in enumerate(R[:K], 1)), F.col("n").cast("double"))
+    rest = 1 - F.col("x")
+    weights = (history.where(F.col("a") >= NAMED).join(words, F.col("a") == F.col("word"))
+               .select("word", (F.log10(half) + F.when(rest > 1e-12, F.log10((1 - kept / half) / rest))
+                                .otherwise(0.0)).alias("weight")))
+    back = (doc.where((F.col("kind") == 1) & (F.col("b") >= NAMED)).select("a", "b", "n")
+            .join(weights, F.col("b") == F.col("word"))
+            .select(F.col("a").alias("rid"), (F.col("n") * F.col("weight")).alias("u")))
+    return low.unionByName(back)
+
+
+def _scores(sums: DataFrame, runs: dict[int, tuple[int, int, int]], counts: Counts, logs, d: np.ndarray,
+            alpha: np.ndarray, id_col: str, history: DataFrame | None = None) -> DataFrame:
+    doc = sums.where("kind < 2 OR kind = 6")
     if runs:
         doc = summed(doc.unionByName(sums.where("kind = 3").select("a", "b", "n")
                                      .mapInArrow(again(runs, logs, counts), SUMS)))
@@ -451,8 +577,11 @@ def _scores(sums: DataFrame, runs: dict[int, int], counts: Counts, logs, d: np.n
                 [b.column(0), pa.array(weights.value[b.column(1).to_numpy()] * b.column(2).to_numpy())],
                 ["rid", "u"])
 
-    backed = (doc.where("kind = 1").select("a", "b", "n").mapInArrow(unseen, "rid long, u double")
-              .groupBy("rid").agg(F.sum("u").alias("u")))
+    backed = (doc.where((F.col("kind") == 1) & (F.col("b") < NAMED)).select("a", "b", "n")
+              .mapInArrow(unseen, "rid long, u double"))
+    if not counts.classed:
+        backed = backed.unionByName(_named_terms(doc, sums, history, counts, d))
+    backed = backed.groupBy("rid").agg(F.sum("u").alias("u"))
     seen = sum((F.col(r) * float(np.log10(i * d[i - 1])) for i, r in enumerate(R[:K], 1)), F.lit(0.0))
     return (doc.where("kind = 0").join(backed, F.col("a") == F.col("rid"), "left")
             .select(F.col("id").alias(id_col), F.col("held").alias("held_out"), F.col("n").alias("n_tokens"),
@@ -465,48 +594,48 @@ def score(docs: DataFrame, train: Column, held_out: Column, id_col: str = "doc_i
           text_col: str = "text", run_rows: int = RUN_ROWS) -> DataFrame:
     """Learn from the rows where ``train`` holds and score every row in one pass:
     doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
-    The same as ``fit`` and ``score_with``, but n-gram counts are not stored: they are
-    made in the partition where the rows that need them meet."""
+    N-gram counts are not stored: they are made in the partition where the rows that need
+    them meet.  With VOCABULARY set, the same as ``fit`` and ``score_with``."""
     rows = _rows(docs, train, held_out, id_col, text_col)
     share = docs.sparkSession.sparkContext.broadcast
-    counts = vocabulary(stored(word_counts(rows), "katz-words"))
+    counts = vocabulary(stored(word_counts(rows), "katz-words"), VOCABULARY is not None)
     ids = share({w: i for i, w in enumerate(counts.words, WORD)})
     low, *_ = all_logs = class_logs(counts)
     logs = share(all_logs)
-    table = head_counts(rows, ids, min(HEAD, len(counts.by_id)))
+    table = head_counts(rows, ids, min(HEAD, len(counts.by_id)), counts.classed)
     counts = counts._replace(words=[])
     sent = rows.mapInArrow(send(ids, share(table), logs, counts), ROW)
     sums = _met(sent, counts, counts.tokens_all, logs, run_rows)
     runs = _long_runs(sums)
-    history = sums.where("kind = 2").select("a", "n", "x", *R).toArrow()
-    if runs:
-        history = merge_histories(history, pa.Table.from_batches(
-            [histories(np.array(list(runs)), np.array(list(runs.values())), low)]))
-    d, alpha = backoff(history, table, low, counts.by_id)
-    return _scores(sums, runs, counts, logs, d, alpha, id_col)
+    history = _histories(sums, counts)
+    others = history.where(F.col("a") >= NAMED).agg(*[F.coalesce(F.sum(r), F.lit(0)) for r in R]).first()
+    d, alpha = backoff(history.where(F.col("a") < NAMED).toArrow(), table, low, counts.by_id,
+                       np.array(others, float))
+    return _scores(sums, runs, counts, logs, d, alpha, id_col, history)
 
 
 def fit(docs: DataFrame, path: str, buckets: int = 64, id_col: str = "doc_id",
         text_col: str = "text") -> Model:
     """Learn from all rows; the n-gram counts are stored under ``path``, partitioned by
-    ``bucket`` (the key modulo ``buckets``)."""
+    ``bucket`` (the key modulo ``buckets``).  Words without an id are the class UNK."""
     rows = _rows(docs, F.lit(True), F.lit(False), id_col, text_col)
     share = docs.sparkSession.sparkContext.broadcast
-    counts = vocabulary(stored(word_counts(rows), "katz-words"))
+    counts = vocabulary(stored(word_counts(rows), "katz-words"), True)
     ids = share({w: i for i, w in enumerate(counts.words, WORD)})
     low, *_ = all_logs = class_logs(counts)
     logs = share(all_logs)
-    table = head_counts(rows, ids, min(HEAD, len(counts.by_id)))
+    table = head_counts(rows, ids, min(HEAD, len(counts.by_id)), counts.classed)
     grams = (rows.mapInArrow(send(ids, share(table), logs, counts._replace(words=[])), ROW)
              .where("key >= 0").groupBy("key").agg(F.sum("n").alias("n")))
     grams.withColumn("bucket", F.pmod("key", F.lit(buckets))).write.partitionBy("bucket").parquet(path)
 
     def per_history(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield histories(b.column(0).to_numpy(), b.column(1).to_numpy(), logs.value[0])
+            key = b.column(0).to_numpy()
+            yield from histories(key, b.column(1).to_numpy(), *pairs(key), logs.value[0])
 
     stored_grams = docs.sparkSession.read.schema("key long, n long").parquet(path)
-    history = (summed(stored_grams.mapInArrow(per_history, SUMS)).select("a", "n", "x", *R).toArrow())
+    history = (summed(stored_grams.mapInArrow(per_history, SUMS)).where("kind = 2").select("a", "n", "x", *R).toArrow())
     return Model(counts, table, *backoff(history, table, low, counts.by_id), path)
 
 
@@ -524,11 +653,3 @@ def score_with(model: Model, docs: DataFrame, id_col: str = "doc_id", text_col:
         "key", F.lit(-1).cast("long").alias("rid"), "n", F.lit(None).cast("binary").alias("doc"))
     sums = _met(sent.unionByName(grams), counts, counts.tokens_all, logs, run_rows)
     return _scores(sums, _long_runs(sums), counts, logs, model.discounts, model.alpha, id_col)
-
-
-def merge_histories(a: pa.Table, b: pa.Table) -> pa.Table:
-    """Sums per history of two tables of history rows."""
-    cols = ["a", "n", "x", *R]
-    both = pa.concat_tables([a.select(cols), b.select(cols)], promote_options="permissive")
-    out = both.group_by("a").aggregate([(c, "sum") for c in cols[1:]])
-    return out.rename_columns([c.removesuffix("_sum") for c in out.column_names])

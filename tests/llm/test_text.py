@@ -241,6 +241,25 @@ def test_katz_matches_brute_force(spark, monkeypatch, vocabulary, head, run_rows
     assert all(abs(s - 1) < 1e-9 for s in sums)
 
 
+@pytest.mark.parametrize("broadcast,head,run_rows,chunk", [(1 << 20, 512, 1 << 18, 1 << 18), (40, 4, 5, 7),
+                                                           (1, 3, 50, 1 << 18)])
+def test_katz_every_word_has_its_own_bigrams(spark, monkeypatch, broadcast, head, run_rows, chunk):
+    for k, v in (("BROADCAST", broadcast), ("HEAD", head), ("CHUNK", chunk), ("WORDS_HELD", chunk)):
+        monkeypatch.setattr(katz, k, v)
+    rnd = random.Random(9)
+    words = [f"w{int(rnd.paretovariate(0.8))}" for _ in range(3000)] + ["The", "the"] * 300
+    rows = [(i, " ".join(rnd.choices(words, k=rnd.randrange(60))) + " rare phrase of words" * (i % 3 == 0))
+            for i in range(60)]
+    rows += [(100, None), (101, ""), (102, "\t new words\x0bhere new words \u00a0x "), (5, rows[5][1]),
+             (110, "never seen never seen " * 20)]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, train int").repartition(3)
+    got = katz.score(df, F.col("doc_id") % 10 != 0, F.col("doc_id") % 10 == 0, run_rows=run_rows).collect()
+    want, sums = slow_katz(rows, lambda i: i % 10 != 0, 1 << 20)
+    assert sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6))
+                  for r in got) == sorted(want)
+    assert all(abs(s - 1) < 1e-9 for s in sums)
+
+
 @pytest.mark.parametrize("run_rows", [1 << 18, 20])
 def test_stored_model_scores_alike(spark, monkeypatch, tmpdir_path, run_rows):
     for k, v in (("VOCABULARY", 60), ("HEAD", 5)):
