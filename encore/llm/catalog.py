@@ -151,6 +151,75 @@ def op7(spark, sf_dir):
     return katz.score(docs, train=rest != 0, held_out=rest == 0)
 
 
+@register("op11_source_divergence")
+def op11(spark, sf_dir):
+    """How the sources of each language differ: every pair of sources, and the terms that
+    stand out in each."""
+    from encore.llm import divergence
+    return divergence.audit(read_table(spark, sf_dir, "documents"), min_docs=3, top=200)
+
+
+ORACLE["op11_source_divergence"] = r"""
+WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+           FROM documents),
+w AS (SELECT i, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS total FROM w GROUP BY 1, 2 HAVING count(DISTINCT i) >= 3),
+n AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v, sum(total) AS total FROM kept GROUP BY 1),
+size AS (SELECT g.lang, g.source, coalesce((SELECT sum(n) FROM n WHERE n.lang = g.lang AND n.source = g.source), 0)
+                + v AS size, total + v AS lang_size FROM g JOIN v USING (lang)),
+p AS (SELECT lang, source, term, coalesce(n, 0) AS n,
+             CAST(1 + 1000000000::HUGEINT * (coalesce(n, 0) + 1) // size AS HUGEINT) AS p,
+             CAST(1 + 1000000000::HUGEINT * (total + 1) // lang_size AS HUGEINT) AS q
+      FROM size JOIN kept USING (lang) LEFT JOIN n USING (lang, source, term)),
+term AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value
+         FROM p WHERE n > 0 AND p > q),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+                coalesce((SELECT sum((x.p - y.p) * (x.p - y.p) // y.p) FROM p x JOIN p y USING (lang, term)
+                          WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0) AS value
+         FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank
+      FROM (FROM term UNION ALL FROM pair))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM r WHERE part = 'pair' OR rank <= 200"""
+
+
+@register("op12_sentencepiece")
+def op12(spark, sf_dir):
+    """SentencePiece ids of every document and the text decoded from them, as digests."""
+    import public_tokenizers
+
+    from encore.llm import pieces
+    model = pieces.read_model(public_tokenizers.path("piece_bpe_32k.model"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = pieces.encode(docs, model).select("doc_id", "n_tokens", "ids")
+    return (pieces.decode(coded, model)
+            .select("doc_id", "n_tokens",
+                    F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256)
+                    .alias("ids_sha256"),
+                    F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")))
+
+
+@register("op13_periodic_runs")
+def op13(spark, sf_dir):
+    """Periodic runs of words in every document, a tenth of them made periodic from some
+    word on, and digests of the runs and of the collapsed text."""
+    from encore.llm import runs
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.select("doc_id", runs.repeat_tail(F.col("text"), id_crc()).alias("text"))
+    found = runs.periodic_runs(docs, min_words=24, repeats=3)
+    top = runs.strongest(F.col("runs"))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[
+        r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n")))
+    return (found.withColumn("top", top)
+            .select("doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period",
+                    F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+                    F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+                    F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256")))
+
+
 @register("pipeline")
 def pipeline(spark, sf_dir):
     """The corpus pipeline over all documents."""

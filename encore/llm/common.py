@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,3 +61,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
         seen = mark(now)
     return now.select(a.alias("node"), b.alias("component")).unionByName(
         now.select(b.alias("node"), b.alias("component"))).distinct()
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch whose values in ``column`` (texts or lists) hold at
+    most ``most`` bytes or items; a row that holds more is a part of its own."""
+    values = batch.column(column)
+    size = pc.list_value_length(values) if pa.types.is_list(values.type) else pc.binary_length(values)
+    total = np.cumsum(pc.fill_null(size, 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < batch.num_rows:
+        hi = int(np.searchsorted(total, most + (total[lo - 1] if lo else 0), "right"))
+        hi = max(hi, lo + 1)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
