@@ -1,6 +1,7 @@
 """URL rules by a sort-merge range join over reversed-host keys.
 
-A host ``www.example.net`` becomes the key ``net,example,www,``.  A rule's host
+A host ``www.example.net`` becomes the key ``net/example/www/``; no host holds the
+separator, as a host ends before the first ``/``.  A rule's host
 and all its subdomains then lie in one interval of keys: those that start with
 the rule's key.  URL rows are dealt evenly into chunks by a hash of
 the whole row (a hot host spreads over all of them), the rules join every chunk, each
@@ -41,8 +42,8 @@ def url_path(url: Column) -> Column:
 
 
 def host_key(host: Column) -> Column:
-    """Labels in reverse order, each followed by a comma."""
-    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(","))
+    """Labels in reverse order, each followed by a slash."""
+    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "/"), F.lit("/"))
 
 
 def rule_frame(spark, rules: Sequence[Rule]) -> DataFrame:
@@ -50,7 +51,8 @@ def rule_frame(spark, rules: Sequence[Rule]) -> DataFrame:
     Of rules with equal host and path, ``allow`` wins."""
     if len(rules) > MAX_RULES:
         raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} are taken")
-    raw = spark.createDataFrame([(h, p, v) for h, p, v in rules],
+    # a rule host with a character that ends hosts fits none
+    raw = spark.createDataFrame([(h, p, v) for h, p, v in rules if not set(h) & set("/?#")],
                                 "r_host string, r_path string, r_verdict string")
     one = raw.groupBy("r_host", "r_path").agg(F.min("r_verdict").alias("r_verdict"))
     entry = F.struct(F.length(F.concat("r_host", "r_path")).alias("n"),

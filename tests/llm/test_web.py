@@ -155,3 +155,14 @@ def test_shards_are_written_whole(spark, tmpdir_path):
     hilbert.write_shards(docs, placed, f"{tmpdir_path}/shards")
     back = spark.read.parquet(f"{tmpdir_path}/shards")
     assert back.count() == 20 and back.select("shard").distinct().count() == 4
+
+
+def test_rules_with_odd_hosts(spark):
+    rules = [("net", "/", "block"), ("a b.org", "/", "block"), ("x,y", "/", "allow"), ("p/q", "/", "block")]
+    hosts = ["x.net,foo", "x.net", "net,x", "a.org,b", "z.a b.org", "b.org", "x,y", "x.y", "k.x,y", "a!.net",
+             "\x01.net", "net\x01", "q", "p", "", ".net", "net.", "a..net", "Ünet"]
+    df = spark.createDataFrame([(i, f"http://{h}/p") for i, h in enumerate(hosts)], "page_id int, url string")
+    got = {r.page_id: r.rule for r in url_filter.judge(df, rules).collect()}
+    for i, h in enumerate(hosts):
+        fits = [r + "/" for r, _, _ in rules if (h == r or h.endswith("." + r)) and "/" not in r]
+        assert got[i] == max(fits, key=len, default=None), h
