@@ -208,7 +208,7 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         known: dict[str, bytes] = {}
         chars = 0
         for b in batches:
-            for part in slices(b, at):
+            for part in slices(b, at, 1 << 20):
                 texts = [find(SPACE + t.replace(" ", SPACE)) if t else [] for t in part.column(at).to_pylist()]
                 new = list({w for words in texts for w in words if w not in known})
                 if new:
@@ -251,7 +251,7 @@ def decode(rows: DataFrame, model: Model, ids_col: str = "ids") -> DataFrame:
         table = pa.array([s.replace(space, b" ") if k == 0 else s for s, k in zip(surfaces, kinds)], pa.binary())
         opens = np.array([s.startswith(space) and k == 0 for s, k in zip(surfaces, kinds)])
         for b in batches:
-            for part in slices(b, at):
+            for part in slices(b, at, 1 << 19):
                 lists = pc.fill_null(part.column(at), pa.scalar([], part.column(at).type))
                 ids = np.asarray(lists.flatten().to_numpy(zero_copy_only=False), np.int64)
                 if len(ids) and not 0 <= ids.min() <= ids.max() < len(kinds):
