@@ -16,7 +16,8 @@ components, never the pairs.
 Cases: vectors that are null, empty, zero or hold null or non-finite components and
 rows with a null label link with nothing and form their own component; vectors of
 different length are not compared; equal vectors link; rows that share a vec_id
-count as one in components; a null vec_id is never a component id of others; empty
+count as one in components; a null vec_id is never a component id of others; ids of
+2**62 or more fail the job; empty
 tables give no rows; other columns are ignored.
 """
 
@@ -40,8 +41,8 @@ CELL_ROWS = 4096
 MAX_CELLS, SAMPLE = 4096, 20_000
 #: Bytes that the sample and the centres may each take, whatever the dimension.
 MODEL_BYTES = 64 << 20
-#: Nodes of vectors without an id lie above this and all ids below it.
-NO_ID = (1 << 63) - (1 << 33)
+#: Nodes of vectors without an id are row numbers above this; ids must lie below it.
+NO_ID = 1 << 62
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -196,14 +197,17 @@ def embedding_components(vectors: DataFrame, cosine: float = 0.93, id_col: str =
     valid = (F.col("label").isNotNull() & e.isNotNull() & (F.size(e) > 0)
              & F.forall(e, lambda v: v.isNotNull() & (F.abs(v) < F.lit(float("inf"))) & ~F.isnan(v))
              & F.exists(e, lambda v: v != 0))
-    rows = (vectors.select(vectors[id_col].cast("long").alias("id"), vectors[label_col].alias("label"),
+    number = vectors[id_col].cast("long")
+    rows = (vectors.select(F.when(number >= NO_ID, F.raise_error(F.lit("id of 2**62 or more")))
+                           .otherwise(number).alias("id"), vectors[label_col].alias("label"),
                            vectors[vec_col].cast("array<double>").alias("embedding"))
             .withColumn("valid", F.coalesce(valid, F.lit(False)))
             .withColumn("h1", F.xxhash64("label", "embedding"))
             .withColumn("h2", F.xxhash64(F.lit(1), "embedding", "label")))
     distinct = checkpointed(rows.where("valid").groupBy("h1", "h2").agg(
         F.first("label").alias("label"), F.first("embedding").alias("embedding"),
-        F.coalesce(F.min("id"), F.lit(NO_ID) + F.pmod("h1", F.lit(1 << 32))).alias("node"), F.count("*").alias("copies"))
+        F.min("id").alias("node"), F.count("*").alias("copies"))
+        .withColumn("node", F.coalesce("node", F.lit(NO_ID) + F.monotonically_increasing_id()))
         .withColumn("dim", F.size("embedding")))
     placed = members(distinct, fit_centres(distinct), cosine)
     cell = ["label", "dim", "cell"]
