@@ -28,6 +28,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_names(taken, *wanted: str) -> list[str]:
+    """The wanted column names, each followed by underscores until no column has it."""
+    used, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Components of the undirected graph ``edges`` (a long, b long).
 

@@ -182,18 +182,20 @@ def train(docs: DataFrame, labelled: Column, sample_docs: int = SAMPLE_DOCS, tex
     return fitted(langs, counts, np.array([n[k] for k in langs], float))
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Add lang_pred and score to every row; the other columns stay."""
+def predict(docs: DataFrame, model: Model, text_col: str = "text",
+            results: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Add the predicted language and its score to every row, under the names of
+    ``results``; the other columns stay."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    names = [c for c in docs.columns if c.lower() not in [r.lower() for r in results]]
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lang, score = scores(shared.value, b.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score)],
-                                             [*names, "lang_pred", "score"])
+                                             [*names, *results])
 
     kept = docs.select(*names)
-    schema = kept.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+    schema = kept.withColumns({results[0]: F.lit(""), results[1]: F.lit(0.0)}).schema
     return kept.mapInArrow(run, schema)

@@ -11,7 +11,8 @@ partitions and no sampling pass is needed.
 Cases: a null source is a source of its own; sources without a given weight have
 weight 0 and leave; rows equal in id and text draw equal counts; null ids and texts
 are hashed as such; empty tables and all-zero weights give no rows; very large rates
-are drawn as sums of smaller ones; extra columns stay (``copy`` is replaced).
+are drawn as sums of smaller ones; extra columns stay, whatever their names, but for
+one named as ``copy_col``, which is replaced.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from encore.llm.common import free_names
+
 #: Rates above this are split, since exp(-rate) must not vanish.
 PART_RATE = 256.0
 #: Sources up to this many are broadcast; more are joined by shuffle.
@@ -87,27 +90,28 @@ def row_hash(seed: int, *cols) -> Column:
 
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, alpha: float = 0.5,
         total: int | None = None, seed: int = 42, source_col: str = "source",
-        id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        id_col: str = "doc_id", text_col: str = "text", copy_col: str = "copy") -> DataFrame:
     """The mixed corpus in its global order: every document as often as drawn, with
-    ``copy`` counting from 0; all columns of ``docs`` stay."""
-    names = [c for c in docs.columns if c.lower() != "copy"]
+    ``copy_col`` counting from 0; all columns of ``docs`` stay."""
+    names = [c for c in docs.columns if c.lower() != copy_col.lower()]
+    of, per, n_, at, pid = free_names([*docs.columns, copy_col], "_source", "_rate", "_n", "_order", "_pid")
     rates = source_rates(docs, weights, alpha, total, source_col)
     few = rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    small = rates.select(F.col("source").alias("_source"), F.col("rate").alias("_rate"))
+    small = rates.select(F.col("source").alias(of), F.col("rate").alias(per))
     joined = docs.select(*names).join(F.broadcast(small) if few else small,
-                                      docs[source_col].eqNullSafe(F.col("_source")))
+                                      docs[source_col].eqNullSafe(F.col(of)))
 
     def count(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for rate, h in batches:
             yield pd.Series(draw(rate.to_numpy(np.float64), h.to_numpy(np.int64)))
 
-    n = F.pandas_udf(count, "long")("_rate", row_hash(seed, id_col, text_col))
+    n = F.pandas_udf(count, "long")(per, row_hash(seed, id_col, text_col))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = row_hash(seed + 1, id_col, text_col, "copy")
-    return (joined.withColumn("_n", n).where("_n > 0")
-            .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
-            .withColumn("_order", order)
-            .withColumn("_pid", F.floor((F.shiftrightunsigned(F.col("_order").bitwiseXOR(
+    order = row_hash(seed + 1, id_col, text_col, copy_col)
+    return (joined.withColumn(n_, n).where(F.col(n_) > 0)
+            .withColumn(copy_col, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n_) - 1)))
+            .withColumn(at, order)
+            .withColumn(pid, F.floor((F.shiftrightunsigned(F.col(at).bitwiseXOR(
                 F.lit(-(1 << 63)).cast("long")), 32) * parts) / F.lit(1 << 32)).cast("int"))
-            .repartitionById(parts, F.col("_pid")).sortWithinPartitions("_order", id_col, "copy")
-            .select(*names, "copy"))
+            .repartitionById(parts, F.col(pid)).sortWithinPartitions(at, id_col, copy_col)
+            .select(*names, copy_col))

@@ -232,7 +232,7 @@ def test_stages_match_brute_force(spark):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data missing")
 def test_queries_and_their_sql(spark):
     from encore.llm.catalog import ORACLE, QUERIES
-    assert {int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")} == set(range(1, 14))
     assert "pipeline" in QUERIES
     con = duckdb.connect()
     for t in ("documents", "pages"):
@@ -242,3 +242,40 @@ def test_queries_and_their_sql(spark):
         got = Counter(tuple(r) for r in df.collect())
         want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({sql})").fetchall()
         assert got == Counter(want), name
+
+
+def test_mix_and_pipeline_leave_columns_alone(spark):
+    import corpus_pipeline as cp
+    names = ["_n", "_order", "_pid", "_rate", "_source", "copy", "Score", "lang_pred"]
+    df = spark.createDataFrame([(i, f"hello there number {i} and more words", "en", "s", *range(8)) for i in range(30)],
+                               "doc_id long, text string, lang string, source string, "
+                               + ", ".join(f"{n} int" for n in names)).repartition(3)
+    for name, stage in cp.STAGES[:3]:
+        out = stage(spark, df, SF)
+        assert out.schema == df.schema
+        assert all(tuple(r)[4:] == tuple(range(8)) for r in out.collect())
+    assert mixing.mix(df).columns == [c for c in df.columns if c != "copy"] + ["copy"]
+
+
+def test_stages_on_empty_and_repeated_rows(spark):
+    import corpus_pipeline as cp
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, "the same words here again", "en", "a", 5)] * 6 + [(2, None, None, None, None), (None, "", "fr", None, 0),
+            (3, "le monde est grand et beau", "fr", "b", 9)]
+    for data in (rows, []):
+        df = spark.createDataFrame(data, schema)
+        kept = cp.identify_language(spark, df, SF).collect()
+        assert sorted(r.doc_id for r in kept) == ([1] * 6 + [3] if data else [])
+        near = cp.drop_near_copies(spark, df, SF).collect()
+        assert sorted(r.doc_id for r in near) == ([1, 2, 3] if data else [])
+        assert {tuple(r) for r in cp.mix_sources(spark, df, SF).collect()} <= set(data)
+        coded = cp.encode_tokens(spark, df, SF).collect()
+        assert len(coded) == len(data) and all((r.n_tokens == 0) == (len(r.ids) == 0) for r in coded)
+
+
+def test_vectors_without_ids_are_apart(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "BLOCK", 4)
+    rows = [(None, [math.cos(i), math.sin(i)], 1) for i in range(0, 40)] + [(7, [math.cos(3), math.sin(3)], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = embed_dedup.embedding_components(df, cosine=0.9999).collect()
+    assert len(got) == 41 and sum(r.component_id == 7 for r in got) == 2
