@@ -28,6 +28,7 @@ from encore.constants import (EARTH_RADIUS, EVENT_CLASSIFICATION, EVENT_COUNTRY,
                               EVENT_RADIUS, EVENT_RADIUS_UNIT, EVENT_SOURCE, EVENTS_PER_ARTIST)
 from encore.functions.geo import geohash_centre, haversine
 from encore.operators.ranking import BROADCAST_ROWS, top_k_per_group
+from encore.operators.spatial import near_centres
 from encore.session import materialise
 
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
@@ -179,18 +180,21 @@ def match_events(artists: DataFrame, catalogue: DataFrame, artist_col: str = "ar
                  per_artist: int = EVENTS_PER_ARTIST, geohash: str | None = EVENT_GEOHASH,
                  radius: float = EVENT_RADIUS, unit: str = EVENT_RADIUS_UNIT,
                  classification=EVENT_CLASSIFICATION, country=EVENT_COUNTRY,
-                 source=EVENT_SOURCE) -> DataFrame:
+                 source=EVENT_SOURCE, centres: DataFrame | None = None) -> DataFrame:
     """PIPE5: filters, radius, keyword match and the per-artist cap.
 
     ``artists``: (scope..., artist_name, artist_rank); ``catalogue``:
     flattened events with event_id, artist_name (event name), coordinates
     and categories, shared by all scopes.  The distinct names are broadcast
     only if counted to be few.
+    ``centres`` (scope..., centre_latitude, centre_longitude, radius), one row per scope,
+    puts a centre of its own to each scope in place of ``geohash``; a scope without one
+    gets no events.
     Returns F10 columns plus searched_artist, artist_rank and event_id.
     The kept events per artist are the soonest (ties by event id).
     """
     cat = category_filter(catalogue, classification, country, source)
-    if geohash is not None:
+    if geohash is not None and centres is None:
         cat = radius_filter(cat, geohash, radius, unit)
     # parsed and filtered once: the keyword join reads it twice (token
     # frequencies and candidates)
@@ -205,10 +209,16 @@ def match_events(artists: DataFrame, catalogue: DataFrame, artist_col: str = "ar
     # skew join splits; its build side is at most ``per_artist`` rows).
     names = arts.select("searched_artist").distinct()
     pairs = keyword_match(names, cat, "searched_artist", "event_name", mode, event_key="event_id")
-    kept = top_k_per_group(pairs, ["searched_artist"],
+    name = ["searched_artist"]
+    if centres is not None:
+        # each name is looked up once for each distinct centre that asks for it
+        arts = materialise(arts.join(centres, scope), "artists-at-centres")
+        name += ["centre_latitude", "centre_longitude", "radius"]
+        pairs = near_centres(pairs, arts.select(*name).distinct(), ["searched_artist"], unit)
+    kept = top_k_per_group(pairs, name,
                            [F.col("concert_date").asc_nulls_last(), F.col("event_id").asc()],
                            per_artist, out="event_position")
-    kept = arts.join(kept, "searched_artist")
+    kept = arts.join(kept, name)
     return kept.select(*scope, "searched_artist", "artist_rank", "event_position", "event_id",
                        F.col("event_name").alias("artist_name"), "ticket_link", "artist_image",
                        "concert_date", "venue", "city", "address")

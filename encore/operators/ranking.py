@@ -167,6 +167,34 @@ def join_per_value(rows: DataFrame, table: DataFrame, keys, count_col: str = "_c
     return salted_rows.join(salted_table, [*keys, "_salt"], how).drop("_salt")
 
 
+def split_join(rows: DataFrame, table: DataFrame, keys, parts: int | None = None) -> DataFrame:
+    """Inner equi-join of ``rows`` and ``table``, a materialised one whose keys may repeat.
+
+    ``table`` is broadcast if counted to have at most BROADCAST_ROWS rows.  Beyond that
+    both are shuffled, and a key that holds more than one partition's fair share of the
+    rows is split: its rows are dealt round-robin over pieces of a quarter share, and its
+    table rows go to every piece.  ``rows`` is read twice then, once to count."""
+    keys = list(keys)
+    if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), keys)
+    parts = parts or _parts(rows)
+    counts = materialise(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
+                         .join(table.select(*keys).distinct(), keys, "left_semi"), "key-counts")
+    total = counts.agg(F.sum("_c")).first()[0] or 0
+    fair = max(1, -(-total // parts))
+    # at most ``parts`` keys hold more than a fair share
+    hot = (counts.where(F.col("_c") > fair)
+           .select(*keys, F.ceil(F.col("_c") / max(1, fair // 4)).cast("int").alias("_salts")))
+    if hot.limit(1).count() == 0:
+        return rows.join(table, keys)
+    salts = F.coalesce("_salts", F.lit(1))
+    dealt = (rows.join(F.broadcast(hot), keys, "left")
+             .withColumn("_salt", F.pmod(F.monotonically_increasing_id(), salts).cast("int")).drop("_salts"))
+    spread = (table.join(F.broadcast(hot), keys, "left")
+              .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts"))
+    return dealt.join(spread, [*keys, "_salt"]).drop("_salt")
+
+
 def average_rank(df: DataFrame, value: str, scope=(), out: str = "avg_rank") -> DataFrame:
     """WIN6: rank of ``value`` with ties given their average rank; NULL stays NULL.
 

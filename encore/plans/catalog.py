@@ -265,6 +265,7 @@ def q_pipe4(spark, base):
 # ------------------------------------------------------------- events ------
 
 from encore.operators import events as ev_ops  # noqa: E402
+from encore.operators.spatial import near_centres  # noqa: E402
 from encore.sources import event_responses as responses  # noqa: E402
 
 FLAT = ["query", "artist_name", "ticket_link", "artist_image", "concert_date", "venue", "city",
@@ -306,6 +307,22 @@ def q_jn7(spark, base):
     return r6(out.select("event_id", "artist_name", "distance"), ["distance"])
 
 
+def _nation_centres(spark, base):
+    """A centre and a radius for every nation, some of them around the events."""
+    k = F.col("n_nationkey")
+    return read_table(spark, base, "nation").select(
+        "n_name", (F.lit(42.3331) + (k % 7 - 3) * 0.9).alias("centre_latitude"),
+        (F.lit(-83.0511) + (k % 5 - 2) * 1.2).alias("centre_longitude"),
+        (40 + (k % 6) * 35).cast("double").alias("radius"))
+
+
+@register("jn7_nation_centres")
+def q_jn7_centres(spark, base):
+    """JN7 with many centres: events within each nation's own radius of its centre."""
+    out = near_centres(_catalogue(spark, base), _nation_centres(spark, base))
+    return r6(out.select("n_name", "event_id", "artist_name", "distance"), ["distance"])
+
+
 def _top_artists(spark, base):
     top = recency.top_blended(_blended(spark, base), 50)
     return top.select("artist_name", F.col("blend_rank").alias("artist_rank"))
@@ -661,6 +678,21 @@ def q_scoped_agg18(spark, base):
     return r6(out, [c for c in ("mean", "std", "min", "p25", "p50", "p75", "max") if c in out.columns])
 
 
+@register("scoped_pipe5_listener_centres")
+def q_scoped_pipe5_centres(spark, base):
+    """PIPE5 + JN7 per listener: the events of each listener's 50 best artists within the
+    listener's own radius of the listener's own centre."""
+    scores = pipe.superfan_scores(_listener_features(spark, base), scope=SCOPE, rank=False)
+    top = pipe.top_ranked(scores, 50, SCOPE).select(*SCOPE, "artist_name", F.col("rank").alias("artist_rank"))
+    u = F.col("user_id")
+    centres = read_table(spark, base, "events").select(*SCOPE).distinct().select(
+        *SCOPE, (F.lit(42.3331) + (u % 5 - 2) * 0.8).alias("centre_latitude"),
+        (F.lit(-83.0511) + (u % 3 - 1) * 1.5).alias("centre_longitude"),
+        (30 + (u % 4) * 60).cast("double").alias("radius"))
+    return (ev_ops.match_events(top, _catalogue(spark, base), scope=SCOPE, centres=centres)
+            .select(*SCOPE, "searched_artist", "artist_rank", "event_position", "event_id"))
+
+
 @register("scoped_pipe6_digests")
 def q_scoped_pipe6(spark, base):
     """PIPE5 + PIPE6 per listener: the events of each listener's 50 best artists as one

@@ -319,6 +319,19 @@ SELECT event_id, artist_name, round(distance, 6) AS distance FROM (
   SELECT event_id, name AS artist_name, {DIST_SQL} AS distance FROM okev) x
 WHERE distance <= 150"""
 
+def dist_sql(lat0: str, lon0: str) -> str:
+    """DIST_SQL around other centres than the fixed one."""
+    return DIST_SQL.replace(str(LAT0), f"({lat0})").replace(str(LON0), f"({lon0})")
+
+
+ORACLE["jn7_nation_centres"] = f"""WITH {EVENTS_CTE}
+SELECT n_name, event_id, artist_name, round(distance, 6) AS distance FROM (
+  SELECT c.n_name, c.radius, event_id, name AS artist_name, {dist_sql('c.lat', 'c.lon')} AS distance
+  FROM okev, (SELECT n_name, CAST(42.3331 AS DOUBLE) + (n_nationkey % 7 - 3) * CAST(0.9 AS DOUBLE) AS lat,
+                     CAST(-83.0511 AS DOUBLE) + (n_nationkey % 5 - 2) * CAST(1.2 AS DOUBLE) AS lon,
+                     40 + (n_nationkey % 6) * 35 AS radius FROM nation) c) x
+WHERE distance <= radius"""
+
 TOP50_CTE = f"""{BLEND_CTE},
 top50 AS (
   SELECT artist_name, blend_rank AS artist_rank FROM (
@@ -726,4 +739,29 @@ SELECT user_id, COUNT(*) AS n_events, strftime(DATE '2026-06-07', '%B %d, %Y') A
        || {sql_literal(DIGEST_CARD_END)} || {sql_literal(DIGEST_TAIL)} AS html
 FROM matched GROUP BY user_id"""
 
+ORACLE["scoped_pipe5_listener_centres"] = f"""WITH {_scoped(SCORES_CTE)},
+{EVENTS_CTE},
+centres AS (SELECT DISTINCT user_id, CAST(42.3331 AS DOUBLE) + (user_id % 5 - 2) * CAST(0.8 AS DOUBLE) AS lat,
+                   CAST(-83.0511 AS DOUBLE) + (user_id % 3 - 1) * CAST(1.5 AS DOUBLE) AS lon,
+                   30 + (user_id % 4) * 60 AS radius FROM events),
+anorm AS (
+  SELECT DISTINCT artist_name AS searched_artist,
+         array_to_string({MATCH_SQL.format(c='artist_name')}, ' ') AS a_norm
+  FROM superfan_scores WHERE rank <= 50
+),
+enorm AS (
+  SELECT *, array_to_string({MATCH_SQL.format(c='name')}, ' ') AS e_norm FROM okev
+  WHERE lower(classification) = 'music' AND country = 'US' AND source = 'ticketmaster'
+),
+pairs AS (
+  SELECT * FROM anorm a, enorm e
+  WHERE length(a.a_norm) > 0 AND instr(' ' || e.e_norm || ' ', ' ' || a.a_norm || ' ') > 0
+)
+SELECT user_id, searched_artist, artist_rank, event_position, event_id FROM (
+  SELECT s.user_id, p.searched_artist, s.rank AS artist_rank, event_id,
+         ROW_NUMBER() OVER (PARTITION BY s.user_id, p.searched_artist ORDER BY concert_date, event_id) AS event_position
+  FROM superfan_scores s JOIN centres c ON c.user_id = s.user_id JOIN pairs p ON p.searched_artist = s.artist_name
+  WHERE s.rank <= 50 AND {dist_sql('c.lat', 'c.lon')} <= c.radius) x
+WHERE event_position <= 5"""
+
 ORACLE["pipe1_features_columnar"] = ORACLE["pipe1_features"]
