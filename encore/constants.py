@@ -85,7 +85,8 @@ CHART_NAMES_KEPT = 50
 # --- fixed values: statistics ----------------------------------------------
 HIST_BINS = 30
 KMEANS_K = 3
-KMEANS_ROUNDS = 10
+KMEANS_SEED_ROUNDS = 3
+KMEANS_LIMIT = 1000        # rounds after which a fit that still moves is an error
 PCA_K = 2
 DESCRIBE_QUANTILES = [0.25, 0.5, 0.75]
 

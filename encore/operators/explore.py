@@ -5,7 +5,7 @@ features share one pass per statistic instead of a Python loop of jobs.
 Exact order statistics (quartiles, average ranks) use the distributed
 range-rank primitives in ``encore.operators.ranking``, never a
 single-partition window or an in-memory percentile map per feature.
-The fits (K-Means rounds, MLlib's PCA) are distributed aggregations; their
+The fits (K-Means rounds, PCA) are distributed aggregations; their
 fitted models are fixed-size (k centres, d x 2 loadings).
 """
 
@@ -13,13 +13,18 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+import uuid
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from encore.constants import DESCRIBE_QUANTILES, HIST_BINS, KMEANS_K, KMEANS_ROUNDS, PCA_K
+from encore.constants import (DESCRIBE_QUANTILES, HIST_BINS, KMEANS_K, KMEANS_LIMIT,
+                              KMEANS_SEED_ROUNDS, PCA_K)
 from encore.operators.ranking import (average_rank, average_rank_table, join_per_value,
                                      row_number_by_range)
 from encore.operators.scaling import numeric_columns
+from encore.session import materialise
 
 
 def unpivot(df: DataFrame, cols, keys=(), name: str = "column_name",
@@ -41,6 +46,16 @@ def column_profile(df: DataFrame) -> DataFrame:
     return counts.select(F.inline(arr)).drop("i")
 
 
+def profiled(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """AGG19 without a pass of its own: ``df`` materialised, and its column profile from
+    the counts observed while it was written."""
+    seen = Observation(f"profile-{uuid.uuid4().hex}")
+    stored = materialise(df.observe(seen, *[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(df.columns)]))
+    counts = seen.get
+    rows = [(f.name, int(counts[f"n{i}"]), f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)]
+    return stored, df.sparkSession.createDataFrame(rows, "column_name string, non_null long, dtype string")
+
+
 def describe(df: DataFrame, cols=None, quantiles=DESCRIBE_QUANTILES, scope=()) -> DataFrame:
     """AGG18: count, mean, sample std, min, exact quartiles (linear
     interpolation), max per numeric column (per scope); NULLs excluded."""
@@ -140,28 +155,69 @@ def spearman(df: DataFrame, cols=None, scope=()) -> DataFrame:
     return rho.withColumn("rho", F.when(F.isnan("rho"), F.lit(None)).otherwise(F.col("rho")))
 
 
+def _uniform(round_: int, key: str) -> Column:
+    """A number in [0, 1) for each key and round: the first 48 bits of an MD5."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(round_)), F.col(key).cast("string")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+
+
+def _distances(x, points) -> list[Column]:
+    return [sum(((c - F.lit(m)) * (c - F.lit(m)) for c, m in zip(x, p)), F.lit(0.0)) for p in points]
+
+
+def _least(cols: list[Column]) -> Column:
+    return F.least(*cols) if len(cols) > 1 else cols[0]
+
+
+def kmeans_seeds(df: DataFrame, x, key: str, k: int, rounds: int = KMEANS_SEED_ROUNDS) -> list[list[float]]:
+    """Starting centres by k-means||: from one row, each round takes every row with a
+    chance of 2k times its share of the summed squared distance to the rows taken so far
+    (drawn by a hash of ``key``, so neither partitions nor retries matter).  About 2k rows a
+    round reach the driver.  Weighted by the rows nearest to them, they are cut to ``k``:
+    the heaviest first, then always the one of greatest weight times squared distance."""
+    cols = [c.alias(f"_{i}") for i, c in enumerate(x)]
+    names = [f"_{i}" for i in range(len(x))]
+    place = lambda r: [_uniform(r, key).asc(), F.col(key).asc_nulls_first(), *[F.col(n).asc() for n in names]]
+    seeds = [list(r)[-len(x):] for r in df.select(key, *cols).orderBy(*place(0)).limit(1).collect()]
+    for r in range(1, rounds + 1):
+        far = _least(_distances(x, seeds)) if seeds else None
+        total = round(df.agg(F.sum(far)).first()[0], 9) if seeds else 0
+        if not total:
+            break
+        taken = df.where(_uniform(r, key) * F.lit(total) < F.lit(2.0 * k) * far).select(key, *cols).orderBy(*place(r))
+        seeds += [list(row)[-len(x):] for row in taken.collect()]
+    if not seeds:
+        return []
+    d = _distances(x, seeds)
+    near = F.array_position(F.array(*d), _least(d)).cast("int")
+    weight = {r[0] - 1: r[1] for r in df.groupBy(near).count().collect()}
+    gap = [float("inf")] * len(seeds)
+    out: list[list[float]] = []
+    while len(out) < k:
+        best = max(range(len(seeds)), key=lambda i: (weight.get(i, 0) * (gap[i] if out else 1.0), -i))
+        out.append(seeds[best])
+        gap = [min(g, sum((a - b) * (a - b) for a, b in zip(s, seeds[best]))) for g, s in zip(gap, seeds)]
+    return out
+
+
 def kmeans_clusters(df: DataFrame, cols, key: str, score: str, k: int = KMEANS_K,
-                    rounds: int = KMEANS_ROUNDS) -> DataFrame:
+                    limit: int = KMEANS_LIMIT) -> DataFrame:
     """ML1: K-Means on the features with NULL as 0, in separate columns: the returned
     columns keep their NULLs.  Adds ``cluster``, 0..k-1 by descending mean ``score``.
 
-    Lloyd's rounds from fixed starting centres, spaced evenly between each feature's
-    least and greatest value, so the result depends neither on the partitioning nor
-    on a seed.  A round is one aggregate (k rows reach the driver); centres are
-    rounded to 9 places against the order of summation.  An empty cluster keeps its
-    centre; a row as near to two centres goes to the first."""
-    cols = list(cols)
+    Lloyd's rounds from :func:`kmeans_seeds` until no centre moves; more than ``limit``
+    rounds are an error, never an unfinished fit.  A round is one aggregate (k rows reach
+    the driver); centres are rounded to 9 places against the order of summation.  An empty
+    cluster keeps its centre; a row as near to two centres goes to the first.  Rows should
+    be materialised: every round reads them."""
     x = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols]
-    ends = df.agg(*[f(c) for c in x for f in (F.min, F.max)]).first()
-    lo, hi = [v or 0.0 for v in ends[0::2]], [v or 0.0 for v in ends[1::2]]
-    centres = [[a + (b - a) * (2 * i + 1) / (2 * k) for a, b in zip(lo, hi)] for i in range(k)]
+    centres = kmeans_seeds(df, x, key, k) or [[0.0] * len(x)] * k
 
     def nearest():
-        dist = [sum(((c - F.lit(m)) * (c - F.lit(m)) for c, m in zip(x, centre)), F.lit(0.0))
-                for centre in centres]
-        return F.array_position(F.array(*dist), F.least(*dist)).cast("int") if k > 1 else F.lit(1)
+        dist = _distances(x, centres)
+        return F.array_position(F.array(*dist), _least(dist)).cast("int")
 
-    for _ in range(rounds):
+    for _ in range(limit):
         means = df.groupBy(nearest().alias("_raw")).agg(*[F.avg(c).alias(f"_{i}") for i, c in enumerate(x)])
         new = list(centres)
         for row in means.collect():
@@ -169,6 +225,8 @@ def kmeans_clusters(df: DataFrame, cols, key: str, score: str, k: int = KMEANS_K
         if new == centres:
             break
         centres = new
+    else:
+        raise RuntimeError(f"centres still move after {limit} rounds")
     placed = df.withColumn("_raw", nearest())
     means = placed.groupBy("_raw").agg(F.avg(score).alias("_m"))
     # k rows: bounded by the cluster count
@@ -182,27 +240,31 @@ def cluster_sizes(clustered: DataFrame) -> DataFrame:
     return clustered.groupBy("cluster").agg(F.count(F.lit(1)).alias("count"))
 
 
+def pca_model(df: DataFrame, cols, k: int = PCA_K) -> tuple[list[float], list[list[float]]]:
+    """ML2: (means, loadings) of the first ``k`` principal components of the features with
+    NULL as 0.  One aggregate gives the d(d+1)/2 covariances; their eigenvectors are taken on
+    the driver (d x d numbers), each with its largest absolute loading positive."""
+    x = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols]
+    d = len(x)
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    row = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(x)],
+                 *[F.covar_samp(x[i], x[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
+    gram = np.zeros((d, d))
+    for (i, j), v in zip(pairs, row[d:]):
+        gram[i, j] = gram[j, i] = v if v is not None and v == v else 0.0
+    vectors = np.linalg.eigh(gram)[1][:, ::-1][:, :k].T
+    signs = [1.0 if v[np.argmax(np.abs(v))] >= 0 else -1.0 for v in vectors]
+    return [v or 0.0 for v in row[:d]], [(v * s).tolist() for v, s in zip(vectors, signs)]
+
+
 def pca_coords(df: DataFrame, cols, k: int = PCA_K, prefix: str = "PC") -> DataFrame:
-    """ML2: centred projection on the first ``k`` principal components of the
-    NULL->0 features; each component's largest absolute loading is made
-    positive so the sign is deterministic."""
-    from pyspark.ml.feature import PCA, VectorAssembler
-
-    x = df.fillna(0, subset=list(cols))
-    means = x.agg(*[F.avg(c).alias(c) for c in cols]).first()   # d numbers
-    vec = VectorAssembler(inputCols=list(cols), outputCol="_v").transform(x)
-    pc = PCA(k=k, inputCol="_v", outputCol="_p").fit(vec).pc.toArray()   # d x k
-    out = x
-    for j in range(k):
-        load = [float(v) for v in pc[:, j]]
-        big = max(range(len(load)), key=lambda i: abs(load[i]))
-        sign = 1.0 if load[big] >= 0 else -1.0
-        expr = None
-        for c, w in zip(cols, load):
-            term = (F.col(c).cast("double") - F.lit(float(means[c]))) * F.lit(sign * w)
-            expr = term if expr is None else expr + term
-        out = out.withColumn(f"{prefix}{j + 1}", expr)
-    return out
+    """ML2 + ML3: adds the centred projection on the first ``k`` principal components;
+    the columns of ``df`` keep their NULLs, which the projection reads as 0."""
+    means, loadings = pca_model(df, cols, k)
+    x = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols]
+    return df.withColumns({f"{prefix}{j + 1}": sum(
+        ((c - F.lit(m)) * F.lit(w) for c, m, w in zip(x, means, load)), F.lit(0.0))
+        for j, load in enumerate(loadings)})
 
 
 def chi2_tail(x: float | None, df: int) -> float | None:

@@ -541,8 +541,8 @@ def q_agg17(spark, base):
 def q_ml3(spark, base):
     """ML2 + ML3: centred 2-component PCA coordinates with cluster, name and score."""
     out = explore.pca_coords(_clustered(spark, base), X_COLS)
-    return out.select("PC1", "PC2", F.col("cluster").cast("string").alias("cluster"),
-                      "artist_name", "superfan_score")
+    return r6(out.select("PC1", "PC2", F.col("cluster").cast("string").alias("cluster"),
+                         "artist_name", "superfan_score"), ["PC1", "PC2", "superfan_score"])
 
 
 @register("ml4_kruskal_wallis")
@@ -554,18 +554,15 @@ def q_ml4(spark, base):
 
 @register("pipe8_explore")
 def q_pipe8(spark, base):
-    """PIPE8: the whole exploration of the feature table; the clusters it finds, with
-    their sizes and score ranges."""
-    parts = pipe.explore_features(_feature_table(spark, base))
-    by = parts["clusters"].groupBy("cluster").agg(
-        F.min("superfan_score").alias("least"), F.max("superfan_score").alias("greatest"))
-    return r6(parts["sizes"].join(by, "cluster"), ["least", "greatest"])
+    """PIPE8: the whole exploration of the feature table as one long table: profile,
+    statistics, histograms, correlations, clusters, coordinates and tests."""
+    return r6(pipe.explore_features(feat.features(stand_in.plays(spark, base))).long(), ["value"])
 
 
 @register("top3_log_score_preview")
 def q_top3_log(spark, base):
     """TOP3: the 30 best log-scaled scores of the exploration."""
-    top = pipe.explore_features(_feature_table(spark, base))["preview"]
+    top = pipe.explore_features(feat.features(stand_in.plays(spark, base)))["preview"]
     return r6(top.select("artist_name", "superfan_score"), ["superfan_score"])
 
 

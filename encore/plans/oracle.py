@@ -589,38 +589,100 @@ SELECT * FROM matched"""
 
 # ------------------------------------------------- clusters, sinks, chart flow --
 
-def _kmeans_ctes(k: int = 3, rounds: int = 10) -> str:
-    """Lloyd's rounds as a chain of CTEs from the same fixed starting centres."""
+def _kmeans_ctes(k: int = 3, rounds: int = 3) -> str:
+    """K-means|| seeds as a chain of CTEs, and Lloyd's rounds as a recursion that ends when
+    no centre moves."""
     n = len(SCORE_COLS)
+    xi = ", ".join(f"x{i}" for i in range(n))
     xs = ", ".join(f"COALESCE({c}, 0) AS x{i}" for i, c in enumerate(SCORE_COLS))
-    start = " UNION ALL ".join(
-        f"SELECT {j + 1} AS c, " + ", ".join(
-            f"MIN(x{i}) + (MAX(x{i}) - MIN(x{i})) * {2 * j + 1} / {2 * k} AS m{i}" for i in range(n))
-        + " FROM x" for j in range(k))
-    near = " + ".join(f"(x{i} - m{i}) * (x{i} - m{i})" for i in range(n))
-    out = [f"x AS (SELECT artist_name, superfan_score AS s, {xs} FROM superfan_scores)",
-           f"m0 AS ({start})"]
-    for r in range(rounds + 1):
-        out.append(f"""a{r} AS (SELECT x.*, c FROM x, m{r}
-          QUALIFY ROW_NUMBER() OVER (PARTITION BY artist_name ORDER BY {near}, c) = 1)""")
-        if r < rounds:
-            out.append(f"m{r + 1} AS (SELECT m{r}.c, " + ", ".join(
-                f"COALESCE(round(AVG(x{i}), 9), any_value(m{i})) AS m{i}" for i in range(n))
-                + f" FROM m{r} LEFT JOIN a{r} ON a{r}.c = m{r}.c GROUP BY m{r}.c)")
-    out.append(f"""clusters AS (SELECT artist_name, s, {', '.join(f'x{i}' for i in range(n))},
+    u = lambda r: f"(CAST(('0x' || substr(md5('{r}|' || artist_name), 1, 12)) AS BIGINT) / 281474976710656.0)"
+    dist = lambda a, b: " + ".join(f"({a}x{i} - {b}x{i}) * ({a}x{i} - {b}x{i})" for i in range(n))
+    out = [f"x AS MATERIALIZED (SELECT artist_name, superfan_score AS s, {xs} FROM superfan_scores)",
+           f"s0 AS MATERIALIZED (SELECT CAST(0 AS BIGINT) AS i, {xi} FROM x ORDER BY {u(0)}, artist_name LIMIT 1)"]
+    for r in range(1, rounds + 1):
+        out.append(f"d{r} AS MATERIALIZED (SELECT artist_name, MIN({dist('x.', 's.')}) AS d2 "
+                   f"FROM x, s{r - 1} s GROUP BY artist_name)")
+        out.append(f"s{r} AS MATERIALIZED (SELECT * FROM s{r - 1} UNION ALL "
+                   f"SELECT (SELECT COUNT(*) FROM s{r - 1}) - 1 + ROW_NUMBER() OVER (ORDER BY {u(r)}, artist_name), {xi} "
+                   f"FROM x JOIN d{r} USING (artist_name) "
+                   f"WHERE {u(r)} * (SELECT round(SUM(d2), 9) FROM d{r}) < {2.0 * k} * d2)")
+    out.append(f"""seeds AS MATERIALIZED (SELECT s{rounds}.*, COALESCE(w, 0) AS w FROM s{rounds} LEFT JOIN (
+           SELECT i, COUNT(*) AS w FROM (SELECT s.i FROM x, s{rounds} s
+             QUALIFY ROW_NUMBER() OVER (PARTITION BY artist_name ORDER BY {dist('x.', 's.')}, s.i) = 1) GROUP BY i)
+           USING (i))""")
+    out.append("t1 AS MATERIALIZED (SELECT 1 AS c, * FROM seeds ORDER BY w DESC, i LIMIT 1)")
+    for j in range(2, k + 1):
+        out.append(f"""t{j} AS MATERIALIZED (FROM t{j - 1} UNION ALL (SELECT {j} AS c, a.* FROM seeds a, t{j - 1} b
+           GROUP BY ALL ORDER BY a.w * MIN({dist('a.', 'b.')}) DESC, a.i LIMIT 1))""".replace(
+               "GROUP BY ALL", f"GROUP BY a.i, a.w, {', '.join(f'a.x{i}' for i in range(n))}").replace(
+               "a.*", f"a.i, {', '.join(f'a.x{i}' for i in range(n))}, a.w"))
+    near = " + ".join(f"(x{i} - p[{i + 1}]) * (x{i} - p[{i + 1}])" for i in range(n))
+    mean = ", ".join(f"round(AVG(x{i}), 9)" for i in range(n))
+    out.append(f"""lloyd(m, moves) AS (
+         SELECT (SELECT list([{xi}] ORDER BY c) FROM t{k}), true
+         UNION ALL
+         SELECT new, new <> m FROM (
+           SELECT m, list_transform(range(1, {k + 1}), lambda j:
+                       COALESCE(list_filter(means, lambda q: q.c = j)[1].v, m[j])) AS new
+           FROM (SELECT m, list({{'c': c, 'v': v}}) AS means FROM (
+             SELECT m, c, [{mean}] AS v FROM (
+               SELECT m, list_position(d, list_min(d)) AS c, {xi} FROM (
+                 SELECT m, {xi}, list_transform(m, lambda p: {near}) AS d FROM lloyd, x WHERE moves))
+             GROUP BY m, c) GROUP BY m)))""")
+    out.append(f"""placed AS MATERIALIZED (SELECT artist_name, s, {xi}, list_position(d, list_min(d)) AS c FROM (
+         SELECT *, list_transform(m, lambda p: {near}) AS d FROM x, (SELECT m FROM lloyd WHERE NOT moves)))""")
+    out.append(f"""clusters AS MATERIALIZED (SELECT artist_name, s, {xi},
          CAST(DENSE_RANK() OVER (ORDER BY mean DESC NULLS LAST, c) - 1 AS INTEGER) AS cluster
-         FROM (SELECT *, AVG(s) OVER (PARTITION BY c) AS mean FROM a{rounds}))""")
+         FROM (SELECT *, AVG(s) OVER (PARTITION BY c) AS mean FROM placed))""")
     return ",\n".join(out)
 
 
-CLUSTERS_CTE = f"{SCORES_CTE},\n{_kmeans_ctes()}"
+def _pca_ctes() -> str:
+    """Principal components by power iteration: a matrix is squared and scaled to trace 1
+    until it stands still; its columns are then the first component."""
+    n = len(SCORE_COLS)
+    at = lambda i, j: f"covar_samp(x{i}, x{j})"
+    gram = "[" + ", ".join("[" + ", ".join(at(i, j) for j in range(n)) + "]" for i in range(n)) + "]"
+    trace = lambda m: "(" + " + ".join(f"{m}[{i}][{i}]" for i in range(1, n + 1)) + ")"
+    cells = lambda f: (f"list_transform(range(1, {n + 1}), lambda i: "
+                       f"list_transform(range(1, {n + 1}), lambda j: {f}))")
+    product = " + ".join(f"m[i][{t}] * m[{t}][j]" for t in range(1, n + 1))
+
+    def power(name, start):
+        return [f"""{name}(m, moves) AS (
+         SELECT {cells(f"g[i][j] / {trace('g')}")}, true FROM {start}
+         UNION ALL
+         SELECT new, list_max(list_transform(range(1, {n + 1}), lambda i: list_max(list_transform(
+                  range(1, {n + 1}), lambda j: abs(new[i][j] - m[i][j]))))) > 1e-14
+         FROM (SELECT m, {cells(f"sq[i][j] / {trace('sq')}")} AS new
+               FROM (SELECT m, {cells(product)} AS sq FROM {name} WHERE moves)))""",
+                f"""v_{name} AS MATERIALIZED (SELECT list_transform(col, lambda v: v / len * big) AS v FROM (
+         SELECT col, sqrt(list_sum(list_transform(col, lambda v: v * v))) AS len, CASE WHEN list_extract(col,
+                  list_position(list_transform(col, lambda v: abs(v)), list_max(list_transform(col, lambda v: abs(v))))) >= 0
+                  THEN 1.0 ELSE -1.0 END AS big
+         FROM (SELECT m[list_position(list_transform(range(1, {n + 1}), lambda i: m[i][i]),
+                                      list_max(list_transform(range(1, {n + 1}), lambda i: m[i][i])))] AS col
+               FROM {name} WHERE NOT moves)))"""]
+
+    value = " + ".join(f"v[{i}] * g[{i}][{j}] * v[{j}]" for i in range(1, n + 1) for j in range(1, n + 1))
+    out = [f"gram AS MATERIALIZED (SELECT {gram} AS g FROM clusters)", *power("pc1", "gram"),
+           f"""rest AS MATERIALIZED (SELECT {cells("g[i][j] - l * v[i] * v[j]")} AS g
+               FROM (SELECT g, v, {value} AS l FROM gram, v_pc1))""", *power("pc2", "rest")]
+    dot = lambda v: " + ".join(f"(x{i} - AVG(x{i}) OVER ()) * {v}.v[{i + 1}]" for i in range(n))
+    out.append(f"""frame AS (SELECT artist_name, s, cluster, {dot('v_pc1')} AS PC1, {dot('v_pc2')} AS PC2
+               FROM clusters, v_pc1, v_pc2)""")
+    return ",\n".join(out)
+
+
+CLUSTERS_CTE = f"RECURSIVE {SCORES_CTE},\n{_kmeans_ctes()}"
 ORACLE["ml1_kmeans"] = f"""WITH {CLUSTERS_CTE}
 SELECT artist_name, round(s, 6) AS superfan_score, cluster FROM clusters"""
 ORACLE["agg17_cluster_sizes"] = f"""WITH {CLUSTERS_CTE}
 SELECT cluster, COUNT(*) AS count FROM clusters GROUP BY cluster"""
-ORACLE["pipe8_explore"] = f"""WITH {CLUSTERS_CTE}
-SELECT cluster, COUNT(*) AS count, round(MIN(s), 6) AS least, round(MAX(s), 6) AS greatest
-FROM clusters GROUP BY cluster"""
+ORACLE["ml3_cluster_frame"] = f"""WITH {CLUSTERS_CTE},
+{_pca_ctes()}
+SELECT round(PC1, 6) AS PC1, round(PC2, 6) AS PC2, CAST(cluster AS VARCHAR) AS cluster, artist_name,
+       round(s, 6) AS superfan_score FROM frame"""
 _KW = " UNION ALL ".join(f"SELECT '{c}' AS feature, x{i} AS value, cluster FROM clusters"
                          for i, c in enumerate(SCORE_COLS))
 ORACLE["ml4_kruskal_wallis"] = f"""WITH {CLUSTERS_CTE}, long AS ({_KW}),
@@ -637,6 +699,25 @@ h AS (SELECT feature, groups, N, CASE WHEN tt < 1.0 * N * N * N - N THEN
       FROM tot JOIN ties USING (feature))
 SELECT feature, round(h, 6) AS statistic,
        round(CASE groups WHEN 3 THEN exp(-h / 2) END, 6) AS p_value, groups, N FROM h"""
+
+
+def _long(part: str, query: str, item: str, detail: str, metrics) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{part}' AS part, CAST({item} AS VARCHAR) AS item, CAST({detail} AS VARCHAR) AS detail, "
+        f"'{m}' AS metric, round(CAST({m} AS DOUBLE), 6) AS value FROM ({query}) t" for m in metrics)
+
+
+_BY_CLUSTER = f"""WITH {CLUSTERS_CTE}
+SELECT cluster, COUNT(*) AS count, MIN(s) AS least, MAX(s) AS greatest FROM clusters GROUP BY cluster"""
+ORACLE["pipe8_explore"] = " UNION ALL ".join([
+    _long("profile", ORACLE["agg19_column_profile"], "column_name", "dtype", ["non_null"]),
+    _long("describe", ORACLE["agg18_describe"], "column_name", "''",
+          ["count", "mean", "std", "min", "p25", "p50", "p75", "max"]),
+    _long("histogram", ORACLE["agg20_histogram"], "column_name", "bin", ["bin_lo", "bin_hi", "count"]),
+    _long("spearman", ORACLE["agg21_spearman"], "col_a", "col_b", ["rho"]),
+    _long("clusters", _BY_CLUSTER, "cluster", "''", ["count", "least", "greatest"]),
+    _long("frame", ORACLE["ml3_cluster_frame"], "artist_name", "cluster", ["PC1", "PC2", "superfan_score"]),
+    _long("kruskal_wallis", ORACLE["ml4_kruskal_wallis"], "feature", "''", ["statistic", "p_value", "groups", "N"])])
 ORACLE["top3_log_score_preview"] = f"""WITH {SCORES_CTE}
 SELECT artist_name, round(superfan_score, 6) AS superfan_score FROM superfan_scores
 ORDER BY superfan_score DESC NULLS LAST, artist_name LIMIT 30"""

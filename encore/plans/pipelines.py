@@ -12,6 +12,8 @@ scan is not repeated), and ranking checkpoints its range-sorted input.
 
 from __future__ import annotations
 
+from functools import cached_property, reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,24 +80,104 @@ def top_ranked(scores: DataFrame, n: int = TOP_ARTISTS, scope=()) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
-def explore_features(feature_table: DataFrame, preview: int = 30) -> dict[str, DataFrame]:
-    """PIPE8: the whole exploration of a feature table: column profile, summary
-    statistics, histograms, rank correlations, log-scaled scores with the best
-    ``preview`` of them, clusters with their sizes and coordinates, and the test of
-    every feature across the clusters."""
-    scores = materialise(superfan_scores(feature_table, rank=False))
-    cols = [c for c in scores.columns if c.startswith("log_")] + ["superfan_score"]
-    clusters = explore.kmeans_clusters(scores, cols, "artist_name", "superfan_score")
-    return {
-        "profile": explore.column_profile(feature_table),
-        "describe": explore.describe(feature_table),
-        "histogram": explore.histogram(feature_table),
-        "spearman": explore.spearman(feature_table),
-        "scores": scores,
-        "preview": top_k(scores, [F.col("superfan_score").desc_nulls_last(),
-                                  F.col("artist_name").asc()], preview),
-        "clusters": clusters,
-        "sizes": explore.cluster_sizes(clusters),
-        "frame": explore.pca_coords(clusters.fillna(0, subset=cols), cols),
-        "kruskal_wallis": explore.kruskal_wallis(clusters.fillna(0, subset=cols), "cluster", cols),
-    }
+class Exploration:
+    """PIPE8: the exploration of a feature table.  Each part is computed when it is asked
+    for and once: ``profile``, ``describe``, ``histogram``, ``spearman``, the log-scaled
+    ``scores`` with the best ``preview`` of them, ``clusters`` with their ``sizes``, the
+    ``frame`` of their coordinates, and ``kruskal_wallis``, the test of every feature across
+    the clusters.  The table is written once; the profile is observed on the way."""
+
+    PARTS = ("profile", "describe", "histogram", "spearman", "scores", "preview", "clusters",
+             "sizes", "frame", "kruskal_wallis")
+
+    def __init__(self, feature_table: DataFrame, preview: int = 30):
+        self._given, self._preview = feature_table, preview
+
+    def __getitem__(self, part: str) -> DataFrame:
+        if part not in self.PARTS:
+            raise KeyError(part)
+        return getattr(self, part)
+
+    @cached_property
+    def _profiled(self) -> tuple[DataFrame, DataFrame]:
+        return explore.profiled(self._given)
+
+    @property
+    def table(self) -> DataFrame:
+        return self._profiled[0]
+
+    @property
+    def profile(self) -> DataFrame:
+        return self._profiled[1]
+
+    @cached_property
+    def describe(self) -> DataFrame:
+        return explore.describe(self.table)
+
+    @cached_property
+    def histogram(self) -> DataFrame:
+        return explore.histogram(self.table)
+
+    @cached_property
+    def spearman(self) -> DataFrame:
+        return explore.spearman(self.table)
+
+    @cached_property
+    def scores(self) -> DataFrame:
+        # superfan_scores materialises what it is given
+        return superfan_scores(self.table if "_profiled" in self.__dict__ else self._given, rank=False)
+
+    @property
+    def preview(self) -> DataFrame:
+        return top_k(self.scores, [F.col("superfan_score").desc_nulls_last(), F.col("artist_name").asc()],
+                     self._preview)
+
+    @property
+    def columns(self) -> list[str]:
+        """What clusters, coordinates and tests read: the scaled features and the score."""
+        return [c for c in self.scores.columns if c.startswith("log_")] + ["superfan_score"]
+
+    @cached_property
+    def clusters(self) -> DataFrame:
+        return materialise(explore.kmeans_clusters(materialise(self.scores), self.columns, "artist_name",
+                                                   "superfan_score"))
+
+    @property
+    def sizes(self) -> DataFrame:
+        return explore.cluster_sizes(self.clusters)
+
+    @cached_property
+    def frame(self) -> DataFrame:
+        return explore.pca_coords(self.clusters, self.columns)
+
+    @cached_property
+    def kruskal_wallis(self) -> DataFrame:
+        return explore.kruskal_wallis(self.clusters.fillna(0, subset=self.columns), "cluster", self.columns)
+
+    def long(self) -> DataFrame:
+        """All parts as one table (part, item, detail, metric, value)."""
+        def rows(part, df, item, detail, metrics):
+            long = explore.unpivot(df.withColumns({"_i": F.col(item).cast("string"), "_d": detail.cast("string")}),
+                                   metrics, keys=["_i", "_d"], name="metric", drop_nulls=False)
+            return long.select(F.lit(part).alias("part"), F.col("_i").alias("item"), F.col("_d").alias("detail"),
+                               "metric", "value")
+
+        none = F.lit("")
+        by = self.clusters.groupBy("cluster").agg(
+            F.count(F.lit(1)).alias("count"), F.min("superfan_score").alias("least"),
+            F.max("superfan_score").alias("greatest"))
+        parts = [rows("profile", self.profile, "column_name", F.col("dtype"), ["non_null"]),
+                 rows("describe", self.describe, "column_name", none,
+                      [c for c in self.describe.columns if c != "column_name"]),
+                 rows("histogram", self.histogram, "column_name", F.col("bin"), ["bin_lo", "bin_hi", "count"]),
+                 rows("spearman", self.spearman, "col_a", F.col("col_b"), ["rho"]),
+                 rows("clusters", by, "cluster", none, ["count", "least", "greatest"]),
+                 rows("frame", self.frame, "artist_name", F.col("cluster"),
+                      [*[c for c in self.frame.columns if c.startswith("PC")], "superfan_score"]),
+                 rows("kruskal_wallis", self.kruskal_wallis, "feature", none, ["statistic", "p_value", "groups", "N"])]
+        return reduce(DataFrame.unionByName, parts)
+
+
+def explore_features(feature_table: DataFrame, preview: int = 30) -> Exploration:
+    """PIPE8: the exploration of a feature table, part by part or as one long table."""
+    return Exploration(feature_table, preview)
