@@ -2,8 +2,8 @@
 
 Everything is computed on an unpivoted (feature, value) frame so all
 features share one pass per statistic instead of a Python loop of jobs.
-Exact order statistics (quartiles, average ranks) use the distributed
-range-rank primitives in ``encore.operators.ranking``, never a
+Quartiles are selected from brackets that sketches give; average ranks use the
+distributed range-rank primitives in ``encore.operators.ranking``, never a
 single-partition window or an in-memory percentile map per feature.
 The fits (K-Means rounds, PCA) are distributed aggregations; their
 fitted models are fixed-size (k centres, d x 2 loadings).
@@ -19,13 +19,18 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from pyspark.sql import types as T
+
 from encore.constants import (DESCRIBE_QUANTILES, HIST_BINS, KMEANS_K, KMEANS_LIMIT,
                               KMEANS_SEED_ROUNDS, PCA_K)
-from encore.operators.ranking import (average_rank, average_rank_table, join_per_value,
-                                     row_number_by_range)
+from encore.operators.ranking import (average_rank, broadcast_if_small, join_per_value,
+                                      row_number_by_range, running_sums_by_range)
 from encore.operators.scaling import numeric_columns
 from encore.session import materialise
 
+#: The sketch errs by up to n / SKETCH_ACCURACY rows; brackets reach SKETCH_MARGIN times that.
+SKETCH_ACCURACY, SKETCH_MARGIN = 10_000, 3
+
 
 def unpivot(df: DataFrame, cols, keys=(), name: str = "column_name",
             value: str = "value", drop_nulls: bool = True) -> DataFrame:
@@ -58,40 +63,66 @@ def profiled(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def describe(df: DataFrame, cols=None, quantiles=DESCRIBE_QUANTILES, scope=()) -> DataFrame:
     """AGG18: count, mean, sample std, min, exact quartiles (linear
-    interpolation), max per numeric column (per scope); NULLs excluded."""
+    interpolation), max per numeric column (per scope); NULLs excluded.
+
+    Quartiles by selection, without sorting or shuffling the values: the aggregate that
+    gives the other statistics also keeps a mergeable quantile sketch, whose answers a
+    little below and above each quantile bracket it; a second pass counts what lies below
+    the bracket and gathers, by value, only what lies in it (some 10^-3 of the rows; a value
+    that many rows share is one row).  ``df`` is read twice and should be materialised."""
     scope = list(scope)
     cols = cols or numeric_columns(df, exclude=scope)
     g = [*scope, "column_name"]
-    # a per-row id breaks ties in the range key, so a value shared by many
-    # rows is split over several range partitions instead of one task (any
-    # order among equal values gives the same quartiles)
-    long = unpivot(df.withColumn("_row", F.monotonically_increasing_id()), cols,
-                   keys=[*scope, "_row"])
-    stats = long.groupBy(*g).agg(
+    long = unpivot(df, cols, keys=scope)
+    sides = [min(max(q + e * SKETCH_MARGIN / SKETCH_ACCURACY, 0.0), 1.0) for q in quantiles for e in (-1, 1)]
+    stats = materialise(long.groupBy(*g).agg(
         F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-        F.max("value").alias("max"))
-    # positions needed for each quantile: h = (n - 1) q, values at floor/ceil
-    targets = stats.select(*g, "count", F.explode(F.array(*[
-        F.lit(q) for q in quantiles])).alias("q"))
-    h = (F.col("count") - 1) * F.col("q")
-    targets = (targets.select(*g, "q", (h - F.floor(h)).alias("frac"),
-                              F.explode(F.array((F.floor(h) + 1).cast("long"),
-                                                (F.ceil(h) + 1).cast("long"))).alias("_rn"))
-               .dropDuplicates([*g, "q", "_rn"]))
-    ranked = row_number_by_range(long, [F.col("value").asc(), F.col("_row").asc()], g, out="_rn")
-    # without a scope: 2 rows per quantile per column, a proven small bound
-    picked = ranked.join(F.broadcast(targets) if not scope else targets, [*g, "_rn"])
-    qv = picked.groupBy(*g, "q").agg(
-        (F.min("value") + F.first("frac") * (F.max("value") - F.min("value"))).alias("qv"))
-    wide = qv.groupBy(*g).agg(*[
-        F.max(F.when(F.col("q") == q, F.col("qv"))).alias(f"p{int(round(q * 100))}")
-        for q in quantiles])
+        F.max("value").alias("max"),
+        F.percentile_approx("value", sides, SKETCH_ACCURACY).alias("_sides")), "statistics")
+    # values wanted for each quantile: those at floor and ceil of h = (n - 1) q, from 0
+    targets = stats.select(*g, F.inline(F.array(*[F.struct(
+        F.lit(q).alias("q"), ((F.col("count") - 1) * q).alias("_h"),
+        F.get("_sides", F.lit(2 * i)).alias("_lo"), F.get("_sides", F.lit(2 * i + 1)).alias("_hi"))
+        for i, q in enumerate(quantiles)])))
+    # without a scope: one row per quantile and column, a proven small bound
+    met = (long.join(F.broadcast(targets) if not scope else broadcast_if_small(targets), g)
+           .where(F.col("value") <= F.col("_hi")))
+    held = (met.withColumn("value", F.when(F.col("value") >= F.col("_lo"), F.col("value")))
+            .groupBy(*g, "q", "_h", "value").agg(F.count(F.lit(1)).alias("_c")))
+    upto = Window.partitionBy(*g, "q").orderBy(F.col("value").asc_nulls_first())
+    held = held.withColumn("_to", F.sum("_c").over(upto))
+
+    def at(h):  # the value whose rows hold position h; NULL if the bracket does not
+        return F.max(F.when((F.col("_to") - F.col("_c") <= h) & (h < F.col("_to")), F.col("value")))
+
+    h = F.col("_h")
+    qv = materialise(held.groupBy(*g, "q", "_h").agg(at(F.floor(h)).alias("_a"), at(F.ceil(h)).alias("_z")),
+                     "quantiles")
+    missed = qv.where(F.col("_a").isNull() | F.col("_z").isNull())
+    if missed.limit(1).count():  # a sketch erred by more than the margin: sort these groups
+        qv = (qv.join(missed.select(*g, "q"), [*g, "q"], "left_anti")
+              .unionByName(_by_position(long.join(missed.select(*g).distinct(), g, "left_semi"),
+                                        missed.select(*g, "q", "_h"), g)))
+    wide = qv.withColumn("qv", F.col("_a") + (h - F.floor(h)) * (F.col("_z") - F.col("_a"))).groupBy(*g).agg(*[
+        F.max(F.when(F.col("q") == q, F.col("qv"))).alias(f"p{int(round(q * 100))}") for q in quantiles])
     return stats.join(wide, g, "left").select(
         *g, "count", "mean", "std", "min",
         *[f"p{int(round(q * 100))}" for q in quantiles], "max")
 
 
+def _by_position(long: DataFrame, targets: DataFrame, g: list[str]) -> DataFrame:
+    """The values at floor and ceil of ``_h`` by a distributed sort of all values; a row id
+    splits a value that many rows share over several partitions."""
+    ranked = row_number_by_range(long.withColumn("_row", F.monotonically_increasing_id()),
+                                 [F.col("value").asc(), F.col("_row").asc()], g, out="_rn")
+    h = F.col("_h")
+    wanted = targets.withColumn("_rn", F.explode(F.array_distinct(F.array(
+        (F.floor(h) + 1).cast("long"), (F.ceil(h) + 1).cast("long")))))
+    return (ranked.join(wanted, [*g, "_rn"]).groupBy(*g, "q", "_h")
+            .agg(F.min("value").alias("_a"), F.max("value").alias("_z")))
+
+
 def histogram(df: DataFrame, cols=None, bins: int = HIST_BINS, scope=()) -> DataFrame:
     """AGG20: equal-width bins between min and max per column (per scope), last
     bin closed on the right, empty bins included; a constant column spans +-0.5."""
@@ -122,75 +153,116 @@ def histogram(df: DataFrame, cols=None, bins: int = HIST_BINS, scope=()) -> Data
 def spearman(df: DataFrame, cols=None, scope=()) -> DataFrame:
     """AGG21: Spearman correlation for every column pair (upper triangle with
     the diagonal, per scope), pairwise-complete rows, average ranks for ties.
-
-    One unpivot to (pair, x, y), one average-rank pass over both sides of
-    every pair, one Pearson aggregate per pair.  A constant input gives NULL.
-    """
+    A pair without complete rows is absent, one with a constant column NULL.
+
+    A column's ranks within a pair depend only on which rows the partner leaves, and that
+    only on the rows' pattern of NULLs (a bit mask).  So each column is ranked once for each
+    different set of patterns that its partners leave, all sets in one pass: rows unpivot
+    to one (column, value) each, the counts per distinct value and set run up in value
+    order, and the ranks join back by value.  One aggregate over the rows' rank vectors then
+    gives all sums of products."""
     scope = list(scope)
     cols = cols or numeric_columns(df, exclude=scope)
-    g = [*scope, "col_a", "col_b"]
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    arr = F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                             F.col(a).cast("double").alias("x"),
-                             F.col(b).cast("double").alias("y")) for a, b in pairs])
-    long = (df.select(*scope, F.inline(arr))
-            .where(F.col("x").isNotNull() & F.col("y").isNotNull()))
-    # one ranking pass for both sides: (scope, pair, side) is the ranking scope
-    sides = (long.select(*g, F.lit("x").alias("side"), F.col("x").alias("v"))
-             .unionByName(long.select(*g, F.lit("y").alias("side"), F.col("y").alias("v"))))
-    table = average_rank_table(sides, "v", [*g, "side"], "r")
-    rank_x = table.where(F.col("side") == "x").select(*g, F.col("v").alias("x"), "_c",
-                                                       F.col("r").alias("rx"))
-    rank_y = table.where(F.col("side") == "y").select(*g, F.col("v").alias("y"), "_c",
-                                                       F.col("r").alias("ry"))
-    ry = join_per_value(join_per_value(long, rank_x, [*g, "x"], how="inner"),
-                        rank_y, [*g, "y"], how="inner")
-    # Pearson on the ranks.  A constant side is detected exactly (min = max):
-    # merged partial moments of identical values can leave a variance of
-    # ~1e-14 instead of 0, and ``corr`` raises on a zero one under ANSI.
-    constant = (F.min("rx") == F.max("rx")) | (F.min("ry") == F.max("ry"))
-    rho = ry.groupBy(*g).agg(
-        F.when(constant, F.lit(None).cast("double")).otherwise(F.try_divide(
-            F.covar_samp("rx", "ry"), F.stddev_samp("rx") * F.stddev_samp("ry"))).alias("rho"))
-    return rho.withColumn("rho", F.when(F.isnan("rho"), F.lit(None)).otherwise(F.col("rho")))
-
-
-def _uniform(round_: int, key: str) -> Column:
+    d = len(cols)
+    mask = sum((F.when(F.col(c).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
+                for i, c in enumerate(cols)), F.lit(0).cast("long"))
+    base = materialise(df.select(*scope, *cols).withColumn("_mask", mask)
+                       .withColumn("_row", F.monotonically_increasing_id()), "spearman-rows")
+    masks = sorted(r[0] for r in base.select("_mask").distinct().collect())  # at most 2^d
+    sets: list[list[tuple[int, ...]]] = [[] for _ in cols]
+    of = {}
+    for i in range(d):
+        for j in range(d):
+            rows = tuple(m for m in masks if m >> i & 1 and m >> j & 1)
+            if rows not in sets[i]:
+                sets[i].append(rows)
+            of[i, j] = sets[i].index(rows)
+    width = max(map(len, sets), default=0)
+    if not width:
+        return df.sparkSession.createDataFrame([], T.StructType(
+            [f for f in df.schema.fields if f.name in scope])).selectExpr(
+                "*", "'' AS col_a", "'' AS col_b", "0D AS rho")
+
+    def counted(i, s):  # 1 for rows of the set
+        rows = sets[i][s] if s < len(sets[i]) else ()
+        return F.expr(f"if(_mask in ({', '.join(map(str, rows))}), 1L, 0L)" if rows else "0L")
+
+    parts = range(width)
+    each = F.array(*[F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_v"),
+                              *[counted(i, s).alias(f"_f{s}") for s in parts]) for i, c in enumerate(cols)])
+    long = base.select(*scope, "_row", F.inline(each)).where(F.col("_v").isNotNull())
+    counts = long.groupBy(*scope, "_c", "_v").agg(F.count(F.lit(1)).alias("_n"),
+                                                  *[F.sum(f"_f{s}").alias(f"_f{s}") for s in parts])
+    up = running_sums_by_range(counts, [F.col("_v").asc()], {f"_f{s}": f"_t{s}" for s in parts}, [*scope, "_c"])
+    ranked = materialise(up.select(*scope, "_c", "_v", "_n", *[f"_f{s}" for s in parts], *[
+        (F.col(f"_t{s}") - (F.col(f"_f{s}") - 1) / 2.0).alias(f"_r{s}") for s in parts]), "ranks")
+    facts = ranked.groupBy(*scope, "_c").agg(
+        F.array(*[F.sum(f"_f{s}") for s in parts]).alias("n"),
+        F.array(*[F.count(F.when(F.col(f"_f{s}") > 0, 1)) for s in parts]).alias("values"),
+        F.array(*[F.sum(F.col(f"_f{s}") * F.col(f"_r{s}") * F.col(f"_r{s}")) for s in parts]).alias("square"))
+    table = ranked.select(*scope, "_c", "_v", "_n", F.array(*[f"_r{s}" for s in parts]).alias("_ranks"))
+    vectors = (join_per_value(long.select(*scope, "_row", "_c", "_v"), table, [*scope, "_c", "_v"], "_n", "inner")
+               .groupBy(*scope, "_row")
+               .agg(*[F.max(F.when(F.col("_c") == i, F.col("_ranks"))).alias(f"_x{i}") for i in range(d)]))
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    sums = vectors.groupBy(*scope).agg(*[
+        F.sum(F.get(f"_x{i}", F.lit(of[i, j])) * F.get(f"_x{j}", F.lit(of[j, i]))).alias(f"_p{i}_{j}")
+        for i, j in pairs])
+    rows = sums.select(*scope, F.inline(F.array(*[F.struct(
+        F.lit(i).alias("_i"), F.lit(j).alias("_j"), F.lit(of[i, j]).alias("_a"), F.lit(of[j, i]).alias("_b"),
+        F.col(f"_p{i}_{j}").alias("_p")) for i, j in pairs]))).where(F.col("_p").isNotNull())
+    for side, at in (("_i", "_a"), ("_j", "_b")):
+        own = facts.select(*scope, F.col("_c").alias(side), *[F.col(c).alias(f"{c}{at}") for c in ("n", "values", "square")])
+        rows = rows.join(own, [*scope, side]).withColumns(
+            {f"{c}{at}": F.get(f"{c}{at}", F.col(at)) for c in ("n", "values", "square")})
+    # every set's ranks have mean (n + 1) / 2
+    middle = F.col("n_a") * F.pow((F.col("n_a") + 1) / 2.0, F.lit(2))
+    var = [F.col(f"square{at}") - middle for at in ("_a", "_b")]
+    rho = F.when((F.col("values_a") > 1) & (F.col("values_b") > 1), (F.col("_p") - middle) / F.sqrt(var[0] * var[1]))
+    name = F.array(*[F.lit(c) for c in cols])
+    return rows.select(*scope, F.get(name, F.col("_i")).alias("col_a"), F.get(name, F.col("_j")).alias("col_b"),
+                       rho.alias("rho"))
+
+
+def _uniform(round_: int) -> Column:
     """A number in [0, 1) for each key and round: the first 48 bits of an MD5."""
-    digest = F.md5(F.concat_ws("|", F.lit(str(round_)), F.col(key).cast("string")).cast("binary"))
-    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
-
-
-def _distances(x, points) -> list[Column]:
-    return [sum(((c - F.lit(m)) * (c - F.lit(m)) for c, m in zip(x, p)), F.lit(0.0)) for p in points]
-
-
-def _least(cols: list[Column]) -> Column:
-    return F.least(*cols) if len(cols) > 1 else cols[0]
-
-
-def kmeans_seeds(df: DataFrame, x, key: str, k: int, rounds: int = KMEANS_SEED_ROUNDS) -> list[list[float]]:
-    """Starting centres by k-means||: from one row, each round takes every row with a
-    chance of 2k times its share of the summed squared distance to the rows taken so far
-    (drawn by a hash of ``key``, so neither partitions nor retries matter).  About 2k rows a
-    round reach the driver.  Weighted by the rows nearest to them, they are cut to ``k``:
-    the heaviest first, then always the one of greatest weight times squared distance."""
-    cols = [c.alias(f"_{i}") for i, c in enumerate(x)]
-    names = [f"_{i}" for i in range(len(x))]
-    place = lambda r: [_uniform(r, key).asc(), F.col(key).asc_nulls_first(), *[F.col(n).asc() for n in names]]
-    seeds = [list(r)[-len(x):] for r in df.select(key, *cols).orderBy(*place(0)).limit(1).collect()]
-    for r in range(1, rounds + 1):
-        far = _least(_distances(x, seeds)) if seeds else None
-        total = round(df.agg(F.sum(far)).first()[0], 9) if seeds else 0
+    return F.expr(f"cast(conv(substring(md5(cast(concat_ws('|', '{round_}', cast(_key as string)) as binary)), 1, 12), "
+                  f"16, 10) as double) / {float(1 << 48)}D")
+
+
+def _nearest(rows: DataFrame, points: list[list[float]]) -> DataFrame:
+    """``rows`` (_key, _0, _1, ...) with the number, from 1, of the first nearest point
+    and the squared distance to it.  The points stand in one array literal, which generated
+    code reads as data: the next round's points need no new code."""
+    d = len(points[0])
+    flat = F.expr("array(" + ", ".join(f"{float(v)!r}D" for p in points for v in p) + ")")
+    gaps = ["0D" + "".join(f" + (_{i} - get(_p, {d * j + i})) * (_{i} - get(_p, {d * j + i}))" for i in range(d))
+            for j in range(len(points))]
+    return (rows.withColumn("_p", flat).withColumn("_gaps", F.expr(f"array({', '.join(gaps)})"))
+            .withColumn("_gap", F.array_min("_gaps"))
+            .withColumn("_raw", F.expr("cast(array_position(_gaps, _gap) as int)")).drop("_p", "_gaps"))
+
+
+def kmeans_seeds(rows: DataFrame, d: int, k: int, rounds: int = KMEANS_SEED_ROUNDS) -> list[list[float]]:
+    """Starting centres of ``rows`` (_key, _0.._d-1) by k-means||: from one row, each round
+    takes every row with a chance of 2k times its share of the summed squared distance to
+    the rows taken so far (drawn by a hash of the key, so neither partitions nor retries
+    matter).  About 2k rows a round reach the driver.  Weighted by the rows nearest to them,
+    they are cut to ``k``: the heaviest first, then always the one of greatest weight times
+    squared distance."""
+    cols = [f"_{i}" for i in range(d)]
+    place = lambda r: [_uniform(r).asc(), F.col("_key").asc_nulls_first(), *[F.col(c).asc() for c in cols]]
+    seeds = [list(r) for r in rows.orderBy(*place(0)).limit(1).select(*cols).collect()]
+    for r in range(1, rounds + 1 if seeds else 1):
+        far = _nearest(rows, seeds)
+        total = round(far.agg(F.sum("_gap")).first()[0], 9)
         if not total:
             break
-        taken = df.where(_uniform(r, key) * F.lit(total) < F.lit(2.0 * k) * far).select(key, *cols).orderBy(*place(r))
-        seeds += [list(row)[-len(x):] for row in taken.collect()]
+        taken = far.where(_uniform(r) * F.lit(total) < F.lit(2.0 * k) * F.col("_gap"))
+        seeds += [list(row) for row in taken.orderBy(*place(r)).select(*cols).collect()]
     if not seeds:
         return []
-    d = _distances(x, seeds)
-    near = F.array_position(F.array(*d), _least(d)).cast("int")
-    weight = {r[0] - 1: r[1] for r in df.groupBy(near).count().collect()}
+    weight = {r[0] - 1: r[1] for r in _nearest(rows, seeds).groupBy("_raw").count().collect()}
     gap = [float("inf")] * len(seeds)
     out: list[list[float]] = []
     while len(out) < k:
@@ -210,24 +282,20 @@ def kmeans_clusters(df: DataFrame, cols, key: str, score: str, k: int = KMEANS_K
     the driver); centres are rounded to 9 places against the order of summation.  An empty
     cluster keeps its centre; a row as near to two centres goes to the first.  Rows should
     be materialised: every round reads them."""
-    x = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols]
-    centres = kmeans_seeds(df, x, key, k) or [[0.0] * len(x)] * k
-
-    def nearest():
-        dist = _distances(x, centres)
-        return F.array_position(F.array(*dist), _least(dist)).cast("int")
-
+    cols = list(cols)
+    x = {f"_{i}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for i, c in enumerate(cols)}
+    rows = df.select(F.col(key).alias("_key"), *[c.alias(n) for n, c in x.items()])
+    centres = kmeans_seeds(rows, len(cols), k) or [[0.0] * len(cols)] * k
     for _ in range(limit):
-        means = df.groupBy(nearest().alias("_raw")).agg(*[F.avg(c).alias(f"_{i}") for i, c in enumerate(x)])
         new = list(centres)
-        for row in means.collect():
+        for row in _nearest(rows, centres).groupBy("_raw").agg(*[F.avg(c).alias(c) for c in x]).collect():
             new[row[0] - 1] = [round(v, 9) for v in row[1:]]
         if new == centres:
             break
         centres = new
     else:
         raise RuntimeError(f"centres still move after {limit} rounds")
-    placed = df.withColumn("_raw", nearest())
+    placed = _nearest(df.withColumns(x), centres).drop("_gap", *x)
     means = placed.groupBy("_raw").agg(F.avg(score).alias("_m"))
     # k rows: bounded by the cluster count
     order = means.select("_raw", (F.row_number().over(

@@ -127,6 +127,24 @@ def running_sum_by_range(df: DataFrame, order, weight: str, scope=(), out: str =
             .drop("_mid", "_pid", "_off", "_local"))
 
 
+def running_sums_by_range(df: DataFrame, order, weights: dict[str, str], scope) -> DataFrame:
+    """:func:`running_sum_by_range` of several columns in one pass: ``weights`` maps each to
+    the name of its running sum.  ``scope`` must not be empty."""
+    scope = list(scope)
+    r = range_sorted(df, order, scope)
+    seg = r.groupBy(*scope, "_pid").agg(*[F.sum(w).alias(f"_off_{w}") for w in weights])
+    # one row per range partition and scope: at most #partitions rows of the window
+    before = Window.partitionBy(*scope).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    seg = seg.select(*scope, "_pid", *[F.coalesce(F.sum(f"_off_{w}").over(before), F.lit(0)).alias(f"_off_{w}")
+                                       for w in weights])
+    here = (Window.partitionBy(*scope, "_pid").orderBy("_mid")
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    local = r.withColumns({out: F.sum(w).over(here) for w, out in weights.items()})
+    joined = local.join(broadcast_if_small(seg), [*scope, "_pid"])
+    return (joined.withColumns({out: F.col(out) + F.col(f"_off_{w}") for w, out in weights.items()})
+            .drop("_mid", "_pid", *[f"_off_{w}" for w in weights]))
+
+
 def join_per_value(rows: DataFrame, table: DataFrame, keys, count_col: str = "_c",
                    how: str = "left", salt_buckets: int | None = None) -> DataFrame:
     """Join ``rows`` to a per-key ``table`` that carries each key's row count.

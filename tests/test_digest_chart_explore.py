@@ -5,6 +5,8 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 
 from encore.constants import DIGEST_DIVIDER
 from encore.operators import chart, digest, explore
@@ -200,3 +202,98 @@ def test_chi_square_tail():
     assert abs(explore.chi2_tail(7.814727903251179, 3) - 0.05) < 1e-9
     assert abs(explore.chi2_tail(18.307038053275146, 10) - 0.05) < 1e-9
     assert explore.chi2_tail(0.0, 4) == 1.0 and explore.chi2_tail(None, 2) is None
+
+
+def test_quartiles_by_brackets_and_by_sort_agree(spark, monkeypatch):
+    rnd = random.Random(8)
+    rows = [(i, 7.0 if i % 3 == 0 else rnd.gauss(0, 50), float(rnd.randrange(4)), None if i % 2 else rnd.random(),
+             None) for i in range(4000)]
+    df = spark.createDataFrame(rows, "k long, a double, b double, c double, e double").repartition(6)
+    want = df.toPandas()[["a", "b", "c"]].describe()
+    for margin in (3, -2000):  # a bracket that misses sends its column to the sort
+        monkeypatch.setattr(explore, "SKETCH_MARGIN", margin)
+        got = {r["column_name"]: r for r in explore.describe(df, ["a", "b", "c", "e"]).collect()}
+        assert set(got) == {"a", "b", "c"}
+        for c in want.columns:
+            for q, p in (("25%", "p25"), ("50%", "p50"), ("75%", "p75")):
+                assert math.isclose(got[c][p], want[c][q], rel_tol=1e-12), (c, p, margin)
+    monkeypatch.setattr(explore, "SKETCH_MARGIN", 3)
+    by = df.withColumn("u", F.when(F.col("k") % 3 == 0, 1).otherwise(F.col("k") % 7))
+    scoped = {(r["u"], r["column_name"]): r["p50"] for r in explore.describe(by, ["a", "c"], scope=["u"]).collect()}
+    median = by.toPandas().groupby("u")[["a", "c"]].median()
+    assert scoped.keys() == {(u, c) for u in median.index for c in "ac"}
+    assert all(math.isclose(v, median[c][u], rel_tol=1e-12) for (u, c), v in scoped.items())
+    assert explore.describe(df.limit(0), ["a"]).count() == 0
+
+
+def test_spearman_ranks_by_null_patterns(spark):
+    rnd = random.Random(6)
+    rows = []
+    for i in range(300):
+        x = rnd.randrange(12)
+        rows.append((i % 2, float(x), float(x * x) if rnd.random() < .7 else None, rnd.random() if rnd.random() < .5 else None,
+                     rnd.choice([1.0, 2.0]) if rnd.random() < .6 else None, 5.0, None))
+    df = spark.createDataFrame(rows, "u int, a double, b double, c double, d double, e double, f double").repartition(5)
+    cols = list("abcdef")
+    pdf = df.toPandas()
+    for scope, frames in (([], {(): pdf}), (["u"], {(u,): p for u, p in pdf.groupby("u")})):
+        got = {tuple(r)[:-1]: r["rho"] for r in explore.spearman(df, cols, scope=scope).collect()}
+        seen = set()
+        for key, p in frames.items():
+            for i, x in enumerate(cols):
+                for y in cols[i:]:
+                    both = p[[x, y]].dropna() if x != y else p[[x]].dropna()
+                    if not len(both):
+                        continue
+                    seen.add((*key, x, y))
+                    if both[x].nunique() < 2 or both[y].nunique() < 2:
+                        assert got[*key, x, y] is None
+                    else:
+                        want = both[x].rank().corr(both[y].rank())
+                        assert math.isclose(got[*key, x, y], want, abs_tol=1e-9)
+        assert set(got) == seen
+    assert explore.spearman(df.limit(0), cols).count() == 0
+
+
+def test_kmeans_goes_on_until_centres_stop(spark):
+    rnd = random.Random(2)
+    rows = [(f"p{i}", rnd.random(), rnd.random() ** 2) for i in range(600)]
+    df = spark.createDataFrame(rows, "k string, x double, y double")
+    got = [{r.k: r.cluster for r in explore.kmeans_clusters(df.repartition(n), ["x", "y"], "k", "x").collect()}
+           for n in (4, 32)]
+    assert got[0] == got[1]
+    centre = {c: [sum(r[i] for r in rows if got[0][r[0]] == c) / max(1, sum(got[0][r[0]] == c for r in rows)) for i in (1, 2)]
+              for c in (0, 1, 2)}
+    for k, x, y in rows:  # a standstill: every row is nearest to its own centre
+        gap = {c: (x - m[0])**2 + (y - m[1])**2 for c, m in centre.items()}
+        assert gap[got[0][k]] <= min(gap.values()) + 1e-7
+    with pytest.raises(RuntimeError):
+        explore.kmeans_clusters(df, ["x", "y"], "k", "x", limit=1)
+    same = spark.createDataFrame([("a", 1.0), ("b", 1.0)], "k string, x double")
+    assert [r.cluster for r in explore.kmeans_clusters(same, ["x"], "k", "x").collect()] == [0, 0]
+    assert explore.kmeans_clusters(same.limit(0), ["x"], "k", "x").count() == 0
+
+
+def test_coordinates_keep_nulls_and_match_numpy(spark):
+    rnd = random.Random(3)
+    rows = [(f"k{i}", rnd.random() * 3, rnd.random(), None if i % 4 == 0 else rnd.random()) for i in range(80)]
+    df = spark.createDataFrame(rows, "k string, x double, y double, s double")
+    got = {r.k: r for r in explore.pca_coords(df, ["x", "y", "s"]).collect()}
+    assert sum(r.s is None for r in got.values()) == 20
+    data = np.array([[x, y, s or 0.0] for _, x, y, s in rows])
+    centred = data - data.mean(0)
+    vt = np.linalg.svd(centred, full_matrices=False)[2][:2]
+    vt *= np.sign(vt[np.arange(2), np.abs(vt).argmax(1)])[:, None]
+    for (k, *_), p in zip(rows, centred @ vt.T):
+        assert abs(got[k].PC1 - p[0]) < 1e-9 and abs(got[k].PC2 - p[1]) < 1e-9
+
+
+def test_exploration_parts_are_lazy(spark, monkeypatch):
+    from encore.plans import pipelines
+    table = spark.createDataFrame([(f"a{i}", i, float(i % 3)) for i in range(9)], "artist string, n long, v double")
+    for name in ("kmeans_clusters", "spearman", "describe", "histogram"):
+        monkeypatch.setattr(explore, name, lambda *a, **k: pytest.fail("not asked for"))
+    found = pipelines.explore_features(table)
+    assert {tuple(r) for r in found["profile"].collect()} == {("artist", 9, "string"), ("n", 9, "bigint"), ("v", 9, "double")}
+    with pytest.raises(KeyError):
+        found["nothing"]
