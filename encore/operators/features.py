@@ -96,6 +96,23 @@ def distinct_counts(plays: DataFrame, scope=(), artist=ARTIST, album=ALBUM,
     return albums.join(tracks, k, "full")
 
 
+def month_sketches(plays: DataFrame, scope=(), artist=ARTIST, album=ALBUM, track=TRACK, ts="ts",
+                   lg_k: int = 12) -> DataFrame:
+    """AGG2, approximate and incremental: a HyperLogLog sketch of albums and of tracks per
+    artist and month (at most 2**lg_k registers, relative standard error about
+    1.04 / sqrt(2**lg_k)).  Sketches of any months merge, so a stored table is extended by
+    the new months' plays alone."""
+    return (plays.groupBy(*_keys(scope, artist), month_key(ts).alias("year_month"))
+            .agg(F.hll_sketch_agg(album, lg_k).alias("albums"), F.hll_sketch_agg(track, lg_k).alias("tracks")))
+
+
+def sketched_counts(sketches: DataFrame, scope=(), artist=ARTIST) -> DataFrame:
+    """AGG2 from :func:`month_sketches`: estimated distinct albums and tracks per artist."""
+    return sketches.groupBy(*_keys(scope, artist)).agg(
+        F.hll_sketch_estimate(F.hll_union_agg("albums")).alias("unique_albums_for_artist"),
+        F.hll_sketch_estimate(F.hll_union_agg("tracks")).alias("num_unique_songs_for_artist"))
+
+
 def multi_track_albums(plays: DataFrame, scope=(), artist=ARTIST, album=ALBUM,
                        track=TRACK) -> DataFrame:
     """AGG3 + FLT6: distinct tracks per (artist, album), only groups with > 1."""

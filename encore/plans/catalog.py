@@ -119,6 +119,22 @@ def q_agg2(spark, base):
     return feat.distinct_counts(_pd(spark, base))
 
 
+@register("agg2_sketched_counts")
+def q_agg2_sketched(spark, base):
+    """AGG2, approximate: monthly sketches stored, read back and merged per artist, with
+    the exact counts and whether the estimates are within the bound (three standard errors
+    of 2^12 registers, one at least)."""
+    from encore.sources import sinks
+    plays = _pd(spark, base)
+    path = sinks.scratch_path(spark, "month-sketches")
+    feat.month_sketches(plays).write.parquet(path)
+    exact, got = feat.distinct_counts(plays), feat.sketched_counts(spark.read.parquet(path))
+    cols = ["unique_albums_for_artist", "num_unique_songs_for_artist"]
+    within = [F.abs(F.col(f"_{c}") - F.col(c)) <= F.greatest(F.lit(1.0), F.col(c) * (3 * 1.04 / 64)) for c in cols]
+    return (exact.join(got.withColumnsRenamed({c: f"_{c}" for c in cols}), ARTIST, "full")
+            .select(ARTIST, *cols, F.coalesce(within[0] & within[1], F.lit(False)).alias("within_bound")))
+
+
 @register("agg3_multi_track_albums")
 def q_agg3(spark, base):
     """AGG3 + FLT6: distinct tracks per (artist, album), groups with more than one."""
@@ -411,9 +427,34 @@ def q_pipe7(spark, base):
 @register("snk1_saved_features")
 def q_snk1(spark, base):
     """SNK1: the feature table saved as a catalog table and read back by name."""
-    name = f"encore_features_{uuid.uuid4().hex}"
-    sinks.save_table(_feature_table(spark, base), name)
-    return r6(spark.table(name), ["completion_rate", "intentional_listening_rate", "skip_rate"])
+    with sinks.saved_tables(spark, "encore_features") as [name]:
+        sinks.save_table(_feature_table(spark, base), name)
+        out = r6(spark.table(name), ["completion_rate", "intentional_listening_rate", "skip_rate"])
+        return pipe.materialise(out)
+
+
+BUCKETS = 16
+
+
+def bucketed_join(spark, features, recency_table, names):
+    """Features and recency saved in equal buckets by artist and joined: no shuffle."""
+    sinks.save_table(features, names[0], bucket_by=(BUCKETS, ARTIST))
+    sinks.save_table(recency_table.withColumnRenamed("artist_name", ARTIST), names[1], bucket_by=(BUCKETS, ARTIST))
+    return spark.table(names[0]).join(spark.table(names[1]).hint("merge"), ARTIST, "left")
+
+
+@register("snk1_bucketed_join")
+def q_snk1_bucketed(spark, base):
+    """SNK1 + JN2: saved features joined with saved recency features, bucket by bucket."""
+    pres, breadth, cons = _recency_parts(spark, base)
+    k = ["artist_name"]
+    table = (cons.select(*k, "time_range_consistency").join(pres, k, "full")
+             .join(breadth.select(*k, "track_breadth_score"), k, "full"))
+    with sinks.saved_tables(spark, "encore_features", "encore_recency") as names:
+        out = bucketed_join(spark, feat.features(stand_in.plays(spark, base)), table, names).select(
+            ARTIST, "play_count_per_artist", "revisit_rate", "time_range_consistency",
+            "api_presence_score", "track_breadth_score")
+        return pipe.materialise(r6(out, ["time_range_consistency", "api_presence_score", "track_breadth_score"]))
 
 
 @register("snk3_view_top_artists")
@@ -427,14 +468,12 @@ def q_snk3(spark, base):
 
 @register("snk4_written_digests")
 def q_snk4(spark, base):
-    """SNK4: one digest document per listener (the event's city stands for one),
-    written to files and read back."""
+    """SNK4: one digest document per listener (the event's city stands for one), written
+    to packs with an index and read back whole."""
     path = sinks.scratch_path(spark, "digests")
     events = _matched(spark, base).withColumn("listener", F.coalesce("city", F.lit("none")))
-    docs = digest_ops.digest(events, scope=["listener"], as_of="2026-06-07")
-    sinks.write_digests(docs, path, ["listener"])
-    back = spark.read.text(path, wholetext=True)
-    return back.select("listener", (F.size(F.split("value", "<article>")) - 1).cast("long").alias("cards"))
+    docs = digest_ops.digest(events, scope=["listener"], as_of=DIGEST_AS_OF)
+    return sinks.read_digest_packs(spark, sinks.write_digest_packs(docs, path, ["listener"], pack_bytes=1 << 16))
 
 
 @register("pipe7_chart_events")
@@ -590,6 +629,35 @@ def q_src1(spark, base):
     return back.withColumn("ts", F.to_timestamp_ntz(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")))
 
 
+def _overlapping_exports(spark, base, dedupe):
+    """A play table ingested from two exports that share half a year, in two runs."""
+    from encore.streaming.ingest import ingest_exports
+    path = sinks.scratch_path(spark, "overlapping-exports")
+    plays = feat.project_plays(stand_in.plays(spark, base))
+    for name, own in (("first", F.col("ts") < F.lit(OVERLAP[1]).cast("timestamp_ntz")),
+                      ("second", F.col("ts") >= F.lit(OVERLAP[0]).cast("timestamp_ntz"))):
+        plays.where(own).write.json(f"{path}/exports/{name}")
+        ingest_exports(spark, f"{path}/exports/*", f"{path}/plays", f"{path}/checkpoint", multi_line=False,
+                       dedupe=dedupe)
+    back = feat.project_plays(spark.read.parquet(f"{path}/plays"))
+    return back.withColumn("ts", F.to_timestamp_ntz(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")))
+
+
+OVERLAP = ("1998-01-01", "1998-07-01")
+
+
+@register("set4_overlapping_exports")
+def q_set4(spark, base):
+    """SET4 + SRC1: overlapping exports ingested as they are: shared plays count twice."""
+    return _overlapping_exports(spark, base, False)
+
+
+@register("set4_deduped_exports")
+def q_set4_deduped(spark, base):
+    """SET4 + SRC1: overlapping exports ingested with every play once."""
+    return _overlapping_exports(spark, base, True)
+
+
 @register("src9_preview")
 def q_src9(spark, base):
     """SRC9: a five-row preview of the plays (repeatable order)."""

@@ -117,7 +117,10 @@ def write_outputs(out: dict[str, DataFrame], path: str, scope=()) -> None:
                   "time_range_consistency", "track_breadth_score", "blended_score"]
     top_cols = [c for c in blend_cols if c in out["top"].columns] or out["top"].columns
     sinks.write_csv(out["top"], f"{path}/top_artists.csv", top_cols)
-    sinks.write_digests(out["digests"], f"{path}/digests", scope)
+    if scope:
+        sinks.write_digest_packs(out["digests"], f"{path}/digests", scope)
+    else:
+        sinks.write_digests(out["digests"], f"{path}/digests")
 
 
 def main(argv=None, stop_session: bool = True) -> None:

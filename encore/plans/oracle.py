@@ -726,7 +726,23 @@ ORACLE["snk3_view_top_artists"] = f"""WITH {SCORES_CTE}
 SELECT artist_name, round(superfan_score, 6) AS superfan_score FROM superfan_scores
 WHERE superfan_score >= 0.5"""
 ORACLE["snk4_written_digests"] = f"""WITH {MATCHED_CTE}
-SELECT COALESCE(city, 'none') AS listener, COUNT(*) AS cards FROM matched GROUP BY 1"""
+SELECT COALESCE(city, 'none') AS listener,
+       {sql_literal(_HEAD0)} || strftime(DATE '2026-06-07', '%B %d, %Y') || {sql_literal(_HEAD1)}
+       || string_agg({sql_render(DIGEST_CARD)}, {sql_literal(DIGEST_CARD_END + DIGEST_DIVIDER)}
+                     ORDER BY concert_date, artist_rank, event_position)
+       || {sql_literal(DIGEST_CARD_END)} || {sql_literal(DIGEST_TAIL)} AS html
+FROM matched GROUP BY 1"""
+ORACLE["snk1_bucketed_join"] = f"""WITH {FEATURES_CTE}, {LISTS_CTE}
+SELECT {A}, play_count_per_artist, revisit_rate,
+       round((in_short + in_medium + in_long) / 3.0, 6) AS time_range_consistency,
+       round(api_presence_score, 6) AS api_presence_score, round(track_breadth_score, 6) AS track_breadth_score
+FROM features LEFT JOIN presence p ON p.artist_name = {A} LEFT JOIN breadth b ON b.artist_name = {A}
+LEFT JOIN consistency c ON c.artist_name = {A}"""
+ORACLE["agg2_sketched_counts"] = f"""WITH {PLAYS_CTE}, {AGG_UNIQUE} SELECT *, true AS within_bound FROM f_distinct"""
+ORACLE["set4_overlapping_exports"] = f"""WITH {PLAYS_CTE}
+SELECT {PLAY_COLS} FROM plays WHERE ts < TIMESTAMP '1998-07-01'
+UNION ALL SELECT {PLAY_COLS} FROM plays WHERE ts >= TIMESTAMP '1998-01-01'"""
+ORACLE["set4_deduped_exports"] = f"WITH {PLAYS_CTE} SELECT DISTINCT {PLAY_COLS} FROM plays"
 ORACLE["src7_unreadable_responses"] = f"""WITH {EVENTS_CTE}
 SELECT query, status, CASE WHEN status IS NULL THEN 'no status' ELSE 'body is not JSON' END AS reason
 FROM (SELECT o_custkey, page, any_value(query) AS query, any_value(status) AS status

@@ -3,25 +3,47 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from encore.operators.ranking import running_sum_by_range
 from encore.schemas import CHART_CSV_SCHEMA
-from encore.session import ensure_checkpoint_dir
+from encore.session import ensure_checkpoint_dir, materialise
+
+#: Bytes of digests after which a pack is full.
+PACK_BYTES = 64 << 20
 
 
 def save_table(df: DataFrame, name: str, mode: str = "overwrite", partition_by=None,
-               bucket_by: tuple[int, str] | None = None) -> None:
-    """SNK1: materialise a query as a named catalog table (re-runnable: overwrite)."""
+               bucket_by: tuple | None = None) -> None:
+    """SNK1: materialise a query as a named catalog table (re-runnable: overwrite).
+
+    ``bucket_by`` = (n, key, ...) writes n buckets by the keys, one sorted file each: tables
+    with equal buckets join on the keys without a shuffle."""
+    if bucket_by:
+        n, *keys = bucket_by
+        df = df.repartition(n, *keys)
     w = df.write.mode(mode).format("parquet")
     if partition_by:
         w = w.partitionBy(*partition_by)
     if bucket_by:
-        w = w.bucketBy(bucket_by[0], bucket_by[1]).sortBy(bucket_by[1])
+        w = w.bucketBy(n, *keys).sortBy(*keys)
     w.saveAsTable(name)
 
 
+@contextmanager
+def saved_tables(spark: SparkSession, *names: str):
+    """Names of catalog tables that are gone afterwards, however it ends."""
+    tables = [f"{name}_{uuid.uuid4().hex}" for name in names]
+    try:
+        yield tables
+    finally:
+        for table in tables:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
 def register_view(df: DataFrame, name: str) -> DataFrame:
     """SNK3: expose a DataFrame to SQL under ``name``."""
     df.createOrReplaceTempView(name)
@@ -61,6 +83,54 @@ def write_digests(docs: DataFrame, path: str, scope=(), mode: str = "overwrite")
     return path
 
 
+def write_digest_packs(docs: DataFrame, path: str, scope, pack_bytes: int = PACK_BYTES) -> str:
+    """SNK4 for many scopes: the documents one after another in packs, files that end with
+    the document in which they pass ``pack_bytes``, so the number of files follows the bytes
+    and not the listeners.  ``<path>/packs`` holds the files, ``<path>/index`` a table
+    (scope..., file, offset, length) that finds each document.  Scopes must be unique and
+    not NULL; replaces what is there."""
+    scope = list(scope)
+    spark = docs.sparkSession
+    docs = materialise(docs.select(*scope, "html"), "digests")
+    sizes = docs.select(*scope, (F.octet_length("html") + 1).cast("long").alias("_bytes"))  # and a line end
+    placed = running_sum_by_range(sizes, [F.col(c) for c in scope], "_bytes", out="_end")
+    placed = (placed.withColumn("_start", F.col("_end") - F.col("_bytes"))
+              .withColumn("pack", F.floor(F.col("_start") / F.lit(pack_bytes)).cast("long")))
+    placed = materialise(placed.withColumn("offset", F.col("_start") - F.min("_start").over(
+        Window.partitionBy("pack"))), "digest-places")
+    (docs.join(placed.select(*scope, "pack", "offset"), scope)
+     .repartition("pack").sortWithinPartitions("pack", "offset").select("pack", "html")
+     .write.mode("overwrite").partitionBy("pack").text(f"{path}/packs"))
+    files = (spark.read.format("binaryFile").load(f"{path}/packs")
+             .select(F.col("pack").cast("long").alias("pack"), F.concat(
+                 F.lit("pack="), F.col("pack").cast("string"), F.lit("/"), F.element_at(F.split("path", "/"), -1)).alias("file")))
+    (placed.join(files, "pack").select(*scope, "file", "offset", (F.col("_bytes") - 1).alias("length"))
+     .write.mode("overwrite").parquet(f"{path}/index"))
+    return path
+
+
+def read_digest_packs(spark: SparkSession, path: str, where=None) -> DataFrame:
+    """The documents of :func:`write_digest_packs`, (scope..., html); ``where`` is a condition on
+    the scope, and only packs with such documents are read then.  A pack is held once
+    and cut into its documents."""
+    index = spark.read.parquet(f"{path}/index")
+    if where is not None:
+        index = index.where(where)
+    scope = [c for c in index.columns if c not in ("file", "offset", "length")]
+    entry = F.struct(*scope, "offset", "length")
+    by_file = index.groupBy("file").agg(F.collect_list(entry).alias("_in"))  # at most a pack's documents
+    packs = spark.read.format("binaryFile").load(f"{path}/packs")
+    name = F.concat(F.lit("pack="), F.col("pack").cast("string"), F.lit("/"), F.element_at(F.split("path", "/"), -1))
+    packs = packs.select(name.alias("file"), "content")
+    if where is not None:
+        wanted = [r[0] for r in by_file.select("file").limit(1000).collect()]
+        if len(wanted) < 1000:  # a few files are read by name
+            packs = packs.where(F.col("file").isin(wanted))
+    cut = F.transform("_in", lambda e: F.struct(*[e[c].alias(c) for c in scope], F.decode(
+        F.substring("content", (e["offset"] + 1).cast("int"), e["length"].cast("int")), "UTF-8").alias("html")))
+    return packs.join(by_file, "file").select(F.inline(cut))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint directory (never machine-local
     on a cluster)."""

@@ -3,11 +3,13 @@
 import json
 import os
 
+from pyspark.sql import functions as F
+
 from conftest import play
 from encore.constants import PLAY_COLUMNS
 from encore.operators import digest
 from encore.sources import sinks, tables
-from encore.streaming.ingest import ingest_exports
+from encore.streaming.ingest import append_new_plays, ingest_exports
 
 
 def write_export(path, rows, drop=()):
@@ -79,3 +81,51 @@ def test_write_digests_per_scope(spark, tmpdir_path):
     sinks.write_digests(docs, path, scope=["user_id"])
     parts = sorted(d for d in os.listdir(path) if d.startswith("user_id="))
     assert parts == ["user_id=1", "user_id=2"]
+
+
+def test_digest_packs_are_found_by_their_index(spark, tmpdir_path):
+    rows = [(i, f"n{i % 3}", f"<p>{'é' * (i * 7 % 50)}\n{i}</p>") for i in range(200)] + [(200, "n0", "")]
+    docs = spark.createDataFrame(rows, "user_id long, name string, html string").repartition(5)
+    path = sinks.write_digest_packs(docs, os.path.join(tmpdir_path, "packs"), ["user_id", "name"], pack_bytes=1000)
+    assert sorted(map(tuple, sinks.read_digest_packs(spark, path).collect())) == sorted(rows)
+    total = sum(len(h.encode()) + 1 for *_, h in rows)
+    files = [f for d, _, names in os.walk(f"{path}/packs") for f in names if f.startswith("part-")]
+    assert total / 1200 <= len(files) <= total / 1000 + 1
+    one = sinks.read_digest_packs(spark, path, F.col("user_id") == 7).collect()
+    assert [tuple(r) for r in one] == [rows[7]]
+    assert sinks.read_digest_packs(spark, path, F.col("user_id") == -7).count() == 0
+    with open(os.path.join(path, "packs", spark.read.parquet(f"{path}/index").where("user_id = 9").first()["file"]), "rb") as f:
+        at = spark.read.parquet(f"{path}/index").where("user_id = 9").first()
+        f.seek(at["offset"])
+        assert f.read(at["length"]).decode() == rows[9][2]
+
+
+def test_bucketed_tables_join_without_exchange_and_go(spark):
+    from encore.plans.catalog import bucketed_join
+    f = spark.range(500).select(F.concat(F.lit("a"), "id").alias("master_metadata_album_artist_name"), "id")
+    r = spark.range(0, 900, 2).select(F.concat(F.lit("a"), "id").alias("artist_name"), (F.col("id") * 2).alias("v"))
+    with sinks.saved_tables(spark, "t_features", "t_recency") as names:
+        out = bucketed_join(spark, f, r, names)
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+        assert out.count() == 500 and out.where("v <> 2 * id").count() == 0 and out.where("v IS NULL").count() == 250
+        assert all(spark.catalog.tableExists(n) for n in names)
+    assert not any(spark.catalog.tableExists(n) for n in names)
+
+
+def test_ingest_adds_each_play_once(spark, tmpdir_path):
+    src, out, ckpt = (os.path.join(tmpdir_path, n) for n in ("src", "table", "ckpt"))
+    os.makedirs(src)
+    a = play("A", "t", "x", "2020-01-31 23:59:59")
+    b = play("A", None, None, "2020-02-01 00:00:00", reason_end=None)
+    c = play("B", "u", "y", "2021-03-01 10:00:00")
+    write_export(os.path.join(src, "1.json"), [a, b, b])
+    ingest_exports(spark, src, out, ckpt, dedupe=True)
+    assert spark.read.parquet(out).count() == 2
+    write_export(os.path.join(src, "2.json"), [b, c, {**a, "shuffle": True}])
+    ingest_exports(spark, src, out, ckpt, dedupe=True)
+    ingest_exports(spark, src, out, ckpt, dedupe=True)
+    df = spark.read.parquet(out)
+    assert df.count() == 4 and df.select("year", "month").distinct().count() == 3
+    # a batch tried again after its files were written adds nothing
+    append_new_plays(df, out, PLAY_COLUMNS)
+    assert spark.read.parquet(out).count() == 4
