@@ -5,11 +5,12 @@ Per-artist search calls become one distributed join:
 * JN8 category filters and the JN7 radius are column predicates applied to
   the catalogue first (pushed to the scan where the columns are stored);
 * JN6 keyword match without a cross product: names are lower-cased and
-  split into word tokens; each artist is blocked on its *rarest* token
-  (document frequency over the filtered catalogue), which every matching
-  event must contain, so blocking is exact.  The artist side is broadcast
-  where it is counted to be small; the catalogue is
-  exploded by token and joined map-side, then each candidate is verified;
+  split into word tokens; each artist is blocked on its *rarest* pair of
+  adjacent tokens (its token if it has one only; document frequency over the
+  filtered catalogue), which every matching event must contain, so blocking is
+  exact.  The artist side is broadcast where it is counted to be small, and the
+  catalogue is then joined map-side; beyond that both are shuffled and a key that
+  many events hold is split.  Each candidate is verified;
 * each distinct artist name is matched once, however many listeners'
   lists hold it, and the (listener, artist) pairs join back afterwards;
 * TOP5 keeps at most ``per_artist`` events per artist with a
@@ -27,7 +28,7 @@ from pyspark.sql import types as T
 from encore.constants import (EARTH_RADIUS, EVENT_CLASSIFICATION, EVENT_COUNTRY, EVENT_GEOHASH,
                               EVENT_RADIUS, EVENT_RADIUS_UNIT, EVENT_SOURCE, EVENTS_PER_ARTIST)
 from encore.functions.geo import geohash_centre, haversine
-from encore.operators.ranking import BROADCAST_ROWS, top_k_per_group
+from encore.operators.ranking import BROADCAST_ROWS, split_join, top_k_per_group
 from encore.operators.spatial import near_centres
 from encore.session import materialise
 
@@ -104,26 +105,31 @@ def keyword_match(artists: DataFrame, catalogue: DataFrame, artist_col: str = "a
         return _fuzzy_match(a, catalogue, artist_col, event_col, max_edits, event_key, side)
     if mode != "contains":
         raise ValueError(f"unknown match mode {mode!r}")
-    c = catalogue.withColumn("_etok", F.array_distinct(name_tokens(event_col)))
-    a_tok = a.select("*", F.explode(F.array_distinct(name_tokens(artist_col))).alias("_tok"))
-    # document frequency, counted only for tokens that occur in artist names
-    # (a semi-join against that small set before the aggregate)
-    df_tok = (c.select(F.explode("_etok").alias("_tok"))
-              .join(side(a_tok.select("_tok").distinct()), "_tok", "left_semi")
-              .groupBy("_tok").agg(F.count(F.lit(1)).alias("_df")))
-    # rarest token per artist (ties by token text); a token absent from the
-    # catalogue has frequency 0 and correctly blocks everything.
-    block = (a_tok.join(df_tok, "_tok", "left")
+    own, seen = name_tokens(artist_col), name_tokens(event_col)
+    a_key = a.select("*", F.explode(F.array_distinct(F.when(F.size(own) > 1, adjacent(own)).otherwise(own)))
+                     .alias("_key"))
+    # events by key, only keys that occur in artist names (a semi-join against that set)
+    keys = a_key.select("_key").distinct()
+    c = (catalogue.withColumn("_key", F.explode(F.array_distinct(F.concat(seen, adjacent(seen)))))
+         .join(side(keys), "_key", "left_semi"))
+    df_key = c.groupBy("_key").agg(F.count(F.lit(1)).alias("_df"))
+    # rarest key per artist (ties by text); one absent from the catalogue has
+    # frequency 0 and correctly blocks everything.
+    block = (a_key.join(df_key, "_key", "left")
              .withColumn("_df", F.coalesce("_df", F.lit(0)))
              .groupBy(*artists.columns, "_anorm")
-             .agg(F.min_by("_tok", F.struct("_df", "_tok")).alias("_tok")))
-    cand = (c.select("*", F.explode("_etok").alias("_tok"))
-            .join(side(block), "_tok"))
-    hay = F.concat(F.lit(" "), F.array_join(F.col("_etok_seq"), " "), F.lit(" "))
+             .agg(F.min_by("_key", F.struct("_df", "_key")).alias("_key")))
+    cand = c.join(F.broadcast(block), "_key") if few else split_join(c, materialise(block, "match-keys"), ["_key"])
+    hay = F.concat(F.lit(" "), F.array_join(seen, " "), F.lit(" "))
     needle = F.concat(F.lit(" "), F.col("_anorm"), F.lit(" "))
-    return (cand.withColumn("_etok_seq", name_tokens(event_col))
-            .where(F.instr(hay, needle) > 0)
-            .drop("_tok", "_etok", "_etok_seq", "_anorm"))
+    return cand.where(F.instr(hay, needle) > 0).drop("_key", "_anorm")
+
+
+def adjacent(tokens: Column) -> Column:
+    """Every two adjacent tokens, joined by a space."""
+    return F.zip_with(F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0))),
+                      F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0))),
+                      lambda a, b: F.concat(a, F.lit(" "), b))
 
 
 def shortened(text: Column, k: int) -> Column:

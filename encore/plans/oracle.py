@@ -750,14 +750,14 @@ FROM (SELECT o_custkey, page, any_value(query) AS query, any_value(status) AS st
 WHERE status IS NULL OR (status = 200 AND page % 7 = 3 AND page % 9 <> 4)"""
 
 _CHART_PAGES = """pages AS (
-  SELECT CAST(c_nationkey AS BIGINT) AS page_id,
+  SELECT CAST(c_custkey // 200 * 25 + c_nationkey AS BIGINT) AS page_id,
          '<ul>' || string_agg('<li><a href="/a">' || CASE c_custkey % 4
            WHEN 0 THEN printf('Customer#%09d', c_custkey) || ' &amp; ' || printf('Supplier#%09d', c_custkey)
            WHEN 1 THEN '&nbsp;' || printf('Customer#%09d', c_custkey) || '&#160;'
            WHEN 2 THEN printf('Customer#%09d', c_custkey) || ' Featuring Beyonc&eacute;'
            ELSE 'Caf&eacute; &#x4e2d; ' || CAST(c_custkey AS VARCHAR) END || '</a></li>', ''
            ORDER BY c_custkey) || '</ul>' AS html
-  FROM customer GROUP BY c_nationkey
+  FROM customer GROUP BY page_id
 )"""
 ORACLE["pipe7_chart_events"] = f"""WITH {_CHART_PAGES}, {ITEMS_CTE}, {EVENTS_CTE},
 chart AS (SELECT artist_name, MIN(chart_position) AS place FROM seed GROUP BY artist_name),

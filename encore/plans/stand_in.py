@@ -210,8 +210,11 @@ def event_responses(spark: SparkSession, base: str) -> DataFrame:
 
 
 # chart pages ----------------------------------------------------------------
-# One page per nation: its customers by key as list items, some with a partner
-# after ``&amp;`` or ``featuring``, with entities and no-break spaces around.
+# One page per nation and block of 200 customer keys: its customers by key as list items,
+# some with a partner after ``&amp;`` or ``featuring``, with entities and no-break spaces
+# around.  So the pages, and the names that they seed, grow with the customers.
+CHART_BLOCK = 200
+
 
 def chart_pages(spark: SparkSession, base: str) -> DataFrame:
     c = read_table(spark, base, "customer").select("c_custkey", "c_nationkey")
@@ -221,7 +224,8 @@ def chart_pages(spark: SparkSession, base: str) -> DataFrame:
             .when(k % 4 == 2, F.concat(artist_name(k), F.lit(" Featuring Beyonc&eacute;")))
             .otherwise(F.concat(F.lit("Caf&eacute; &#x4e2d; "), k.cast("string"))))
     item = F.concat(F.lit('<li><a href="/a">'), name, F.lit("</a></li>"))
-    return (c.groupBy(F.col("c_nationkey").cast("long").alias("page_id"))
+    page = F.expr(f"c_custkey div {CHART_BLOCK}") * 25 + F.col("c_nationkey")
+    return (c.groupBy(page.cast("long").alias("page_id"))
             .agg(F.sort_array(F.collect_list(F.struct(k, item.alias("it")))).alias("_items"))
             .select("page_id", F.concat(F.lit("<ul>"), F.array_join(
                 F.transform("_items", lambda x: x["it"]), ""), F.lit("</ul>")).alias("html")))

@@ -192,3 +192,27 @@ def test_every_response_takes_one_route(spark):
     assert er.error_responses(df).count() == 1
     got = sorted((r.reason for r in er.unreadable_responses(df).collect()))
     assert got == ["body is not JSON", "body is not JSON", "no status"]
+
+
+def test_keyword_match_splits_a_hot_token(spark, monkeypatch):
+    """One token in a third of the events and a pair in many: every join gives the same."""
+    import random
+
+    from encore.operators import events, ranking
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(900):
+        name = rnd.choices(words, k=rnd.randint(1, 4))
+        rows.append((i, " ".join((["The", "hot"] if i % 3 == 0 else []) + name + (["hot"] if i % 5 == 0 else []))))
+    artists = [("The",), ("hot",), ("The Hot",), ("hot w3",), ("w1 w1",), ("w5",), ("absent",), ("w2 w3 w4",), ("  ",)]
+    artists += [(" ".join(rnd.choices(words, k=2)),) for _ in range(60)]
+    e = spark.createDataFrame(rows, "event_id int, event_name string").repartition(4)
+    a = spark.createDataFrame(artists, "artist_name string").distinct()
+    want = sorted((n, i) for n in {x[0] for x in artists} for i, t in rows
+                  if n.split() and f" {' '.join(n.lower().split())} " in f" {t.lower()} ")
+    for few in (10**6, 0):
+        monkeypatch.setattr(events, "BROADCAST_ROWS", few)
+        monkeypatch.setattr(ranking, "BROADCAST_ROWS", few)
+        got = sorted((r.artist_name, r.event_id) for r in events.keyword_match(a, e).collect())
+        assert got == want
