@@ -149,12 +149,44 @@ def test_zone_maps_prune_every_dimension(spark):
 
 
 def test_shards_are_written_whole(spark, tmpdir_path):
-    docs = spark.createDataFrame([(i, f"t{i}", "en", "s") for i in range(20)],
-                                 "doc_id long, text string, lang string, source string")
-    placed = hilbert.shard_documents(docs, shards=4)
-    hilbert.write_shards(docs, placed, f"{tmpdir_path}/shards")
+    docs = spark.createDataFrame([(i if i % 3 else None, f"t{i // 2}", "en", "s", i, i) for i in range(20)],
+                                 "doc_id long, text string, lang string, source string, slot int, row_key int")
+    hilbert.write_shards(docs, f"{tmpdir_path}/shards", shards=4)
     back = spark.read.parquet(f"{tmpdir_path}/shards")
-    assert back.count() == 20 and back.select("shard").distinct().count() == 4
+    assert sorted(r.slot for r in back.collect()) == list(range(20)) and back.select("shard").distinct().count() == 4
+    assert {tuple(r) for r in back.select(*docs.columns).collect()} == {tuple(r) for r in docs.collect()}
+
+
+def test_curve_matches_brute_force(spark):
+    """Bucket and index of every row: bounds are the quantiles of the whole values."""
+    import math
+
+    import numpy as np
+    rnd = random.Random(7)
+    rows = [(i, rnd.choice([None, *(f"crawl-2023-{m:02}" for m in range(1, 13))]),
+             rnd.choice([None, math.nan, rnd.random(), 0.5]), rnd.choice([None, rnd.randrange(-50, 50)]))
+            for i in range(500)]
+    df = spark.createDataFrame(rows, "i int, s string, d double, n long").repartition(3)
+    got = {r.i: r.hilbert for r in hilbert.with_curve(df, ["s", "d", "n"], bits=5).collect()}
+
+    def numbers(col, order):
+        known = sorted((v for v in col if v is not None), key=order)
+        bounds = [order(known[len(known) * k // 32]) for k in range(1, 32)]
+        return [0 if v is None else sum(b <= order(v) for b in bounds) for v in col]
+
+    cols = list(zip(*rows))
+    grid = np.array([numbers(cols[1], str.encode), numbers(cols[2], lambda v: math.inf if v != v else v),
+                     numbers(cols[3], int)]).T
+    assert [got[i] for i in cols[0]] == hilbert.curve_index(grid, 5).tolist()
+    assert len(set(grid[:, 0])) == 13 and grid[:, 0].max() > 27
+
+
+def test_long_names_are_told_apart(spark):
+    docs = spark.range(2400).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit("en").alias("lang"), F.concat(
+        F.lit("crawl-2023-"), F.lpad((F.pmod(F.xxhash64("id"), F.lit(12)) + 1).cast("string"), 2, "0")).alias("source"))
+    placed = hilbert.shard_documents(docs, shards=40)
+    per = placed.groupBy("shard").agg(F.countDistinct("source").alias("n")).agg(F.max("n"), F.avg("n")).first()
+    assert per[1] <= 4 and per[0] < 12
 
 
 def test_rules_with_odd_hosts(spark):
