@@ -1,8 +1,9 @@
 """Fixed values.
 
 Everything in this module is a value that must equal the behaviour being
-reproduced (thresholds, weights, reason codes, search parameters, the
-digest layout).  They are stated here once, plainly, in natural order.
+reproduced (thresholds, weights, reason codes, search parameters), stated
+here once, plainly, in natural order; the digest layout and the limits of the
+fits are this library's own.
 """
 
 # --- fixed values: play-event columns kept at ingest (in this order) -------

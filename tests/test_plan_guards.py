@@ -10,7 +10,8 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 SF = "/root/testdata/sf0.001"
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"]
 NAMES = ["top2_top50_by_rank", "pipe1_features", "pipe2_superfan_scores", "pipe5_match_events",
-         "jn6_fuzzy_keyword_match", "agg21_spearman", "win1_previous_play"]
+         "jn6_fuzzy_keyword_match", "agg21_spearman", "win1_previous_play", "jn7_nation_centres",
+         "agg18_describe", "scoped_pipe5_listener_centres"]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data missing")
