@@ -1,472 +1,423 @@
-"""Katz backoff bigram language model with Good-Turing discounts.
+"""Katz backoff n-gram language model with Good-Turing discounts.
 
-Tokens are the lower-cased words of a text and one end.  Training word counts are a
-stored table.  Every training word has bigrams and a history of its own.  With c the
-training count of a bigram, d the Good-Turing discount for c up to 5 and 1 above:
+Tokens are the lower-cased words of a text and one end; a start, which is no token, stands
+before them as a history.  With c the training count of an n-gram, c(h) that of its history
+h, d the Good-Turing discount for c up to 5 and 1 above:
 
     P(w | h) = d c(h, w) / (c(h) + 1/2)      if c(h, w) > 0
-             = alpha(h) P(w)                 otherwise,
-
-P(w) the smoothed share, and alpha(h) set so that all words and one unknown word sum to
-one exactly; the half keeps mass for unseen words where no count of h is discounted.
-
-Words that hold over 1 / ``BROADCAST`` of the training tokens (so fewer than
-``BROADCAST``) have small ids and broadcast counts, which is a shortcut only; any other
-word is named by a 62-bit hash, and its count and alpha are rows of tables that are
-joined on the name.  Where ``VOCABULARY`` is set, words that hold no more than
-1 / VOCABULARY are one class UNK instead, whose words share its probability by their own
-counts; ``fit`` and ``score_with`` know this form only.
-
-Scoring evaluates this per token.  Pairs of the ``HEAD`` most frequent words are counted
-first and broadcast; every other bigram and rare word of a document is sent, once per
-document, to the partition of its key, where the sorted run gives its training count and
-so the token's term.  The same run gives what alpha(h) needs.  What a run lacks, P(w) of
-a rare w behind another word, is joined to the stored sums.  Then terms are summed per
-document, alpha is made per history and is applied to the unseen tokens.  ``score`` does
-so in one pass over a corpus that holds both training and other rows; ``fit`` stores the
-n-gram counts in a partitioned table instead, and ``score_with`` lets any documents meet
-that table.  No training key outside the head holds more than 1 / HEAD of the tokens; a
-run longer than ``RUN_ROWS`` is not held but read from its stored rows again.
-
-Cases: a null text is empty and has one token, the end; rows that repeat a doc_id are
-scored one by one; a null doc_id is neither held out nor trained on; without training
-rows every history backs off with weight 1; empty tables give no rows; very long texts
-are cut into chunks of tokens; other columns are ignored.
+             = alpha(h) P(w | h')            otherwise, h' being h without its first word,
+
+down to P(w), the smoothed share.  alpha(h) makes all words and one unknown word sum to one
+exactly; the half keeps mass for unseen words where no count of h is discounted.  Every
+training word has n-grams of its own; words are told apart by a 64-bit hash.
+
+The tokens of the documents are stored in chunks, each with a dictionary of its words.  For
+each order a chunk sends its distinct n-grams, once, with their counts in its training
+documents, packed by bucket (a hash of the history).  A bucket's task adds the counts up,
+writes that part of the n-gram table (``part=grams`` of the folder ``order=n``) and answers
+each chunk: the n-gram's count, its id, and of its history what the discounts leave and
+what the seen words hold by the order below.  The next order's histories are those ids, so
+counts and probabilities are made recursively, and a chunk ends with P of each token.  A
+history that holds more than one bucket's share of the training tokens is dealt by history
+and word, and its sums are merged.  ``score`` and ``fit`` are this one path; for
+``score_with`` the stored table's rows take the place of training documents.
+
+A null text is empty (its end is scored), repeated rows are scored alike, an empty table
+gives no rows, without training rows all words are unknown; ids of any type, also null ones,
+stay as they are.  Long texts are cut into pieces that overlap by their histories; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from encore.llm.common import stored
+from encore.sources.sinks import scratch_path
 
-#: Share of the tokens below which words are one class; None: none are.
-VOCABULARY = None
-#: Words over this share have ids and broadcast counts.
-BROADCAST = 1 << 20
-HEAD = 512
 #: Counts up to K are discounted.
 K = 5
-START, END, UNK, WORD = 0, 1, 2, 3
-SHIFT = 21  # bits of a word id in a bigram key
-#: Least keys of bigrams with a word named by hash, and of such words.
-HASHED, NAMED = 1 << 61, 1 << 62
-CHUNK = 1 << 18  # tokens that a task handles at once
-WORDS_HELD = 1 << 18  # distinct words that a counting task holds
-RUN_ROWS = 1 << 18
-PART_TOKENS = 3_000_000
-R = [f"r{i}" for i in range(1, K + 2)]
-
-
-class Counts(NamedTuple):
-    """Training counts: by class id, of all tokens, of distinct words, of rare ones."""
-    words: list[bytes]
-    by_id: np.ndarray
+CHUNK = 1 << 19  # tokens of a chunk
+BUCKET = 1 << 21  # tokens for each bucket
+TABLE_ROWS = 1 << 16  # n-grams in a row of the table
+#: Codes of a chunk's tokens, and ids: START and END are fixed, id 0 is unknown.
+START, END, FIRST_WORD = 0, 1, 2
+START_ID, END_ID, FIRST_ID = 1, 2, 3
+STATS = K + 2  # of a history: n-grams seen 1..K times, its count, what seen words hold below
+
+ENTRIES = "chunk long, bucket int, ctx binary, runs binary, next binary, n binary, low binary"
+MERGED = ("part string, chunk long, bucket int, ids binary, counts binary, stats binary, ctx array<long>, "
+          "next array<long>, n array<long>, low array<double>")
+SCORES = "rid long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+class Model(NamedTuple):
+    """Training totals, and for each order from 2 the discounts and the sums of the
+    histories that are dealt over buckets; the n-gram tables are under ``path``."""
+    path: str
+    order: int
+    buckets: int
     tokens: int
     distinct: int
-    rare_distinct: int
-    tokens_all: int
-    classed: bool  # words without an id are the class UNK
+    docs: int
+    discounts: dict[int, np.ndarray] = {}
+    hot: dict[int, dict[int, np.ndarray]] = {}
+
+    @property
+    def base_total(self) -> float:
+        return self.tokens + 0.1 * (self.distinct + 1)
 
     @property
     def low_total(self) -> float:
-        """What smoothed shares of single words are divided by: all words, end and unknown."""
-        return self.tokens + 0.1 * (self.distinct + 1 + (self.by_id[END] == 0))
+        """What smoothed shares are divided by: all words, end and unknown."""
+        return self.base_total + 0.1 * (self.docs == 0)
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
+# ------------------------------------------------------------------ packing --
 
+def pack(values: np.ndarray) -> bytes:
+    """Whole numbers of 64 bits as compressed planes of their bytes that are not all 0."""
+    v = np.ascontiguousarray(values).view(np.uint64)
+    width = max(1, -(-int(v.max()).bit_length() // 8)) if len(v) else 1
+    planes = np.ascontiguousarray(v.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + len(v).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n, rows): training counts; the row without a word counts all words and,
-    as ``rows``, training documents; n_all counts the words of all documents."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, n, rows, every = Counter(), 0, 0, 0
+def unpack(data: bytes) -> np.ndarray:
+    width, size = data[0], int.from_bytes(data[1:9], "little")
+    planes = np.frombuffer(pa.decompress(data[9:], width * size, "zstd", asbytes=True), np.uint8)
+    out = np.zeros((size, 8), np.uint8)
+    out[:, :width] = planes.reshape(width, size).T
+    return out.view(np.int64).reshape(-1)
 
-        def report():
-            return pa.RecordBatch.from_arrays(
-                [pa.array([None, *seen], pa.binary()), pa.array([n, *seen.values()], pa.int64()),
-                 pa.array([rows] + [0] * len(seen), pa.int64()),
-                 pa.array([every] + [0] * len(seen), pa.int64())], ["word", "n", "rows", "n_all"])
 
-        for b in batches:
-            for text, train in zip(b.column(0), b.column(1).to_pylist()):
-                words = words_of(text.as_py())
-                every += len(words) + 1
-                if train:
-                    seen.update(words)
-                    n, rows = n + len(words), rows + 1
-                if len(seen) > WORDS_HELD:
-                    yield report()
-                    seen, n, rows, every = Counter(), 0, 0, 0
-        yield report()
-
-    return (docs.select("text", "train").mapInArrow(count, "word binary, n long, rows long, n_all long")
-            .groupBy("word").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"),
-                                 F.sum("n_all").alias("n_all")))
-
-
-def vocabulary(table: DataFrame, classed: bool) -> Counts:
-    """Counts of the words with an id from the stored word counts."""
-    n, rows, every = (table.where("word IS NULL").select("n", "rows", "n_all").first() or (0, 0, 0))
-    words = table.where("word IS NOT NULL")
-    tokens = n + rows
-    top = (words.where(F.col("n") * (VOCABULARY or BROADCAST) > tokens).select("word", "n")
-           .orderBy(F.desc("n"), "word").toArrow())
-    distinct = words.count()
-    own = top["n"].to_numpy()
-    by_id = np.concatenate([[rows, rows, n - own.sum() if classed else 0], own]).astype(np.int64)
-    return Counts(top["word"].to_pylist(), by_id, tokens, distinct + (rows > 0), distinct - len(own), every, classed)
-
-
-def class_logs(c: Counts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """log10 of P(class), of the base model's probability, and of c(h) + 1/2."""
-    share = c.by_id + 0.1
-    share[START] = 0
-    with np.errstate(divide="ignore"):
-        low = np.log10(share / (share.sum() if c.classed else c.low_total))
-    base = np.log10((c.by_id + 0.1) / (c.tokens + 0.1 * (c.distinct + 1)))
-    return low, base, np.log10(c.by_id + 0.5)
-
-
-def token_chunks(batches: Iterator[pa.RecordBatch], ids: dict[bytes, int]):
-    """Chunks of whole documents and of pieces of long ones: (column rows, document
-    starts, class ids, histories, rare words, their documents, the rare words before
-    pieces by piece)."""
-    get, rows, starts, flat, hist, rare, at, before = ids.get, [], [], [], [], [], [], {}
-
-    def chunk():
-        return (list(zip(*rows)), np.array(starts), np.array(flat, np.int64), np.array(hist, np.int64),
-                rare, np.array(at, np.int64), before)
-
-    for b in batches:
-        for text, *row in zip(b.column(0), *[c.to_pylist() for c in b.columns[1:]]):
-            words = words_of(text.as_py())
-            last = START
-            for lo in range(0, len(words) + 1, CHUNK):
-                part = words[lo:lo + CHUNK]
-                own = [get(w, UNK) for w in part]
-                k = len(rows)
-                if last == UNK:
-                    before[k] = words[lo - 1]
-                missed = [w for w, i in zip(part, own) if i == UNK]
-                rare += missed
-                at += [k] * len(missed)
-                if lo + CHUNK > len(words):
-                    own.append(END)
-                rows.append(row)
-                starts.append(len(flat))
-                hist.append(last)
-                hist += own[:-1]
-                flat += own
-                last = own[-1]
-                if len(flat) >= CHUNK:
-                    yield chunk()
-                    rows, starts, flat, hist, rare, at, before = [], [], [], [], [], [], {}
-    if rows:
-        yield chunk()
-
-
-def head_counts(docs: DataFrame, ids, size: int, classed: bool) -> np.ndarray:
-    """Training counts of bigrams of the ``size`` first ids."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size * size, np.int64)
-        for _, _, w, h, *_ in token_chunks(batches, ids.value):
-            pick = (w < size) & (h < size)
-            if not classed:
-                pick &= (w != UNK) & (h != UNK)
-            total += np.bincount(h[pick] * size + w[pick], minlength=size * size)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["code", "n"])
-
-    found = (docs.where("train").select("text").mapInArrow(count, "code long, n long")
-             .groupBy("code").agg(F.sum("n").alias("n")).toArrow())
-    out = np.zeros(size * size, np.int64)
-    out[found["code"].to_numpy()] = found["n"].to_numpy()
-    return out.reshape(size, size)
-
-
-#: A document's own sums, packed into one binary value (null in all other rows).
-DOC = np.dtype([("id", "<i8"), ("has_id", "?"), ("held", "?"), ("n", "<i8"), ("known", "<i8"), ("x", "<f8"),
-                ("y", "<f8"), *[(r, "<i4") for r in R[:K]]])
-SUMS = "kind int, a long, b long, id long, held boolean, n long, known long, x double, y double, " + ", ".join(
-    f"{r} long" for r in R)
-
-
-def named(words: list[bytes]) -> np.ndarray:
-    """Names of words without an id."""
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    return (hashes >> np.uint64(2)).astype(np.int64) | NAMED
-
-
-def hashed(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Keys of bigrams with a named word."""
-    x = h.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(32)) ^ w.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return ((x ^ (x >> np.uint64(32))) >> np.uint64(3)).astype(np.int64) | HASHED
-
-
-def pairs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """History and word of bigrams of ids; 0 and 1 for other keys."""
-    plain = key < HASHED
-    return np.where(plain, key >> SHIFT, 0), np.where(plain, key & ((1 << SHIFT) - 1), 1)
-
-
-def send(ids, head, logs, counts: Counts):
-    """Per document: its row of sums over head bigrams and class terms (key under 0),
-    and its other bigrams (key h, w, or a hash and both names) and rare words (key from a
-    hash) with counts, negative outside training."""
-    known_id = counts.by_id > 0
+def pack_floats(values: np.ndarray) -> bytes:
+    """Numbers of few distinct values: the values, and each one's place among them."""
+    distinct, place = np.unique(values, return_inverse=True)
+    own = pack(distinct.astype(np.float64))
+    return len(own).to_bytes(8, "little") + own + pack(place.astype(np.int64))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, (_, base, hlog) = head.value, logs.value
-        size = len(table)
-        for rows, starts, w, h, rare, at, before in token_chunks(batches, ids.value):
-            rid, doc_id, held, train = rows
-            rid, sign = np.array(rid), np.where(np.array(train), 1, -1)
-            docs, lens = len(rid), np.diff(np.append(starts, len(w)))
-            doc = np.repeat(np.arange(docs), lens)
-            code = (doc << (2 * SHIFT)) | (h << SHIFT) | w
-            names = named(rare)
-            if not counts.classed and (rare or before):
-                by_hash = (w == UNK) | (h == UNK)
-                code = code[~by_hash]
-            code, n = np.unique(code, return_counts=True)
-            d, key = code >> (2 * SHIFT), code & ((1 << (2 * SHIFT)) - 1)
-            hh, ww = key >> SHIFT, key & ((1 << SHIFT) - 1)
-            small = (hh < size) & (ww < size)
-            c = np.zeros(len(code), np.int64)
-            c[small] = table[hh[small], ww[small]]
-            done = c > 0
-            term = n * (np.log10(np.where(c > K, c, 1)) - hlog[hh])
-            word = w != UNK
-            sums = np.zeros(docs, DOC)
-            sums["id"], sums["has_id"] = [i or 0 for i in doc_id], [i is not None for i in doc_id]
-            sums["held"], sums["n"] = held, lens
-            sums["known"] = np.bincount(doc, word & known_id[w], docs)
-            sums["x"] = np.bincount(doc, np.where(word, base[w], 0), docs)
-            sums["y"] = np.bincount(d[done], term[done], docs)
-            for i, r in enumerate(R[:K], 1):
-                sums[r] = np.bincount(d, np.where(c == i, n, 0), docs)
-            yield out(-1 - rid, rid, np.zeros(docs, np.int64),
-                      pa.array([sums[i:i + 1].tobytes() for i in range(docs)], pa.binary()))
-            rest = ~done
-            yield out(key[rest], rid[d[rest]], n[rest] * sign[d[rest]], pa.nulls(int(rest.sum()), pa.binary()))
-            if not counts.classed and (rare or before):
-                ww = w.copy()
-                ww[w == UNK] = names
-                hh = np.concatenate([[START], ww[:-1]])
-                hh[starts] = h[starts]
-                for k, word_before in before.items():
-                    hh[starts[k]] = named([word_before])[0]
-                d, hh, ww = doc[by_hash], hh[by_hash], ww[by_hash]
-                key = hashed(hh, ww)
-                first, n, order = runs(key, d)
-                key, d, both = key[order][first], d[order][first], np.stack([hh, ww], 1)[order][first]
-                ends = np.arange(0, 16 * len(key) + 1, 16, dtype=np.int32)
-                yield out(key, rid[d], n * sign[d], pa.Array.from_buffers(
-                    pa.binary(), len(key), [None, pa.py_buffer(ends), pa.py_buffer(both.tobytes())]))
-            if rare:
-                first, n, order = runs(names, at)
-                hs, ds = names[order], at[order]
-                yield out(hs[first], rid[ds[first]], n * sign[ds[first]], pa.nulls(len(first), pa.binary()))
-
-    def runs(key, d):
-        order = np.lexsort((key, d))
-        k, d = key[order], d[order]
-        first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (d[1:] != d[:-1])]))
-        return first, np.diff(np.append(first, len(k))), order
-
-    def out(key, rid, n, doc):
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(rid), pa.array(n, pa.int64()), doc],
-                                          ["key", "rid", "n", "doc"])
 
-    return run
+def unpack_floats(data: bytes) -> np.ndarray:
+    cut = 8 + int.from_bytes(data[:8], "little")
+    return unpack(data[8:cut]).view(np.float64)[unpack(data[cut:])]
+
+
+def mixed(a: np.ndarray, b: np.ndarray | int = 0) -> np.ndarray:
+    """A hash of one or two ids."""
+    x = (a.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29)) ^ np.asarray(b).astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def blocks(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """The parts of a sorted array of buckets."""
+    cuts = np.flatnonzero(np.diff(bucket)) + 1
+    for lo, hi in zip([0, *cuts], [*cuts, len(bucket)]):
+        if hi > lo:
+            yield int(bucket[lo]), slice(lo, hi)
+
+
+# ------------------------------------------------------------------- chunks --
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()
+
+
+def chunk_schema(id_type: str) -> str:
+    return (f"chunk long, tokens long, train_tokens long, train_docs long, rid array<long>, id array<{id_type}>, "
+            "held array<boolean>, train array<boolean>, lens array<int>, leads array<int>, codes binary, words binary")
 
 
-def terms(key, rid, n, h, w, c, logs, counts: Counts):
-    """Sums of rows whose key's training count is ``c``: per document, unseen bigrams per
-    document and history, and those per document and named word.  Rows of a stored table
-    (rid -1) only count."""
-    own = rid >= 0
-    key, rid, n, h, w, c = (x[own] for x in (key, rid, n, h, w, c))
-    if not len(key):
-        return
-    low, _, hlog = logs
-    m, bigram = np.abs(n).astype(np.int64), key < NAMED
-    seen = c > 0
-    # a named history's own share: all at its word's key, and taken back with its alpha
-    of_h = np.where(h < NAMED, hlog[np.where(h < NAMED, h, 0)], 0)
-    of_w = np.where(w < NAMED, low[np.where(w < NAMED, w, 1)], 0)
-    if counts.classed:
-        rare_all = counts.by_id[UNK] + 0.1 * (counts.rare_distinct + 1)
-        word = np.log10((c + 0.1) / rare_all)
-    else:
-        word = np.where(seen, -np.log10(c + 0.5), 0)
-    y = np.where(bigram, np.where(seen, np.log10(np.where(c > K, c, 1)) - of_h, of_w), word) * m
-    x = np.where(bigram, 0, np.log10((c + 0.1) / (counts.tokens + 0.1 * (counts.distinct + 1)))) * m
-    ids, at = np.unique(rid, return_inverse=True)
-
-    def per(v):
-        return np.bincount(at, v, len(ids))
-
-    def whole(v):
-        return per(v).astype(np.int64)
-
-    yield batch(0, ids, known=whole(np.where(bigram, 0, m * seen)), x=per(x), y=per(y),
-                **{r: whole(np.where(bigram & (c == i), m, 0)) for i, r in enumerate(R[:K], 1)})
-    miss = bigram & ~seen
-    if miss.any():
-        yield batch(1, rid[miss], b=h[miss], n=m[miss])
-        miss &= w >= NAMED
-        if miss.any():
-            yield batch(6, rid[miss], b=w[miss], n=m[miss])
-
-
-def histories(key, c, h, w, low):
-    """Per history: seen lower-order mass, bigrams by count, and undiscounted counts; per
-    history and named word the same without the mass; and counts of named words."""
-    pick = (key >= 0) & (key < NAMED) & (c > 0) & (w < NAMED)
-    a, at = np.unique(h[pick], return_inverse=True)
-    k = c[pick]
-
-    def per(v):
-        return np.bincount(at, v, len(a))
-
-    yield batch(2, a, n=per(np.where(k > K, k, 0)).astype(np.int64), x=per(10.0 ** low[w[pick]]),
-                **{r: per(k == i).astype(np.int64) for i, r in enumerate(R, 1)})
-    pick = (key >= HASHED) & (key < NAMED) & (c > 0) & (w >= NAMED)
-    if pick.any():
-        k = c[pick]
-        yield batch(7, h[pick], b=w[pick], n=np.where(k > K, k, 0),
-                    **{r: (k == i).astype(np.int64) for i, r in enumerate(R, 1)})
-    pick = (key >= NAMED) & (c > 0)
-    if pick.any():
-        yield batch(8, key[pick], n=c[pick])
-
-
-def batch(kind: int, a, **cols) -> pa.RecordBatch:
-    """A batch in the schema SUMS; columns that are not given are 0, id and held null."""
-    size = len(a)
-    given = {"kind": np.full(size, kind, np.int32), "a": np.asarray(a, np.int64), **cols}
-    out, names = [], ["kind", "a", "b", "id", "held", "n", "known", "x", "y", *R]
-    for name in names:
-        kind_of = {"kind": pa.int32(), "held": pa.bool_(), "x": pa.float64(), "y": pa.float64()}.get(name, pa.int64())
-        if name in given:
-            out.append(pa.array(given[name], kind_of))
-        else:
-            out.append(pa.nulls(size, kind_of) if name in ("id", "held")
-                       else pa.array(np.zeros(size), kind_of) if kind_of == pa.float64()
-                       else pa.array(np.zeros(size, np.int64), kind_of))
-    return pa.RecordBatch.from_arrays(out, names)
-
-
-def meet(logs, counts: Counts, run_rows: int):
-    """Sorted rows of ``send`` -> sums.  Kinds: 0 document, 1 unseen bigram, 2 history,
-    3 a row of a run over ``run_rows``, 4 such a run's training count (id and known are
-    its history and word), 6 unseen bigram of a named word, 7 seen bigram of a named word,
-    8 training count of a named word."""
+def chunked(order: int, size: int):
+    """Chunks of documents and of pieces of long ones.  A piece starts with up to
+    ``order`` - 1 tokens of before (``leads``), which are histories only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low = logs.value[0]
-        held, size, long_key, long_count = [], 0, None, 0
-
-        def long_run():
-            key, h, w = long_key
-            yield batch(4, [key], n=[long_count], id=[h], known=[w])
-            yield from histories(*(np.array([x], np.int64) for x in (key, long_count, h, w)), low)
-
-        def settle(key, rid, n, h, w, last):
-            """All whole runs; gives back the open run at the end."""
-            cuts = np.flatnonzero(np.diff(key)) + 1
-            begin = np.concatenate([[0], cuts])
-            end = len(key) if last else begin[-1]
-            begin = begin if last else begin[:-1]
-            if end:
-                c = np.add.reduceat(np.maximum(n[:end], 0).astype(np.int64), begin)
-                out = [*histories(key[begin], c, h[begin], w[begin], low)]
-                out += terms(key[:end], rid[:end], n[:end], h[:end], w[:end],
-                             np.repeat(c, np.diff(np.append(begin, end))), logs.value, counts)
-                return out, (key[end:], rid[end:], n[end:], h[end:], w[end:])
-            return [], (key, rid, n, h, w)
+        first = TaskContext.get().partitionId() << 33
+        doc, made = first, 0
+        rows, codes, words = [], [], {}
+
+        def chunk():
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+            by_hash = np.argsort(hashes)
+            place = np.empty(len(words) + FIRST_WORD, np.int64)
+            place[:FIRST_WORD] = START, END
+            place[FIRST_WORD + by_hash] = np.arange(len(words)) + FIRST_WORD
+            cols = list(zip(*rows))
+            lens, leads, train = np.array(cols[4]), np.array(cols[5]), np.array(cols[3])
+            ends = int(np.sum(np.array(cols[6])[train]))
+            values = [[first + made], [int((lens - leads).sum())], [int((lens - leads)[train].sum())], [ends],
+                      *[[list(c)] for c in cols[:6]], [pack(place[np.array(codes, np.int64)])],
+                      [pack(hashes[by_hash])]]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(v, type=t) for v, t in zip(values, types)], names)
 
+        id_type = None
         for b in batches:
-            key = b.column(0).to_numpy()
-            docs = key < 0
-            if docs.any():
-                own = b.filter(pa.array(docs))
-                f = np.frombuffer(b"".join(own.column(3).to_pylist()), DOC)
-                yield batch(0, own.column(1).to_numpy(),
-                            id=[i if has else None for i, has in zip(f["id"].tolist(), f["has_id"].tolist())],
-                            **{k: f[k] for k in DOC.names[2:]})
-            h, w = pairs(key)
-            both = (key >= HASHED) & (key < NAMED)
-            if both.any():
-                names = np.frombuffer(b"".join(b.column(3).filter(pa.array(both)).to_pylist()), np.int64)
-                h[both], w[both] = names[::2], names[1::2]
-            rows = tuple(x[~docs] for x in (key, b.column(1).to_numpy(), b.column(2).to_numpy(), h, w))
-            if long_key is not None:
-                same = rows[0] == long_key[0]
-                if same.any():
-                    long_count += int(np.maximum(rows[2][same], 0).sum())
-                    yield batch(3, rows[0][same], b=rows[1][same], n=rows[2][same])
-                if not same.all():
-                    yield from long_run()
-                    long_key = None
-                rows = tuple(r[~same] for r in rows)
-            if len(rows[0]):
-                held.append(rows)
-                size += len(rows[0])
-            if size > run_rows:
-                out, open_run = settle(*map(np.concatenate, zip(*held)), last=False)
-                yield from out
-                held, size = [open_run], len(open_run[0])
-                if size > run_rows:
-                    key, rid, n, h, w = open_run
-                    long_key, long_count = (key[0], h[0], w[0]), int(np.maximum(n, 0).sum())
-                    held, size = [], 0
-                    yield batch(3, key, b=rid, n=n)
-        if long_key is not None:
-            yield from long_run()
-        if size:
-            out, _ = settle(*map(np.concatenate, zip(*held)), last=True)
-            yield from out
+            if id_type is None:
+                id_type = b.schema.field(1).type
+                names = ["chunk", "tokens", "train_tokens", "train_docs", "rid", "id", "held", "train", "lens",
+                         "leads", "codes", "words"]
+                types = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.list_(id_type), pa.list_(pa.bool_()),
+                         pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+            for text, key, held, train in zip(b.column(0), *[c.to_pylist() for c in b.columns[1:]]):
+                own = words_of(text.as_py())
+                total = len(own) + 2  # with start and end
+                at = 1
+                while at < total:
+                    end = min(total, at + size)
+                    lead = min(at, order - 1)
+                    part = own[max(0, at - lead - 1):end - 1]
+                    if at == lead:
+                        codes.append(START)
+                    add, n = words.setdefault, FIRST_WORD
+                    codes += [add(w, len(words) + n) for w in part]
+                    if end == total:
+                        codes.append(END)
+                    rows.append((doc, key, held, train, end - at + lead, lead, end == total))
+                    at = end
+                    if len(codes) >= size:
+                        yield chunk()
+                        made += 1
+                        rows, codes, words = [], [], {}
+                doc += 1
+        if rows:
+            yield chunk()
 
     return run
 
 
-def again(long_counts: dict[int, tuple[int, int, int]], logs, counts: Counts):
-    """Rows of long runs with their known counts -> sums."""
+class Tokens:
+    """A chunk's tokens: code, place in the piece, whether they are scored, and learnt."""
+
+    def __init__(self, row: dict):
+        self.row = row
+        lens, leads = np.array(row["lens"]), np.array(row["leads"])
+        self.piece = np.repeat(np.arange(len(lens)), lens)
+        self.codes, self.hashes = unpack(row["codes"]), unpack(row["words"])
+        self.place = np.arange(len(self.codes)) - np.repeat(np.cumsum(lens) - lens, lens)
+        self.scored = self.place >= leads[self.piece]
+        self.train = self.scored & np.array(row["train"], bool)[self.piece]
+
+    def by_bucket(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """Dictionary words in the order in which they are sent, and their buckets."""
+        bucket = (self.hashes.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        return order, bucket[order]
+
+
+def send_words(buckets: int):
+    """A chunk's words with their training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key, rid, n = [c.to_numpy() for c in b.columns]
-            if len(key):
-                c, h, w = np.array([long_counts[k] for k in key.tolist()], np.int64).T
-                yield from terms(key, rid, n, h, w, c, logs.value, counts)
+            for i in range(b.num_rows):
+                row = b.slice(i, 1).to_pylist()[0]
+                t = Tokens(row)
+                n = np.bincount(t.codes[t.train], minlength=len(t.hashes) + FIRST_WORD)[FIRST_WORD:]
+                order, bucket = t.by_bucket(buckets)
+                yield entries([(row["chunk"], k, b"", b"", pack(t.hashes[order[s]]), pack(n[order[s]]), b"")
+                               for k, s in blocks(bucket)])
 
     return run
 
 
-def summed(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("kind", "a", "b").agg(F.max("id").alias("id"), F.max("held").alias("held"),
-                                              *[F.sum(c).alias(c) for c in ("n", "known", "x", "y", *R)])
+def entries(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int64(), pa.int32()] + [pa.binary()] * 5
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)],
+        ["chunk", "bucket", "ctx", "runs", "next", "n", "low"])
+
+
+def evaluate(t: Tokens, answers: list[dict], model: Model, order: int, id_type: pa.DataType):
+    """P of each token by the orders below ``order``, as far as answered; yields the
+    n-grams of ``order`` to send, or returns the scores where ``order`` is beyond the
+    model's.  Answers come by order and bucket, as the n-grams were sent."""
+    by_order: dict[int, list[dict]] = {}
+    for a in sorted(answers, key=lambda a: (a["order"], a["bucket"])):
+        by_order.setdefault(a["order"], []).append(a)
+    sent, _ = t.by_bucket(model.buckets)
+    ids = np.zeros(len(t.hashes) + FIRST_WORD, np.int64)
+    counts = np.zeros(len(ids), np.int64)
+    ids[:FIRST_WORD] = START_ID, END_ID if model.docs else 0
+    counts[:FIRST_WORD] = model.docs
+    if len(sent):
+        ids[FIRST_WORD + sent] = np.concatenate([unpack(a["ids"]) for a in by_order[1]])
+        counts[FIRST_WORD + sent] = np.concatenate([unpack(a["counts"]) for a in by_order[1]])
+    if not model.docs:
+        ids[START] = 0
+    word, c_word = ids[t.codes], counts[t.codes]
+    p = (c_word + 0.1) / model.low_total
+    gram, c_gram = word, c_word  # id and count of the n-gram that ends here
+    for n in range(2, order + 1):
+        if n > model.order:
+            break
+        ctx, c_ctx = np.roll(gram, 1), np.roll(c_gram, 1)
+        at = np.flatnonzero((t.place >= n - 1) & (ctx > 0))
+        h, w = ctx[at], word[at]
+        heavy = c_ctx[at] * model.buckets > model.tokens
+        bucket = (mixed(h, np.where(heavy, w + 1, 0)) % np.uint64(model.buckets)).astype(np.int64)
+        by = np.lexsort((w, h, bucket))
+        hs, ws, bs = h[by], w[by], bucket[by]
+        new = np.ones(len(by), bool)
+        new[1:] = (hs[1:] != hs[:-1]) | (ws[1:] != ws[:-1])
+        entry = np.empty(len(by), np.int64)
+        entry[by] = np.cumsum(new) - 1
+        eh, ew, eb, pick = hs[new], ws[new], bs[new], at[by[new]]
+        turn = np.ones(len(eh), bool)  # first n-gram of a history in a bucket
+        turn[1:] = (eh[1:] != eh[:-1]) | (eb[1:] != eb[:-1])
+        if n == order:
+            learnt = np.bincount(entry, t.train[at], len(eh)).astype(np.int64)
+            low = np.where(learnt > 0, p[pick], 0.0)
+            out = []
+            for k, s in blocks(eb):
+                first = np.flatnonzero(turn[s])
+                runs = np.diff(np.append(first, s.stop - s.start)) * 2 + heavy[by[new]][s][first]
+                out.append((t.row["chunk"], k, pack(eh[s][first]), pack(runs), pack(ew[s]), pack(learnt[s]),
+                            pack_floats(low[s])))
+            return entries(out)
+        c = np.zeros(len(eh), np.int64)
+        new_ids, stats = c, np.zeros((int(turn.sum()), STATS))
+        if len(eh):
+            c = np.concatenate([unpack(a["counts"]) for a in by_order[n]])
+            stats = np.concatenate([unpack_floats(a["stats"]).reshape(-1, STATS) for a in by_order[n]])
+            if n < model.order:
+                new_ids = np.concatenate([unpack(a["ids"]) for a in by_order[n]])
+        for i in np.flatnonzero(heavy[by[new]][turn]):
+            stats[i] = model.hot[n].get(int(eh[turn][i]), stats[i])
+        d = model.discounts[n]
+        r = np.arange(1, K + 1)
+        total, below = stats[:, K], stats[:, K + 1]
+        kept = (stats[:, :K] * (d - 1) * r).sum(axis=1) + total
+        some = (total > 0) & (1 - below >= 1e-12)
+        alpha = np.ones(len(stats))
+        alpha[some] = (1 - kept[some] / (total[some] + 0.5)) / (1 - below[some])
+        place = np.cumsum(turn) - 1
+        share = np.where(c <= K, d[np.clip(c, 1, K) - 1], 1.0) * c / (total[place] + 0.5)
+        p[at] = np.where(c[entry] > 0, share[entry], alpha[place][entry] * p[at])
+        gram, c_gram = np.zeros_like(word), np.zeros_like(word)
+        if n < model.order:
+            gram[at], c_gram[at] = new_ids[entry], c[entry]
+    s, pieces = t.scored, len(t.row["rid"])
+
+    def per(values):
+        return np.bincount(t.piece[s], values[s], pieces)
+
+    known = per(c_word > 0)
+    return pa.table({
+        "rid": pa.array(t.row["rid"], pa.int64()), "held_out": pa.array(t.row["held"], pa.bool_()),
+        "n_tokens": per(np.ones(len(s))).astype(np.int64), "n_known": known.astype(np.int64),
+        "base_score": per(np.log10((c_word + 0.1) / model.base_total)), "score": per(np.log10(p)),
+        "id": pa.array(t.row["id"], id_type)})
+
+
+# ------------------------------------------------------------------ buckets --
+
+def merged_rows(rows: list[dict]) -> pa.Table:
+    ints = pa.list_(pa.int64())
+    return pa.Table.from_pylist(rows, schema=pa.schema(
+        [("part", pa.string()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("ids", pa.binary()),
+         ("counts", pa.binary()), ("stats", pa.binary()), ("ctx", ints), ("next", ints), ("n", ints),
+         ("low", pa.list_(pa.float64()))]))
+
+
+def table_rows(bucket: int, ctx, following, n, low) -> Iterator[dict]:
+    for lo in range(0, len(following), TABLE_ROWS):
+        s = slice(lo, lo + TABLE_ROWS)
+        yield {"part": "grams", "chunk": -1, "bucket": bucket, "ctx": ctx[s], "next": following[s], "n": n[s],
+               "low": low[s]}
+
+
+def merge_words(buckets: int):
+    """Training counts and ids of a bucket's words; frequent words have small ids."""
+
+    def run(group: pa.Table) -> pa.Table:
+        rows = sorted(group.to_pylist(), key=lambda r: r["chunk"])
+        bucket = rows[0]["bucket"]
+        words = [unpack(r["next"]) for r in rows]
+        word, place = np.unique(np.concatenate(words), return_inverse=True)
+        total = np.bincount(place, np.concatenate([unpack(r["n"]) for r in rows])).astype(np.int64)
+        by = np.lexsort((word, -total))
+        by = by[total[by] > 0]
+        ids = np.zeros(len(word), np.int64)
+        ids[by] = FIRST_ID + np.arange(len(by)) * buckets + bucket
+        out, lo = [], 0
+        for r, own in zip(rows, words):
+            at = place[lo:lo + len(own)]
+            lo += len(own)
+            if r["chunk"] >= 0:
+                out.append({"part": "answers", "chunk": r["chunk"], "bucket": bucket, "ids": pack(ids[at]),
+                            "counts": pack(total[at])})
+        none = np.zeros(len(by), np.int64)
+        return merged_rows(out + list(table_rows(bucket, none, word[by], total[by], none.astype(float))))
+
+    return run
+
+
+def merge_grams(buckets: int, want_ids: bool):
+    """Training counts of a bucket's n-grams, and the sums of their histories."""
+
+    def run(group: pa.Table) -> pa.Table:
+        rows = sorted(group.to_pylist(), key=lambda r: r["chunk"])
+        bucket = rows[0]["bucket"]
+        heads, runs = [unpack(r["ctx"]) for r in rows], [unpack(r["runs"]) for r in rows]
+        head, run_len = np.concatenate(heads), np.concatenate(runs)
+        ctx = np.repeat(head, run_len >> 1)
+        word = np.concatenate([unpack(r["next"]) for r in rows])
+        n = np.concatenate([unpack(r["n"]) for r in rows])
+        low = np.concatenate([unpack_floats(r["low"]) for r in rows])
+        by = np.lexsort((word, ctx))
+        cs, ws = ctx[by], word[by]
+        new_ctx = np.ones(len(by), bool)
+        new_ctx[1:] = cs[1:] != cs[:-1]
+        new = new_ctx.copy()
+        new[1:] |= ws[1:] != ws[:-1]
+        first = np.flatnonzero(new)
+        c = np.add.reduceat(n[by], first)
+        share = np.maximum.reduceat(low[by], first)
+        entry = np.empty(len(by), np.int64)
+        entry[by] = np.cumsum(new) - 1
+        g_ctx, g_word = cs[first], ws[first]
+        histories, history = np.unique(g_ctx, return_inverse=True)
+        seen = c > 0
+
+        def per(values):
+            return np.bincount(history, np.where(seen, values, 0), len(histories))
+
+        stats = np.stack([*[per(c == r) for r in range(1, K + 1)], per(c), per(share)], 1)
+        ids = np.zeros(len(c), np.int64)
+        ids[seen] = FIRST_ID + np.arange(int(seen.sum())) * buckets + bucket
+        out, lo, lo_run = [], 0, 0
+        for r, own, lens in zip(rows, heads, runs):
+            size = int((lens >> 1).sum())
+            at = entry[lo:lo + size]
+            lo += size
+            if r["chunk"] >= 0:
+                out.append({"part": "answers", "chunk": r["chunk"], "bucket": bucket,
+                            "ids": pack(ids[at]) if want_ids else None, "counts": pack(c[at]),
+                            "stats": pack_floats(stats[np.searchsorted(histories, own)].reshape(-1))})
+        hot = np.unique(head[run_len & 1 == 1])
+        out.append({"part": "sums", "chunk": -1, "bucket": bucket, "ctx": hot,
+                    "n": [int((c == r).sum()) for r in range(1, K + 2)],
+                    "low": stats[np.searchsorted(histories, hot)].reshape(-1)})
+        return merged_rows(out + list(table_rows(bucket, g_ctx[seen], g_word[seen], c[seen], share[seen])))
+
+    return run
+
 
+# -------------------------------------------------------------------- model --
 
 def discounts(n: np.ndarray) -> np.ndarray:
-    """d_1..d_K from the numbers of bigrams seen 1..K+1 times; where Good-Turing gives
+    """d_1..d_K from the numbers of n-grams seen 1..K+1 times; where Good-Turing gives
     no value between 0 and 1, (r - 1/2) / r."""
     out = np.empty(K)
     common = (K + 1) * n[K] / n[0] if n[0] else 1.0
@@ -476,180 +427,129 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return out
 
 
-def backoff(history, head: np.ndarray, low: np.ndarray, by_id: np.ndarray, others=0):
-    """Discounts and log10 alpha of every class as a history; ``others`` are the numbers
-    of bigrams seen 1..K+1 times of all other histories."""
-    size, p = len(by_id), 10.0 ** low
-    by_count = np.zeros((K + 1, size))
-    mass, undiscounted = np.zeros(size), np.zeros(size)
-    a = history["a"].to_numpy()
-    for i, r in enumerate(R):
-        by_count[i][a] = history[r].to_numpy()
-    mass[a], undiscounted[a] = history["x"].to_numpy(), history["n"].to_numpy()
-    k = len(head)
-    for i in range(K + 1):
-        by_count[i][:k] += (head == i + 1).sum(axis=1)
-    mass[:k] += (head > 0) @ p[:k]
-    undiscounted[:k] += np.where(head > K, head, 0).sum(axis=1)
-    d = discounts(by_count.sum(axis=1) + others)
-    kept = undiscounted + (np.arange(1, K + 1) * d) @ by_count[:K]
-    left, rest = 1 - kept / (by_id + 0.5), 1 - mass
-    seen = (by_id > 0) & (rest > 1e-12)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return d, np.where(seen, np.log10(left / rest), 0.0)
+def table(spark: SparkSession, path: str, order: int, part: str = "grams") -> DataFrame:
+    """A part of the stored table of an order: ``grams`` has in lists the history's id
+    (0 for words), the word's id (its hash for words), the count, and P by the order below."""
+    return spark.read.schema(MERGED).parquet(f"{path}/order={order}").where(F.col("part") == part)
 
 
-class Model(NamedTuple):
-    """A fitted model: class counts, head bigrams, discounts, log10 alpha per class, and
-    the folder of its n-gram table (key, n), partitioned by ``bucket``."""
-    counts: Counts
-    head: np.ndarray
-    discounts: np.ndarray
-    alpha: np.ndarray
-    ngrams: str
+def gram_sums(grams: DataFrame) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Discounts of an order, and the whole sums of histories dealt over buckets, no more
+    than there are buckets."""
+    sums = grams.where("part = 'sums'")
+    by_count = sums.agg(*[F.coalesce(F.sum(F.col("n")[i]), F.lit(0)) for i in range(K + 1)]).first()
+    one = (sums.select(F.posexplode("ctx").alias("i", "h"), "low")
+           .select("h", *[F.col("low")[F.col("i") * STATS + k].alias(f"s{k}") for k in range(STATS)])
+           .groupBy("h").agg(*[F.sum(f"s{k}") for k in range(STATS)]).collect())
+    return discounts(np.array(by_count, float)), {r[0]: np.array(r[1:], float) for r in one}
+
 
+def packed_table(model: Model, order: int, heavy: set[int]):
+    """Rows of a stored table as they are sent by a chunk; in no chunk."""
 
-ROW = "key long, rid long, n long, doc binary"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                ctx, low = np.array(r["ctx"], np.int64), np.array(r["low"], float)
+                hot = np.isin(ctx, np.fromiter(heavy, np.int64, len(heavy)))
+                words = pack(np.array(r["next"], np.int64)), pack(np.array(r["n"], np.int64))
+                yield entries([(-1, r["bucket"], pack(ctx), pack(2 + hot.astype(np.int64)), *words,
+                                pack_floats(low))])
 
+    return run
 
-def _rows(docs: DataFrame, train: Column, held_out: Column, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("rid"),
-                       F.col(id_col).cast("long").alias("id"),
+
+def _chunks(docs: DataFrame, train: Column, held_out: Column, id_col: str, text_col: str, order: int) -> DataFrame:
+    rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("id"),
                        F.coalesce(held_out, F.lit(False)).alias("held"),
                        F.coalesce(train, F.lit(False)).alias("train"))
+    id_type = rows.schema["id"].dataType.simpleString()
+    return stored(rows.mapInArrow(chunked(order, CHUNK), chunk_schema(id_type)), "katz-chunks")
 
 
-def _met(sent: DataFrame, counts: Counts, tokens: int, logs, run_rows: int) -> DataFrame:
-    """The stored sums of all rows of ``send`` (and of an n-gram table)."""
-    parts = max(8, -(-tokens // PART_TOKENS))
-    return stored(summed(sent.repartition(parts, "key").sortWithinPartitions("key")
-                         .mapInArrow(meet(logs, counts, run_rows), SUMS)), "katz-sums")
-
-
-def _long_runs(sums: DataFrame) -> dict[int, tuple[int, int, int]]:
-    """Training count, history and word of the runs that were not held: one for every
-    run_rows rows at most."""
-    return {r.a: (r.n, r.id, r.known) for r in sums.where("kind = 4").select("a", "n", "id", "known").collect()}
-
-
-def _histories(sums: DataFrame, counts: Counts) -> DataFrame:
-    """(a, n, x, r1..): the stored sums of every history."""
-    own = sums.where("kind = 2").select("a", "n", "x", *R)
-    if counts.classed:
-        return own
-    words = sums.where("kind = 8").select(F.col("a").alias("word"), F.col("n").alias("c"))
-    more = sums.where("kind = 7").select("a", "b", F.col("n").alias("k"), *R).join(words, F.col("b") == F.col("word")).select(
-        "a", F.col("k").alias("n"), ((F.col("c") + 0.1) / counts.low_total).alias("x"), *R)
-    return stored(own.unionByName(more).groupBy("a").agg(*[F.sum(c).alias(c) for c in ("n", "x", *R)]),
-                  "katz-histories")
-
-
-def _named_terms(doc: DataFrame, sums: DataFrame, history: DataFrame, counts: Counts, d: np.ndarray) -> DataFrame:
-    """(rid, u): of each document P(w) of unseen bigrams of named words, and log10 alpha of
-    named histories of unseen bigrams with log10 (c(h) + 1/2), which their words' terms hold."""
-    words = sums.where("kind = 8").select(F.col("a").alias("word"), F.col("n").alias("c"))
-    low = (doc.where("kind = 6").select("a", "b", "n").join(words, F.col("b") == F.col("word"), "left")
-           .select(F.col("a").alias("rid"),
-                   (F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 0.1) / counts.low_total)).alias("u")))
-    half = F.col("c") + 0.5
-    kept = sum((F.col(r) * float(i * d[i - 1]) for i, r in enumerate(R[:K], 1)), F.col("n").cast("double"))
-    rest = 1 - F.col("x")
-    weights = (history.where(F.col("a") >= NAMED).join(words, F.col("a") == F.col("word"))
-               .select("word", (F.log10(half) + F.when(rest > 1e-12, F.log10((1 - kept / half) / rest))
-                                .otherwise(0.0)).alias("weight")))
-    back = (doc.where((F.col("kind") == 1) & (F.col("b") >= NAMED)).select("a", "b", "n")
-            .join(weights, F.col("b") == F.col("word"))
-            .select(F.col("a").alias("rid"), (F.col("n") * F.col("weight")).alias("u")))
-    return low.unionByName(back)
-
-
-def _scores(sums: DataFrame, runs: dict[int, tuple[int, int, int]], counts: Counts, logs, d: np.ndarray,
-            alpha: np.ndarray, id_col: str, history: DataFrame | None = None) -> DataFrame:
-    doc = sums.where("kind < 2 OR kind = 6")
-    if runs:
-        doc = summed(doc.unionByName(sums.where("kind = 3").select("a", "b", "n")
-                                     .mapInArrow(again(runs, logs, counts), SUMS)))
-    weights = sums.sparkSession.sparkContext.broadcast(alpha)
-
-    def unseen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(weights.value[b.column(1).to_numpy()] * b.column(2).to_numpy())],
-                ["rid", "u"])
-
-    backed = (doc.where((F.col("kind") == 1) & (F.col("b") < NAMED)).select("a", "b", "n")
-              .mapInArrow(unseen, "rid long, u double"))
-    if not counts.classed:
-        backed = backed.unionByName(_named_terms(doc, sums, history, counts, d))
-    backed = backed.groupBy("rid").agg(F.sum("u").alias("u"))
-    seen = sum((F.col(r) * float(np.log10(i * d[i - 1])) for i, r in enumerate(R[:K], 1)), F.lit(0.0))
-    return (doc.where("kind = 0").join(backed, F.col("a") == F.col("rid"), "left")
-            .select(F.col("id").alias(id_col), F.col("held").alias("held_out"), F.col("n").alias("n_tokens"),
-                    F.col("known").alias("n_known"), F.lit(counts.tokens).cast("long").alias("train_tokens"),
-                    F.col("x").alias("base_score"),
-                    (F.col("y") + seen + F.coalesce("u", F.lit(0.0))).alias("score")))
-
-
-def score(docs: DataFrame, train: Column, held_out: Column, id_col: str = "doc_id",
-          text_col: str = "text", run_rows: int = RUN_ROWS) -> DataFrame:
-    """Learn from the rows where ``train`` holds and score every row in one pass:
-    doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
-    N-gram counts are not stored: they are made in the partition where the rows that need
-    them meet.  With VOCABULARY set, the same as ``fit`` and ``score_with``."""
-    rows = _rows(docs, train, held_out, id_col, text_col)
-    share = docs.sparkSession.sparkContext.broadcast
-    counts = vocabulary(stored(word_counts(rows), "katz-words"), VOCABULARY is not None)
-    ids = share({w: i for i, w in enumerate(counts.words, WORD)})
-    low, *_ = all_logs = class_logs(counts)
-    logs = share(all_logs)
-    table = head_counts(rows, ids, min(HEAD, len(counts.by_id)), counts.classed)
-    counts = counts._replace(words=[])
-    sent = rows.mapInArrow(send(ids, share(table), logs, counts), ROW)
-    sums = _met(sent, counts, counts.tokens_all, logs, run_rows)
-    runs = _long_runs(sums)
-    history = _histories(sums, counts)
-    others = history.where(F.col("a") >= NAMED).agg(*[F.coalesce(F.sum(r), F.lit(0)) for r in R]).first()
-    d, alpha = backoff(history.where(F.col("a") < NAMED).toArrow(), table, low, counts.by_id,
-                       np.array(others, float))
-    return _scores(sums, runs, counts, logs, d, alpha, id_col, history)
-
-
-def fit(docs: DataFrame, path: str, buckets: int = 64, id_col: str = "doc_id",
-        text_col: str = "text") -> Model:
-    """Learn from all rows; the n-gram counts are stored under ``path``, partitioned by
-    ``bucket`` (the key modulo ``buckets``).  Words without an id are the class UNK."""
-    rows = _rows(docs, F.lit(True), F.lit(False), id_col, text_col)
-    share = docs.sparkSession.sparkContext.broadcast
-    counts = vocabulary(stored(word_counts(rows), "katz-words"), True)
-    ids = share({w: i for i, w in enumerate(counts.words, WORD)})
-    low, *_ = all_logs = class_logs(counts)
-    logs = share(all_logs)
-    table = head_counts(rows, ids, min(HEAD, len(counts.by_id)), counts.classed)
-    grams = (rows.mapInArrow(send(ids, share(table), logs, counts._replace(words=[])), ROW)
-             .where("key >= 0").groupBy("key").agg(F.sum("n").alias("n")))
-    grams.withColumn("bucket", F.pmod("key", F.lit(buckets))).write.partitionBy("bucket").parquet(path)
-
-    def per_history(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            key = b.column(0).to_numpy()
-            yield from histories(key, b.column(1).to_numpy(), *pairs(key), logs.value[0])
-
-    stored_grams = docs.sparkSession.read.schema("key long, n long").parquet(path)
-    history = (summed(stored_grams.mapInArrow(per_history, SUMS)).where("kind = 2").select("a", "n", "x", *R).toArrow())
-    return Model(counts, table, *backoff(history, table, low, counts.by_id), path)
+def _answers(spark: SparkSession, path: str, orders: int) -> DataFrame:
+    out = None
+    for n in range(1, orders + 1):
+        one = table(spark, path, n, "answers").select(F.lit(n).alias("order"), "chunk", "bucket", "ids", "counts",
+                                                      "stats")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
-def score_with(model: Model, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-               run_rows: int = RUN_ROWS) -> DataFrame:
-    """Score documents by a fitted model: their n-grams meet the stored table's rows.
+def _walk(chunks: DataFrame, path: str, model: Model, order: int, tasks: int, schema: str) -> DataFrame:
+    """``evaluate`` for every chunk with its answers."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        answers, out = right.to_pylist(), []
+        for row in left.to_pylist():
+            got = evaluate(Tokens(row), answers, model, order, left.schema.field("id").type.value_type)
+            out.append(pa.Table.from_batches([got]) if isinstance(got, pa.RecordBatch) else got)
+        return pa.concat_tables(out)
+
+    answers = _answers(chunks.sparkSession, path, order - 1)
+    return (chunks.repartition(tasks, "chunk").groupBy("chunk")
+            .cogroup(answers.repartition(tasks, "chunk").groupBy("chunk")).applyInArrow(run, schema))
+
+
+def _run(chunks: DataFrame, order: int, path: str, base: Model | None = None) -> Model:
+    """All orders: n-grams are sent, merged and stored under ``path``; with ``base`` the
+    training counts are those of its tables."""
+    spark = chunks.sparkSession
+    sums = chunks.agg(F.count("*"), *[F.coalesce(F.sum(c), F.lit(0)) for c in
+                                      ("tokens", "train_tokens", "train_docs")]).first()
+    tasks = max(8, sums[0])
+    model = base or Model(path, order, max(8, -(-sums[1] // BUCKET)), sums[2], 0, sums[3], {}, {})
+
+    def merge(sent: DataFrame, n: int, how):
+        if base:
+            heavy = set(base.hot.get(n, {}))
+            sent = sent.unionByName(table(spark, base.path, n).mapInArrow(packed_table(base, n, heavy), ENTRIES))
+        out = sent.repartition(model.buckets, "bucket").groupBy("bucket").applyInArrow(how, MERGED)
+        out.write.option("compression", "zstd").partitionBy("part").parquet(f"{path}/order={n}")
+        return spark.read.schema(MERGED).parquet(f"{path}/order={n}")
+
+    words = merge(chunks.mapInArrow(send_words(model.buckets), ENTRIES), 1, merge_words(model.buckets))
+    if not base:
+        distinct = words.where("part = 'grams'").agg(F.coalesce(F.sum(F.size("n")), F.lit(0))).first()[0]
+        model = model._replace(distinct=distinct + (model.docs > 0))
+    for n in range(2, model.order + 1):
+        grams = merge(_walk(chunks, path, model, n, tasks, ENTRIES), n,
+                      merge_grams(model.buckets, n < model.order))
+        if not base:
+            d, hot = gram_sums(grams)
+            model = model._replace(discounts={**model.discounts, n: d}, hot={**model.hot, n: hot})
+    return model
+
+
+def _scores(chunks: DataFrame, path: str, model: Model, id_col: str) -> DataFrame:
+    id_type = chunks.schema["id"].dataType.elementType.simpleString()
+    done = _walk(chunks, path, model, model.order + 1, max(8, chunks.count()), f"{SCORES}, id {id_type}")
+    pieces = done.groupBy("rid").agg(
+        F.first("id").alias(id_col), F.first("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"),
+        F.sum("n_known").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
+        F.sum("base_score").alias("base_score"), F.sum("score").alias("score"))
+    return pieces.drop("rid")
+
+
+def score(docs: DataFrame, train: Column, held_out: Column, id_col: str = "doc_id", text_col: str = "text",
+          order: int = 2) -> DataFrame:
+    """Learn from the rows where ``train`` holds and score every row: the id, held_out,
+    n_tokens, n_known, train_tokens, base_score, score (log10).  The n-gram tables are
+    stored in the shared folder."""
+    chunks = _chunks(docs, train, held_out, id_col, text_col, order)
+    path = scratch_path(docs.sparkSession, "katz-tables")
+    return _scores(chunks, path, _run(chunks, order, path), id_col)
+
+
+def fit(docs: DataFrame, path: str, order: int = 2, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Learn from all rows; the n-gram tables are stored under ``path``."""
+    return _run(_chunks(docs, F.lit(True), F.lit(False), id_col, text_col, order), order, path)
+
+
+def score_with(model: Model, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Score documents by a fitted model: their n-grams meet the stored tables' rows.
     The columns are those of ``score``; held_out is true."""
-    spark = docs.sparkSession
-    share = spark.sparkContext.broadcast
-    rows = _rows(docs, F.lit(False), F.lit(True), id_col, text_col)
-    ids = share({w: i for i, w in enumerate(model.counts.words, WORD)})
-    counts, logs = model.counts._replace(words=[]), share(class_logs(model.counts))
-    sent = rows.mapInArrow(send(ids, share(model.head), logs, counts), ROW)
-    grams = spark.read.schema("key long, n long").parquet(model.ngrams).select(
-        "key", F.lit(-1).cast("long").alias("rid"), "n", F.lit(None).cast("binary").alias("doc"))
-    sums = _met(sent.unionByName(grams), counts, counts.tokens_all, logs, run_rows)
-    return _scores(sums, _long_runs(sums), counts, logs, model.discounts, model.alpha, id_col)
+    chunks = _chunks(docs, F.lit(False), F.lit(True), id_col, text_col, model.order)
+    path = scratch_path(docs.sparkSession, "katz-answers")
+    _run(chunks, model.order, path, model)
+    return _scores(chunks, path, model, id_col)

@@ -172,108 +172,87 @@ def test_decode_unknown_ids(spark):
 
 # ---------------------------------------------------------- language model --
 
-def slow_katz(rows, train, vocabulary):
+def slow_katz(rows, train, order):
     """Scores by dictionaries, straight from the formulas."""
-    def tok(t):
-        return [*katz.words_of(t), "end"]
-    uni, big, hist = Counter(), Counter(), Counter()
+    uni, gram, hist, stream = Counter(), Counter(), Counter(), {}
     for i, t in rows:
+        tokens = ["start", *katz.words_of(t), "end"]
         if train(i):
-            uni.update(tok(t))
+            uni.update(tokens[1:])
+            for n in range(2, order + 1):
+                for j in range(n - 1, len(tokens)):
+                    gram[tuple(tokens[j - n + 1:j + 1])] += 1
+                    hist[tuple(tokens[j - n + 1:j])] += 1
     n = sum(uni.values())
-    voc = {w for w, c in uni.items() if w != "end" and c * vocabulary > n}
-
-    def cls(w):
-        return w if w == "end" or w in voc else "unk"
-    for i, t in rows:
-        h = "start"
-        if train(i):
-            for w in map(cls, tok(t)):
-                big[h, w] += 1
-                hist[h] += 1
-                h = w
-    count = Counter()
-    for w, c in uni.items():
-        count[cls(w)] += c
-    classes = [*voc, "end", "unk"]
-    low = {c: (count[c] + .1) / sum(count[x] + .1 for x in classes) for c in classes}
-    d = katz.discounts(np.array([sum(v == r for v in big.values()) for r in range(1, 7)], float))
-    kept, mass = Counter(), Counter()
-    for (h, w), c in big.items():
-        kept[h] += (d[c - 1] if c <= 5 else 1) * c / (hist[h] + .5)
-        mass[h] += low[w]
+    words = [*uni, *(["end"] if "end" not in uni else []), "unknown"]
+    low = {w: (uni[w] + .1) / sum(uni[x] + .1 for x in words) for w in words}
+    d = {k: katz.discounts(np.array([sum(v == r for g, v in gram.items() if len(g) == k) for r in range(1, 7)],
+                                    float)) for k in range(2, order + 1)}
+    follow = {}
+    for g in gram:
+        follow.setdefault(g[:-1], []).append(g[-1])
+    alphas = {}
+
+    def seen(h, w):
+        c = gram[(*h, w)]
+        return (d[len(h) + 1][c - 1] if c <= 5 else 1) * c / (hist[h] + .5)
 
     def p(h, w):
-        c = big[h, w]
-        if c:
-            return (d[c - 1] if c <= 5 else 1) * c / (hist[h] + .5)
-        full = not hist[h] or 1 - mass[h] < 1e-12
-        return low[w] * (1 if full else (1 - kept[h]) / (1 - mass[h]))
-    rare = [w for w in uni if cls(w) == "unk"]
-    every = sum(uni[w] for w in rare) + .1 * (len(rare) + 1)
+        if not h:
+            return low.get(w, low["unknown"])
+        if gram[(*h, w)]:
+            return seen(h, w)
+        if h not in alphas:
+            mass = sum(p(h[1:], x) for x in follow.get(h, []))
+            alphas[h] = (1 if not hist[h] or 1 - mass < 1e-12 else
+                         (1 - sum(seen(h, x) for x in follow[h])) / (1 - mass))
+        return alphas[h] * p(h[1:], w)
     out = []
     for i, t in rows:
-        h, s, b = "start", 0.0, 0.0
-        for w in tok(t):
-            s += math.log10(p(h, cls(w)) * ((uni[w] + .1) / every if cls(w) == "unk" else 1))
-            b += math.log10((uni[w] + .1) / (n + .1 * (len(uni) + 1)))
-            h = cls(w)
-        out.append((i, len(tok(t)), sum(uni[w] > 0 for w in tok(t)), n, round(b, 6), round(s, 6)))
-    sums = [sum(p(h, w) for w in classes) for h in list(hist)[:20] if 1 - mass[h] > 1e-12]
-    return out, sums
-
-
-@pytest.mark.parametrize("vocabulary,head,run_rows,chunk", [(1 << 20, 512, 1 << 20, 1 << 20), (40, 4, 5, 7),
-                                                            (1, 3, 50, 1 << 20)])
-def test_katz_matches_brute_force(spark, monkeypatch, vocabulary, head, run_rows, chunk):
-    for k, v in (("VOCABULARY", vocabulary), ("HEAD", head), ("CHUNK", chunk), ("WORDS_HELD", chunk)):
-        monkeypatch.setattr(katz, k, v)
-    rnd = random.Random(6)
-    words = [f"w{int(rnd.paretovariate(0.8))}" for _ in range(3000)] + ["The", "the"] * 300
-    rows = [(i, " ".join(rnd.choices(words, k=rnd.randrange(60)))) for i in range(60)]
-    rows += [(100, None), (101, ""), (102, "\t new words\x0bhere \u00a0x "), (5, rows[5][1]), (5, "other text")]
-    df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, train int").repartition(3)
-    got = katz.score(df, F.col("doc_id") % 10 != 0, F.col("doc_id") % 10 == 0, run_rows=run_rows).collect()
-    want, sums = slow_katz(rows, lambda i: i % 10 != 0, vocabulary)
-    assert sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6))
-                  for r in got) == sorted(want)
-    assert all(r.held_out == (r.doc_id % 10 == 0) for r in got)
-    assert all(abs(s - 1) < 1e-9 for s in sums)
+        tokens = ["start", *katz.words_of(t), "end"]
+        s = sum(math.log10(p(tuple(tokens[max(0, j - order + 1):j]), tokens[j])) for j in range(1, len(tokens)))
+        b = sum(math.log10((uni[w] + .1) / (n + .1 * (len(uni) + 1))) for w in tokens[1:])
+        out.append((i, len(tokens) - 1, sum(uni[w] > 0 for w in tokens[1:]), n, round(b, 6), round(s, 6)))
+    return out, [sum(p(h, w) for w in words) for h in list(hist)[:20]]
 
 
-@pytest.mark.parametrize("broadcast,head,run_rows,chunk", [(1 << 20, 512, 1 << 18, 1 << 18), (40, 4, 5, 7),
-                                                           (1, 3, 50, 1 << 18)])
-def test_katz_every_word_has_its_own_bigrams(spark, monkeypatch, broadcast, head, run_rows, chunk):
-    for k, v in (("BROADCAST", broadcast), ("HEAD", head), ("CHUNK", chunk), ("WORDS_HELD", chunk)):
-        monkeypatch.setattr(katz, k, v)
-    rnd = random.Random(9)
+def katz_rows(seed):
+    rnd = random.Random(seed)
     words = [f"w{int(rnd.paretovariate(0.8))}" for _ in range(3000)] + ["The", "the"] * 300
     rows = [(i, " ".join(rnd.choices(words, k=rnd.randrange(60))) + " rare phrase of words" * (i % 3 == 0))
             for i in range(60)]
-    rows += [(100, None), (101, ""), (102, "\t new words\x0bhere new words \u00a0x "), (5, rows[5][1]),
-             (110, "never seen never seen " * 20)]
+    return rows + [(100, None), (101, ""), (102, "\t new words\x0bhere new words \u00a0x "), (5, rows[5][1]),
+                   (5, "other text"), (110, "never seen never seen " * 20), (111, "one two " * 40)]
+
+
+@pytest.mark.parametrize("order,chunk,bucket", [(2, 1 << 19, 1 << 21), (2, 7, 100), (3, 1 << 19, 1 << 21),
+                                                (3, 5, 60), (1, 9, 100), (4, 11, 300)])
+def test_katz_matches_brute_force(spark, monkeypatch, order, chunk, bucket):
+    monkeypatch.setattr(katz, "CHUNK", chunk)
+    monkeypatch.setattr(katz, "BUCKET", bucket)
+    rows = katz_rows(order)
     df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, train int").repartition(3)
-    got = katz.score(df, F.col("doc_id") % 10 != 0, F.col("doc_id") % 10 == 0, run_rows=run_rows).collect()
-    want, sums = slow_katz(rows, lambda i: i % 10 != 0, 1 << 20)
+    got = katz.score(df, F.col("doc_id") % 10 != 0, F.col("doc_id") % 10 == 0, order=order).collect()
+    want, sums = slow_katz(rows, lambda i: i % 10 != 0, order)
     assert sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6))
                   for r in got) == sorted(want)
+    assert all(r.held_out == (r.doc_id % 10 == 0) for r in got)
     assert all(abs(s - 1) < 1e-9 for s in sums)
 
 
-@pytest.mark.parametrize("run_rows", [1 << 18, 20])
-def test_stored_model_scores_alike(spark, monkeypatch, tmpdir_path, run_rows):
-    for k, v in (("VOCABULARY", 60), ("HEAD", 5)):
-        monkeypatch.setattr(katz, k, v)
-    rnd = random.Random(8)
-    words = [f"w{int(rnd.paretovariate(0.8))}" for _ in range(2000)]
-    rows = [(i, " ".join(rnd.choices(words, k=rnd.randrange(50)))) for i in range(50)] + [(50, None), (51, "z z9 z")]
+@pytest.mark.parametrize("order,bucket", [(2, 1 << 21), (2, 60), (3, 60)])
+def test_stored_model_scores_alike(spark, monkeypatch, tmpdir_path, order, bucket):
+    monkeypatch.setattr(katz, "BUCKET", bucket)
+    rows = katz_rows(20 + order)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     held = F.col("doc_id") % 10 == 0
-    model = katz.fit(df.where(~held), f"{tmpdir_path}/ngrams", buckets=3)
+    model = katz.fit(df.where(~held), f"{tmpdir_path}/ngrams{order}{bucket}", order=order)
     cols = ["doc_id", "n_tokens", "n_known", "train_tokens", F.round("base_score", 8), F.round("score", 8)]
-    got = katz.score_with(model, df.where(held), run_rows=run_rows).select(cols).collect()
-    want = katz.score(df, ~held, held).where("held_out").select(cols).collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 6
+    got = katz.score_with(model, df.where(held)).select(cols).collect()
+    want = katz.score(df, ~held, held, order=order).where("held_out").select(cols).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 8
+    grams = katz.table(spark, model.path, 2).select(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)))
+    assert grams.first()[0] == model.tokens
 
 
 def test_katz_edges(spark):
@@ -282,3 +261,13 @@ def test_katz_edges(spark):
     assert len(none) == 2 and all(math.isfinite(r.score) and r.train_tokens == 0 for r in none)
     assert katz.score(df.limit(0), F.lit(True), F.lit(False)).count() == 0
     assert not {r.held_out for r in katz.score(df, F.col("doc_id") > 0, F.col("doc_id") < 0).collect()} - {False}
+    named = spark.createDataFrame([("x", "a b", 1), (None, "a b", 2)], "doc_id string, text string, rid int")
+    got = katz.score(named, F.lit(True), F.lit(False)).collect()
+    assert {r.doc_id for r in got} == {"x", None} and got[0].score == got[1].score
+
+
+def test_packed_numbers():
+    for a in ([], [0], [5, -1, 1 << 40], [255, 256]):
+        assert katz.unpack(katz.pack(np.array(a, np.int64))).tolist() == a
+    a = np.array([0.5, -1e-9, 0.5, 3.0])
+    assert katz.unpack_floats(katz.pack_floats(a)).tolist() == a.tolist()
