@@ -11,7 +11,8 @@ down to P(w), the smoothed share.  alpha(h) makes all words and one unknown word
 exactly; the half keeps mass for unseen words where no count of h is discounted.  Every
 training word has n-grams of its own; words are told apart by a 64-bit hash.
 
-The tokens of the documents are stored in chunks, each with a dictionary of its words.  For
+The tokens of the documents are stored in chunks, each with a dictionary of its words, in a
+table bucketed by chunk.  For
 each order a chunk sends its distinct n-grams, once, with their counts in its training
 documents, packed by bucket (a hash of the history).  A bucket's task adds the counts up,
 writes that part of the n-gram table (``part=grams`` of the folder ``order=n``) and answers
@@ -30,6 +31,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -40,13 +42,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from encore.llm.common import stored
 from encore.sources.sinks import scratch_path
 
 #: Counts up to K are discounted.
 K = 5
 CHUNK = 1 << 19  # tokens of a chunk
-BUCKET = 1 << 21  # tokens for each bucket
+BUCKET = 1 << 20  # tokens for each bucket
 TABLE_ROWS = 1 << 16  # n-grams in a row of the table
 #: Codes of a chunk's tokens, and ids: START and END are fixed, id 0 is unknown.
 START, END, FIRST_WORD = 0, 1, 2
@@ -60,14 +61,17 @@ SCORES = "rid long, held_out boolean, n_tokens long, n_known long, base_score do
 
 
 class Model(NamedTuple):
-    """Training totals, and for each order from 2 the discounts and the sums of the
-    histories that are dealt over buckets; the n-gram tables are under ``path``."""
+    """Training totals; the counts that words have, descending, and the first id of each
+    (at most sqrt(2 tokens) of them); for each order from 2 the discounts and the sums of
+    the histories that are dealt over buckets.  The n-gram tables are under ``path``."""
     path: str
     order: int
     buckets: int
     tokens: int
     distinct: int
     docs: int
+    levels: np.ndarray | None = None
+    starts: np.ndarray | None = None
     discounts: dict[int, np.ndarray] = {}
     hot: dict[int, dict[int, np.ndarray]] = {}
 
@@ -81,6 +85,22 @@ class Model(NamedTuple):
         return self.base_total + 0.1 * (self.docs == 0)
 
 
+    def word_ids(self, count: np.ndarray, rank: np.ndarray, bucket: int) -> np.ndarray:
+        """Ids of words by count, rank among the bucket's words of that count, and bucket;
+        frequent words have small ones."""
+        ids = np.zeros(len(count), np.int64)
+        known = count > 0
+        ids[known] = (self.starts[np.searchsorted(-self.levels, -count[known])] + rank[known] * self.buckets + bucket)
+        return ids
+
+    def shares(self, ids: np.ndarray) -> np.ndarray:
+        """P(w) of words by id."""
+        count = np.where(ids == END_ID, self.docs, 0)
+        word = ids >= FIRST_ID
+        count[word] = self.levels[np.searchsorted(self.starts, ids[word], "right") - 1]
+        return (count + 0.1) / self.low_total
+
+
 # ------------------------------------------------------------------ packing --
 
 def pack(values: np.ndarray) -> bytes:
@@ -120,7 +140,7 @@ def mixed(a: np.ndarray, b: np.ndarray | int = 0) -> np.ndarray:
 
 def blocks(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
     """The parts of a sorted array of buckets."""
-    cuts = np.flatnonzero(np.diff(bucket)) + 1
+    cuts = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
     for lo, hi in zip([0, *cuts], [*cuts, len(bucket)]):
         if hi > lo:
             yield int(bucket[lo]), slice(lo, hi)
@@ -157,7 +177,7 @@ def chunked(order: int, size: int):
             ends = int(np.sum(np.array(cols[6])[train]))
             values = [[first + made], [int((lens - leads).sum())], [int((lens - leads)[train].sum())], [ends],
                       *[[list(c)] for c in cols[:6]], [pack(place[np.array(codes, np.int64)])],
-                      [pack(hashes[by_hash])]]
+                      [pack(np.diff(hashes[by_hash], prepend=np.uint64(0)))]]
             return pa.RecordBatch.from_arrays(
                 [pa.array(v, type=t) for v, t in zip(values, types)], names)
 
@@ -200,33 +220,30 @@ class Tokens:
     """A chunk's tokens: code, place in the piece, whether they are scored, and learnt."""
 
     def __init__(self, row: dict):
+        """``row`` with or without its words."""
         self.row = row
         lens, leads = np.array(row["lens"]), np.array(row["leads"])
         self.piece = np.repeat(np.arange(len(lens)), lens)
-        self.codes, self.hashes = unpack(row["codes"]), unpack(row["words"])
+        self.codes = unpack(row["codes"])
         self.place = np.arange(len(self.codes)) - np.repeat(np.cumsum(lens) - lens, lens)
         self.scored = self.place >= leads[self.piece]
         self.train = self.scored & np.array(row["train"], bool)[self.piece]
 
-    def by_bucket(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-        """Dictionary words in the order in which they are sent, and their buckets."""
-        bucket = (self.hashes.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        return order, bucket[order]
-
 
 def send_words(buckets: int):
-    """A chunk's words with their training counts."""
+    """A chunk's words with their training counts; buckets are ranges of the hash, so they
+    follow the dictionary's order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 row = b.slice(i, 1).to_pylist()[0]
                 t = Tokens(row)
-                n = np.bincount(t.codes[t.train], minlength=len(t.hashes) + FIRST_WORD)[FIRST_WORD:]
-                order, bucket = t.by_bucket(buckets)
-                yield entries([(row["chunk"], k, b"", b"", pack(t.hashes[order[s]]), pack(n[order[s]]), b"")
-                               for k, s in blocks(bucket)])
+                words = np.cumsum(unpack(row["words"]).view(np.uint64), dtype=np.uint64)
+                n = np.bincount(t.codes[t.train], minlength=len(words) + FIRST_WORD)[FIRST_WORD:]
+                bucket = (words >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+                yield entries([(row["chunk"], k, b"", b"", pack(np.diff(words[s], prepend=np.uint64(0))), pack(n[s]),
+                                b"") for k, s in blocks(bucket)])
 
     return run
 
@@ -245,16 +262,10 @@ def evaluate(t: Tokens, answers: list[dict], model: Model, order: int, id_type:
     by_order: dict[int, list[dict]] = {}
     for a in sorted(answers, key=lambda a: (a["order"], a["bucket"])):
         by_order.setdefault(a["order"], []).append(a)
-    sent, _ = t.by_bucket(model.buckets)
-    ids = np.zeros(len(t.hashes) + FIRST_WORD, np.int64)
-    counts = np.zeros(len(ids), np.int64)
-    ids[:FIRST_WORD] = START_ID, END_ID if model.docs else 0
-    counts[:FIRST_WORD] = model.docs
-    if len(sent):
-        ids[FIRST_WORD + sent] = np.concatenate([unpack(a["ids"]) for a in by_order[1]])
-        counts[FIRST_WORD + sent] = np.concatenate([unpack(a["counts"]) for a in by_order[1]])
-    if not model.docs:
-        ids[START] = 0
+    own = [(unpack(a["counts"]), unpack(a["ids"]), a["bucket"]) for a in by_order.get(1, [])]
+    fixed = np.array([START_ID, END_ID]) if model.docs else np.zeros(2, np.int64)
+    ids = np.concatenate([fixed, *[model.word_ids(*o) for o in own]])
+    counts = np.concatenate([np.full(2, model.docs), *[o[0] for o in own]])
     word, c_word = ids[t.codes], counts[t.codes]
     p = (c_word + 0.1) / model.low_total
     gram, c_gram = word, c_word  # id and count of the n-gram that ends here
@@ -277,19 +288,19 @@ def evaluate(t: Tokens, answers: list[dict], model: Model, order: int, id_type:
         turn[1:] = (eh[1:] != eh[:-1]) | (eb[1:] != eb[:-1])
         if n == order:
             learnt = np.bincount(entry, t.train[at], len(eh)).astype(np.int64)
-            low = np.where(learnt > 0, p[pick], 0.0)
+            low = np.where(learnt > 0, p[pick], 0.0) if n > 2 else None
             out = []
             for k, s in blocks(eb):
                 first = np.flatnonzero(turn[s])
                 runs = np.diff(np.append(first, s.stop - s.start)) * 2 + heavy[by[new]][s][first]
                 out.append((t.row["chunk"], k, pack(eh[s][first]), pack(runs), pack(ew[s]), pack(learnt[s]),
-                            pack_floats(low[s])))
+                            b"" if low is None else pack_floats(low[s])))
             return entries(out)
         c = np.zeros(len(eh), np.int64)
         new_ids, stats = c, np.zeros((int(turn.sum()), STATS))
         if len(eh):
             c = np.concatenate([unpack(a["counts"]) for a in by_order[n]])
-            stats = np.concatenate([unpack_floats(a["stats"]).reshape(-1, STATS) for a in by_order[n]])
+            stats = np.concatenate([unpack_floats(a["stats"]).reshape(STATS, -1).T for a in by_order[n]])
             if n < model.order:
                 new_ids = np.concatenate([unpack(a["ids"]) for a in by_order[n]])
         for i in np.flatnonzero(heavy[by[new]][turn]):
@@ -330,41 +341,41 @@ def merged_rows(rows: list[dict]) -> pa.Table:
          ("low", pa.list_(pa.float64()))]))
 
 
-def table_rows(bucket: int, ctx, following, n, low) -> Iterator[dict]:
+def table_rows(bucket: int, ctx, following, n, low=None) -> Iterator[dict]:
     for lo in range(0, len(following), TABLE_ROWS):
         s = slice(lo, lo + TABLE_ROWS)
         yield {"part": "grams", "chunk": -1, "bucket": bucket, "ctx": ctx[s], "next": following[s], "n": n[s],
-               "low": low[s]}
-
-
-def merge_words(buckets: int):
-    """Training counts and ids of a bucket's words; frequent words have small ids."""
-
-    def run(group: pa.Table) -> pa.Table:
-        rows = sorted(group.to_pylist(), key=lambda r: r["chunk"])
-        bucket = rows[0]["bucket"]
-        words = [unpack(r["next"]) for r in rows]
-        word, place = np.unique(np.concatenate(words), return_inverse=True)
-        total = np.bincount(place, np.concatenate([unpack(r["n"]) for r in rows])).astype(np.int64)
-        by = np.lexsort((word, -total))
-        by = by[total[by] > 0]
-        ids = np.zeros(len(word), np.int64)
-        ids[by] = FIRST_ID + np.arange(len(by)) * buckets + bucket
-        out, lo = [], 0
-        for r, own in zip(rows, words):
-            at = place[lo:lo + len(own)]
-            lo += len(own)
-            if r["chunk"] >= 0:
-                out.append({"part": "answers", "chunk": r["chunk"], "bucket": bucket, "ids": pack(ids[at]),
-                            "counts": pack(total[at])})
-        none = np.zeros(len(by), np.int64)
-        return merged_rows(out + list(table_rows(bucket, none, word[by], total[by], none.astype(float))))
-
-    return run
-
-
-def merge_grams(buckets: int, want_ids: bool):
+               "low": None if low is None else low[s]}
+
+
+def merge_words(group: pa.Table) -> pa.Table:
+    """Training counts of a bucket's words, and each word's rank among those of its count;
+    how many words have each count."""
+    rows = sorted(group.to_pylist(), key=lambda r: r["chunk"])
+    bucket = rows[0]["bucket"]
+    words = [np.cumsum(unpack(r["next"]).view(np.uint64), dtype=np.uint64) for r in rows]
+    word, place = np.unique(np.concatenate(words), return_inverse=True)
+    total = np.bincount(place, np.concatenate([unpack(r["n"]) for r in rows])).astype(np.int64)
+    by = np.argsort(total, kind="stable")
+    count, first, size = np.unique(total[by], return_index=True, return_counts=True)
+    rank = np.empty(len(word), np.int64)
+    rank[by] = np.arange(len(by)) - np.repeat(first, size)
+    rank[total == 0] = 0
+    out, lo = [], 0
+    for r, own in zip(rows, words):
+        at = place[lo:lo + len(own)]
+        lo += len(own)
+        if r["chunk"] >= 0:
+            out.append({"part": "answers", "chunk": r["chunk"], "bucket": bucket, "ids": pack(rank[at]),
+                        "counts": pack(total[at])})
+    out.append({"part": "sums", "chunk": -1, "bucket": bucket, "ctx": count[count > 0], "n": size[count > 0]})
+    known = total > 0
+    return merged_rows(out + list(table_rows(bucket, rank[known], word[known].view(np.int64), total[known])))
+
+
+def merge_grams(model: Model, order: int):
     """Training counts of a bucket's n-grams, and the sums of their histories."""
+    buckets, want_ids = model.buckets, order < model.order
 
     def run(group: pa.Table) -> pa.Table:
         rows = sorted(group.to_pylist(), key=lambda r: r["chunk"])
@@ -374,7 +385,6 @@ def merge_grams(buckets: int, want_ids: bool):
         ctx = np.repeat(head, run_len >> 1)
         word = np.concatenate([unpack(r["next"]) for r in rows])
         n = np.concatenate([unpack(r["n"]) for r in rows])
-        low = np.concatenate([unpack_floats(r["low"]) for r in rows])
         by = np.lexsort((word, ctx))
         cs, ws = ctx[by], word[by]
         new_ctx = np.ones(len(by), bool)
@@ -383,7 +393,10 @@ def merge_grams(buckets: int, want_ids: bool):
         new[1:] |= ws[1:] != ws[:-1]
         first = np.flatnonzero(new)
         c = np.add.reduceat(n[by], first)
-        share = np.maximum.reduceat(low[by], first)
+        if order == 2:
+            share = model.shares(ws[first])
+        else:
+            share = np.maximum.reduceat(np.concatenate([unpack_floats(r["low"]) for r in rows])[by], first)
         entry = np.empty(len(by), np.int64)
         entry[by] = np.cumsum(new) - 1
         g_ctx, g_word = cs[first], ws[first]
@@ -404,12 +417,13 @@ def merge_grams(buckets: int, want_ids: bool):
             if r["chunk"] >= 0:
                 out.append({"part": "answers", "chunk": r["chunk"], "bucket": bucket,
                             "ids": pack(ids[at]) if want_ids else None, "counts": pack(c[at]),
-                            "stats": pack_floats(stats[np.searchsorted(histories, own)].reshape(-1))})
+                            "stats": pack_floats(stats[np.searchsorted(histories, own)].T.reshape(-1))})
         hot = np.unique(head[run_len & 1 == 1])
         out.append({"part": "sums", "chunk": -1, "bucket": bucket, "ctx": hot,
                     "n": [int((c == r).sum()) for r in range(1, K + 2)],
                     "low": stats[np.searchsorted(histories, hot)].reshape(-1)})
-        return merged_rows(out + list(table_rows(bucket, g_ctx[seen], g_word[seen], c[seen], share[seen])))
+        return merged_rows(out + list(table_rows(bucket, g_ctx[seen], g_word[seen], c[seen],
+                                                 share[seen] if order > 2 else None)))
 
     return run
 
@@ -428,11 +442,23 @@ def discounts(n: np.ndarray) -> np.ndarray:
 
 
 def table(spark: SparkSession, path: str, order: int, part: str = "grams") -> DataFrame:
-    """A part of the stored table of an order: ``grams`` has in lists the history's id
-    (0 for words), the word's id (its hash for words), the count, and P by the order below."""
+    """A part of the stored table of an order: ``grams`` has in lists the history's id,
+    the word's id, the count and, from order 3, P by the order below; for words the rank
+    among the bucket's words of its count, the hash and the count."""
     return spark.read.schema(MERGED).parquet(f"{path}/order={order}").where(F.col("part") == part)
 
 
+def word_levels(words: DataFrame, buckets: int, docs: int) -> dict:
+    """The counts that words have, the first id of each, and how many words there are."""
+    found = (words.where("part = 'sums'").select(F.explode(F.arrays_zip("ctx", "n")).alias("c"))
+             .groupBy("c.ctx").agg(F.max("c.n").alias("most"), F.sum("c.n").alias("words"))
+             .orderBy(F.desc("ctx")).toArrow())
+    most = found["most"].to_numpy().astype(np.int64)
+    return {"levels": found["ctx"].to_numpy().astype(np.int64),
+            "starts": FIRST_ID + np.cumsum(most * buckets) - most * buckets,
+            "distinct": int(found["words"].to_numpy().sum()) + (docs > 0)}
+
+
 def gram_sums(grams: DataFrame) -> tuple[np.ndarray, dict[int, np.ndarray]]:
     """Discounts of an order, and the whole sums of histories dealt over buckets, no more
     than there are buckets."""
@@ -444,27 +470,39 @@ def gram_sums(grams: DataFrame) -> tuple[np.ndarray, dict[int, np.ndarray]]:
     return discounts(np.array(by_count, float)), {r[0]: np.array(r[1:], float) for r in one}
 
 
-def packed_table(model: Model, order: int, heavy: set[int]):
+def packed_table(order: int, heavy: set[int]):
     """Rows of a stored table as they are sent by a chunk; in no chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                ctx, low = np.array(r["ctx"], np.int64), np.array(r["low"], float)
+                ctx, word = np.array(r["ctx"], np.int64), np.array(r["next"], np.int64)
                 hot = np.isin(ctx, np.fromiter(heavy, np.int64, len(heavy)))
-                words = pack(np.array(r["next"], np.int64)), pack(np.array(r["n"], np.int64))
-                yield entries([(-1, r["bucket"], pack(ctx), pack(2 + hot.astype(np.int64)), *words,
-                                pack_floats(low))])
+                if order == 1:
+                    word = np.diff(word.view(np.uint64), prepend=np.uint64(0))
+                low = pack_floats(np.array(r["low"], float)) if order > 2 else b""
+                yield entries([(-1, r["bucket"], pack(ctx), pack(2 + hot.astype(np.int64)), pack(word),
+                                pack(np.array(r["n"], np.int64)), low)])
 
     return run
 
 
+def _tasks(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _chunks(docs: DataFrame, train: Column, held_out: Column, id_col: str, text_col: str, order: int) -> DataFrame:
+    """The stored chunks, in buckets by chunk: only answers are shuffled to meet them."""
     rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("id"),
                        F.coalesce(held_out, F.lit(False)).alias("held"),
                        F.coalesce(train, F.lit(False)).alias("train"))
     id_type = rows.schema["id"].dataType.simpleString()
-    return stored(rows.mapInArrow(chunked(order, CHUNK), chunk_schema(id_type)), "katz-chunks")
+    spark, name = docs.sparkSession, f"katz_chunks_{uuid.uuid4().hex}"
+    (rows.mapInArrow(chunked(order, CHUNK), chunk_schema(id_type)).write.bucketBy(_tasks(spark), "chunk")
+     .option("path", scratch_path(spark, "katz-chunks")).saveAsTable(name))
+    chunks = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only: its files stay in the scratch folder
+    return chunks
 
 
 def _answers(spark: SparkSession, path: str, orders: int) -> DataFrame:
@@ -476,7 +514,7 @@ def _answers(spark: SparkSession, path: str, orders: int) -> DataFrame:
     return out
 
 
-def _walk(chunks: DataFrame, path: str, model: Model, order: int, tasks: int, schema: str) -> DataFrame:
+def _walk(chunks: DataFrame, path: str, model: Model, order: int, schema: str) -> DataFrame:
     """``evaluate`` for every chunk with its answers."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -487,34 +525,32 @@ def _walk(chunks: DataFrame, path: str, model: Model, order: int, tasks: int, sc
         return pa.concat_tables(out)
 
     answers = _answers(chunks.sparkSession, path, order - 1)
-    return (chunks.repartition(tasks, "chunk").groupBy("chunk")
-            .cogroup(answers.repartition(tasks, "chunk").groupBy("chunk")).applyInArrow(run, schema))
+    return (chunks.drop("words").groupBy("chunk")
+            .cogroup(answers.repartition(_tasks(chunks.sparkSession), "chunk").groupBy("chunk"))
+            .applyInArrow(run, schema))
 
 
 def _run(chunks: DataFrame, order: int, path: str, base: Model | None = None) -> Model:
     """All orders: n-grams are sent, merged and stored under ``path``; with ``base`` the
     training counts are those of its tables."""
     spark = chunks.sparkSession
-    sums = chunks.agg(F.count("*"), *[F.coalesce(F.sum(c), F.lit(0)) for c in
-                                      ("tokens", "train_tokens", "train_docs")]).first()
-    tasks = max(8, sums[0])
-    model = base or Model(path, order, max(8, -(-sums[1] // BUCKET)), sums[2], 0, sums[3], {}, {})
+    tokens, learnt, docs = chunks.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in
+                                        ("tokens", "train_tokens", "train_docs")]).first()
+    model = base or Model(path, order, max(8, -(-tokens // BUCKET)), learnt, 0, docs)
 
     def merge(sent: DataFrame, n: int, how):
         if base:
             heavy = set(base.hot.get(n, {}))
-            sent = sent.unionByName(table(spark, base.path, n).mapInArrow(packed_table(base, n, heavy), ENTRIES))
+            sent = sent.unionByName(table(spark, base.path, n).mapInArrow(packed_table(n, heavy), ENTRIES))
         out = sent.repartition(model.buckets, "bucket").groupBy("bucket").applyInArrow(how, MERGED)
         out.write.option("compression", "zstd").partitionBy("part").parquet(f"{path}/order={n}")
         return spark.read.schema(MERGED).parquet(f"{path}/order={n}")
 
-    words = merge(chunks.mapInArrow(send_words(model.buckets), ENTRIES), 1, merge_words(model.buckets))
+    words = merge(chunks.mapInArrow(send_words(model.buckets), ENTRIES), 1, merge_words)
     if not base:
-        distinct = words.where("part = 'grams'").agg(F.coalesce(F.sum(F.size("n")), F.lit(0))).first()[0]
-        model = model._replace(distinct=distinct + (model.docs > 0))
+        model = model._replace(**word_levels(words, model.buckets, model.docs), discounts={}, hot={})
     for n in range(2, model.order + 1):
-        grams = merge(_walk(chunks, path, model, n, tasks, ENTRIES), n,
-                      merge_grams(model.buckets, n < model.order))
+        grams = merge(_walk(chunks, path, model, n, ENTRIES), n, merge_grams(model, n))
         if not base:
             d, hot = gram_sums(grams)
             model = model._replace(discounts={**model.discounts, n: d}, hot={**model.hot, n: hot})
@@ -523,7 +559,7 @@ def _run(chunks: DataFrame, order: int, path: str, base: Model | None = None) ->
 
 def _scores(chunks: DataFrame, path: str, model: Model, id_col: str) -> DataFrame:
     id_type = chunks.schema["id"].dataType.elementType.simpleString()
-    done = _walk(chunks, path, model, model.order + 1, max(8, chunks.count()), f"{SCORES}, id {id_type}")
+    done = _walk(chunks, path, model, model.order + 1, f"{SCORES}, id {id_type}")
     pieces = done.groupBy("rid").agg(
         F.first("id").alias(id_col), F.first("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"),
         F.sum("n_known").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
