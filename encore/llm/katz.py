@@ -48,6 +48,7 @@ from encore.sources.sinks import scratch_path
 K = 5
 CHUNK = 1 << 19  # tokens of a chunk
 BUCKET = 1 << 20  # tokens for each bucket
+TASK_BYTES = 4 << 20  # text for each task over chunks
 TABLE_ROWS = 1 << 16  # n-grams in a row of the table
 #: Codes of a chunk's tokens, and ids: START and END are fixed, id 0 is unknown.
 START, END, FIRST_WORD = 0, 1, 2
@@ -267,6 +268,7 @@ def evaluate(t: Tokens, answers: list[dict], model: Model, order: int, id_type:
     ids = np.concatenate([fixed, *[model.word_ids(*o) for o in own]])
     counts = np.concatenate([np.full(2, model.docs), *[o[0] for o in own]])
     word, c_word = ids[t.codes], counts[t.codes]
+    word_rank = np.unique(ids, return_inverse=True)[1][t.codes]  # under 2 * CHUNK
     p = (c_word + 0.1) / model.low_total
     gram, c_gram = word, c_word  # id and count of the n-gram that ends here
     for n in range(2, order + 1):
@@ -274,16 +276,17 @@ def evaluate(t: Tokens, answers: list[dict], model: Model, order: int, id_type:
             break
         ctx, c_ctx = np.roll(gram, 1), np.roll(c_gram, 1)
         at = np.flatnonzero((t.place >= n - 1) & (ctx > 0))
-        h, w = ctx[at], word[at]
-        heavy = c_ctx[at] * model.buckets > model.tokens
-        bucket = (mixed(h, np.where(heavy, w + 1, 0)) % np.uint64(model.buckets)).astype(np.int64)
-        by = np.lexsort((w, h, bucket))
-        hs, ws, bs = h[by], w[by], bucket[by]
-        new = np.ones(len(by), bool)
-        new[1:] = (hs[1:] != hs[:-1]) | (ws[1:] != ws[:-1])
-        entry = np.empty(len(by), np.int64)
-        entry[by] = np.cumsum(new) - 1
-        eh, ew, eb, pick = hs[new], ws[new], bs[new], at[by[new]]
+        before = np.roll(word_rank, 1) if n == 2 else np.unique(ctx, return_inverse=True)[1]
+        _, pick, entry = np.unique(before[at] << 21 | word_rank[at], return_index=True, return_inverse=True)
+        pick = at[pick]
+        heavy = c_ctx[pick] * model.buckets > model.tokens
+        bucket = (mixed(ctx[pick], np.where(heavy, word[pick] + 1, 0)) % np.uint64(model.buckets)).astype(np.int64)
+        by = np.argsort(bucket, kind="stable")
+        pick, heavy, eb = pick[by], heavy[by], bucket[by]
+        place = np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by))
+        entry = place[entry]
+        eh, ew = ctx[pick], word[pick]
         turn = np.ones(len(eh), bool)  # first n-gram of a history in a bucket
         turn[1:] = (eh[1:] != eh[:-1]) | (eb[1:] != eb[:-1])
         if n == order:
@@ -292,7 +295,7 @@ def evaluate(t: Tokens, answers: list[dict], model: Model, order: int, id_type:
             out = []
             for k, s in blocks(eb):
                 first = np.flatnonzero(turn[s])
-                runs = np.diff(np.append(first, s.stop - s.start)) * 2 + heavy[by[new]][s][first]
+                runs = np.diff(np.append(first, s.stop - s.start)) * 2 + heavy[s][first]
                 out.append((t.row["chunk"], k, pack(eh[s][first]), pack(runs), pack(ew[s]), pack(learnt[s]),
                             b"" if low is None else pack_floats(low[s])))
             return entries(out)
@@ -303,8 +306,10 @@ def evaluate(t: Tokens, answers: list[dict], model: Model, order: int, id_type:
             stats = np.concatenate([unpack_floats(a["stats"]).reshape(STATS, -1).T for a in by_order[n]])
             if n < model.order:
                 new_ids = np.concatenate([unpack(a["ids"]) for a in by_order[n]])
-        for i in np.flatnonzero(heavy[by[new]][turn]):
-            stats[i] = model.hot[n].get(int(eh[turn][i]), stats[i])
+        if model.hot[n]:
+            hot = np.array(sorted(model.hot[n]))
+            own = np.flatnonzero(heavy[turn])
+            stats[own] = np.array([model.hot[n][h] for h in hot])[np.searchsorted(hot, eh[turn][own])]
         d = model.discounts[n]
         r = np.arange(1, K + 1)
         total, below = stats[:, K], stats[:, K + 1]
@@ -487,22 +492,21 @@ def packed_table(order: int, heavy: set[int]):
     return run
 
 
-def _tasks(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def _chunks(docs: DataFrame, train: Column, held_out: Column, id_col: str, text_col: str, order: int) -> DataFrame:
-    """The stored chunks, in buckets by chunk: only answers are shuffled to meet them."""
+def _chunks(docs: DataFrame, train: Column, held_out: Column, id_col: str, text_col: str, order: int) -> tuple[DataFrame, int]:
+    """The stored chunks, in buckets by chunk, and the number of these: only answers are
+    shuffled to meet them."""
     rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("id"),
                        F.coalesce(held_out, F.lit(False)).alias("held"),
                        F.coalesce(train, F.lit(False)).alias("train"))
     id_type = rows.schema["id"].dataType.simpleString()
     spark, name = docs.sparkSession, f"katz_chunks_{uuid.uuid4().hex}"
-    (rows.mapInArrow(chunked(order, CHUNK), chunk_schema(id_type)).write.bucketBy(_tasks(spark), "chunk")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(8, -(-size // TASK_BYTES))
+    (rows.mapInArrow(chunked(order, CHUNK), chunk_schema(id_type)).write.bucketBy(tasks, "chunk")
      .option("path", scratch_path(spark, "katz-chunks")).saveAsTable(name))
     chunks = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the name only: its files stay in the scratch folder
-    return chunks
+    return chunks, tasks
 
 
 def _answers(spark: SparkSession, path: str, orders: int) -> DataFrame:
@@ -514,7 +518,7 @@ def _answers(spark: SparkSession, path: str, orders: int) -> DataFrame:
     return out
 
 
-def _walk(chunks: DataFrame, path: str, model: Model, order: int, schema: str) -> DataFrame:
+def _walk(chunks: DataFrame, path: str, model: Model, order: int, tasks: int, schema: str) -> DataFrame:
     """``evaluate`` for every chunk with its answers."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -526,11 +530,11 @@ def _walk(chunks: DataFrame, path: str, model: Model, order: int, schema: str) -
 
     answers = _answers(chunks.sparkSession, path, order - 1)
     return (chunks.drop("words").groupBy("chunk")
-            .cogroup(answers.repartition(_tasks(chunks.sparkSession), "chunk").groupBy("chunk"))
+            .cogroup(answers.repartition(tasks, "chunk").groupBy("chunk"))
             .applyInArrow(run, schema))
 
 
-def _run(chunks: DataFrame, order: int, path: str, base: Model | None = None) -> Model:
+def _run(chunks: DataFrame, tasks: int, order: int, path: str, base: Model | None = None) -> Model:
     """All orders: n-grams are sent, merged and stored under ``path``; with ``base`` the
     training counts are those of its tables."""
     spark = chunks.sparkSession
@@ -550,16 +554,16 @@ def _run(chunks: DataFrame, order: int, path: str, base: Model | None = None) ->
     if not base:
         model = model._replace(**word_levels(words, model.buckets, model.docs), discounts={}, hot={})
     for n in range(2, model.order + 1):
-        grams = merge(_walk(chunks, path, model, n, ENTRIES), n, merge_grams(model, n))
+        grams = merge(_walk(chunks, path, model, n, tasks, ENTRIES), n, merge_grams(model, n))
         if not base:
             d, hot = gram_sums(grams)
             model = model._replace(discounts={**model.discounts, n: d}, hot={**model.hot, n: hot})
     return model
 
 
-def _scores(chunks: DataFrame, path: str, model: Model, id_col: str) -> DataFrame:
+def _scores(chunks: DataFrame, tasks: int, path: str, model: Model, id_col: str) -> DataFrame:
     id_type = chunks.schema["id"].dataType.elementType.simpleString()
-    done = _walk(chunks, path, model, model.order + 1, f"{SCORES}, id {id_type}")
+    done = _walk(chunks, path, model, model.order + 1, tasks, f"{SCORES}, id {id_type}")
     pieces = done.groupBy("rid").agg(
         F.first("id").alias(id_col), F.first("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"),
         F.sum("n_known").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
@@ -572,20 +576,20 @@ def score(docs: DataFrame, train: Column, held_out: Column, id_col: str = "doc_i
     """Learn from the rows where ``train`` holds and score every row: the id, held_out,
     n_tokens, n_known, train_tokens, base_score, score (log10).  The n-gram tables are
     stored in the shared folder."""
-    chunks = _chunks(docs, train, held_out, id_col, text_col, order)
+    chunks, tasks = _chunks(docs, train, held_out, id_col, text_col, order)
     path = scratch_path(docs.sparkSession, "katz-tables")
-    return _scores(chunks, path, _run(chunks, order, path), id_col)
+    return _scores(chunks, tasks, path, _run(chunks, tasks, order, path), id_col)
 
 
 def fit(docs: DataFrame, path: str, order: int = 2, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Learn from all rows; the n-gram tables are stored under ``path``."""
-    return _run(_chunks(docs, F.lit(True), F.lit(False), id_col, text_col, order), order, path)
+    return _run(*_chunks(docs, F.lit(True), F.lit(False), id_col, text_col, order), order, path)
 
 
 def score_with(model: Model, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score documents by a fitted model: their n-grams meet the stored tables' rows.
     The columns are those of ``score``; held_out is true."""
-    chunks = _chunks(docs, F.lit(False), F.lit(True), id_col, text_col, model.order)
+    chunks, tasks = _chunks(docs, F.lit(False), F.lit(True), id_col, text_col, model.order)
     path = scratch_path(docs.sparkSession, "katz-answers")
-    _run(chunks, model.order, path, model)
-    return _scores(chunks, path, model, id_col)
+    _run(chunks, tasks, model.order, path, model)
+    return _scores(chunks, tasks, path, model, id_col)
