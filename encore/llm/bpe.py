@@ -18,7 +18,7 @@ no piece occurrence is shuffled, only counts of frequent words.
 
 Cases: a null text is empty, an empty text has no tokens; equal texts have equal ids;
 null ids and ids outside the vocabulary decode to nothing; empty tables give no rows;
-very long words are encoded like others; extra columns stay, but for those that carry
+very long words of a task are merged in n log n steps; extra columns stay, but for those that carry
 a result's name.
 """
 
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import json
 from collections import Counter
 from collections.abc import Iterator
@@ -41,6 +42,8 @@ from encore.llm.common import checkpointed
 
 #: Words with a larger share of all pieces than 1 / FREQUENT are broadcast.
 FREQUENT = 1 << 18
+#: Words of more bytes are merged by a heap, with the same result.
+LONG = 256
 #: Small maps of the rank literal.
 MAPS = 1 << 14
 #: Words that a task remembers beside the frequent ones.
@@ -118,6 +121,8 @@ def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The same merges for one word of a task."""
     if (whole := ranks.get(word)) is not None:
         return [whole]
+    if len(word) > LONG:
+        return merge_long(word, ranks)
     parts = [word[i:i + 1] for i in range(len(word))]
     costs = [ranks.get(word[i:i + 2], NO_RANK) for i in range(len(word) - 1)]
     while costs and (least := min(costs)) < NO_RANK:
@@ -131,6 +136,32 @@ def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts]
 
 
+def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same merges in n log n steps: a heap of (rank, place) over linked parts, where
+    an entry counts only while its two parts are still those it was made for."""
+    n = len(word)
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that starts here
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i:i + 2])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, stop = heapq.heappop(heap)
+        j = end[i]
+        if j == 0 or j >= n or end[j] != stop:
+            continue
+        end[i], end[j] = stop, 0
+        if stop < n:
+            before[stop] = i
+            if (r := ranks.get(word[i:end[stop]])) is not None:
+                heapq.heappush(heap, (r, i, end[stop]))
+        if i and (r := ranks.get(word[before[i]:stop])) is not None:
+            heapq.heappush(heap, (r, before[i], stop))
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[word[i:end[i]]])
+        i = end[i]
+    return out
+
+
 def frequent_words(docs: DataFrame, pattern: str, text_col: str) -> DataFrame:
     """Words that hold over 1 / FREQUENT of all pieces.  A task reports the words that
     hold that share of its own pieces, so the counts are lower bounds, and a word

@@ -271,3 +271,19 @@ def test_packed_numbers():
         assert katz.unpack(katz.pack(np.array(a, np.int64))).tolist() == a
     a = np.array([0.5, -1e-9, 0.5, 3.0])
     assert katz.unpack_floats(katz.pack_floats(a)).tolist() == a.tolist()
+
+
+def test_long_words_merge_alike(monkeypatch):
+    import public_tokenizers
+
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    rnd = random.Random(4)
+    words = ["".join(rnd.choices("etaoinshr\u00e9", k=900)).encode(), b"a" * 701, b"ab" * 400,
+             bytes(rnd.randrange(256) for _ in range(600))]
+    long = [bpe.merge_word(w, ranks) for w in words]
+    monkeypatch.setattr(bpe, "LONG", 1 << 30)
+    assert long == [bpe.merge_word(w, ranks) for w in words]
+    assert all(bpe.merge_long(w[:k], ranks) == bpe.merge_word(w[:k], ranks) for w in words for k in range(1, 40))
+    big = "".join(rnd.choices("etaoinshr", k=1_000_000)).encode()
+    by_id = {i: b for b, i in ranks.items()}
+    assert b"".join(by_id[i] for i in bpe.merge_long(big, ranks)) == big
