@@ -9,45 +9,52 @@ not scan the vocabulary.  Bytes are written as ISO-8859-1 characters, since the
 literal comes from JSON, whose map keys are strings.  ``decode_ids`` gets the tokens'
 bytes from a literal array and concatenates them, also with higher-order functions.
 
-``encode`` applies this to documents.  Words whose share of all pieces is over
-1 / ``FREQUENT`` (fewer than ``FREQUENT`` whatever the corpus) are found by counts,
-encoded once by the fold above and broadcast.  The other words are encoded where they
-occur, once per task, by the same merges in Python: the higher-order fold takes about
-50 microseconds a word there, more than the whole budget (README, op4).  No text and
-no piece occurrence is shuffled, only counts of frequent words.
+``encode`` applies this to documents.  The scan cuts texts into pieces and stores, by chunks
+of some megabytes of text, each row with its pieces as places in the chunk's list of distinct
+words, in a table bucketed by chunk.  Those lists meet by word, each distinct word of all
+documents goes through the fold once, and its ids go back to the chunks that hold it; there a
+row's ids are gathered by place.  A word is at most one row per chunk, so none is hot, and
+neither texts nor piece occurrences are shuffled.  The fold rebuilds its arrays in every step,
+which is quadratic in the word, so words of over ``LONG`` bytes are merged by a heap instead.
 
 Cases: a null text is empty, an empty text has no tokens; equal texts have equal ids;
 null ids and ids outside the vocabulary decode to nothing; empty tables give no rows;
-very long words of a task are merged in n log n steps; extra columns stay, but for those that carry
-a result's name.
+words of any length take at most n log n steps; extra columns stay, but for those that carry a
+result's name.
 """
 
 from __future__ import annotations
 
 import base64
+import copy
 import hashlib
 import heapq
 import json
-from collections import Counter
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from encore.llm.common import checkpointed
+from encore.llm.common import free_names, slices
+from encore.sources.sinks import scratch_path
 
-#: Words with a larger share of all pieces than 1 / FREQUENT are broadcast.
-FREQUENT = 1 << 18
 #: Words of more bytes are merged by a heap, with the same result.
 LONG = 256
 #: Small maps of the rank literal.
 MAPS = 1 << 14
-#: Words that a task remembers beside the frequent ones.
-CACHE = 500_000
+#: A chunk ends with the rows in which it passes so many bytes of text or distinct words.
+CHUNK, CHUNK_WORDS = 1 << 24, 1 << 18
+#: Bytes of text per bucket, and the most buckets (beyond it a bucket holds more chunks, which
+#: are still taken one by one).
+BUCKET, MOST_BUCKETS = 1 << 22, 50_000
 NO_RANK = (1 << 31) - 1
 
 
@@ -103,8 +110,9 @@ def encode_words(word: Column, ranks: dict[bytes, int]) -> Column:
         start = F.struct(p.alias("p"), F.concat(none, pairs, none).alias("r"))
         return F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), start, step)["p"]
 
-    bytes_ = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
-    return F.transform(_let(bytes_, fold), rank)
+    text = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
+    return F.when(rank(text) < NO_RANK, F.array(rank(text))).otherwise(
+        F.transform(_let(F.split(text, ""), fold), rank))
 
 
 def decode_ids(ids: Column, ranks: dict[bytes, int]) -> Column:
@@ -162,73 +170,121 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def frequent_words(docs: DataFrame, pattern: str, text_col: str) -> DataFrame:
-    """Words that hold over 1 / FREQUENT of all pieces.  A task reports the words that
-    hold that share of its own pieces, so the counts are lower bounds, and a word
-    that no task reports holds no such share."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, seen, n = regex.compile(pattern).findall, Counter(), 0
-
-        def report():
-            own = {w: c for w, c in seen.items() if c * FREQUENT > n}
-            return pa.RecordBatch.from_arrays([pa.array([None, *own], pa.string()),
-                                               pa.array([n, *own.values()], pa.int64())], ["word", "n"])
-
-        for b in batches:
-            for text in b.column(0):
-                pieces = find(text.as_py() or "")
-                seen.update(pieces)
-                n += len(pieces)
-                if len(seen) > 2 * CACHE:
-                    yield report()
-                    seen, n = Counter(), 0
-        yield report()
-
-    found = (docs.select(text_col).mapInArrow(count, "word string, n long")
-             .groupBy("word").agg(F.sum("n").alias("n")))
-    found = checkpointed(found)
-    total = (found.where("word IS NULL").first() or (None, 0))[1]
-    return found.where(F.col("word").isNotNull() & (F.col("n") * FREQUENT > total)).select("word")
-
-
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text") -> DataFrame:
-    """Add n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit integers)
-    and ids to every row."""
-    words = frequent_words(docs, pattern, text_col)
-    known = {r["word"]: np.array(r["ids"], "<u4").tobytes()
-             for r in words.select("word", encode_words(F.col("word"), ranks).alias("ids")).collect()}
-    shared = docs.sparkSession.sparkContext.broadcast((known, ranks))
-    results = ("n_tokens", "ids_sha256", "ids")
-    names = [c for c in docs.columns if c.lower() not in results]
-    at = names.index(text_col)
+def cut(pattern: str, at: int, keep: list[int], names: list[str]):
+    """mapInArrow: the kept columns of every row, its chunk, its pieces as places in the chunk's
+    list of distinct words, and that list in the chunk's last row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = regex.compile(pattern).findall
-        known, ranks = shared.value
+        find, held = regex.compile(pattern).findall, None
+        chunk, size = TaskContext.get().partitionId() << 32, 0
 
-        class Ids(dict):
+        class Places(dict):
             def __missing__(self, word):
-                if len(self) > len(known) + CACHE:
-                    self.clear()
-                    self.update(known)
-                self[word] = own = np.array(merge_word(word.encode(), ranks), "<u4").tobytes()
-                return own
+                self[word] = n = len(self)
+                return n
+
+        places = Places()
+
+        def out(part, rows, last):
+            lists = pa.array([None] * (len(rows) - 1) + [list(places) if last else None], pa.list_(pa.string()))
+            return pa.RecordBatch.from_arrays(
+                [*[part.column(i) for i in keep], pa.array([chunk] * len(rows), pa.int64()),
+                 pa.array(rows, pa.binary()), lists], names)
 
-        cache = Ids(known)
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                rows = [b"".join([cache[w] for w in find(t.as_py() or "")]) for t in part.column(at)]
-                sizes = [len(r) // 4 for r in rows]
-                ids = pa.ListArray.from_arrays(np.cumsum([0, *sizes], dtype=np.int32),
-                                               pa.array(np.frombuffer(b"".join(rows), "<u4").astype(np.int32)))
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(sizes, pa.int64()),
-                     pa.array([hashlib.sha256(r).hexdigest() for r in rows], pa.string()), ids],
-                    [*names, *results])
-
-    kept = docs.select(*names)
-    schema = kept.withColumns({"n_tokens": F.lit(0).cast("long"), "ids_sha256": F.lit(""),
-                               "ids": F.array(F.lit(0))}).schema
-    return kept.mapInArrow(run, schema)
+            for part in slices(b, at, 1 << 20):
+                if held is not None:
+                    full = size >= CHUNK or len(places) >= CHUNK_WORDS
+                    yield out(*held, full)
+                    if full:
+                        chunk, size, places = chunk + 1, 0, Places()
+                texts = [t or "" for t in part.column(at).to_pylist()]
+                held = part, [np.array([places[w] for w in find(t)], "<u4").tobytes() for t in texts]
+                size += sum(map(len, texts))
+        if held is not None:
+            yield out(*held, True)
+
+    return run
+
+
+def word_ids(chunks: DataFrame, chunk: str, words: str, ranks: dict[bytes, int], tasks: int) -> DataFrame:
+    """(chunk, place, ids) of every chunk's words; each distinct word is encoded once, where its
+    rows of all chunks meet, those of over ``LONG`` bytes once per chunk by the heap."""
+    shared = chunks.sparkSession.sparkContext.broadcast(ranks)
+    pairs = (chunks.where(F.col(words).isNotNull())
+             .select(F.col(chunk).alias("chunk"), F.posexplode(words).alias("place", "word")))
+    short = F.octet_length("word") <= LONG
+    same = Window.partitionBy("word").orderBy("chunk")
+    folded = (pairs.where(short).repartition(tasks, "word")
+              .withColumn("first", F.row_number().over(same) == 1)
+              .withColumn("ids", F.when(F.col("first"), encode_words(F.col("word"), ranks)))
+              .withColumn("ids", F.first("ids").over(same.rowsBetween(Window.unboundedPreceding, 0))))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = [merge_word(w.as_py().encode(), shared.value) for w in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32()))],
+                                             ["chunk", "place", "ids"])
+
+    merged = pairs.where(~short).mapInArrow(merge, "chunk long, place int, ids array<int>")
+    return folded.select("chunk", "place", "ids").unionByName(merged)
+
+
+def gather(names: list[str], index: str, results: tuple):
+    """Cogroup of a chunk's rows with its words' ids: the rows with n_tokens, ids_sha256, ids."""
+
+    def run(rows: pa.Table, words: pa.Table) -> pa.Table:
+        words = words.combine_chunks()
+        lists = words.column("ids").combine_chunks()
+        if isinstance(lists, pa.ChunkedArray):  # of an empty table
+            lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
+        flat = lists.flatten().to_numpy(zero_copy_only=False)
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        place = words.column("place").to_numpy()
+        start, size = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+        start[place], size[place] = np.cumsum(sizes) - sizes, sizes
+        done = []
+        for batch in rows.to_batches():
+            at = batch.schema.get_field_index(index)
+            for part in slices(batch, at, 1 << 21):
+                data = part.column(at).to_pylist()
+                places = np.frombuffer(b"".join(data), "<u4")
+                n = size[places]
+                ends = np.cumsum(n)
+                ids = flat[np.repeat(start[places] - ends + n, n) + np.arange(n.sum())].astype("<i4")
+                bounds = np.concatenate([[0], ends])[np.cumsum([0, *[len(d) // 4 for d in data]])]
+                raw = memoryview(ids.tobytes())
+                digests = [hashlib.sha256(raw[4 * a:4 * b]).hexdigest() for a, b in zip(bounds, bounds[1:])]
+                done.append(pa.Table.from_arrays(
+                    [*[part.column(part.schema.get_field_index(c)) for c in names],
+                     pa.array(np.diff(bounds), pa.int64()), pa.array(digests, pa.string()),
+                     pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array(ids, pa.int32()))],
+                    [*names, *results]))
+        return pa.concat_tables(done)
+
+    return run
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text",
+           keep_text: bool = True) -> DataFrame:
+    """Add n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit integers)
+    and ids to every row; ``keep_text=False`` leaves the text out of the result."""
+    spark, results = docs.sparkSession, ("n_tokens", "ids_sha256", "ids")
+    read = [c for c in docs.columns if c.lower() not in results or c == text_col]
+    names = [c for c in read if c.lower() not in results and (keep_text or c != text_col)]
+    chunk, index, words = free_names([*read, *results], "chunk", "index", "words")
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    tasks = min(max(8, -(-size // BUCKET)), MOST_BUCKETS)
+    cut_to, done = copy.deepcopy(docs.select(*names).schema), copy.deepcopy(docs.select(*names).schema)
+    cut_to.add(chunk, "long").add(index, "binary").add(words, ArrayType(StringType()))
+    done.add("n_tokens", "long").add("ids_sha256", "string").add("ids", ArrayType(IntegerType()))
+    table = f"bpe_chunks_{uuid.uuid4().hex}"
+    (docs.select(*read).mapInArrow(cut(pattern, read.index(text_col), [read.index(c) for c in names], cut_to.names),
+                                   cut_to)
+     .write.bucketBy(tasks, chunk).option("compression", "zstd").option("path", scratch_path(spark, "bpe-chunks"))
+     .saveAsTable(table))
+    chunks = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the name only: its files stay in the scratch folder
+    answers = word_ids(chunks, chunk, words, ranks, tasks).repartition(tasks, "chunk")
+    return (chunks.drop(words).groupBy(chunk).cogroup(answers.groupBy("chunk"))
+            .applyInArrow(gather(names, index, results), done))

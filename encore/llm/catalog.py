@@ -115,7 +115,7 @@ def op4(spark, sf_dir):
     from encore.llm import bpe
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return (bpe.encode(docs, ranks, public_tokenizers.PATTERN)
+    return (bpe.encode(docs, ranks, public_tokenizers.PATTERN, keep_text=False)
             .select("doc_id", "n_tokens", "ids_sha256",
                     F.sha2(bpe.decode_ids(F.col("ids"), ranks), 256).alias("decoded_sha256")))
 

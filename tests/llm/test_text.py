@@ -149,10 +149,9 @@ def test_fold_and_loop_match_tiktoken(spark):
     assert all(bpe.merge_word(w.encode(), RANKS) == got[w] for w in words)
 
 
-@pytest.mark.parametrize("frequent", [1 << 18, 8])
-def test_encode_documents(spark, monkeypatch, frequent):
-    monkeypatch.setattr(bpe, "FREQUENT", frequent)
-    monkeypatch.setattr(bpe, "CACHE", 5)
+@pytest.mark.parametrize("chunk_words", [1 << 18, 3])
+def test_encode_documents(spark, monkeypatch, chunk_words):
+    monkeypatch.setattr(bpe, "CHUNK_WORDS", chunk_words)
     rows = [(i, t, 1) for i, t in enumerate([*TEXTS, *TEXTS, None])]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids int")
     out = bpe.encode(df, RANKS, public_tokenizers.PATTERN).withColumn("back", bpe.decode_ids(F.col("ids"), RANKS))
@@ -160,7 +159,12 @@ def test_encode_documents(spark, monkeypatch, frequent):
         ids = ENCODER.encode_ordinary(r.text or "")
         assert r.ids == ids and r.n_tokens == len(ids) and bytes(r.back) == (r.text or "").encode()
         assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+    assert out.count() == len(rows)
     assert bpe.encode(df.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
+    clash = df.select("doc_id", "text", F.lit(1).alias("chunk"), F.lit(2).alias("index"), F.lit("w").alias("words"))
+    bare = bpe.encode(clash, RANKS, public_tokenizers.PATTERN, keep_text=False)
+    assert bare.columns == ["doc_id", "chunk", "index", "words", "n_tokens", "ids_sha256", "ids"]
+    assert {(r.chunk, r["index"], r.words) for r in bare.collect()} == {(1, 2, "w")}
 
 
 def test_decode_unknown_ids(spark):
