@@ -54,7 +54,8 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     import public_tokenizers
 
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    done = bpe.encode(docs.select("doc_id", "source", "text"), ranks, public_tokenizers.PATTERN)
+    done = bpe.encode(docs.select("doc_id", "source", "text"), ranks, public_tokenizers.PATTERN,
+                      keep_text=False)
     return done.select("doc_id", "source", "n_tokens", "ids", "ids_sha256",
                        F.sha2(bpe.decode_ids(F.col("ids"), ranks), 256).alias("decoded_sha256"))
 
