@@ -77,6 +77,15 @@ EARTH_RADIUS = {"miles": 3958.8, "km": 6371.0}
 
 # --- fixed values: chart-page seeding --------------------------------------
 CHART_ITEM_PATTERN = r"(?s)<li><a[^>]*>(.*?)</a></li>"
+# one token of HTML: a comment, a script or style with its content, a tag, a run of text
+HTML_TOKEN = (r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
+              r"|<[a-z/!?](?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+>|[^<]+|<")
+HTML_TAG_NAME = r"^</?([A-Za-z][^\s/>]*)"
+HTML_CLASS = (r"(?i)^<(?:[^'\">]|\"[^\"]*\"|'[^']*')*?\sclass\s*=\s*"
+              r"(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+# elements without an end tag, and those whose content is one token with them
+HTML_VOID = ("area base br col embed hr img input link meta param source track wbr "
+             "script style").split()
 # white space that is stripped from names: Unicode's, not only ASCII's
 WHITE_SPACE = r"[\s\x0B\x85\p{Z}]"
 CHART_SPLIT_PATTERN = r"&|[Ww]ith|[Ff]eaturing"

@@ -411,6 +411,12 @@ def q_src8(spark, base):
     return chart_ops.element_texts(_pages(spark, base))
 
 
+@register("src8_elements_by_class")
+def q_src8_class(spark, base):
+    """SRC8: elements of three classes on any tag, nested and unclosed ones among them."""
+    return chart_ops.elements_by_class(stand_in.classed_pages(spark, base), ["ad", "top", "entry"])
+
+
 @register("scl13_primary_name")
 def q_scl13(spark, base):
     """SCL13: element texts cut at the first &/with/featuring, stripped."""

@@ -370,9 +370,10 @@ WHERE event_position <= 5"""
 
 from encore.constants import (CHART_ITEM_PATTERN, CHART_SPLIT_PATTERN, DIGEST_CARD,  # noqa: E402
                               DIGEST_CARD_END, DIGEST_DIVIDER, DIGEST_HEAD, DIGEST_TAIL)
-from encore.constants import WHITE_SPACE  # noqa: E402
+from encore.constants import HTML_CLASS, HTML_TAG_NAME, HTML_TOKEN, HTML_VOID, WHITE_SPACE  # noqa: E402
 from encore.functions.columns import named_entities  # noqa: E402
 from encore.functions.html import sql_literal, sql_render  # noqa: E402
+from encore.plans.stand_in import CLASSED_TAGS  # noqa: E402
 
 MATCHED_CTE = f"""{TOP50_CTE},
 near AS (
@@ -447,6 +448,61 @@ seed AS (
 )"""
 
 ORACLE["src8_chart_items"] = f"WITH {ITEMS_CTE} SELECT page_id, position, text FROM items"
+
+_TOKEN = HTML_TOKEN.replace("++", "+").replace("*+", "*")
+_CLASSED = "html"
+for _tag, _own in CLASSED_TAGS.items():
+    _CLASSED = f"replace({_CLASSED}, {sql_literal(_tag)}, {sql_literal(_own)})"
+_NAMES = "list_transform(w.stack, lambda x: x.name)"
+_LEFT = f"(len(w.stack) - list_position(list_reverse({_NAMES}), t.name))"
+_OPEN = "STRUCT(pos BIGINT, name VARCHAR, hit VARCHAR[])[]"
+ORACLE["src8_elements_by_class"] = f"""WITH RECURSIVE
+named AS (SELECT unnest(map_keys(m)) AS k, unnest(map_values(m)) AS v FROM (SELECT {_NAMED} AS m)),
+tok AS (
+  SELECT page_id, unnest(m) AS t, unnest(generate_series(1, len(m))) AS i
+  FROM (SELECT page_id, regexp_extract_all({_CLASSED}, {sql_literal(_TOKEN)}) AS m FROM pages) x
+),
+tag AS (
+  SELECT page_id, i, name, row_number() OVER (PARTITION BY page_id ORDER BY i) AS n,
+         CASE WHEN t LIKE '</%' THEN 'close'
+              WHEN t LIKE '%/>' OR name IN ({", ".join(map(sql_literal, HTML_VOID))}) THEN 'void'
+              ELSE 'open' END AS kind,
+         list_filter(['ad', 'top', 'entry'], lambda c: list_contains(string_split_regex(
+           {" || ".join(f"regexp_extract(t, {sql_literal(HTML_CLASS)}, {g})" for g in (1, 2, 3))}, '\\s+'), c)) AS hit
+  FROM (SELECT *, lower(regexp_extract(t, {sql_literal(HTML_TAG_NAME)}, 1)) AS name FROM tok) x
+  WHERE name <> ''
+),
+walk AS (
+  SELECT page_id, CAST(0 AS BIGINT) AS n, CAST([] AS {_OPEN}) AS stack, CAST([] AS {_OPEN}) AS gone,
+         CAST(0 AS BIGINT) AS stop
+  FROM pages
+  UNION ALL
+  SELECT w.page_id, t.n,
+         CASE WHEN t.kind = 'open' THEN list_append(w.stack, {{'pos': t.i, 'name': t.name, 'hit': t.hit}})
+              WHEN t.kind = 'close' AND list_contains({_NAMES}, t.name) THEN w.stack[1:{_LEFT}]
+              ELSE w.stack END,
+         CASE WHEN t.kind = 'void' THEN [{{'pos': t.i, 'name': t.name, 'hit': t.hit}}]
+              WHEN t.kind = 'close' AND list_contains({_NAMES}, t.name) THEN w.stack[{_LEFT} + 1:]
+              ELSE CAST([] AS {_OPEN}) END,
+         t.i
+  FROM walk w JOIN tag t ON t.page_id = w.page_id AND t.n = w.n + 1
+),
+ends AS (
+  SELECT page_id, unnest(gone) AS e, stop FROM walk
+  UNION ALL
+  SELECT page_id, unnest(stack), CAST(9223372036854775807 AS BIGINT) FROM (
+    SELECT page_id, stack FROM walk QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY n DESC) = 1) x
+),
+hits AS (SELECT page_id, e.pos AS pos, stop, unnest(e.hit) AS class FROM ends),
+raw AS (
+  SELECT h.page_id, h.class, h.pos, coalesce(string_agg(k.t, '' ORDER BY k.i), '') AS raw
+  FROM hits h LEFT JOIN tok k ON k.page_id = h.page_id AND k.i > h.pos AND k.i < h.stop
+                             AND (k.t NOT LIKE '<%' OR k.t = '<')
+  GROUP BY h.page_id, h.class, h.pos
+)
+SELECT page_id, class, row_number() OVER (PARTITION BY page_id, class ORDER BY pos) AS position,
+       regexp_replace({_UNESCAPED.replace("regexp_replace(raw, '<[^>]+>', '', 'g')", "raw")}, {_STRIP}, '', 'g') AS text
+FROM raw"""
 ORACLE["scl13_primary_name"] = f"WITH {ITEMS_CTE} SELECT page_id, position, artist_name FROM names"
 ORACLE["pipe7_chart_seed"] = f"WITH {ITEMS_CTE} SELECT * FROM seed"
 ORACLE["snk2_src3_chart_csv"] = f"WITH {ITEMS_CTE} SELECT * FROM seed"

@@ -229,3 +229,17 @@ def chart_pages(spark: SparkSession, base: str) -> DataFrame:
             .agg(F.sort_array(F.collect_list(F.struct(k, item.alias("it")))).alias("_items"))
             .select("page_id", F.concat(F.lit("<ul>"), F.array_join(
                 F.transform("_items", lambda x: x["it"]), ""), F.lit("</ul>")).alias("html")))
+
+
+#: What the pages' tags become, so that lists, items and articles carry classes.
+CLASSED_TAGS = {"<nav>": '<nav class="menu top">', "<li>": "<li class=entry>",
+                "<article>": "<article data-x=\"class='ad'\" class='story\ttop'>", "<br>": '<br class="entry">',
+                "<b>": '<b class="entrys Top">'}
+
+
+def classed_pages(spark: SparkSession, base: str) -> DataFrame:
+    """The pages with classes on some of their tags."""
+    html = F.col("html")
+    for tag, own in CLASSED_TAGS.items():
+        html = F.replace(html, F.lit(tag), F.lit(own))
+    return read_table(spark, base, "pages").select("page_id", html.alias("html"))

@@ -173,6 +173,31 @@ def test_items_by_class(spark):
     assert [r.text for r in got] == ["A", "D"]
 
 
+def test_elements_by_class(spark):
+    long_text = "y" * 300_000
+    cases = [
+        ("<div class='a'>1<p class=a>2<b>3</div>4", "a", ["123", "23"]),      # unclosed inside
+        ('<ul class="x a"><li class="a b">R&amp;D <i>i</i></li><li class="ab">n</li>', "a", ["R&D in", "R&D i"]),
+        ("</p><a CLASS=\"a\" title='>'>t<!-- <i class=a> --><script>'<b class=a>'</script>u</a>", "a", ["tu"]),
+        ("<img class=a><br class='a'/>z", "a", ["", ""]),
+        ("<p title=\"class='a'\" data-class=a>no</p><p class=A>no</p>", "a", []),
+        ("1 < 2 <q class=a>3 < 4 > 5</q>", "a", ["3 < 4 > 5"]),
+        (f"<p class=a>{long_text}", "a", [long_text]), ("", "a", []), (None, "a", []),
+        ("<p class='b a b'>both</p>", "b", ["both"]),
+    ]
+    df = spark.createDataFrame([(i, h) for i, (h, _, _) in enumerate(cases)], "page_id long, html string")
+    out = chart.elements_by_class(df, ["a", "b", "a"])
+    got = {}
+    for r in out.orderBy("page_id", "class", "position").collect():
+        got.setdefault((r.page_id, r["class"]), []).append(r.text)
+    for i, (_, c, texts) in enumerate(cases):
+        assert got.get((i, c), []) == texts, cases[i][0][:80]
+    assert got[9, "a"] == ["both"]
+    assert out.where("position < 1").count() == 0
+    assert chart.elements_by_class(df, []).count() == 0
+    assert chart.elements_by_class(df.limit(0), ["a"]).count() == 0
+
+
 def test_chart_csv_by_header_keeps_order(spark, tmpdir_path):
     from encore.plans import job
     names = [f"N{i:03d}" for i in range(60, 0, -1)]
