@@ -749,6 +749,21 @@ def q_scoped_agg18(spark, base):
     return r6(out, [c for c in ("mean", "std", "min", "p25", "p50", "p75", "max") if c in out.columns])
 
 
+@register("scoped_pipe4_blend_top50")
+def q_scoped_pipe4(spark, base):
+    """PIPE3 + PIPE4 + TOP1 per listener: each listener's 50 best blended scores from the
+    listener's own plays and ranked lists."""
+    scores = pipe.superfan_scores(_listener_features(spark, base), scope=SCOPE, rank=False)
+    artists, tracks = stand_in.listener_pages(spark, base)
+    ranked = pipe.materialise(ranked_pages.flatten_ranked_artists(artists, SCOPE))
+    heard = ranked_pages.flatten_ranked_tracks(tracks, SCOPE)
+    out = recency.blend(scores, recency.api_presence(ranked, scope=SCOPE),
+                        recency.track_breadth(heard, scope=SCOPE),
+                        recency.time_range_consistency(ranked, scope=SCOPE), scope=SCOPE)
+    top = recency.top_blended(out, 50, SCOPE)
+    return r6(top.select(*SCOPE, *recency.BLEND_OUTPUT, "blend_rank"), BLEND_DOUBLES)
+
+
 @register("scoped_pipe5_listener_centres")
 def q_scoped_pipe5_centres(spark, base):
     """PIPE5 + JN7 per listener: the events of each listener's 50 best artists within the

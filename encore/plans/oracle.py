@@ -373,7 +373,7 @@ from encore.constants import (CHART_ITEM_PATTERN, CHART_SPLIT_PATTERN, DIGEST_CA
 from encore.constants import HTML_CLASS, HTML_TAG_NAME, HTML_TOKEN, HTML_VOID, WHITE_SPACE  # noqa: E402
 from encore.functions.columns import named_entities  # noqa: E402
 from encore.functions.html import sql_literal, sql_render  # noqa: E402
-from encore.plans.stand_in import CLASSED_TAGS  # noqa: E402
+from encore.plans.stand_in import CLASSED_TAGS, LIST_STARTS  # noqa: E402
 
 MATCHED_CTE = f"""{TOP50_CTE},
 near AS (
@@ -851,6 +851,54 @@ def _scoped(cte: str) -> str:
 
 ORACLE["scoped_pipe2_scores"] = f"""WITH {_scoped(SCORES_CTE)}
 SELECT user_id, artist_name, rank, {r6(SCORE_COLS)} FROM superfan_scores"""
+_LISTENER_SPEND = "\n  UNION ALL\n".join(
+    f"  SELECT user_id, '{name}' AS list, o_custkey, round(SUM(o_totalprice), 2) AS spend FROM own "
+    f"WHERE o_orderdate >= TIMESTAMP '{start}' GROUP BY user_id, o_custkey" for name, start in LIST_STARTS.items())
+ORACLE["scoped_pipe4_blend_top50"] = f"""WITH {_scoped(SCORES_CTE)},
+own AS (SELECT o.*, e.user_id FROM orders o
+        JOIN events e ON e.event_id = o.o_orderkey % (SELECT COUNT(*) FROM events)),
+spend AS (
+{_LISTENER_SPEND}
+),
+lists AS (
+  SELECT user_id, list, printf('Customer#%09d', o_custkey) AS artist_name,
+         ROW_NUMBER() OVER (PARTITION BY user_id, list ORDER BY spend DESC, o_custkey) AS position
+  FROM spend
+),
+presence AS (
+  SELECT user_id, artist_name,
+         CASE WHEN n = 1 THEN 1.0 ELSE (n - position) / (n - 1) END AS api_presence_score
+  FROM (SELECT *, COUNT(*) OVER (PARTITION BY user_id) AS n FROM lists WHERE list = 'long_term') x
+),
+consistency AS (
+  SELECT user_id, artist_name, COUNT(DISTINCT list) / 3.0 AS time_range_consistency
+  FROM lists GROUP BY user_id, artist_name
+),
+breadth AS (
+  SELECT user_id, artist_name, n / MAX(n) OVER (PARTITION BY user_id) AS track_breadth_score
+  FROM (SELECT user_id, printf('Customer#%09d', o_custkey) AS artist_name, COUNT(DISTINCT p_name) AS n
+        FROM own JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey
+        GROUP BY user_id, o_custkey) x
+),
+blended AS (
+  SELECT s.user_id, s.artist_name, COALESCE(s.superfan_score, 0) AS superfan_score,
+         COALESCE(p.api_presence_score, 0) AS api_presence_score,
+         COALESCE(c.time_range_consistency, 0) AS time_range_consistency,
+         COALESCE(b.track_breadth_score, 0) AS track_breadth_score
+  FROM superfan_scores s
+  LEFT JOIN presence p ON p.user_id = s.user_id AND p.artist_name = s.artist_name
+  LEFT JOIN consistency c ON c.user_id = s.user_id AND c.artist_name = s.artist_name
+  LEFT JOIN breadth b ON b.user_id = s.user_id AND b.artist_name = s.artist_name
+),
+final AS (
+  SELECT *, 0.60 * superfan_score + 0.20 * api_presence_score + 0.10 * time_range_consistency
+          + 0.10 * track_breadth_score AS blended_score
+  FROM blended
+)
+SELECT user_id, artist_name, {r6(BLEND_DOUBLES)}, blend_rank FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id
+    ORDER BY blended_score DESC NULLS LAST, artist_name) AS blend_rank FROM final) x
+WHERE blend_rank <= 50"""
 ORACLE["scoped_win6_average_rank"] = f"""WITH {_scoped(FEATURES_CTE)}
 SELECT user_id, {A}, play_count_per_artist,
        RANK() OVER (PARTITION BY user_id ORDER BY play_count_per_artist)

@@ -94,18 +94,19 @@ def supplier_name(suppkey) -> F.Column:
     return F.concat(F.lit("Supplier#"), F.lpad(suppkey.cast("string"), 9, "0"))
 
 
-def _paginate(ranked: DataFrame, item: F.Column) -> DataFrame:
+def _paginate(ranked: DataFrame, item: F.Column, scope=()) -> DataFrame:
+    k = [*scope, "list"]
     pages = (ranked.withColumn("page_no", ((F.col("pos") - 1) / PAGE_SIZE).cast("int") + 1)
-             .groupBy("list", "page_no")
+             .groupBy(*k, "page_no")
              .agg(F.sort_array(F.collect_list(F.struct(F.col("pos"), item.alias("it"))))
                   .alias("_items")))
     # the last page number per list (one row per list) joined back, rather
     # than a window holding a whole list in one task
-    last_page = pages.groupBy("list").agg(F.max("page_no").alias("_last"))
-    pages = pages.join(last_page, "list")
+    last_page = pages.groupBy(*k).agg(F.max("page_no").alias("_last"))
+    pages = pages.join(last_page, k)
     last = F.col("_last")
     return pages.select(
-        "list", "page_no",
+        *k, "page_no",
         F.when(F.col("page_no") < last,
                F.format_string("https://api.example/%s?offset=%d", F.col("list"),
                                F.col("page_no") * PAGE_SIZE)).alias("next"),
@@ -113,22 +114,29 @@ def _paginate(ranked: DataFrame, item: F.Column) -> DataFrame:
 
 
 def artist_pages(spark: SparkSession, base: str) -> DataFrame:
-    o = read_table(spark, base, "orders").select("o_custkey", "o_totalprice", "o_orderdate")
+    return _artist_pages(read_table(spark, base, "orders").select("o_custkey", "o_totalprice", "o_orderdate"))
+
+
+def _artist_pages(o: DataFrame, scope=()) -> DataFrame:
     lists = None
     for name, start in LIST_STARTS.items():
         one = (o.where(F.col("o_orderdate") >= F.lit(start).cast("timestamp_ntz"))
                .withColumn("list", F.lit(name)))
         lists = one if lists is None else lists.unionByName(one)
-    spend = (lists.groupBy("list", "o_custkey")
+    spend = (lists.groupBy(*scope, "list", "o_custkey")
              .agg(F.round(F.sum("o_totalprice"), 2).alias("spend")))
     ranked = row_number_by_range(spend, [F.col("spend").desc(), F.col("o_custkey").asc()],
-                                 ["list"], out="pos")
-    return _paginate(ranked, F.struct(artist_name(F.col("o_custkey")).alias("name")))
+                                 [*scope, "list"], out="pos")
+    return _paginate(ranked, F.struct(artist_name(F.col("o_custkey")).alias("name")), scope)
 
 
 def track_pages(spark: SparkSession, base: str) -> DataFrame:
-    o = (read_table(spark, base, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-         .where(F.col("o_orderdate") >= F.lit(LIST_STARTS["long_term"]).cast("timestamp_ntz")))
+    return _track_pages(spark, base, read_table(spark, base, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderdate"))
+
+
+def _track_pages(spark: SparkSession, base: str, o: DataFrame, scope=()) -> DataFrame:
+    o = o.where(F.col("o_orderdate") >= F.lit(LIST_STARTS["long_term"]).cast("timestamp_ntz"))
     l = read_table(spark, base, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey",
                                                    "l_quantity")
     # the list name is written as data, not a literal: a literal key would
@@ -136,16 +144,26 @@ def track_pages(spark: SparkSession, base: str) -> DataFrame:
     lst = F.when(F.col("o_orderdate") >= F.lit(LIST_STARTS["long_term"]).cast("timestamp_ntz"),
                  F.lit("long_term"))
     pairs = (l.join(o, l.l_orderkey == o.o_orderkey)
-             .groupBy(lst.alias("list"), "o_custkey", "l_partkey")
+             .groupBy(*scope, lst.alias("list"), "o_custkey", "l_partkey")
              .agg(F.sum("l_quantity").alias("qty"), F.min("l_suppkey").alias("supp")))
     ranked = row_number_by_range(pairs, [F.col("qty").desc(), F.col("o_custkey").asc(),
-                                         F.col("l_partkey").asc()], ["list"], out="pos")
+                                         F.col("l_partkey").asc()], [*scope, "list"], out="pos")
     p = read_table(spark, base, "part").select("p_partkey", "p_name")
     ranked = ranked.join(p, ranked.l_partkey == p.p_partkey)
     item = F.struct(F.col("p_name").alias("name"),
                     F.array(F.struct(artist_name(F.col("o_custkey")).alias("name")),
                             F.struct(supplier_name(F.col("supp")).alias("name"))).alias("artists"))
-    return _paginate(ranked, item)
+    return _paginate(ranked, item, scope)
+
+
+def listener_pages(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
+    """Pages of artists and of tracks with a listener: the same lists over each listener's own
+    orders, an order's listener being that of ``listener_plays``."""
+    events = read_table(spark, base, "events").select("event_id", "user_id")
+    n = F.lit(max(events.count(), 1))
+    o = (read_table(spark, base, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+         .join(events, F.pmod("o_orderkey", n) == F.col("event_id")).drop("event_id"))
+    return _artist_pages(o, ["user_id"]), _track_pages(spark, base, o.drop("o_totalprice"), ["user_id"])
 
 
 # event-search responses ------------------------------------------------------
