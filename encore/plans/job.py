@@ -78,7 +78,7 @@ def run(spark: SparkSession, plays: DataFrame, artist_pages: DataFrame | None =
             "events": events, "errors": event_responses.error_responses(rs), "digests": docs}
 
 
-#: Names that one digest document may be made from.
+#: Names that one digest document is made from at most.
 MAX_NAMES = 10_000
 #: Column of a names list that sorts as its rows stand (``sinks.read_csv``).
 ROW_ORDER = "_row_order"
@@ -89,22 +89,23 @@ def run_names(spark: SparkSession, names: DataFrame, responses: DataFrame | None
               order: list[str] | None = None) -> dict[str, DataFrame]:
     """The chart-seeded flow: a list of names (e.g. the chart CSV) instead of a
     listening history.  The artist rank follows ``order``: ``chart_position`` where the
-    list has it, else the rows' places in their files (ROW_ORDER), else the name.  A name keeps its best place; at most MAX_NAMES names are taken,
-    since the digest is one document."""
+    list has it, else the rows' places in their files (ROW_ORDER), else the name.  A name
+    keeps its best place.  All names are matched; beyond MAX_NAMES there is a digest document
+    for every MAX_NAMES ranks (``digest_part``), so none gathers more than their events."""
     if order is None:
         order = [c for c in ("chart_position", ROW_ORDER) if c in names.columns][:1]
     one = names.where(F.col(name_col).isNotNull()).groupBy(name_col).agg(
         F.count(F.lit(1)).alias("_n"), *[F.min(c).alias(c) for c in order])
-    if one.limit(MAX_NAMES + 1).count() > MAX_NAMES:
-        raise ValueError(f"more than {MAX_NAMES} names")
+    many = one.limit(MAX_NAMES + 1).count() > MAX_NAMES
     ranked = row_number_by_range(one, [*[F.col(c).asc_nulls_last() for c in order],
                                        F.col(name_col).asc()], out="artist_rank")
     top = ranked.select(F.col(name_col).alias("artist_name"), "artist_rank")
     rs = responses if responses is not None else _empty(spark, RESPONSE_SCHEMA, [])
     catalogue = event_responses.flatten_events(rs, keep_catalogue=True)
     events = event_ops.match_events(top, catalogue)
-    return {"top": top, "events": events, "errors": event_responses.error_responses(rs),
-            "digests": digest_ops.digest(events, as_of=as_of)}
+    parts = events.withColumn("digest_part", F.floor((F.col("artist_rank") - 1) / MAX_NAMES))
+    docs = digest_ops.digest(parts if many else events, ["digest_part"] if many else [], as_of=as_of)
+    return {"top": top, "events": events, "errors": event_responses.error_responses(rs), "digests": docs}
 
 
 def write_outputs(out: dict[str, DataFrame], path: str, scope=()) -> None:

@@ -62,3 +62,21 @@ def test_job_from_names_csv(spark, tmpdir_path):
     ev_rows = spark.read.parquet(f"{out}/events").collect()
     assert [(r["searched_artist"], r["artist_rank"]) for r in ev_rows] == [("Drake", 1)]
     assert os.path.isdir(f"{out}/digests") and os.path.isdir(f"{out}/top_artists.csv")
+
+
+def test_every_name_is_matched(spark, monkeypatch):
+    """More names than one digest is made from: all are matched, the digests come in parts."""
+    monkeypatch.setattr(job, "MAX_NAMES", 2)
+    names = spark.createDataFrame([(f"Name{i}", i) for i in range(5)], "artist_name string, chart_position long")
+    evs = [{"id": str(i), "name": f"Name{i} Live", "url": f"u{i}", "images": [],
+            "dates": {"start": {"localDate": "2026-07-01"}}, "_embedded": {"venues": []},
+            "latitude": 42.3, "longitude": -83.0, "classification": "Music", "country": "US",
+            "source": "ticketmaster"} for i in range(5)]
+    responses = spark.createDataFrame([("q", 200, json.dumps({"_embedded": {"events": evs}}))],
+                                      "query string, status int, body string")
+    out = job.run_names(spark, names, responses, as_of="2026-06-07")
+    got = sorted((r["searched_artist"], r["artist_rank"]) for r in out["events"].collect())
+    assert got == [(f"Name{i}", i + 1) for i in range(5)]
+    docs = {r["digest_part"]: r for r in out["digests"].collect()}
+    assert {k: r["n_events"] for k, r in docs.items()} == {0: 2, 1: 2, 2: 1}
+    assert all((f"Name{i} Live" in docs[p]["html"]) == (i // 2 == p) for i in range(5) for p in docs)
