@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from encore.constants import PAGE_SIZE
-from encore.operators.ranking import row_number_by_range
+from encore.operators.ranking import broadcast_if_small, row_number_by_range
 from encore.sources.tables import read_table
 
 
@@ -100,10 +100,11 @@ def _paginate(ranked: DataFrame, item: F.Column, scope=()) -> DataFrame:
              .groupBy(*k, "page_no")
              .agg(F.sort_array(F.collect_list(F.struct(F.col("pos"), item.alias("it"))))
                   .alias("_items")))
-    # the last page number per list (one row per list) joined back, rather
-    # than a window holding a whole list in one task
-    last_page = pages.groupBy(*k).agg(F.max("page_no").alias("_last"))
-    pages = pages.join(last_page, k)
+    # the last page number per list comes from the positions (combined map-side, one row per
+    # list) and is broadcast under a checked size: shuffled by list, the pages of a list
+    # would meet in one task
+    last_page = ranked.groupBy(*k).agg((((F.max("pos") - 1) / PAGE_SIZE).cast("int") + 1).alias("_last"))
+    pages = pages.join(broadcast_if_small(last_page), k)
     last = F.col("_last")
     return pages.select(
         *k, "page_no",

@@ -216,3 +216,19 @@ def test_keyword_match_splits_a_hot_token(spark, monkeypatch):
         monkeypatch.setattr(ranking, "BROADCAST_ROWS", few)
         got = sorted((r.artist_name, r.event_id) for r in events.keyword_match(a, e).collect())
         assert got == want
+
+
+def test_pages_of_a_list_do_not_meet_in_one_task(spark):
+    """The last page number is broadcast, whatever the size that Spark assumes for it."""
+    from encore.plans import stand_in
+    ranked = spark.createDataFrame([("long_term", i) for i in range(1, 121)], "list string, pos long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = stand_in._paginate(ranked, F.struct(F.col("pos").cast("string").alias("name")))
+        pages = sorted(out.collect(), key=lambda r: r.page_no)
+        plan = out._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    assert [(r.page_no, len(r["items"]), r.next is None) for r in pages] == [(1, 50, False), (2, 50, False), (3, 20, True)]
