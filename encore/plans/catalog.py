@@ -642,7 +642,7 @@ def _overlapping_exports(spark, base, dedupe):
     plays = feat.project_plays(stand_in.plays(spark, base))
     for name, own in (("first", F.col("ts") < F.lit(OVERLAP[1]).cast("timestamp_ntz")),
                       ("second", F.col("ts") >= F.lit(OVERLAP[0]).cast("timestamp_ntz"))):
-        plays.where(own).write.json(f"{path}/exports/{name}")
+        plays.where(own).write.option("compression", "gzip").json(f"{path}/exports/{name}")
         ingest_exports(spark, f"{path}/exports/*", f"{path}/plays", f"{path}/checkpoint", multi_line=False,
                        dedupe=dedupe)
     back = feat.project_plays(spark.read.parquet(f"{path}/plays"))

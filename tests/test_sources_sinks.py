@@ -129,3 +129,14 @@ def test_ingest_adds_each_play_once(spark, tmpdir_path):
     # a batch tried again after its files were written adds nothing
     append_new_plays(df, out, PLAY_COLUMNS)
     assert spark.read.parquet(out).count() == 4
+
+
+def test_exports_are_written_compressed(spark):
+    import glob
+
+    from encore.plans import catalog
+    from encore.session import ensure_checkpoint_dir
+    catalog.QUERIES["set4_overlapping_exports"](spark, "/root/testdata/sf0.001").count()
+    root = ensure_checkpoint_dir(spark).removeprefix("file:")
+    files = glob.glob(f"{root}/overlapping-exports-*/exports/*/part-*")
+    assert files and all(f.endswith(".json.gz") for f in files)
