@@ -1,7 +1,7 @@
 """Sharding along a Hilbert curve.
 
-Several metadata columns are quantised to equi-depth buckets (bounds are quantiles of the
-whole values in a bounded sample of rows), the bucket vector is turned into its index on a
+Several metadata columns are quantised to equi-depth buckets (bounds are the exact quantiles
+of the whole values of all rows), the bucket vector is turned into its index on a
 Hilbert curve, rows are range-sorted by that index, and the sorted sequence is cut
 into runs whose counts differ by at most one.  Rows of one shard are then close in
 every dimension at once, so a reader that knows the shards' value ranges
@@ -25,14 +25,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from encore.llm.common import checkpointed, free_names, stored
 
-#: Rows, on average, that bucket bounds are taken from.
-SAMPLE_ROWS = 50_000
-
 
 def ordered(df: DataFrame, name: str) -> Column:
     """The column in a type whose order buckets follow: strings as UTF-8 bytes, fractions as
@@ -45,10 +42,36 @@ def ordered(df: DataFrame, name: str) -> Column:
     return df[name].cast("long")
 
 
-def bucket_bounds(values: list, bits: int) -> list:
-    """The quantiles of the values that part them into 2**bits buckets; nulls are left out."""
-    known = sorted(v for v in values if v is not None)
-    return [known[len(known) * i // (1 << bits)] for i in range(1, 1 << bits)] if known else []
+def bucket_bounds(df: DataFrame, value: Column, bits: int) -> list:
+    """The quantiles of the values that part them into 2**bits buckets; nulls are left out.
+
+    Distinct values with their counts are range-sorted and summed up, so a frequent value is
+    one row; only the bounds (under 2**bits rows) and a sum per partition reach the driver."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = (df.select(value.alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("c"))
+              .repartitionByRange(parts, "v").sortWithinPartitions("v"))
+    at = checkpointed(counts).withColumn("_at", F.monotonically_increasing_id()).withColumn(
+        "p", F.shiftright("_at", 33))
+    before, n = [], 0
+    for p, c in sorted(at.groupBy("p").agg(F.sum("c")).collect()):
+        before.append((p, n))
+        n += c
+    if not n:
+        return []
+    offsets = df.sparkSession.createDataFrame(before, "p long, before long")
+    here = Window.partitionBy("p").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = (at.withColumn("c_here", F.sum("c").over(here)).join(F.broadcast(offsets), "p")
+            .select("v", "c", (F.col("before") + F.col("c_here")).alias("upto")))
+
+    def below(rows):
+        """How many of the bounds, at places n * i / 2**bits, are among the first rows."""
+        return F.greatest(F.lit(0), F.least(F.lit((1 << bits) - 1), F.call_function(
+            "div", rows * F.lit(1 << bits) + F.lit(n - 1), F.lit(n)) - 1))
+
+    times = (below(F.col("upto")) - below(F.col("upto") - F.col("c"))).cast("int")
+    rows = upto.select("v", "upto", times.alias("times")).where("times > 0").collect()
+    return [bytes(r.v) if isinstance(r.v, bytearray) else r.v
+            for r in sorted(rows, key=lambda r: r.upto) for _ in range(r.times)]
 
 
 def buckets(values: pd.Series, bounds: list) -> np.ndarray:
@@ -82,20 +105,15 @@ def curve_index(buckets: np.ndarray, bits: int) -> np.ndarray:
     return index
 
 
-def with_curve(df: DataFrame, dims: Sequence[str], bits: int = 8, out: str = "hilbert",
-               sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def with_curve(df: DataFrame, dims: Sequence[str], bits: int = 8, out: str = "hilbert") -> DataFrame:
     """Add the Hilbert index over ``dims`` (``bits`` * dims at most 62).  ``df`` is read
-    three times and should be materialised."""
+    once per dimension and once more and should be materialised."""
     if bits * len(dims) > 62:
         raise ValueError("bits times dimensions must be at most 62")
     # pandas has one mark for NULL and NaN: NaN goes as infinity
     values = [F.when(F.isnan(v), F.lit(float("inf"))).otherwise(v) if kind in ("float", "double") else v
               for v, kind in ((ordered(df, c), dict(df.dtypes)[c]) for c in dims)]
-    every = max(1, df.count() // sample_rows)  # by row, so rows alike are taken in proportion
-    sample = df.where(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(every)) == 0).select(
-        *[v.alias(f"d{i}") for i, v in enumerate(values)]).collect()
-    bounds = [bucket_bounds([bytes(r[i]) if isinstance(r[i], bytearray) else r[i] for r in sample], bits)
-              for i in range(len(dims))]
+    bounds = [bucket_bounds(df, v, bits) for v in values]
 
     def index(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for cols in batches:

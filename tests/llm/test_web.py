@@ -198,3 +198,18 @@ def test_rules_with_odd_hosts(spark):
     for i, h in enumerate(hosts):
         fits = [r + "/" for r, _, _ in rules if (h == r or h.endswith("." + r)) and "/" not in r]
         assert got[i] == max(fits, key=len, default=None), h
+
+
+def test_bounds_are_exact_quantiles_of_all_rows(spark):
+    import numpy as np
+    n = 120_000
+    df = spark.range(n).select("id", *[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(1 << 40)).alias(c)
+                                       for i, c in enumerate("ab")])
+    rows = hilbert.with_curve(df, ["a", "b"]).collect()
+
+    def numbers(col):
+        known = np.sort(col)
+        return np.searchsorted(known[[n * i // 256 for i in range(1, 256)]], col, "right")
+
+    grid = np.stack([numbers(np.array([r[c] for r in rows])) for c in "ab"], axis=1)
+    assert [r.hilbert for r in rows] == hilbert.curve_index(grid, 8).tolist()
