@@ -131,12 +131,24 @@ def test_ingest_adds_each_play_once(spark, tmpdir_path):
     assert spark.read.parquet(out).count() == 4
 
 
-def test_exports_are_written_compressed(spark):
+def test_exports_are_written_compressed(spark, tmpdir_path):
     import glob
 
     from encore.plans import catalog
     from encore.session import ensure_checkpoint_dir
-    catalog.QUERIES["set4_overlapping_exports"](spark, "/root/testdata/sf0.001").count()
+    base = f"{tmpdir_path}/tables"
+    spark.sql("""SELECT id AS l_orderkey, id AS l_partkey, 1 AS l_linenumber, 2D AS l_quantity, 0.1D AS l_discount,
+                 'R' AS l_returnflag, 'F' AS l_linestatus FROM range(6)""").write.parquet(f"{base}/lineitem.parquet")
+    spark.sql("""SELECT id AS o_orderkey, id AS o_custkey, TIMESTAMP_NTZ '1998-03-01' + make_dt_interval(90 * (id - 3))
+                 AS o_orderdate, '1-URGENT' AS o_orderpriority, 'O' AS o_orderstatus FROM range(6)
+                 """).write.parquet(f"{base}/orders.parquet")
+    spark.sql("SELECT id AS p_partkey, 'b' AS p_brand FROM range(6)").write.parquet(f"{base}/part.parquet")
     root = ensure_checkpoint_dir(spark).removeprefix("file:")
-    files = glob.glob(f"{root}/overlapping-exports-*/exports/*/part-*")
+    before = set(glob.glob(f"{root}/overlapping-exports-*"))
+    rows = catalog.QUERIES["set4_overlapping_exports"](spark, base).collect()
+    [path] = set(glob.glob(f"{root}/overlapping-exports-*")) - before
+    files = glob.glob(f"{path}/exports/*/part-*")
     assert files and all(f.endswith(".json.gz") for f in files)
+    days = sorted(str(r.ts.date()) for r in rows)
+    assert days == ["1997-06-04", "1997-09-02", "1997-12-01", "1998-03-01", "1998-03-01", "1998-05-30", "1998-05-30",
+                    "1998-08-28"]
