@@ -12,9 +12,9 @@ bytes from a literal array and concatenates them, also with higher-order functio
 ``encode`` applies this to documents.  Words whose share of all pieces is over
 1 / ``FREQUENT`` (fewer than ``FREQUENT`` whatever the corpus) are found by counts,
 encoded once by the fold above and broadcast.  The other words are encoded where they
-occur, once per task, by the same merges in Python: the higher-order fold takes about
-50 microseconds a word there, more than the whole budget (README, op4).  No text and
-no piece occurrence is shuffled, only counts of frequent words.
+occur, once per task, by the same merges over arrays of many words at a time: the
+higher-order fold takes about 50 microseconds a word there, more than the whole budget
+(README, op4).  No text and no piece occurrence is shuffled, only counts of frequent words.
 
 Cases: a null text is empty, an empty text has no tokens; equal texts have equal ids;
 null ids and ids outside the vocabulary decode to nothing; empty tables give no rows;
@@ -30,6 +30,7 @@ import heapq
 import json
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from encore.llm.common import checkpointed
+from encore.llm import pieces
+from encore.llm.common import checkpointed, slices
 
 #: Words with a larger share of all pieces than 1 / FREQUENT are broadcast.
 FREQUENT = 1 << 18
@@ -48,6 +50,10 @@ LONG = 256
 MAPS = 1 << 14
 #: Words that a task remembers beside the frequent ones.
 CACHE = 500_000
+#: Bytes of texts whose pieces a task holds at once (a longer text is held alone).
+PART = 1 << 20
+#: Words that are merged at once.
+BATCH = 1 << 14
 NO_RANK = (1 << 31) - 1
 
 
@@ -162,6 +168,41 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def pair_model(ranks: dict[bytes, int]) -> pieces.Model | None:
+    """The pairs of tokens that merge, for :func:`merge_batch`; None where a byte is no token."""
+    if any(bytes([i]) not in ranks for i in range(256)):
+        return None
+    surfaces = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        surfaces[rank] = token
+    rows = [(ranks[t[:k]] * len(surfaces) + ranks[t[k:]], r) for t, r in ranks.items()
+            for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
+    pairs, rank = np.array(sorted(rows), np.int64).reshape(-1, 2).T
+    none = np.array([], np.int32)
+    return pieces.Model(pairs.copy(), rank.astype(np.int32), rank.astype(np.int32), none, none,
+                        np.array([ranks[bytes([i])] for i in range(256)], np.int32), surfaces,
+                        np.zeros(len(surfaces), np.int8), "")
+
+
+def merge_batch(words: list[bytes], ranks: dict[bytes, int], model: pieces.Model | None) -> list[bytes]:
+    """The same merges for many words at once; ids as little-endian 32-bit integers."""
+    out: list[bytes] = [b""] * len(words)
+    at = []
+    for i, w in enumerate(words):
+        if model is None or len(w) > LONG or w in ranks:
+            out[i] = np.array(merge_word(w, ranks), "<u4").tobytes()
+        else:
+            at.append(i)
+    for k in range(0, len(at), BATCH):
+        own = [words[i] for i in at[k:k + BATCH]]
+        sym, n = pieces.merge_words(model, model.byte_ids[np.frombuffer(b"".join(own), np.uint8)],
+                                    np.fromiter(map(len, own), np.int64, len(own)))
+        raw, ends = sym.astype("<u4").tobytes(), (np.cumsum(n) * 4).tolist()
+        for i, lo, hi in zip(at[k:], [0, *ends[:-1]], ends):
+            out[i] = raw[lo:hi]
+    return out
+
+
 def frequent_words(docs: DataFrame, pattern: str, text_col: str) -> DataFrame:
     """Words that hold over 1 / FREQUENT of all pieces.  A task reports the words that
     hold that share of its own pieces, so the counts are lower bounds, and a word
@@ -198,28 +239,23 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
     words = frequent_words(docs, pattern, text_col)
     known = {r["word"]: np.array(r["ids"], "<u4").tobytes()
              for r in words.select("word", encode_words(F.col("word"), ranks).alias("ids")).collect()}
-    shared = docs.sparkSession.sparkContext.broadcast((known, ranks))
+    shared = docs.sparkSession.sparkContext.broadcast((known, ranks, pair_model(ranks)))
     results = ("n_tokens", "ids_sha256", "ids")
     names = [c for c in docs.columns if c.lower() not in results]
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
-        known, ranks = shared.value
-
-        class Ids(dict):
-            def __missing__(self, word):
-                if len(self) > len(known) + CACHE:
-                    self.clear()
-                    self.update(known)
-                self[word] = own = np.array(merge_word(word.encode(), ranks), "<u4").tobytes()
-                return own
-
-        cache = Ids(known)
+        known, ranks, model = shared.value
+        cache = dict(known)
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                rows = [b"".join([cache[w] for w in find(t.as_py() or "")]) for t in part.column(at)]
+            for part in slices(b, at, PART):
+                if len(cache) > len(known) + CACHE:
+                    cache = dict(known)
+                found = [find(t.as_py() or "") for t in part.column(at)]
+                new = list(set(chain.from_iterable(found)).difference(cache))
+                cache.update(zip(new, merge_batch([w.encode() for w in new], ranks, model)))
+                rows = [b"".join([cache[w] for w in own]) for own in found]
                 sizes = [len(r) // 4 for r in rows]
                 ids = pa.ListArray.from_arrays(np.cumsum([0, *sizes], dtype=np.int32),
                                                pa.array(np.frombuffer(b"".join(rows), "<u4").astype(np.int32)))

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from encore.llm.common import slices
+
 #: Labelled documents that training takes at most, but one of each language at least.
 SAMPLE_DOCS = 20_000
 #: Languages that a model may hold; more are refused.
@@ -192,9 +194,10 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lang, score = scores(shared.value, b.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score)],
-                                             [*names, *results])
+            for part in slices(b, at):  # bounded memory, here and in the JVM that reads it
+                lang, score = scores(shared.value, part.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score)],
+                                                 [*names, *results])
 
     kept = docs.select(*names)
     schema = kept.withColumns({results[0]: F.lit(""), results[1]: F.lit(0.0)}).schema

@@ -287,3 +287,18 @@ def test_long_words_merge_alike(monkeypatch):
     big = "".join(rnd.choices("etaoinshr", k=1_000_000)).encode()
     by_id = {i: b for b, i in ranks.items()}
     assert b"".join(by_id[i] for i in bpe.merge_long(big, ranks)) == big
+
+
+def test_words_merged_together_as_one_by_one(monkeypatch):
+    rnd = random.Random(5)
+    words = [bytes(rnd.choices(b"etaoinshr \xc3\xa9\xff", k=rnd.randrange(1, 60))) for _ in range(3000)]
+    words += [w for w in list(RANKS)[::97]] + [b"a" * 300, b"ab" * 120]
+    want = [np.array(bpe.merge_word(w, RANKS), "<u4").tobytes() for w in words]
+    model = bpe.pair_model(RANKS)
+    assert bpe.merge_batch(words, RANKS, model) == want
+    monkeypatch.setattr(bpe, "BATCH", 7)
+    assert bpe.merge_batch(words[:100], RANKS, model) == want[:100]
+    assert bpe.merge_batch([], RANKS, model) == []
+    few = {b"a": 0, b"b": 1, b"ab": 2}
+    assert bpe.pair_model(few) is None
+    assert bpe.merge_batch([b"abab"], few, None) == [np.array([2, 2], "<u4").tobytes()]
