@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from encore.session import materialise
+from encore.session import materialise, stored
 
 _PART_BITS = 33
 BROADCAST_ROWS = 1_000_000   # checked size bound for broadcasting a derived table
@@ -61,7 +61,7 @@ def range_sorted(df: DataFrame, order, scope=(), num_partitions: int | None = No
               else df.repartitionByRange(*keys))
     r = (ranged.sortWithinPartitions(*keys)
          .withColumn("_mid", F.monotonically_increasing_id()))
-    r = materialise(r, "range-sorted")
+    r = stored(r, "range-sorted")
     return r.withColumn("_pid", F.shiftright("_mid", _PART_BITS))
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
+from pyspark.sql import types as T
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -73,3 +75,17 @@ def materialise(df, name: str = "stage"):
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df, name: str = "stage"):
+    """Write ``df`` once as Parquet in the shared folder and read it back: columns are
+    compressed and a later use reads only its own, where a checkpoint holds whole
+    rows.  Partitioning and order are not kept.  What Parquet cannot hold (two columns of
+    one name, columns without a type) is checkpointed."""
+    root = ensure_checkpoint_dir(df.sparkSession)
+    names = [f.name.lower() for f in df.schema.fields]
+    if not root or len(set(names)) < len(names) or any(isinstance(f.dataType, T.NullType) for f in df.schema.fields):
+        return materialise(df, name)
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -167,3 +167,17 @@ def test_features_same_with_or_without_materialised_rollup(spark):
     a = sorted(tuple(r) for r in feat.features(plays, materialise=True).collect())
     b = sorted(tuple(r) for r in feat.features(plays, materialise=False).collect())
     assert a == b
+
+
+def test_rollup_is_stored_by_columns(spark):
+    out = feat.features(plays_df(spark, edge_rows()))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and "parquet" in plan
+
+
+def test_stored_keeps_what_parquet_cannot_hold(spark):
+    from encore.session import stored
+    rows = spark.range(3)
+    assert stored(rows.select("id", F.lit(None).alias("none"))).where("none IS NULL").count() == 3
+    twice = stored(rows.select("id", F.col("id").alias("ID")))
+    assert twice.columns == ["id", "ID"] and sorted(tuple(r) for r in twice.collect()) == [(0, 0), (1, 1), (2, 2)]
