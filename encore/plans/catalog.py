@@ -20,6 +20,7 @@ from encore.constants import ARTIST
 from encore.operators import features as feat
 from encore.plans import pipelines as pipe
 from encore.plans import stand_in
+from encore.session import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -240,7 +241,7 @@ def q_agg11(spark, base):
 
 
 def _recency_parts(spark, base):
-    a = _artists(spark, base)
+    a = stored(_artists(spark, base), "ranked-artists")  # four parts read it
     return (recency.api_presence(a), recency.track_breadth(_tracks(spark, base)),
             recency.time_range_consistency(a))
 
@@ -755,7 +756,7 @@ def q_scoped_pipe4(spark, base):
     listener's own plays and ranked lists."""
     scores = pipe.superfan_scores(_listener_features(spark, base), scope=SCOPE, rank=False)
     artists, tracks = stand_in.listener_pages(spark, base)
-    ranked = pipe.materialise(ranked_pages.flatten_ranked_artists(artists, SCOPE))
+    ranked = stored(ranked_pages.flatten_ranked_artists(artists, SCOPE), "ranked-artists")
     heard = ranked_pages.flatten_ranked_tracks(tracks, SCOPE)
     out = recency.blend(scores, recency.api_presence(ranked, scope=SCOPE),
                         recency.track_breadth(heard, scope=SCOPE),

@@ -16,8 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from encore.operators.ranking import broadcast_if_small
-from encore.session import materialise
+from encore.operators.ranking import BROADCAST_ROWS, broadcast_if_small
+from encore.session import materialise, stored
 
 BLOCK = 10_000   # pages whose sizes are summed together
 
@@ -25,16 +25,21 @@ BLOCK = 10_000   # pages whose sizes are summed together
 def _kept_pages(pages: DataFrame, scope, list_col: str) -> DataFrame:
     k = [*scope, list_col]
     # a struct is equal to itself even where its fields are NULL
-    one = (pages.groupBy(F.struct(*k).alias("_list"), "page_no")
-           .agg(F.min("next").alias("next"), F.count("next").alias("_more"),
-                F.count(F.lit(1)).alias("_copies"), F.min("items").alias("items")))
-    one = materialise(one, "list-pages")
-    last = (one.where(F.col("_more") < F.col("_copies"))
+    pages = stored(pages.select(*k, "page_no", "next", "items"), "list-pages")
+    key, length = F.struct(*k).alias("_list"), F.coalesce(F.size("items"), F.lit(0)).cast("long")
+    # narrow rows say which pages are there; items are grouped only if some page is there twice
+    seen = materialise(pages.groupBy(key, "page_no").agg(
+        F.count("next").alias("_more"), F.count(F.lit(1)).alias("_copies"), F.max(length).alias("_n")), "list-sizes")
+    if seen.where("_copies > 1").isEmpty():
+        one = pages.select(key, "page_no", "items")
+    else:
+        one = materialise(pages.groupBy(key, "page_no").agg(F.min("items").alias("items")), "list-pages")
+        seen = seen.drop("_n").join(one.select("_list", "page_no", length.alias("_n")), ["_list", "page_no"])
+    last = (seen.where(F.col("_more") < F.col("_copies"))
             .groupBy(F.col("_list").alias("_l")).agg(F.min("page_no").alias("_last")))
-    kept = (one.join(broadcast_if_small(last), F.col("_list") == F.col("_l"), "left")
+    kept = (seen.join(broadcast_if_small(last), F.col("_list") == F.col("_l"), "left")
             .where(F.col("_last").isNull() | (F.col("page_no") <= F.col("_last"))))
-    sizes = kept.select("_list", "page_no", F.floor(F.col("page_no") / BLOCK).alias("_block"),
-                        F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("_n"))
+    sizes = kept.select("_list", "page_no", F.floor(F.col("page_no") / BLOCK).alias("_block"), "_n")
     inside = (Window.partitionBy("_list", "_block").orderBy("page_no")
               .rowsBetween(Window.unboundedPreceding, -1))
     across = (Window.partitionBy("_list").orderBy("_block")
@@ -44,7 +49,9 @@ def _kept_pages(pages: DataFrame, scope, list_col: str) -> DataFrame:
     offsets = (sizes.withColumn("_inside", F.sum("_n").over(inside)).join(blocks, ["_list", "_block"])
                .select("_list", "page_no", (F.coalesce("_before", F.lit(0))
                                             + F.coalesce("_inside", F.lit(0))).alias("_off")))
-    return kept.join(offsets, ["_list", "page_no"]).select("_list.*", "_off", "items")
+    few = seen.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return (one.join(F.broadcast(offsets) if few else offsets, ["_list", "page_no"])
+            .select("_list.*", "_off", "items"))
 
 
 def flatten_ranked_artists(pages: DataFrame, scope=(), list_col: str = "list") -> DataFrame:

@@ -232,3 +232,12 @@ def test_pages_of_a_list_do_not_meet_in_one_task(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
     assert [(r.page_no, len(r["items"]), r.next is None) for r in pages] == [(1, 50, False), (2, 50, False), (3, 20, True)]
+
+
+def test_pages_seen_once_are_not_grouped_by_items(spark):
+    plan = rp.flatten_ranked_artists(artist_pages(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert "min(items" not in plan and "list-pages" not in plan and "LogicalRDD [_list" in plan
+    once = sorted(tuple(r) for r in rp.flatten_ranked_artists(artist_pages(spark)).collect())
+    other = spark.createDataFrame([("long_term", 1, "n2", [{"name": "Z"}])], ARTIST_PAGE_SCHEMA)
+    again = artist_pages(spark).unionByName(artist_pages(spark)).unionByName(other)
+    assert sorted(tuple(r) for r in rp.flatten_ranked_artists(again).collect()) == once
