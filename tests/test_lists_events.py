@@ -241,3 +241,20 @@ def test_pages_seen_once_are_not_grouped_by_items(spark):
     other = spark.createDataFrame([("long_term", 1, "n2", [{"name": "Z"}])], ARTIST_PAGE_SCHEMA)
     again = artist_pages(spark).unionByName(artist_pages(spark)).unionByName(other)
     assert sorted(tuple(r) for r in rp.flatten_ranked_artists(again).collect()) == once
+
+
+def test_stand_in_events_are_grouped_as_narrow_rows(spark, tmpdir_path):
+    from encore.plans import stand_in
+    spark.sql("SELECT k AS o_orderkey, 1L AS o_custkey, TIMESTAMP_NTZ '2001-01-31 00:00:00' AS o_orderdate, "
+              "p AS o_orderpriority FROM VALUES (8L, '1-URGENT'), (3L, '3-MEDIUM'), (8L, '3-MEDIUM') AS t(k, p)"
+              ).write.parquet(f"{tmpdir_path}/orders.parquet")
+    spark.sql("SELECT 1L AS c_custkey, 2 AS c_nationkey").write.parquet(f"{tmpdir_path}/customer.parquet")
+    spark.sql("SELECT 2 AS n_nationkey, 'PERU' AS n_name").write.parquet(f"{tmpdir_path}/nation.parquet")
+    out = stand_in.event_responses(spark, tmpdir_path)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    grouped = [x for x in plan.splitlines() if "partial_collect_list" in x]
+    assert grouped and not any("tickets.example" in x for x in grouped)
+    rows = er.flatten_events(out, keep_catalogue=True).collect()
+    assert [(r.event_id, r.classification, r.city, r.concert_date, r.artist_image[-6:]) for r in rows] == [
+        ("3", "Sports", "PERU", "2027-01-31", "/c.jpg"), ("8", "Music", "PERU", "2027-01-31", "/b.jpg"),
+        ("8", "Sports", "PERU", "2027-01-31", "/b.jpg")]
