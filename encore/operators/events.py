@@ -8,9 +8,9 @@ Per-artist search calls become one distributed join:
   split into word tokens; each artist is blocked on its *rarest* pair of
   adjacent tokens (its token if it has one only; document frequency over the
   filtered catalogue), which every matching event must contain, so blocking is
-  exact.  The artist side is broadcast where it is counted to be small, and the
-  catalogue is then joined map-side; beyond that both are shuffled and a key that
-  many events hold is split.  Each candidate is verified;
+  exact.  The artist side is broadcast where it is counted to be small; beyond
+  that rows of key and event number are shuffled, and a key that many events
+  hold is split.  Each candidate is verified on its event, which it meets by number;
 * each distinct artist name is matched once, however many listeners'
   lists hold it, and the (listener, artist) pairs join back afterwards;
 * TOP5 keeps at most ``per_artist`` events per artist with a
@@ -30,7 +30,7 @@ from encore.constants import (EARTH_RADIUS, EVENT_CLASSIFICATION, EVENT_COUNTRY,
 from encore.functions.geo import geohash_centre, haversine
 from encore.operators.ranking import BROADCAST_ROWS, split_join, top_k_per_group
 from encore.operators.spatial import near_centres
-from encore.session import materialise
+from encore.session import materialise, stored
 
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
@@ -88,11 +88,11 @@ def keyword_match(artists: DataFrame, catalogue: DataFrame, artist_col: str = "a
     (``event_key`` names the catalogue key used to report a pair once).
     The artist side is broadcast only if it has at most ``BROADCAST_ROWS``
     rows (counted); beyond that Spark/AQE choose the join from the measured
-    size.
+    size.  ``contains`` writes the catalogue and splits its names into keys once.
     """
     # the artist list feeds three branches below; it is written once
-    a = materialise(artists.withColumn("_anorm", normalised(artist_col))
-                    .where(F.length("_anorm") > 0), "match-artists")
+    a = stored(artists.withColumn("_anorm", normalised(artist_col))
+               .where(F.length("_anorm") > 0), "match-artists")
     few = a.count() <= BROADCAST_ROWS
 
     def side(df):
@@ -105,13 +105,15 @@ def keyword_match(artists: DataFrame, catalogue: DataFrame, artist_col: str = "a
         return _fuzzy_match(a, catalogue, artist_col, event_col, max_edits, event_key, side)
     if mode != "contains":
         raise ValueError(f"unknown match mode {mode!r}")
+    # the keys and the candidates' events read the catalogue
+    catalogue = stored(catalogue.withColumn("_event", F.monotonically_increasing_id()), "match-events")
     own, seen = name_tokens(artist_col), name_tokens(event_col)
     a_key = a.select("*", F.explode(F.array_distinct(F.when(F.size(own) > 1, adjacent(own)).otherwise(own)))
                      .alias("_key"))
     # events by key, only keys that occur in artist names (a semi-join against that set)
     keys = a_key.select("_key").distinct()
-    c = (catalogue.withColumn("_key", F.explode(F.array_distinct(F.concat(seen, adjacent(seen)))))
-         .join(side(keys), "_key", "left_semi"))
+    c = stored(catalogue.select("_event", F.explode(F.array_distinct(F.concat(seen, adjacent(seen)))).alias("_key"))
+               .join(side(keys), "_key", "left_semi"), "match-event-keys")
     df_key = c.groupBy("_key").agg(F.count(F.lit(1)).alias("_df"))
     # rarest key per artist (ties by text); one absent from the catalogue has
     # frequency 0 and correctly blocks everything.
@@ -119,10 +121,13 @@ def keyword_match(artists: DataFrame, catalogue: DataFrame, artist_col: str = "a
              .withColumn("_df", F.coalesce("_df", F.lit(0)))
              .groupBy(*artists.columns, "_anorm")
              .agg(F.min_by("_key", F.struct("_df", "_key")).alias("_key")))
-    cand = c.join(F.broadcast(block), "_key") if few else split_join(c, materialise(block, "match-keys"), ["_key"])
+    cand = stored(c.join(F.broadcast(block), "_key") if few
+                  else split_join(c, stored(block, "match-keys"), ["_key"]), "match-candidates")
+    near = cand.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    cand = catalogue.join(F.broadcast(cand) if near else cand, "_event")
     hay = F.concat(F.lit(" "), F.array_join(seen, " "), F.lit(" "))
     needle = F.concat(F.lit(" "), F.col("_anorm"), F.lit(" "))
-    return cand.where(F.instr(hay, needle) > 0).drop("_key", "_anorm")
+    return cand.where(F.instr(hay, needle) > 0).drop("_key", "_anorm", "_event")
 
 
 def adjacent(tokens: Column) -> Column:

@@ -348,7 +348,7 @@ def _top_artists(spark, base):
 @register("jn6_keyword_match")
 def q_jn6(spark, base):
     """JN5 + JN6: every (top artist, event) pair whose names match as whole words."""
-    cat = _catalogue(spark, base).withColumnRenamed("artist_name", "event_name")
+    cat = _catalogue(spark, base).select("event_id", F.col("artist_name").alias("event_name"))
     arts = _top_artists(spark, base).withColumnRenamed("artist_name", "searched_artist")
     return (ev_ops.keyword_match(arts, cat, "searched_artist", "event_name")
             .select("searched_artist", "artist_rank", "event_id", "event_name"))

@@ -258,3 +258,16 @@ def test_stand_in_events_are_grouped_as_narrow_rows(spark, tmpdir_path):
     assert [(r.event_id, r.classification, r.city, r.concert_date, r.artist_image[-6:]) for r in rows] == [
         ("3", "Sports", "PERU", "2027-01-31", "/c.jpg"), ("8", "Music", "PERU", "2027-01-31", "/b.jpg"),
         ("8", "Sports", "PERU", "2027-01-31", "/b.jpg")]
+
+
+def test_bodies_are_parsed_once(spark):
+    rows = spark.createDataFrame([("a", 200, '{"_embedded": {"events": [{"id": "1", "name": "A Live"}]}}'), ("b", 200, "{}"),
+                                  ("c", 200, "x{"), ("d", 500, "{}"), ("e", None, None)], "query string, status int, body string")
+    parsed = er.flatten_events(rows, keep_catalogue=True)
+    assert parsed._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+    assert [(r.query, r.event_id) for r in parsed.collect()] == [("a", "1")]
+    assert er.parse_responses(rows).count() == 5
+    named = spark.createDataFrame([("A",)], "name string")
+    out = ev.keyword_match(named, parsed.withColumnRenamed("artist_name", "event_name"), "name")  # the match reads what was written of them
+    assert "from_json(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.name, r.event_name, r.event_id) for r in out.collect()] == [("A", "A Live", "1")]
