@@ -628,9 +628,11 @@ def q_src1(spark, base):
     plays = feat.project_plays(stand_in.plays(spark, base))
     path = sinks.scratch_path(spark, "plays-json")
     cut = F.lit(EXPORT_SPLIT).cast("timestamp_ntz")
-    plays.where(F.col("ts") < cut).write.json(f"{path}/batch=old")
-    (plays.where(F.col("ts") >= cut).drop("platform", "ip_addr")
-     .write.json(f"{path}/batch=new"))
+    # the plays are made once, both batches are written from them
+    plays = stored(plays, "plays")
+    for batch, rows in (("old", plays.where(F.col("ts") < cut)),
+                        ("new", plays.where(F.col("ts") >= cut).drop("platform", "ip_addr"))):
+        rows.write.option("compression", "gzip").json(f"{path}/batch={batch}")
     back = tables.read_play_history(spark, [f"{path}/batch=old", f"{path}/batch=new"],
                                     multi_line=False)
     return back.withColumn("ts", F.to_timestamp_ntz(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")))

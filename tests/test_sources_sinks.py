@@ -152,3 +152,24 @@ def test_exports_are_written_compressed(spark, tmpdir_path):
     days = sorted(str(r.ts.date()) for r in rows)
     assert days == ["1997-06-04", "1997-09-02", "1997-12-01", "1998-03-01", "1998-03-01", "1998-05-30", "1998-05-30",
                     "1998-08-28"]
+
+
+def play_tables(spark, path, orders=((1, 10, "1997-12-31"), (2, 11, "1998-01-01"))):
+    """Small orders, line items and parts; every order has lines 1 and 2."""
+    spark.createDataFrame([(k, c, "O", d, "1-URGENT") for k, c, d in orders],
+                          "o_orderkey long, o_custkey long, o_orderstatus string, d string, o_orderpriority string"
+                          ).selectExpr("*", "CAST(d AS TIMESTAMP_NTZ) AS o_orderdate").drop("d").write.parquet(f"{path}/orders.parquet")
+    spark.createDataFrame([(k, 5, n, 3.0, 0.1, "R", "F") for k in sorted({o[0] for o in orders}) for n in (1, 2)],
+                          "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_discount double, "
+                          "l_returnflag string, l_linestatus string").write.parquet(f"{path}/lineitem.parquet")
+    spark.createDataFrame([(5, "Brand#1")], "p_partkey long, p_brand string").write.parquet(f"{path}/part.parquet")
+
+
+def test_exported_batches_are_small_and_made_from_one_copy(spark, tmpdir_path):
+    from encore.plans import catalog
+    play_tables(spark, tmpdir_path)
+    out = catalog.QUERIES["src1_json_union_by_name"](spark, tmpdir_path)
+    assert out.inputFiles() and all(f.endswith(".json.gz") for f in out.inputFiles())
+    assert sorted((str(r.ts), r.platform, r.master_metadata_album_artist_name) for r in out.collect()) == [
+        ("1997-12-31 00:00:00", "O", "Customer#000000010"), ("1997-12-31 23:59:59", "O", "Customer#000000010"),
+        ("1998-01-01 00:00:00", None, "Customer#000000011"), ("1998-01-01 23:59:59", None, "Customer#000000011")]
