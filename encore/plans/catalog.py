@@ -748,7 +748,8 @@ def q_scoped_win6(spark, base):
 @register("scoped_agg18_describe")
 def q_scoped_agg18(spark, base):
     """AGG18 per listener: summary statistics of the feature columns."""
-    out = explore.describe(_listener_features(spark, base), scope=SCOPE)
+    # two passes read the features
+    out = explore.describe(stored(_listener_features(spark, base), "listener-features"), scope=SCOPE)
     return r6(out, [c for c in ("mean", "std", "min", "p25", "p50", "p75", "max") if c in out.columns])
 
 

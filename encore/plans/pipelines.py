@@ -6,8 +6,8 @@ The other composites live with their operators - PIPE3/PIPE4 in
 is ``plans.job.run``.  PIPE8 (the exploration) is composed here.
 
 Materialisation points are explicit and few: the per-artist feature
-table is checkpointed once before the scaler fit reads it (so the play
-scan is not repeated), and ranking checkpoints its range-sorted input.
+table is written once before the scaler fit reads it (so the play
+scan is not repeated), and ranking writes its range-sorted input.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ def superfan_scores(feature_table: DataFrame, scope=(), key: str = ARTIST,
     """
     scope = list(scope)
     weights = weights or (LOG_SCORE_WEIGHTS if log else RAW_SCORE_WEIGHTS)
-    df = materialise(scaling.drop_features(feature_table, drop), "feature-table")
+    df = session.stored(scaling.drop_features(feature_table, drop), "feature-table")
     num = scaling.numeric_columns(df, exclude=scope)
     if log:
         df = scaling.prefixed_columns(scaling.add_log_columns(df, num), "log_", [*scope, key])
@@ -124,7 +124,7 @@ class Exploration:
 
     @cached_property
     def scores(self) -> DataFrame:
-        # superfan_scores materialises what it is given
+        # superfan_scores stores what it is given
         return superfan_scores(self.table if "_profiled" in self.__dict__ else self._given, rank=False)
 
     @property

@@ -38,17 +38,20 @@ def _second_of_day() -> F.Column:
             .otherwise((F.col("l_orderkey") * 37 + F.col("l_linenumber") * 3600) % 86400))
 
 
-def plays(spark: SparkSession, base: str, keep=()) -> DataFrame:
+def plays(spark: SparkSession, base: str) -> DataFrame:
+    o = read_table(spark, base, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
+    return _plays(spark, base, o)
+
+
+def _plays(spark: SparkSession, base: str, o: DataFrame, keep=()) -> DataFrame:
     l = read_table(spark, base, "lineitem").select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_discount",
         "l_returnflag", "l_linestatus")
-    o = read_table(spark, base, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
     p = read_table(spark, base, "part").select("p_partkey", "p_brand")
     j = l.join(o, l.l_orderkey == o.o_orderkey).join(p, l.l_partkey == p.p_partkey)
     prio = F.col("o_orderpriority")
     return j.select(
-        *keep,
         (F.col("o_orderdate") + F.make_dt_interval(secs=_second_of_day())).alias("ts"),
         F.col("o_orderstatus").alias("platform"),
         (F.col("l_quantity") * 1000).cast("long").alias("ms_played"),
@@ -70,16 +73,23 @@ def plays(spark: SparkSession, base: str, keep=()) -> DataFrame:
         (F.col("l_discount") > 0.05).alias("shuffle"),
         F.when(F.col("l_returnflag") == "N", F.lit(None).cast("boolean"))
          .otherwise(F.col("l_returnflag") == "R").alias("skipped"),
+        *keep,
     )
 
 
 def listener_plays(spark: SparkSession, base: str) -> DataFrame:
     """The plays with a listener: the user of the ``events`` row that the order's key
-    falls on (keys modulo the number of events)."""
+    falls on (keys modulo the number of events).  The orders meet their listeners before
+    they meet their line items, which are more."""
+    o = read_table(spark, base, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
+    return _plays(spark, base, _with_listener(spark, base, o), ["user_id"])
+
+
+def _with_listener(spark: SparkSession, base: str, o: DataFrame) -> DataFrame:
     events = read_table(spark, base, "events").select("event_id", "user_id")
-    n = events.count()
-    return (plays(spark, base, keep=[F.pmod("l_orderkey", F.lit(max(n, 1))).alias("_event")])
-            .join(events, F.col("_event") == F.col("event_id")).drop("_event", "event_id"))
+    n = F.lit(max(events.count(), 1))
+    return o.join(events, F.pmod("o_orderkey", n) == F.col("event_id")).drop("event_id")
 
 
 # ranked lists --------------------------------------------------------------
@@ -160,10 +170,8 @@ def _track_pages(spark: SparkSession, base: str, o: DataFrame, scope=()) -> Data
 def listener_pages(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
     """Pages of artists and of tracks with a listener: the same lists over each listener's own
     orders, an order's listener being that of ``listener_plays``."""
-    events = read_table(spark, base, "events").select("event_id", "user_id")
-    n = F.lit(max(events.count(), 1))
-    o = (read_table(spark, base, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
-         .join(events, F.pmod("o_orderkey", n) == F.col("event_id")).drop("event_id"))
+    o = _with_listener(spark, base, read_table(spark, base, "orders").select(
+        "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"))
     return _artist_pages(o, ["user_id"]), _track_pages(spark, base, o.drop("o_totalprice"), ["user_id"])
 
 

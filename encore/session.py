@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
@@ -64,6 +65,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     raise RuntimeError("spark.checkpoint.dir is not set; configure a shared folder")
 
 
+#: Spark's switch for removing an action's shuffle files when it has ended.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Actions on DataFrames that are made inside leave no shuffle files: they go, on all
+    executors, when the action has ended and not when the driver's garbage happens to be
+    collected.  For results that are written and read back from there."""
+    was = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if was is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, was)
+
 
 def materialise(df, name: str = "stage"):
     """Cut lineage with a reliable, eager checkpoint in the shared folder.
@@ -71,21 +91,24 @@ def materialise(df, name: str = "stage"):
     The plan runs once (the eager checkpoint writes while computing), the
     copy survives executor loss, and the checkpointed relation keeps its
     output partitioning so downstream operators on the same keys do not
-    shuffle again.  ``name`` only documents the call site.
+    shuffle again.  Its shuffle files go when it is written.  ``name`` only documents the
+    call site.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with shuffles_removed(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)  # a new frame: the switch is read when it is made
 
 
 def stored(df, name: str = "stage"):
     """Write ``df`` once as Parquet in the shared folder and read it back: columns are
     compressed and a later use reads only its own, where a checkpoint holds whole
-    rows.  Partitioning and order are not kept.  What Parquet cannot hold (two columns of
+    rows.  Its shuffle files go when it is written.  Partitioning and order are not kept.  What Parquet cannot hold (two columns of
     one name, columns without a type) is checkpointed."""
     root = ensure_checkpoint_dir(df.sparkSession)
     names = [f.name.lower() for f in df.schema.fields]
     if not root or len(set(names)) < len(names) or any(isinstance(f.dataType, T.NullType) for f in df.schema.fields):
         return materialise(df, name)
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -80,3 +80,19 @@ def test_scoped_equals_per_user(spark):
         assert docs.where(F.col("user_id") == u).first()["html"] == d1.first()["html"]
     # user 2 never listed "The Band": only user 1 matches that event
     assert {r["user_id"] for r in matched.where(F.col("event_id") == "2").collect()} == {1}
+
+
+def test_described_features_are_read_from_a_copy(spark, monkeypatch):
+    """Two passes read the features of all listeners: neither makes them again."""
+    from encore.plans import catalog
+    plays = plays_df(spark, [play("A", "t1", "x", "2020-01-01", user=1), play("A", "t2", "x", "2020-06-01", user=1),
+                             play("B", "t1", "y", "2020-01-01", user=2)], scoped=True)
+    monkeypatch.setattr(catalog.stand_in, "listener_plays", lambda spark, base: plays)
+    described = []
+    describe = catalog.explore.describe
+    monkeypatch.setattr(catalog.explore, "describe", lambda df, **kept: described.append(df) or describe(df, **kept))
+    out = catalog.QUERIES["scoped_agg18_describe"](spark, "").collect()
+    plan = described[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.strip().startswith("Relation") and len(plan.strip().splitlines()) == 1
+    assert {(r.user_id, r.column_name, r["count"], r["max"]) for r in out} >= {
+        (1, "play_count_per_artist", 1, 2.0), (2, "play_count_per_artist", 1, 1.0)}

@@ -173,3 +173,36 @@ def test_exported_batches_are_small_and_made_from_one_copy(spark, tmpdir_path):
     assert sorted((str(r.ts), r.platform, r.master_metadata_album_artist_name) for r in out.collect()) == [
         ("1997-12-31 00:00:00", "O", "Customer#000000010"), ("1997-12-31 23:59:59", "O", "Customer#000000010"),
         ("1998-01-01 00:00:00", None, "Customer#000000011"), ("1998-01-01 23:59:59", None, "Customer#000000011")]
+
+
+def test_orders_meet_listeners_before_line_items(spark, tmpdir_path):
+    from encore.plans import stand_in
+    play_tables(spark, tmpdir_path, [(1, 10, "1997-12-31"), (2, 11, "1998-01-01"), (4, 12, "1998-01-01")])
+    spark.createDataFrame([(0, 7), (1, 8), (1, 8), (None, 9)], "event_id long, user_id long").write.parquet(f"{tmpdir_path}/events.parquet")
+    out = stand_in.listener_plays(spark, tmpdir_path)
+    assert out.columns[-1] == "user_id"
+    assert sorted((r.user_id, r.master_metadata_album_artist_name[-2:]) for r in out.collect()) == sorted(
+        [(7, "12")] * 2 + [(8, "10")] * 4)
+    joins = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x]
+    assert "event_id" in joins[-1]
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def test_written_stages_leave_no_shuffle_files(spark):
+    import time
+
+    from encore import session
+    for write in (session.stored, session.materialise):
+        before = shuffle_files(spark)
+        out = write(spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count())
+        for _ in range(40):
+            if not (left := shuffle_files(spark) - before):
+                break
+            time.sleep(0.25)
+        assert not left
+        assert out.count() == 7
+    assert spark.conf.get(session.SHUFFLE_CLEANUP) == "false"
