@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from encore.constants import BLEND_WEIGHTS, TOP_ARTISTS
 from encore.operators import ranking, scaling
+from encore.session import stored
 
 _FLAG = {"short_term": "in_short", "medium_term": "in_medium", "long_term": "in_long"}
 
@@ -53,6 +54,7 @@ def track_breadth(tracks: DataFrame, list_name: str = "long_term", scope=()) ->
     per = (tracks.where((F.col("list") == list_name) & F.col("artist_name").isNotNull())
            .select(*k, "track_name").distinct()
            .groupBy(*k).agg(F.count("track_name").alias("track_breadth")))
+    per = stored(per, "track-breadth")  # counts and their maximum read it
     # the maximum is per list, joined back in the plan
     return (scaling.max_normalise(per, "track_breadth", "track_breadth_score", [*scope, "list"])
             .drop("list"))

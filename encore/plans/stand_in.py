@@ -104,12 +104,14 @@ def supplier_name(suppkey) -> F.Column:
     return F.concat(F.lit("Supplier#"), F.lpad(suppkey.cast("string"), 9, "0"))
 
 
-def _paginate(ranked: DataFrame, item: F.Column, scope=()) -> DataFrame:
+def _paginate(ranked: DataFrame, item, scope=(), of=()) -> DataFrame:
+    """Pages of ``item``, a column; or, with columns ``of``, a function of a row of them: these
+    narrow rows are grouped into pages, and the items are made afterwards."""
     k = [*scope, "list"]
+    row = F.struct("pos", *of) if of else F.struct(F.col("pos"), item.alias("it"))
     pages = (ranked.withColumn("page_no", ((F.col("pos") - 1) / PAGE_SIZE).cast("int") + 1)
              .groupBy(*k, "page_no")
-             .agg(F.sort_array(F.collect_list(F.struct(F.col("pos"), item.alias("it"))))
-                  .alias("_items")))
+             .agg(F.sort_array(F.collect_list(row)).alias("_items")))
     # the last page number per list comes from the positions (combined map-side, one row per
     # list) and is broadcast under a checked size: shuffled by list, the pages of a list
     # would meet in one task
@@ -121,7 +123,7 @@ def _paginate(ranked: DataFrame, item: F.Column, scope=()) -> DataFrame:
         F.when(F.col("page_no") < last,
                F.format_string("https://api.example/%s?offset=%d", F.col("list"),
                                F.col("page_no") * PAGE_SIZE)).alias("next"),
-        F.transform("_items", lambda x: x["it"]).alias("items"))
+        F.transform("_items", item if of else lambda x: x["it"]).alias("items"))
 
 
 def artist_pages(spark: SparkSession, base: str) -> DataFrame:
@@ -138,7 +140,7 @@ def _artist_pages(o: DataFrame, scope=()) -> DataFrame:
              .agg(F.round(F.sum("o_totalprice"), 2).alias("spend")))
     ranked = row_number_by_range(spend, [F.col("spend").desc(), F.col("o_custkey").asc()],
                                  [*scope, "list"], out="pos")
-    return _paginate(ranked, F.struct(artist_name(F.col("o_custkey")).alias("name")), scope)
+    return _paginate(ranked, lambda x: F.struct(artist_name(x["o_custkey"]).alias("name")), scope, ["o_custkey"])
 
 
 def track_pages(spark: SparkSession, base: str) -> DataFrame:
@@ -161,10 +163,11 @@ def _track_pages(spark: SparkSession, base: str, o: DataFrame, scope=()) -> Data
                                          F.col("l_partkey").asc()], [*scope, "list"], out="pos")
     p = read_table(spark, base, "part").select("p_partkey", "p_name")
     ranked = ranked.join(p, ranked.l_partkey == p.p_partkey)
-    item = F.struct(F.col("p_name").alias("name"),
-                    F.array(F.struct(artist_name(F.col("o_custkey")).alias("name")),
-                            F.struct(supplier_name(F.col("supp")).alias("name"))).alias("artists"))
-    return _paginate(ranked, item, scope)
+    return _paginate(ranked, lambda x: F.struct(
+        x["p_name"].alias("name"),
+        F.array(F.struct(artist_name(x["o_custkey"]).alias("name")),
+                F.struct(supplier_name(x["supp"]).alias("name"))).alias("artists")),
+        scope, ["p_name", "o_custkey", "supp"])
 
 
 def listener_pages(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:

@@ -271,3 +271,14 @@ def test_bodies_are_parsed_once(spark):
     out = ev.keyword_match(named, parsed.withColumnRenamed("artist_name", "event_name"), "name")  # the match reads what was written of them
     assert "from_json(" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert [(r.name, r.event_name, r.event_id) for r in out.collect()] == [("A", "A Live", "1")]
+
+
+def test_stand_in_lists_are_grouped_as_narrow_rows(spark):
+    from encore.plans import stand_in
+    o = spark.sql("SELECT k AS o_custkey, 1.0D * k AS o_totalprice, TIMESTAMP_NTZ '1999-01-31 00:00:00' AS o_orderdate "
+                  "FROM VALUES (8L), (3L) AS t(k)")
+    out = stand_in._artist_pages(o)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    grouped = [x for x in plan.splitlines() if "partial_collect_list" in x]
+    assert grouped and not any("lpad" in x for x in grouped)
+    assert [[i.name for i in r["items"]] for r in out.collect()] == [["Customer#000000008", "Customer#000000003"]]
