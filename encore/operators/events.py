@@ -14,7 +14,8 @@ Per-artist search calls become one distributed join:
 * each distinct artist name is matched once, however many listeners'
   lists hold it, and the (listener, artist) pairs join back afterwards;
 * TOP5 keeps at most ``per_artist`` events per artist with a
-  WindowGroupLimit (a per-task top-k before the shuffle).
+  WindowGroupLimit (a per-task top-k before the shuffle); what the match and the
+  cap do not read joins back to the events that are kept.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from encore.constants import (EARTH_RADIUS, EVENT_CLASSIFICATION, EVENT_COUNTRY,
 from encore.functions.geo import geohash_centre, haversine
 from encore.operators.ranking import BROADCAST_ROWS, split_join, top_k_per_group
 from encore.operators.spatial import near_centres
-from encore.session import materialise, stored
+from encore.session import stored
 
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
@@ -186,6 +187,10 @@ def _fuzzy_match(a: DataFrame, catalogue: DataFrame, artist_col: str, event_col:
     return hit.distinct()
 
 
+#: The catalogue's columns that match, radius and cap read.
+MATCHED = ["event_name", "event_id", "concert_date", "latitude", "longitude"]
+
+
 def match_events(artists: DataFrame, catalogue: DataFrame, artist_col: str = "artist_name",
                  rank_col: str = "artist_rank", scope=(), mode: str = "contains",
                  per_artist: int = EVENTS_PER_ARTIST, geohash: str | None = EVENT_GEOHASH,
@@ -207,28 +212,33 @@ def match_events(artists: DataFrame, catalogue: DataFrame, artist_col: str = "ar
     cat = category_filter(catalogue, classification, country, source)
     if geohash is not None and centres is None:
         cat = radius_filter(cat, geohash, radius, unit)
-    # parsed and filtered once: the keyword join reads it twice (token
-    # frequencies and candidates)
-    cat = materialise(cat.withColumnRenamed("artist_name", "event_name"), "match-catalogue")
+    # parsed and filtered once: the keyword join reads the columns it needs, the other
+    # columns are for the events that are kept
+    cat = stored(cat.withColumnRenamed("artist_name", "event_name")
+                 .withColumn("_row", F.monotonically_increasing_id()), "match-catalogue")
     scope = list(scope)
     # the artist list is read twice (names to match, pairs to join back)
-    arts = materialise(artists.select(*scope, F.col(artist_col).alias("searched_artist"),
-                                      F.col(rank_col).alias("artist_rank")), "artists")
+    arts = stored(artists.select(*scope, F.col(artist_col).alias("searched_artist"),
+                                 F.col(rank_col).alias("artist_rank")), "artists")
     # Each distinct name is matched and capped once, whatever the number of
     # listeners whose lists hold it; the (listener, artist) pairs join back
     # afterwards (a name on many lists is a skewed key there, which AQE's
     # skew join splits; its build side is at most ``per_artist`` rows).
     names = arts.select("searched_artist").distinct()
-    pairs = keyword_match(names, cat, "searched_artist", "event_name", mode, event_key="event_id")
+    pairs = keyword_match(names, cat.select("_row", *MATCHED), "searched_artist", "event_name", mode,
+                          event_key="event_id")
     name = ["searched_artist"]
     if centres is not None:
         # each name is looked up once for each distinct centre that asks for it
-        arts = materialise(arts.join(centres, scope), "artists-at-centres")
+        arts = stored(arts.join(centres, scope), "artists-at-centres")
         name += ["centre_latitude", "centre_longitude", "radius"]
         pairs = near_centres(pairs, arts.select(*name).distinct(), ["searched_artist"], unit)
     kept = top_k_per_group(pairs, name,
                            [F.col("concert_date").asc_nulls_last(), F.col("event_id").asc()],
                            per_artist, out="event_position")
+    # at most per_artist events of each name and centre
+    few = arts.limit(BROADCAST_ROWS // per_artist + 1).count() <= BROADCAST_ROWS // per_artist
+    kept = (F.broadcast(kept) if few else kept).join(cat.drop(*MATCHED), "_row")
     kept = arts.join(kept, name)
     return kept.select(*scope, "searched_artist", "artist_rank", "event_position", "event_id",
                        F.col("event_name").alias("artist_name"), "ticket_link", "artist_image",

@@ -196,8 +196,8 @@ def split_join(rows: DataFrame, table: DataFrame, keys, parts: int | None = None
     if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(table), keys)
     parts = parts or _parts(rows)
-    counts = materialise(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
-                         .join(table.select(*keys).distinct(), keys, "left_semi"), "key-counts")
+    counts = stored(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
+                    .join(table.select(*keys).distinct(), keys, "left_semi"), "key-counts")
     total = counts.agg(F.sum("_c")).first()[0] or 0
     fair = max(1, -(-total // parts))
     # at most ``parts`` keys hold more than a fair share

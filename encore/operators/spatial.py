@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from encore.constants import EARTH_RADIUS, EVENT_RADIUS_UNIT
 from encore.functions.geo import geohash_bits, geohash_cell, haversine
 from encore.operators.ranking import split_join
-from encore.session import materialise
+from encore.session import stored
 
 #: Finest cells used; circles under some metres fall into them as well.
 MAX_PRECISION = 12
@@ -79,9 +79,9 @@ def near_centres(points: DataFrame, centres: DataFrame, on=(), unit: str = EVENT
         return F.col(a).between(-90, 90) & F.col(b).between(-180, 180)  # NaN is above all
 
     on = list(on)
-    cover = materialise(covered(centres.where(on_globe(centre_lat, centre_lon) & (F.col(radius) >= 0)
+    cover = stored(covered(centres.where(on_globe(centre_lat, centre_lon) & (F.col(radius) >= 0)
                                               & (F.col(radius) < math.inf)),
-                                centre_lat, centre_lon, radius, unit), "covers")
+                           centre_lat, centre_lon, radius, unit), "covers")
     levels = sorted(r[0] for r in cover.select("_level").distinct().collect())  # at most 13
     cells = F.array(*[F.struct(F.lit(p).alias("_level"), geohash_cell(F.col(lat), F.col(lon), p).alias("_cell"))
                       for p in levels] or [F.struct(F.lit(-1).alias("_level"), F.lit(0).cast("long").alias("_cell"))])

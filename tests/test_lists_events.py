@@ -282,3 +282,26 @@ def test_stand_in_lists_are_grouped_as_narrow_rows(spark):
     grouped = [x for x in plan.splitlines() if "partial_collect_list" in x]
     assert grouped and not any("lpad" in x for x in grouped)
     assert [[i.name for i in r["items"]] for r in out.collect()] == [["Customer#000000008", "Customer#000000003"]]
+
+
+def test_only_what_the_match_reads_goes_through_it(spark, monkeypatch):
+    seen = []
+    match = ev.keyword_match
+
+    def watched(artists, catalogue, *args, **kept):
+        seen.extend(catalogue.columns)
+        return match(artists, catalogue, *args, **kept)
+
+    monkeypatch.setattr(ev, "keyword_match", watched)
+    cols = ["event_id", "artist_name", "ticket_link", "artist_image", "concert_date", "venue", "city", "address", "classification",
+            "country", "source"]
+    same = ("1", "A Live", "t", "i", "2026-01-01", "v", "c", "d", "music", "US", "ticketmaster")
+    events = spark.createDataFrame([same, same, ("2", "B", "t2", "i", "2026-01-02", "v", "c", None, "music", "US", "ticketmaster")], cols
+                                   ).selectExpr("*", "42.3331D AS latitude", "-83.0511D AS longitude")
+    artists = spark.createDataFrame([("A", 1), ("B", 2)], "artist_name string, artist_rank long")
+    for few in (10**6, 0):
+        monkeypatch.setattr(ev, "BROADCAST_ROWS", few)
+        got = sorted((r.searched_artist, r.event_position, r.event_id, r.artist_name, r.ticket_link, r.address or "")
+                     for r in ev.match_events(artists, events).collect())
+        assert got == [("A", 1, "1", "A Live", "t", "d"), ("A", 2, "1", "A Live", "t", "d"), ("B", 1, "2", "B", "t2", "")]
+    assert "ticket_link" not in seen and "artist_image" not in seen

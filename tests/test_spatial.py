@@ -86,3 +86,11 @@ def test_split_join_spreads_a_hot_key(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_covers_are_stored_by_columns(spark):
+    points = spark.createDataFrame([(1, 42.0, -83.0)], "id int, latitude double, longitude double")
+    centres = spark.createDataFrame([("a", 42.0, -83.1, 20.0)], "n string, centre_latitude double, centre_longitude double, radius double")
+    out = spatial.near_centres(points, centres)
+    cover = next(r for r in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "_cell" in r and "Relation" in r)
+    assert "parquet" in cover and [(r.id, r.n) for r in out.collect()] == [(1, "a")]
